@@ -148,3 +148,59 @@ FROM customer c
 LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey
 LEFT JOIN (SELECT o_custkey, count(*) AS nbr_reviews FROM orders GROUP BY o_custkey) o ON c.c_custkey = o.o_custkey
 """
+
+
+# Home-country locations for the location operators: customers of the AMERICA
+# region live in "United States, <state>" (state picked by nation key from the
+# fixed state list), everybody else in their nation.
+def _state_names():
+    from revmine.functions.lexicon import STATE_CODES
+
+    return list(STATE_CODES)
+
+
+def user_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``user_id, location, nbr_reviews, avg_overall`` with US-style locations."""
+    from revmine.functions.lexicon import HOME_COUNTRY
+
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    r = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
+    o = table(spark, sf_dir, "orders").select("o_custkey", "o_totalprice")
+    stats = o.groupBy("o_custkey").agg(F.count("*").alias("nbr_reviews"),
+                                       (F.avg("o_totalprice") / 10000).alias("avg_overall"))
+    states = F.array(*[F.lit(s) for s in _state_names()])
+    # nation (25 rows) and region (5 rows) are bounded by the schema
+    geo = n.join(F.broadcast(r), n.n_regionkey == r.r_regionkey).select(
+        "n_nationkey",
+        F.when(F.col("r_name") == "AMERICA",
+               F.concat(F.lit(HOME_COUNTRY + ", "), F.element_at(states, F.col("n_nationkey") + 1)))
+        .otherwise(F.col("n_name")).alias("location"))
+    return (c.join(F.broadcast(geo), c.c_nationkey == geo.n_nationkey, "left")
+            .join(stats, c.c_custkey == stats.o_custkey, "left")
+            .select(F.col("c_custkey").alias("user_id"), "location",
+                    F.coalesce("nbr_reviews", F.lit(0)).alias("nbr_reviews"), "avg_overall"))
+
+
+def user_locations_sql() -> str:
+    states = "[" + ", ".join("'" + s + "'" for s in _state_names()) + "]"
+    return f"""
+SELECT c.c_custkey AS user_id, g.location, COALESCE(s.nbr_reviews, 0) AS nbr_reviews, s.avg_overall
+FROM customer c
+LEFT JOIN (SELECT n.n_nationkey,
+                  CASE WHEN r.r_name = 'AMERICA' THEN 'United States, ' || {states}[n.n_nationkey + 1]
+                       ELSE n.n_name END AS location
+           FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey) g ON c.c_nationkey = g.n_nationkey
+LEFT JOIN (SELECT o_custkey, count(*) AS nbr_reviews, avg(o_totalprice) / 10000 AS avg_overall
+           FROM orders GROUP BY o_custkey) s ON c.c_custkey = s.o_custkey
+"""
+
+
+def item_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Item ratings with an integer 0-5 ``score`` = half-even round of overall / 10."""
+    return item_ratings(spark, sf_dir).withColumn("score", F.bround(F.col("overall") / 10, 0).cast("int"))
+
+
+ITEM_SCORES_SQL = f"""
+SELECT *, CAST(round_even(overall / 10, 0) AS INTEGER) AS score FROM ({ITEM_RATINGS_SQL}) ir
+"""
