@@ -155,16 +155,19 @@ def classify_vectors(df: DataFrame, centroids: DataFrame, vec: str = "embedding"
 
 
 def classify_attributes(df: DataFrame, by: str, term: str = "attribute",
-                        lexicon: Mapping[str, Sequence[str]] = L.CATEGORY_LEXICON) -> DataFrame:
-    """T21 (lexicon variant): attribute -> category by cue words; four lists per
-    group, in attribute rank order (``rank`` column if present)."""
-    rule = lexicon_rule(lexicon)
+                        lexicon: Mapping[str, Sequence[str]] = L.CATEGORY_LEXICON,
+                        rule: LabelRule | None = None, categories: Sequence[str] | None = None) -> DataFrame:
+    """T21 (lexicon variant): attribute -> category by cue words (or ``rule``);
+    one list per category and group, in attribute rank order (``rank`` column
+    if present, else the attribute).  Unmatched attributes are dropped; groups
+    keep empty lists for categories without attributes."""
+    rule = rule or lexicon_rule(lexicon)
+    cats = list(categories or lexicon)
     order = "rank" if "rank" in df.columns else term
-    lab = df.withColumn("category", rule(F.col(term))).where(F.col("category").isNotNull())
-    grouped = lab.groupBy(by).agg(*[
+    lab = df.withColumn("category", rule(F.col(term)))
+    return lab.groupBy(by).agg(*[
         F.transform(F.array_sort(F.collect_list(F.when(F.col("category") == c, F.struct(order, term)))),
-                    lambda s: s[term]).alias(c) for c in lexicon])
-    return grouped
+                    lambda s: s[term]).alias(c) for c in cats])
 
 
 # T22

@@ -370,35 +370,40 @@ def relative_frequency(counts: DataFrame, doc_keys: Sequence[str], tf: str = "tf
 
 def top_negative_words(counts: DataFrame, doc_keys: Sequence[str], *, label: str = "polarity",
                        term: str = "term", use_tfidf: bool = True, k: int | None = 10,
-                       rank_keys: Sequence[str] = (), docs: DataFrame | None = None,
-                       max_df: float | None = None) -> DataFrame:
+                       rank_keys: Sequence[str] = (), idf_keys: Sequence[str] | None = None,
+                       docs: DataFrame | None = None, max_df: float | None = None) -> DataFrame:
     """``score_diff = negative - positive`` per term, best first.
 
-    ``counts`` holds both sides, ``doc_keys`` include ``label``.  Each side is
-    scored separately (its own idf, ``group_keys=[label]``), the sides are
-    aligned (J9) and the difference ranked within ``rank_keys`` (empty: one
-    ranking; ``[entity]``: per entity, T15).
+    ``counts`` holds both sides; ``doc_keys`` identify a document and include
+    ``label``.  Each side is scored separately: one idf per ``idf_keys``
+    (default ``[label]``).  A side's term score is the sum of its documents'
+    scores within ``rank_keys`` (one document per entity: that document's
+    score; documents = reviews of an entity: the summed tf-idf).  The sides
+    are aligned (J9, 0 for a missing side) and ranked within ``rank_keys``
+    (empty: one global ranking).  ``use_tfidf=False`` scores by relative
+    frequency instead.
     """
-    doc_keys = _list(doc_keys)
+    doc_keys, rank_keys = _list(doc_keys), _list(rank_keys)
+    idf_keys = _list(idf_keys) if idf_keys is not None else [label]
     if use_tfidf:
-        scored = tfidf_scores(counts, doc_keys, term, group_keys=[label], docs=docs, max_df=max_df)
+        scored = tfidf_scores(counts, doc_keys, term, group_keys=idf_keys, docs=docs, max_df=max_df)
     else:
         scored = relative_frequency(counts, doc_keys)
-    aligned = align_pos_neg(scored, [k_ for k_ in doc_keys if k_ != label], label, "tfidf", term)
+    aligned = align_pos_neg(scored, rank_keys, label, "tfidf", term)
     out = aligned.withColumn("score_diff", F.col("negative") - F.col("positive"))
-    rank_keys = _list(rank_keys)
     if k is None:
         return out
     if rank_keys:
         return top_terms_per_entity(out, rank_keys, "score_diff", k, term)
-    w = Window.orderBy(*rank_order("score_diff", term))
-    return out.orderBy(*rank_order("score_diff", term)).limit(k).withColumn("rank", F.row_number().over(w))
+    ranked = out.orderBy(*rank_order("score_diff", term)).limit(k)
+    return ranked.withColumn("rank", F.row_number().over(Window.orderBy(*rank_order("score_diff", term))))
 
 
 def criticisms_per_entity(counts: DataFrame, entity: str, *, label: str = "polarity", k: int = 10,
                           term: str = "term", docs: DataFrame | None = None,
                           max_df: float | None = None) -> DataFrame:
-    """T14 for every entity at once (one plan keyed by entity, no loop)."""
+    """T14 for every entity at once (one document per entity and side, one
+    plan keyed by entity, no loop)."""
     return top_negative_words(counts, [entity, label], label=label, term=term, k=k,
                               rank_keys=[entity], docs=docs, max_df=max_df)
 

@@ -1,6 +1,6 @@
 """Named queries over the driver's tables, each paired with a DuckDB oracle."""
 
-from revmine.plans import relational_queries, text_queries  # noqa: F401  (registers queries)
+from revmine.plans import relational_queries, split_queries, text_queries  # noqa: F401  (registers queries)
 from revmine.plans.registry import BENCH, ORACLES, QUERIES
 
 __all__ = ["QUERIES", "ORACLES", "BENCH"]
