@@ -172,16 +172,18 @@ def classify_attributes(df: DataFrame, by: str, term: str = "attribute",
 
 # T22
 def summarise_complaints(df: DataFrame, by: Sequence[str], text: str, n: int = 3,
-                         id_col: str = "review_id") -> DataFrame:
+                         id_col: str | Sequence[str] = "review_id") -> DataFrame:
     """Extractive summary (re-aimed from an abstractive model): sentences ranked
     by the mean tf-idf (document = group) of their words; best ``n`` per group.
 
-    ``id_col`` identifies a text; a sentence is ``(id_col, sentence_idx)``.
-    Output ``(by..., rank, sentence, score)``; ties by sentence text.
+    ``id_col`` (one or more columns) identifies a text; a sentence is
+    ``(id..., sentence_idx)``.  Output ``(by..., rank, sentence, score)``; ties
+    by sentence text, then id.
     """
     by = list(by)
-    key = [*by, id_col, "sentence_idx"]
-    sents = explode_sentences(df, text, [*by, id_col], out="sentence").where(F.trim("sentence") != "")
+    ids = [id_col] if isinstance(id_col, str) else list(id_col)
+    key = [*by, *ids, "sentence_idx"]
+    sents = explode_sentences(df, text, [*by, *ids], out="sentence").where(F.trim("sentence") != "")
     toks = sents.select(*key, F.explode(T.review_tokens(sents, "sentence")).alias("term"))
     counts = toks.groupBy(*by, "term").agg(F.count("*").alias("tf"))
     scores = T.tfidf_scores(counts, by, docs=df.select(*by))
@@ -189,14 +191,14 @@ def summarise_complaints(df: DataFrame, by: Sequence[str], text: str, n: int = 3
            .groupBy(*key).agg(F.avg("tfidf").alias("score")))
     ranked = sents.join(per, key, "inner")
     w = Window.partitionBy(*by).orderBy(F.round("score", 9).desc(), F.col("sentence").asc(),
-                                        F.col(id_col).asc(), F.col("sentence_idx").asc())
+                                        *[F.col(c).asc() for c in ids], F.col("sentence_idx").asc())
     return (ranked.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
             .select(*by, "rank", F.trim("sentence").alias("sentence"), F.round("score", 6).alias("score")))
 
 
 # T24
 def complaints_by_entity(scored: DataFrame, entity: str, entity_value, text: str = "review",
-                         feel: str = "max_feel", n: int = 3, id_col: str = "review_id") -> DataFrame:
+                         feel: str = "max_feel", n: int = 3, id_col: str | Sequence[str] = "review_id") -> DataFrame:
     """Sadness texts of one entity, summarised (F10 + T22)."""
     sub = scored.where((F.col(feel) == "sadness") & (F.col(entity) == entity_value))
     return summarise_complaints(sub, [entity], text, n, id_col)

@@ -30,7 +30,9 @@ def spearman(df: DataFrame, x: str, ys: Sequence[str], label: str = "label",
                                            for y in ys])))
     long = long.where(F.col(x).isNotNull() & F.col("value").isNotNull())
     r = average_rank(average_rank(long, x, [label], "_rx"), "value", [label], "_ry")
-    return r.groupBy(label).agg(F.corr("_rx", "_ry").alias(out), F.count("*").alias("n"))
+    den = F.stddev_pop("_rx") * F.stddev_pop("_ry")
+    rho = F.when(den > 0, F.covar_pop("_rx", "_ry") / den)
+    return r.groupBy(label).agg(rho.alias(out), F.count("*").alias("n"))
 
 
 # M3
