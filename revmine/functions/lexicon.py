@@ -78,6 +78,9 @@ REVIEW_CASTS = {
 # Token patterns: three or more ASCII letters (main), or two or more word chars.
 THREE_LETTERS = r"\b[a-zA-Z]{3,}\b"
 TWO_LETTERS_NUMBERS = r"\b\w\w+\b"
+# The same tokens with Python's Unicode word characters spelled out (maximal
+# runs of two or more), read identically by Java and RE2.
+TWO_LETTERS_NUMBERS_UNI = r"[\p{L}\p{N}_]{2,}"
 
 # Broken UTF-8 apostrophe and its two replacements.
 MOJIBAKE_APOSTROPHE = "â\u0080\u0099"

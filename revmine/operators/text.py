@@ -137,18 +137,25 @@ def replicate_experts(reviews: DataFrame, expert: str, weight: int = 2) -> DataF
 # ---------------------------------------------------------------------------
 
 def review_tokens(df: DataFrame, text: str = "text", *, pattern: str = L.THREE_LETTERS,
-                  tokenizer: Callable[[Column], Column] | None = None,
-                  ngram_range: tuple[int, int] = (1, 1), clean: bool = True,
+                  tokenizer: Callable[[Column], Column] | None = None, clean: bool = True,
                   accent_method: str = "arrow") -> Column:
-    """Token array of one review: T1 -> lowercase -> X3 -> pattern (-> n-grams)."""
+    """Token array of one review: T1 -> lowercase -> X3 -> pattern."""
     c = F.col(text)
     if clean:
         c = X.strip_accents_ascii(F.lower(X.normalise_text(c)), method=accent_method)
-    toks = tokenizer(c) if tokenizer is not None else X.tokenise(c, pattern)
+    return tokenizer(c) if tokenizer is not None else X.tokenise(c, pattern)
+
+
+def with_tokens(df: DataFrame, text: str = "text", out: str = "tokens", *,
+                ngram_range: tuple[int, int] = (1, 1), **kw) -> DataFrame:
+    """Adds the token array (and its n-grams) as a column.  The tokens are
+    materialised first so the n-gram lambdas only see a plain column (the
+    Arrow accent strip cannot run inside a higher-order function)."""
+    out_df = df.withColumn(out, review_tokens(df, text, **kw))
     lo, hi = ngram_range
     if (lo, hi) != (1, 1):
-        toks = X.ngrams(toks, lo, hi)
-    return toks
+        out_df = out_df.withColumn(out, X.ngrams(F.col(out), lo, hi))
+    return out_df
 
 
 def word_counts(corpus: DataFrame, keys: Sequence[str], text: str = "text", weight: str | None = "weight", *,
@@ -164,10 +171,11 @@ def word_counts(corpus: DataFrame, keys: Sequence[str], text: str = "text", weig
     smaller table, with a broadcast anti-join (the list is bounded).
     """
     keys = _list(keys)
-    toks = review_tokens(corpus, text, pattern=pattern, tokenizer=tokenizer,
-                         ngram_range=ngram_range, clean=clean, accent_method=accent_method)
     w = F.col(weight) if weight else F.lit(1)
-    exploded = corpus.select(*[F.col(k) for k in keys], w.alias("_w"), F.explode(toks).alias(term))
+    tok = with_tokens(corpus.select(*[F.col(k) for k in keys], w.alias("_w"), F.col(text).alias("_text")),
+                      "_text", "_tok", ngram_range=ngram_range, pattern=pattern, tokenizer=tokenizer,
+                      clean=clean, accent_method=accent_method)
+    exploded = tok.select(*[F.col(k) for k in keys], "_w", F.explode("_tok").alias(term))
     if lemma is not None:
         exploded = exploded.withColumn(term, lemma(F.col(term)))
     counts = exploded.groupBy(*keys, term).agg(F.sum("_w").cast("bigint").alias("tf"))

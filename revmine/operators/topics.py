@@ -112,7 +112,8 @@ def topic_emotion_distribution(df: DataFrame, topics: str = "topics", feel: str
 # T23
 def complaints_by_topic(topics: DataFrame, scored: DataFrame, topic_id: int, entity: str, text: str = "review",
                         feel: str = "max_feel", n_rows: int = 5000, n: int = 3,
-                        order: Sequence[str] = ("review_id", "sentence_idx"), id_col: str = "review_id") -> DataFrame:
+                        order: Sequence[str] = ("review_id",),
+                        id_col: str | Sequence[str] = "review_id") -> DataFrame:
     """Sadness rows of entities whose dominant topic is ``topic_id``; the first
     ``n_rows`` (explicit order) are summarised."""
     ents = topics.where(dominant_topic(F.col("topics")) == topic_id).select(entity)

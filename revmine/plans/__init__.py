@@ -1,6 +1,15 @@
 """Named queries over the driver's tables, each paired with a DuckDB oracle."""
 
-from revmine.plans import relational_queries, scoring_queries, split_queries, text_queries  # noqa: F401  (registers queries)
+from revmine.plans import (  # noqa: F401  (importing registers the queries)
+    function_queries,
+    relational_queries,
+    scoring_queries,
+    source_queries,
+    split_queries,
+    stream_queries,
+    text_queries,
+    topic_queries,
+)
 from revmine.plans.registry import BENCH, ORACLES, QUERIES
 
 __all__ = ["QUERIES", "ORACLES", "BENCH"]

@@ -49,7 +49,10 @@ def table_stats_stream(spark: SparkSession, path: str, schema: str, by: str, on:
                        checkpoint: str | None = None) -> DataFrame:
     """Same running statistics over a parquet file read as a stream; runs to
     the end of the available data and returns the result table."""
-    src = spark.readStream.schema(schema).parquet(path)
+    import os
+
+    folder, name_glob = os.path.split(path.rstrip("/"))
+    src = spark.readStream.schema(schema).option("pathGlobFilter", name_glob).parquet(folder)
     stats = running_stats(src, by, on)
     ckpt = checkpoint or f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-{name}"
     q = (stats.writeStream.outputMode("complete").format("memory").queryName(name)
