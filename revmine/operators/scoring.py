@@ -24,51 +24,121 @@ from revmine.operators.reshape import explode_sentences
 
 LabelRule = Callable[[Column], Column]
 WORD_PATTERN = r"\p{L}+"
+WORD_START = r"(?<!\p{L})"
+WORD_END = r"(?!\p{L})"
 
 
-def lexicon_rule(lexicon: Mapping[str, Sequence[str]] = L.EMOTION_LEXICON) -> LabelRule:
-    """``term -> label`` from a bounded word list (a literal map, first label wins)."""
-    pairs: dict[str, str] = {}
+class RegexLexicon(dict):
+    """``label -> regex of one whole word`` (lowercase).  Scoring with it runs
+    one JVM regex count per label and no lambda per word, so it stays in
+    generated code; it gives the same counts as the equivalent word rule."""
+
+    def __call__(self, t: Column) -> Column:
+        return self.rule()(t)
+
+    def rule(self) -> LabelRule:
+        pats = list(self.items())
+
+        def r(t: Column) -> Column:
+            out = None
+            for lab, p in pats:
+                cond = t.rlike("^(?:" + p + ")$")
+                out = F.when(cond, F.lit(lab)) if out is None else out.when(cond, F.lit(lab))
+            return out
+
+        return r
+
+
+def lexicon_rule(lexicon: Mapping[str, Sequence[str]] = L.EMOTION_LEXICON) -> RegexLexicon:
+    """``term -> label`` from a bounded word list (first label wins for a word
+    listed twice), as one alternation per label."""
+    import re
+
+    seen: set[str] = set()
+    out = RegexLexicon()
     for label, words in lexicon.items():
-        for w in words:
-            pairs.setdefault(w, label)
-    m = F.create_map(*[F.lit(x) for kv in sorted(pairs.items()) for x in kv])
-    return lambda t: F.element_at(m, t)
+        mine = [w for w in words if w not in seen]
+        seen.update(mine)
+        if mine:
+            out[label] = "|".join(re.escape(w) for w in sorted(mine, key=lambda w: (-len(w), w)))
+    return out
+
 
+def _letter_ranges(n: int) -> list[str]:
+    groups: list[list[str]] = [[] for _ in range(n)]
+    for code in range(26):
+        groups[(code * n) // 26].append(chr(ord("a") + code))
+    return [f"[{g[0]}-{g[-1]}]" if g else "(?!)" for g in groups]
 
-def initial_letter_rule(labels: Sequence[str] = L.EMOTIONS) -> LabelRule:
+
+def initial_letter_rule(labels: Sequence[str] = L.EMOTIONS) -> RegexLexicon:
     """Deterministic test lexicon over any vocabulary: label by the word's first
-    letter, the alphabet cut into ``len(labels)`` equal ranges.  Used on the
-    invented prose of the test tables, where no real cue word occurs."""
-    n = len(labels)
-    arr = F.array(*[F.lit(x) for x in labels])
+    letter (ASCII a-z), the alphabet cut into ``len(labels)`` equal ranges.
+    Used on the invented prose of the test tables, where no real cue word occurs."""
+    return RegexLexicon({lab: rng + r"\p{L}*" for lab, rng in zip(labels, _letter_ranges(len(labels)))})
 
-    def rule(t: Column) -> Column:
-        code = F.ascii(t) - F.lit(ord("a"))
-        idx = F.floor(code * F.lit(n) / F.lit(26)).cast("int")
-        return F.when((code >= 0) & (code < 26), F.element_at(arr, idx + 1))
 
-    return rule
+def label_hits(text: Column, rule: LabelRule) -> Column:
+    """Labels of the matched words of a text (unmatched words dropped)."""
+    words = F.regexp_extract_all(F.lower(text), F.lit(WORD_PATTERN), 0)
+    return F.filter(F.transform(words, rule), lambda x: x.isNotNull())
+
+
+def label_counts(text: Column, lex: RegexLexicon) -> list[Column]:
+    """Per label, the number of words of ``text`` matching it (one regex each)."""
+    low = F.lower(text)
+    return [F.size(F.regexp_extract_all(low, F.lit(WORD_START + "(?:" + p + ")" + WORD_END), 0)) for p in lex.values()]
 
 
 def score_labels(text: Column, rule: LabelRule, labels: Sequence[str] = L.EMOTIONS,
-                 max_chars: int | None = 500) -> list[Column]:
-    """Share of matched words per label (0 when none match or text too long)."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(WORD_PATTERN), 0)
-    hits = F.filter(F.transform(words, rule), lambda x: x.isNotNull())
+                 max_chars: int | None = 500, hits: Column | None = None) -> list[Column]:
+    """Share of matched words per label (0 when none match or text too long).
+
+    Pass ``hits`` as a column already holding :func:`label_hits` so the word
+    regex runs once per text, not once per label (no common-subexpression
+    elimination happens across higher-order functions).
+    """
+    hits = label_hits(text, rule) if hits is None else hits
     n = F.size(hits)
     ok = (n > 0) if max_chars is None else ((n > 0) & (F.length(text) < max_chars))
     return [F.when(ok, F.size(F.filter(hits, lambda x: x == lab)) / n).otherwise(F.lit(0.0)).alias(lab)
             for lab in labels]
 
 
+def _scored(df: DataFrame, text: str, rule: LabelRule, labels: Sequence[str], max_chars: int | None,
+            prefix: str = "") -> DataFrame:
+    """Adds one score column per label.
+
+    The per-label word counts are produced by a one-row ``inline`` (a Generate
+    node): the optimizer cannot push a later filter on the scores below it,
+    so the counting runs once per text instead of being inlined into every
+    predicate and projection that uses a score.  With a
+    :class:`RegexLexicon` each count is one regex in generated code; any other
+    rule splits the words once and labels them with a lambda.
+    """
+    labels = list(labels)
+    if isinstance(rule, RegexLexicon):
+        lex = {lab: rule[lab] for lab in labels if lab in rule}
+        counts = dict(zip(lex, label_counts(F.col(text), RegexLexicon(lex))))
+    else:
+        hits = label_hits(F.col(text), rule)
+        counts = {lab: F.size(F.filter(hits, lambda x: x == lab)) for lab in labels}
+    fields = [counts.get(lab, F.lit(0)).alias(f"_n_{lab}") for lab in labels]
+    fields.append(F.length(F.col(text)).alias("_len"))
+    cnt = df.select("*", F.inline(F.array(F.struct(*fields))))
+    n = sum((F.col(f"_n_{lab}") for lab in labels), F.lit(0))
+    ok = (n > 0) if max_chars is None else ((n > 0) & (F.col("_len") < max_chars))
+    cols = [F.when(ok, F.col(f"_n_{lab}") / n).otherwise(F.lit(0.0)).alias(prefix + lab) for lab in labels]
+    return cnt.select(*df.columns, *cols)
+
+
 # T18
 def score_emotions(df: DataFrame, text: str, rule: LabelRule | None = None, max_chars: int | None = 500,
                    labels: Sequence[str] = L.EMOTIONS, feel: str = "max_feel") -> DataFrame:
     """Seven label scores per text (texts of ``max_chars`` or more score 0) and
     ``max_feel`` = leftmost arg-max (all zero -> "anger")."""
     rule = rule or lexicon_rule()
-    scored = df.select("*", *score_labels(F.col(text), rule, labels, max_chars))
+    scored = _scored(df, text, rule, labels, max_chars)
     return scored.withColumn(feel, X.label_argmax(list(labels)))
 
 
@@ -89,8 +159,7 @@ def score_polarity(df: DataFrame, text: str, score: str = "score", rule: LabelRu
     "negative" is the arg-max label, else 0; texts of ``max_chars``+ get 0."""
     rule = rule or polarity_rule_from_emotions()
     sub = df.where(F.col(score).isin(list(bands)))
-    s = score_labels(F.col(text), rule, POLARITY_LABELS, max_chars)
-    scored = sub.select("*", *[c.alias(f"_{lab}") for c, lab in zip(s, POLARITY_LABELS)])
+    scored = _scored(sub, text, rule, POLARITY_LABELS, max_chars, prefix="_")
     top = X.label_argmax([f"_{lab}" for lab in POLARITY_LABELS], POLARITY_LABELS)
     return (scored.withColumn(out, F.when(top == "negative", F.col("_negative")).otherwise(F.lit(0.0)))
             .drop(*[f"_{lab}" for lab in POLARITY_LABELS]))

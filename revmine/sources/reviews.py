@@ -95,8 +95,7 @@ def cast_review_fields(df: DataFrame, casts: Mapping[str, str] = L.REVIEW_CASTS,
         if t == "boolean":
             v = c == F.lit("True")
         elif t == "double":
-            d = F.expr(f"try_cast(`{k}` AS DOUBLE)")
-            v = F.when(F.isnan(d), F.lit(None).cast("double")).otherwise(d)
+            v = _nan_to_null(F.expr(f"try_cast(`{k}` AS DOUBLE)"))
         else:
             v = F.expr(f"try_cast(`{k}` AS {t.upper()})")
         out = out.withColumn(k, v)
@@ -105,6 +104,10 @@ def cast_review_fields(df: DataFrame, casts: Mapping[str, str] = L.REVIEW_CASTS,
     return out
 
 
+def _nan_to_null(c: Column) -> Column:
+    return F.when(F.isnan(c), F.lit(None).cast("double")).otherwise(c)
+
+
 # S4
 def read_simple_reviews(spark: SparkSession, path: str, n: int | None = None) -> DataFrame:
     """``review, score, beer_name, user_id`` per record.
@@ -122,7 +125,7 @@ def read_simple_reviews(spark: SparkSession, path: str, n: int | None = None) ->
         "_pos",
         X.fix_mojibake_apostrophe(F.replace(F.concat(F.lit("text: "), F.col("text")), F.lit("text: "), F.lit("")),
                                   "'").alias("review"),
-        X.round_half_even(F.expr("try_cast(rating AS DOUBLE)")).cast("int").alias("score"),
+        X.round_half_even(_nan_to_null(F.expr("try_cast(rating AS DOUBLE)"))).try_cast("int").alias("score"),
         F.col("beer_name"),
         F.expr("try_cast(user_id AS BIGINT)").alias("user_id"))
     if n is not None:
