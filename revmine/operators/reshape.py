@@ -30,17 +30,15 @@ def explode_sentences(df: DataFrame, text: str, keep: Sequence[str] = (), out: s
 
 # P6
 def collect_by_entity(df: DataFrame, entity: str, order: str, keep: Sequence[str] = ()) -> DataFrame:
-    """Reviews "grouped by entity" kept flat: ``entity, position, keep...``.
+    """Reviews "grouped by entity" kept flat: ``entity, order, keep..., position``.
 
-    The original built a dict of lists; materialising one list per entity
-    would put a hot entity in one row, so the grouping is expressed as a
-    position within the entity (a partitioned window over the key and the
-    order column only).
+    The original built a dict of lists; one list per entity would put a hot
+    entity into one row, so the grouping is a position within the entity,
+    computed with the skew-safe running count (no single-key window).
     """
-    from pyspark.sql import Window
+    from revmine.operators.window import position_in_group
 
-    w = Window.partitionBy(entity).orderBy(F.col(order))
-    return df.select(entity, order, *_list(keep)).withColumn("position", F.row_number().over(w))
+    return position_in_group(df.select(entity, order, *_list(keep)), [entity], [order], "position")
 
 
 # X20

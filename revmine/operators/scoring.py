@@ -241,19 +241,24 @@ def classify_attributes(df: DataFrame, by: str, term: str = "attribute",
 
 # T22
 def summarise_complaints(df: DataFrame, by: Sequence[str], text: str, n: int = 3,
-                         id_col: str | Sequence[str] = "review_id") -> DataFrame:
+                         id_col: str | Sequence[str] = "review_id", materialise=None) -> DataFrame:
     """Extractive summary (re-aimed from an abstractive model): sentences ranked
     by the mean tf-idf (document = group) of their words; best ``n`` per group.
 
     ``id_col`` (one or more columns) identifies a text; a sentence is
-    ``(id..., sentence_idx)``.  Output ``(by..., rank, sentence, score)``; ties
+    ``(id..., sentence_idx)``.  ``materialise`` (e.g.
+    :func:`revmine.session.cut_lineage`) is applied to the token table,
+    which two branches of the plan read.  Output ``(by..., rank, sentence, score)``; ties
     by sentence text, then id.
     """
     by = list(by)
     ids = [id_col] if isinstance(id_col, str) else list(id_col)
     key = [*by, *ids, "sentence_idx"]
     sents = explode_sentences(df, text, [*by, *ids], out="sentence").where(F.trim("sentence") != "")
-    toks = sents.select(*key, F.explode(T.review_tokens(sents, "sentence")).alias("term"))
+    toks = (T.with_tokens(sents, "sentence", "_tok").select(*key, F.explode_outer("_tok").alias("term"))
+            .where(F.col("term").isNotNull()))
+    if materialise is not None:  # tokens feed two branches: compute them once
+        toks = materialise(toks)
     counts = toks.groupBy(*by, "term").agg(F.count("*").alias("tf"))
     scores = T.tfidf_scores(counts, by, docs=df.select(*by))
     per = (toks.join(scores.select(*by, "term", "tfidf"), [*by, "term"], "inner")

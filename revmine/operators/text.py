@@ -175,7 +175,11 @@ def word_counts(corpus: DataFrame, keys: Sequence[str], text: str = "text", weig
     tok = with_tokens(corpus.select(*[F.col(k) for k in keys], w.alias("_w"), F.col(text).alias("_text")),
                       "_text", "_tok", ngram_range=ngram_range, pattern=pattern, tokenizer=tokenizer,
                       clean=clean, accent_method=accent_method)
-    exploded = tok.select(*[F.col(k) for k in keys], "_w", F.explode("_tok").alias(term))
+    # explode_outer + a filter on the generated term: plain explode makes the
+    # optimizer infer size(tokens) > 0 below the projection, which would run
+    # the Arrow accent strip twice.
+    exploded = (tok.select(*[F.col(k) for k in keys], "_w", F.explode_outer("_tok").alias(term))
+                .where(F.col(term).isNotNull()))
     if lemma is not None:
         exploded = exploded.withColumn(term, lemma(F.col(term)))
     counts = exploded.groupBy(*keys, term).agg(F.sum("_w").cast("bigint").alias("tf"))

@@ -408,8 +408,9 @@ FROM {IR} r WHERE beer_id IS NOT NULL""")
 def q_rank_within_group(spark: SparkSession, sf: str) -> DataFrame:
     """Position of each rating within its beer (best first)."""
     ir = C.item_ratings(spark, sf).where(F.col("beer_id").isNotNull())
-    rk = W.row_number_col(["beer_id"], [F.col("rating").desc(), F.col("review_id"), F.col("line")])
-    return ir.select("beer_id", "review_id", "line", rk.alias("rank"))
+    ir = ir.select("beer_id", "review_id", "line", (-F.col("rating")).alias("_neg_rating"))
+    rk = W.position_in_group(ir, ["beer_id"], ["_neg_rating", "review_id", "line"], "rank")
+    return rk.select("beer_id", "review_id", "line", "rank")
 
 
 @register("most_negative_reviews", f"""

@@ -24,6 +24,7 @@ from revmine.operators import window as W
 from revmine.plans import catalog as C
 from revmine.plans import sqlfrag as S
 from revmine.plans.registry import register
+from revmine.session import cut_lineage
 
 EMO = L.EMOTIONS
 K = 10
@@ -190,7 +191,7 @@ def q_build_corpus_emotion_split(spark: SparkSession, sf: str) -> DataFrame:
     T.check_split_arguments(False, True, None)
     lab = W.emotion_split(scored_sentences(spark, sf))
     corpus = T.build_corpus(lab, "location", "review", label="polarity").withColumnRenamed("location", "source")
-    counts = T.word_counts(corpus, ["source", "polarity"], stop=T.fixed_stop_words())
+    counts = cut_lineage(T.word_counts(corpus, ["source", "polarity"], stop=T.fixed_stop_words()))
     crit = T.criticisms_per_entity(counts, "source", k=K, docs=corpus, max_df=MAX_DF)
     return crit.select("source", "rank", "term", F.round("score_diff", 6).alias("score_diff"))
 
@@ -306,7 +307,7 @@ def q_summarise_complaints(spark: SparkSession, sf: str) -> DataFrame:
     sad = scored_sentences(spark, sf).where(F.col("max_feel") == "sadness")
     sad = sad.select("location", "doc_id", F.col("sentence_idx").alias("sid"), "review")
     # sentences are the texts: splitting them again keeps each one whole
-    return SC.summarise_complaints(sad, ["location"], "review", 3, ["doc_id", "sid"]).select(
+    return SC.summarise_complaints(sad, ["location"], "review", 3, ["doc_id", "sid"], cut_lineage).select(
         "location", "rank", "sentence", "score")
 
 

@@ -14,6 +14,7 @@ from revmine.operators import window as W
 from revmine.plans import catalog as C
 from revmine.plans import sqlfrag as S
 from revmine.plans.registry import register
+from revmine.session import cut_lineage
 
 Q = 10.0
 K = 10
@@ -89,7 +90,7 @@ def q_quantile_split(spark: SparkSession, sf: str) -> DataFrame:
 def q_criticisms_per_entity(spark: SparkSession, sf: str) -> DataFrame:
     """Per source, the 10 terms most specific to its negative side."""
     corpus = split_corpus(spark, sf)
-    counts = T.word_counts(corpus, ["source", "polarity"], stop=_stop())
+    counts = cut_lineage(T.word_counts(corpus, ["source", "polarity"], stop=_stop()))
     crit = T.criticisms_per_entity(counts, "source", k=K, docs=corpus, max_df=MAX_DF)
     return _crit_out(crit)
 
@@ -99,7 +100,7 @@ def q_top_negative_words(spark: SparkSession, sf: str) -> DataFrame:
     """T14 (notebook mode): documents = reviews of one source, each side fitted
     separately per source; summed tf-idf negative minus positive, top 10."""
     corpus = split_corpus(spark, sf)
-    counts = T.word_counts(corpus, ["source", "polarity", "doc_id"], stop=_stop())
+    counts = cut_lineage(T.word_counts(corpus, ["source", "polarity", "doc_id"], stop=_stop()))
     crit = T.top_negative_words(counts, ["source", "polarity", "doc_id"], k=K, rank_keys=["source"],
                                 idf_keys=["source", "polarity"], docs=corpus, max_df=MAX_DF)
     return _crit_out(crit)
@@ -110,7 +111,7 @@ SELECT source, term, round(negative, 6) AS negative, round(positive, 6) AS posit
 def q_align_pos_neg(spark: SparkSession, sf: str) -> DataFrame:
     """Both sides' tf-idf per (source, term), 0 where a side lacks the term."""
     corpus = split_corpus(spark, sf)
-    counts = T.word_counts(corpus, ["source", "polarity"], stop=_stop())
+    counts = cut_lineage(T.word_counts(corpus, ["source", "polarity"], stop=_stop()))
     scored = T.tfidf_scores(counts, ["source", "polarity"], group_keys=["polarity"], docs=corpus, max_df=MAX_DF)
     al = T.align_pos_neg(scored, ["source"])
     return al.select("source", "term", F.round("negative", 6).alias("negative"), F.round("positive", 6).alias("positive"))
@@ -168,7 +169,7 @@ def lang_top_attributes(spark: SparkSession, sf: str) -> DataFrame:
     docs = C.reviews(spark, sf, lang=None)
     corpus = T.build_corpus(docs.withColumn("doc", F.concat_ws("/", "lang", "source")), "doc", "text",
                             expert="expert", expert_weight=C.EXPERT_WEIGHT, keep=["lang"])
-    counts = T.word_counts(corpus, ["doc", "lang"], stop=_stop())
+    counts = cut_lineage(T.word_counts(corpus, ["doc", "lang"], stop=_stop()))
     scores = T.tfidf_scores(counts, ["doc", "lang"], docs=corpus, max_df=MAX_DF)
     return T.top_attributes(scores, ["doc", "lang"], K)
 
@@ -236,7 +237,7 @@ CAT_RULE_SQL = ("CASE WHEN ascii(term) - 97 BETWEEN 0 AND 25 THEN "
 
 def _crit_categories(spark: SparkSession, sf: str) -> DataFrame:
     corpus = split_corpus(spark, sf)
-    counts = T.word_counts(corpus, ["source", "polarity"], stop=_stop())
+    counts = cut_lineage(T.word_counts(corpus, ["source", "polarity"], stop=_stop()))
     crit = T.criticisms_per_entity(counts, "source", k=K, docs=corpus, max_df=MAX_DF)
     return SC.classify_attributes(crit, "source", "term", rule=SC.initial_letter_rule(L.CATEGORIES),
                                   categories=L.CATEGORIES)

@@ -14,6 +14,7 @@ from revmine.operators import text as T
 from revmine.plans import catalog as C
 from revmine.plans import sqlfrag as S
 from revmine.plans.registry import register
+from revmine.session import cut_lineage
 
 K = 10
 MAX_DF = 0.9
@@ -30,7 +31,9 @@ def en_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def en_counts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     corpus = en_corpus(spark, sf_dir)
-    return corpus, T.word_counts(corpus, ["source"], stop=_stop())
+    # the counts feed three branches (document frequency, scores, norms):
+    # materialise them once in the shared checkpoint folder
+    return corpus, cut_lineage(T.word_counts(corpus, ["source"], stop=_stop()))
 
 
 def en_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
