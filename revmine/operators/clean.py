@@ -84,9 +84,53 @@ def expert_users(df: DataFrame, user: str, q: float = 95.0) -> DataFrame:
 
 
 # F8
-def filter_language(df: DataFrame, lang: str = "en", lang_col: str = "lang") -> DataFrame:
-    """Keep rows in one language (by a language column)."""
-    return df.where(F.col(lang_col) == lang)
+LANGUAGE_LISTS = {"en": "english", "fr": "french", "de": "german", "es": "spanish", "it": "italian",
+                  "nl": "dutch", "pt": "portuguese"}
+
+
+def language_stop_words(code: str) -> list[str]:
+    """Letters-only entries of Spark's stop list for a language code."""
+    import regex
+
+    from revmine.operators.text import spark_stop_list
+
+    return sorted({w for w in spark_stop_list(LANGUAGE_LISTS[code]) if regex.fullmatch(r"\p{L}+", w)})
+
+
+def language_scores(text, languages=("en", "fr", "de", "es")) -> list[Column]:
+    """Per language, the number of words of ``text`` in its stop list (one
+    JVM regex per language over the lowercased text)."""
+    import re
+
+    low = F.lower(_c(text))
+    out = []
+    for code in languages:
+        alt = "|".join(re.escape(w) for w in sorted(language_stop_words(code), key=lambda w: (-len(w), w)))
+        pat = r"(?<!\p{L})(?:" + alt + r")(?!\p{L})"
+        out.append(F.size(F.regexp_extract_all(low, F.lit(pat), 0)).alias(f"_lang_{code}"))
+    return out
+
+
+def detect_language(df: DataFrame, text: str, languages=("en", "fr", "de", "es"), out: str = "lang_guess") -> DataFrame:
+    """Language with the most stop-word hits (first listed on ties; none -> NULL).
+
+    Counts are computed in a one-row ``inline`` so later filters on the guess
+    do not re-run the regexes.
+    """
+    languages = list(languages)
+    cnt = df.select("*", F.inline(F.array(F.struct(*language_scores(F.col(text), languages)))))
+    arr = F.array(*[F.col(f"_lang_{c}") for c in languages])
+    best = F.array_position(arr, F.array_max(arr)).cast("int")
+    guess = F.when(F.array_max(arr) > 0, F.element_at(F.array(*[F.lit(c) for c in languages]), best))
+    return cnt.withColumn(out, guess).drop(*[f"_lang_{c}" for c in languages])
+
+
+def filter_language(df: DataFrame, lang: str = "en", lang_col: str | None = "lang", text: str | None = None) -> DataFrame:
+    """Keep rows in one language: by a language column, or (``lang_col=None``)
+    by the stop-word guess of ``text``."""
+    if lang_col is not None:
+        return df.where(F.col(lang_col) == lang)
+    return detect_language(df, text).where(F.col("lang_guess") == lang).drop("lang_guess")
 
 
 # F9

@@ -361,6 +361,27 @@ def q_filter_language(spark: SparkSession, sf: str) -> DataFrame:
     return CL.filter_language(C.table(spark, sf, "documents").select("doc_id", "source", "lang"), "en").drop("lang")
 
 
+def _detect_sql() -> str:
+    from revmine.plans import sqlfrag as S
+
+    langs = ["en", "fr", "de", "es"]
+    counts = ", ".join(
+        f"len(list_filter(w, lambda x: x IN {S.in_list(CL.language_stop_words(c))})) AS n_{c}" for c in langs)
+    arr = "[" + ", ".join(f"n_{c}" for c in langs) + "]"
+    return f"""
+WITH t AS (SELECT doc_id, lang, regexp_extract_all(lower(text), '\\p{{L}}+') AS w FROM documents),
+c AS (SELECT doc_id, lang, {counts} FROM t)
+SELECT doc_id, lang, CASE WHEN list_max({arr}) > 0 THEN {str(langs)}[list_position({arr}, list_max({arr}))] END
+       AS lang_guess FROM c"""
+
+
+@register("detect_language", _detect_sql())
+def q_detect_language(spark: SparkSession, sf: str) -> DataFrame:
+    """F8 without a language column: the language whose stop words occur most."""
+    d = C.table(spark, sf, "documents").select("doc_id", "lang", "text")
+    return CL.detect_language(d, "text").select("doc_id", "lang", "lang_guess")
+
+
 @register("rating_band_filter", f"SELECT review_id, line, score FROM {IS} s WHERE score IN (0, 1, 2)")
 def q_rating_band_filter(spark: SparkSession, sf: str) -> DataFrame:
     """ratings with score 0-2."""
