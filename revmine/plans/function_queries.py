@@ -218,6 +218,14 @@ def q_lemmatise(spark: SparkSession, sf: str) -> DataFrame:
     return T.lemmatise(counts, ["source"])
 
 
+@register("stem")
+def q_stem(spark: SparkSession, sf: str) -> DataFrame:
+    """Counts re-aggregated on the Porter2 stem of each distinct term."""
+    from revmine.plans.text_queries import en_counts
+
+    return T.stem(en_counts(spark, sf)[1], ["source"])
+
+
 @register("replicate_experts", """
 WITH {ctes}
 SELECT source, term, tf FROM counts""")

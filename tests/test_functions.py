@@ -87,3 +87,23 @@ def test_dominant_topic_first_on_tie(spark):
     v = [(2, 0.4), (0, 0.4), (1, 0.2)]
     got = one(spark, v, AR.dominant_topic("t"), "t array<struct<topic:int,prob:double>>")
     assert got == 2
+
+
+def test_porter2_examples():
+    from revmine.functions.stem import stem_word
+
+    cases = {"consign": "consign", "consigned": "consign", "consistency": "consist", "consolatory": "consolatori",
+             "conspiracy": "conspiraci", "generously": "generous", "running": "run", "happily": "happili",
+             "dying": "die", "skies": "sky", "cries": "cri", "ties": "tie", "gas": "gas", "gaps": "gap",
+             "hoped": "hope", "agreed": "agre", "relational": "relat", "hopefulness": "hope",
+             "communism": "communism", "bowdlerize": "bowdler", "controll": "control"}
+    assert {k: stem_word(k) for k in cases} == cases
+
+
+def test_stem_operator(spark):
+    from revmine.operators import text as T
+
+    counts = spark.createDataFrame([("d", "running", 2), ("d", "run", 1), ("d", "hoped", 1)],
+                                   "doc string, term string, tf bigint")
+    got = sorted((r["term"], r["tf"]) for r in T.stem(counts, ["doc"]).collect())
+    assert got == [("hope", 1), ("run", 3)]
