@@ -208,10 +208,11 @@ def classify_vectors(df: DataFrame, centroids: DataFrame, vec: str = "embedding"
     one scalar subquery (an array literal at run time): no join, no cross join.
     """
     packed = centroids.agg(
-        F.when(F.count("*") <= max_categories,
-               F.array_sort(F.collect_list(F.struct(F.col("category").cast("string").alias("category"),
-                                                    F.col("centroid").alias("centroid"))))
-               ).alias("c")).scalar()
+        F.when(F.count("*") > max_categories,
+               F.raise_error(F.lit(f"more than {max_categories} categories: centroids are not bounded")))
+        .otherwise(F.array_sort(F.collect_list(F.struct(F.col("category").cast("string").alias("category"),
+                                                        F.col("centroid").alias("centroid")))))
+        .alias("c")).scalar()
     v = F.transform(F.col(vec), lambda x: x.cast("double"))
     sims = F.transform(packed, lambda c: F.struct(c["category"].alias("category"),
                                                   (cosine(v, c["centroid"]) / temperature).alias("z")))

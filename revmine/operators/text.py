@@ -447,13 +447,16 @@ def tfidf_sum_over_docs(df: DataFrame, doc: str, text: str, ngram_range: tuple[i
 
 
 def clean_tokens(df: DataFrame, text: str, out: str = "tokens", *, stop: Sequence[str] | None = None,
-                 pos_table: DataFrame | None = None, lemma: Callable[[Column], Column] | None = None) -> DataFrame:
+                 pos_table: DataFrame | None = None, lemma: Callable[[Column], Column] | None = None,
+                 id_col: str | None = None) -> DataFrame:
     """Word-cloud tokens: sentences, punctuation off (but '), lowercase,
     stop words except not/no/never, verb lemma, alphabetic only.
 
     The original keeps nouns/adjectives/adverbs/verbs by a POS tagger; here a
-    ``pos_table (term, pos)`` can be given and is applied as a join on the
-    distinct vocabulary (NN/JJ/RB/VB kept).  Without it every token is kept.
+    ``pos_table (term, pos)`` can be given (NN/JJ/RB/VB kept).  It is applied
+    as a semi-join of the exploded tokens on the distinct kept vocabulary and
+    the arrays are rebuilt per text ``id_col`` (one review's tokens), so no
+    text travels through a shuffle.  Without it every token is kept.
     """
     stop = [w for w in (stop if stop is not None else english_stop_words()) if w not in L.KEPT_NEGATIONS]
     sentences = X.split_sentences_regexp(F.col(text))
@@ -465,15 +468,17 @@ def clean_tokens(df: DataFrame, text: str, out: str = "tokens", *, stop: Sequenc
         words = F.transform(words, lemma)
     words = F.filter(words, lambda w: w.rlike(r"^\p{L}+$"))
     out_df = df.withColumn(out, words)
-    if pos_table is not None:
-        keep = pos_table.where(F.col("pos").rlike("^(NN|JJ|RB|VB)")).select(F.col("term").alias("_t")).distinct()
-        exploded = out_df.select("*", F.posexplode(out).alias("_i", "_t"))
-        kept = exploded.join(keep, "_t", "left_semi")
-        key_cols = [c for c in df.columns]
-        out_df = (kept.groupBy(*key_cols)
-                  .agg(F.array_sort(F.collect_list(F.struct("_i", "_t"))).alias("_s"))
-                  .withColumn(out, F.transform("_s", lambda s: s["_t"])).drop("_s"))
-    return out_df
+    if pos_table is None:
+        return out_df
+    if id_col is None:
+        raise ValueError("pos_table needs id_col (a unique text id) to rebuild the token arrays")
+    keep = pos_table.where(F.col("pos").rlike("^(NN|JJ|RB|VB)")).select(F.col("term").alias("_t")).distinct()
+    exploded = out_df.select(id_col, F.posexplode(out).alias("_i", "_t"))
+    kept = (exploded.join(keep, "_t", "left_semi").groupBy(id_col)
+            .agg(F.array_sort(F.collect_list(F.struct("_i", "_t"))).alias("_s"))
+            .select(id_col, F.transform("_s", lambda s: s["_t"]).alias("_kept")))
+    return (out_df.join(kept, id_col, "left")
+            .withColumn(out, F.coalesce(F.col("_kept"), F.array().cast("array<string>"))).drop("_kept"))
 
 
 def term_frequencies(df: DataFrame, tokens: str = "tokens", term: str = "term") -> DataFrame:

@@ -176,3 +176,25 @@ def test_enrich_drops_entities_without_reviews(spark):
     rv = spark.createDataFrame([(1, 4.0), (1, 2.0), (None, 1.0)], "beer_id int, overall double")
     got = rows(J.enrich_with_review_stats(dim, rv, "beer_id"), "beer_id", "review_count", "avg_overall")
     assert got == [(1, 2, 3.0)]
+
+
+def test_positions_exact_when_one_key_spans_partitions(spark):
+    from revmine.operators.window import position_in_group
+
+    hot = [("hot", i) for i in range(400)] + [("cold", i) for i in range(5)]
+    df = spark.createDataFrame(hot, "k string, o int")
+    got = W.running_sum(df, ["k"], ["o"], F.lit(1), "pos", 16)
+    res = {(r["k"], r["o"]): r["pos"] for r in got.collect()}
+    assert all(res[("hot", i)] == i + 1 for i in range(400))
+    assert all(res[("cold", i)] == i + 1 for i in range(5))
+    # the hot key was really spread over several range partitions
+    parts = (df.repartitionByRange(16, "k", "o").withColumn("p", F.spark_partition_id())
+             .where(F.col("k") == "hot").select("p").distinct().count())
+    assert parts > 1
+
+
+def test_clean_tokens_pos_filter(spark):
+    df = spark.createDataFrame([(1, "The hoppy beer, not bad!"), (2, "Really.")], "id int, t string")
+    pos = spark.createDataFrame([("hoppy", "JJ"), ("beer", "NN"), ("bad", "JJ"), ("not", "RB")], "term string, pos string")
+    got = {r["id"]: r["tokens"] for r in T.clean_tokens(df, "t", pos_table=pos, id_col="id").collect()}
+    assert got == {1: ["hoppy", "beer", "not", "bad"], 2: []}
