@@ -73,14 +73,29 @@ def percentile_expr(col: str, q: float, approx: bool = False) -> Column:
 
 
 def percentile_value(df: DataFrame, col: str, q: float = 50.0, approx: bool = False) -> DataFrame:
-    """Exact, linearly interpolated percentile (numpy default); one row."""
-    return df.agg(percentile_expr(col, q, approx).alias("percentile"))
+    """Exact, linearly interpolated percentile (numpy default); one row.
+
+    Exact = ranked distinct values (bounded tasks); ``approx=True`` = sketch.
+    """
+    if approx:
+        return df.agg(percentile_expr(col, q, True).alias("percentile"))
+    from revmine.operators.ranks import percentile_by_rank
+
+    return percentile_by_rank(df, col, q / 100.0)
+
+
+def percentile_scalar(df: DataFrame, col: str, q: float, approx: bool = False) -> Column:
+    """The global percentile as a scalar subquery column."""
+    return percentile_value(df, col, q, approx).select("percentile").scalar()
 
 
 # A12
 def count_above_percentile(df: DataFrame, col: str, q: float = 50.0, approx: bool = False) -> DataFrame:
-    thr = df.select(percentile_expr(col, q, approx)).scalar()
-    return df.agg(F.count_if(F.col(col) > thr).alias("n_above"))
+    thr = percentile_scalar(df, col, q, approx)
+    # filter, then count: the ranked percentile is a nondeterministic subquery
+    # (it reads partition ids), which Spark allows in a filter but not inside
+    # an aggregate's arguments
+    return df.where(F.col(col) > thr).agg(F.count("*").alias("n_above"))
 
 
 # A13
@@ -121,8 +136,8 @@ def bin_index(x: Column, lo: Column, hi: Column, bins: int) -> Column:
 # A14
 def percentile_histogram_report(df: DataFrame, col: str, q: float = 50.0, bins: int = 10) -> DataFrame:
     """Histogram rows with the q-th percentile and the count strictly above it attached."""
-    thr = df.select(percentile_expr(col, q)).scalar()
-    n_above = df.agg(F.count_if(F.col(col) > thr)).scalar()
+    thr = percentile_scalar(df, col, q)
+    n_above = df.where(F.col(col) > thr).agg(F.count("*")).scalar()
     return histogram(df, col, bins).withColumn("percentile", thr).withColumn("n_above", n_above)
 
 

@@ -69,11 +69,13 @@ def popular_entities(df: DataFrame, entity: str, q: float | None = None, min_cou
     """Entities whose count is strictly above the ``q``-th percentile of counts
     (or above ``min_count``).  Returns ``(entity, review_count)``.
 
-    The percentile is a scalar subquery over the (small) per-entity counts.
+    The percentile is an exact scalar subquery over the per-entity counts.
     """
+    from revmine.operators.ranks import percentile_by_rank
+
     counts = df.where(F.col(entity).isNotNull()).groupBy(entity).agg(F.count("*").alias(count_col))
     if q is not None:
-        thr = counts.select(F.percentile(F.col(count_col), q / 100.0)).scalar()
+        thr = percentile_by_rank(counts, count_col, q / 100.0).select("percentile").scalar()
         return counts.where(F.col(count_col) > thr)
     return counts.where(F.col(count_col) > F.lit(min_count))
 

@@ -10,43 +10,13 @@ from pyspark.sql import Window
 
 from revmine.functions import lexicon as L
 from revmine.operators.joins import attach_entity_percentile
+from revmine.operators.ranks import percentile_by_rank, position_in_group, running_sum  # noqa: F401
 
 
 def _list(x) -> list[str]:
     return [x] if isinstance(x, str) else list(x)
 
 
-def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value, out: str,
-                partitions: int | None = None) -> DataFrame:
-    """Running sum of ``value`` per ``keys`` in ``order`` (inclusive), without
-    ever putting one key into one task.
-
-    1. range-partition on (keys, order): a hot key spans many partitions;
-    2. running sum inside each (partition, key) slice;
-    3. slice totals -> per-key offsets over the (few) slices of a key;
-    4. offset + local sum.
-    ``order`` must make rows unique within a key (add a tiebreaker column).
-    """
-    keys, order = _list(keys), _list(order)
-    v = F.col(value) if isinstance(value, str) else value
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rp = (df.repartitionByRange(n, *[F.col(c) for c in keys + order])
-          .withColumn("_pid", F.spark_partition_id()).withColumn("_v", v))
-    w_local = Window.partitionBy("_pid", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    local = rp.withColumn("_local", F.sum("_v").over(w_local))
-    tot = rp.groupBy(*keys, "_pid").agg(F.sum("_v").alias("_tot"))
-    w_off = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    off = tot.select(*keys, "_pid", F.coalesce(F.sum("_tot").over(w_off), F.lit(0)).alias("_off"))
-    keyed = [*keys, "_pid"]
-    return (local.join(off, keyed, "inner").withColumn(out, F.col("_off") + F.col("_local"))
-            .drop("_pid", "_v", "_local", "_off"))
-
-
-def position_in_group(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "position") -> DataFrame:
-    """``row_number()`` per key in ``order``, skew-safe (see :func:`running_sum`)."""
-    return running_sum(df, keys, order, F.lit(1), out).withColumn(out, F.col(out).cast("int"))
-
-
 # W6
 def average_rank(df: DataFrame, col: str, by: Sequence[str] = (), out: str | None = None) -> DataFrame:
     """Rank of ``col`` with ties averaged (1-based), per ``by`` group.
@@ -87,7 +57,7 @@ def global_threshold_split(df: DataFrame, entity: str, col: str = "rating", q: f
                            min_each: int = 10, out: str = "polarity") -> DataFrame:
     """T4: one global percentile as threshold, then keep entities with more than
     ``min_each`` reviews on each side (A24)."""
-    thr = df.select(F.percentile(F.col(col), q / 100.0)).scalar()
+    thr = percentile_by_rank(df, col, q / 100.0).select("percentile").scalar()
     labelled = pos_neg_partition(df.withColumn("_thr", thr), col, "_thr", out).drop("_thr")
     counts = labelled.where(F.col(entity).isNotNull()).groupBy(entity).agg(
         F.count_if(F.col(out) == "negative").alias("_bad"), F.count_if(F.col(out) == "positive").alias("_good"))

@@ -470,7 +470,7 @@ FROM {IR} r CROSS JOIN (SELECT quantile_cont(rating, 0.1) AS t FROM {IR} r2) q""
 def q_pos_neg_partition(spark: SparkSession, sf: str) -> DataFrame:
     """Complementary split at the global 10th percentile of the rating."""
     ir = C.item_ratings(spark, sf).select("review_id", "line", "rating")
-    thr = ir.select(F.percentile(F.col("rating"), 0.1)).scalar()
+    thr = A.percentile_scalar(ir, "rating", 10)
     return W.pos_neg_partition(ir.withColumn("_t", thr), "rating", "_t").drop("_t")
 
 

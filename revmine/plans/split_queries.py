@@ -145,7 +145,7 @@ SELECT user_id, total, bad FROM cnt WHERE bad > 10 AND total - bad > 10"""))
 def q_neg_pos_review_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Per user total and negative ratings, both sides above 10."""
     ir = C.item_ratings(spark, sf)
-    thr = ir.select(F.percentile(F.col("rating"), Q / 100)).scalar()
+    thr = A.percentile_scalar(ir, "rating", Q)
     lab = W.pos_neg_partition(ir.withColumn("_t", thr), "rating", "_t")
     return A.neg_pos_review_counts(lab, "user_id", min_each=10)
 
@@ -156,7 +156,7 @@ WHERE c.bad > 10 AND c.total - c.bad > 10"""))
 def q_join_neg_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Maker dimension joined with its (total, bad) counts (inner)."""
     ir = C.item_ratings(spark, sf)
-    thr = ir.select(F.percentile(F.col("rating"), Q / 100)).scalar()
+    thr = A.percentile_scalar(ir, "rating", Q)
     lab = W.pos_neg_partition(ir.withColumn("_t", thr), "rating", "_t")
     counts = A.neg_pos_review_counts(lab, "user_id", min_each=10).withColumnRenamed("user_id", "id")
     return J.join_neg_counts(C.makers(spark, sf).select("id", "location"), counts, "id")
