@@ -103,20 +103,27 @@ def histogram(df: DataFrame, col: str, bins: int = 10) -> DataFrame:
     """Equal-width histogram like ``numpy.histogram(x, bins)``: all bins (also
     empty ones), last bin closed, a constant column spread over [v-0.5, v+0.5].
 
-    ``(bin, bin_start, bin_end, count)``.  Bounds are scalar subqueries; the
-    bin index is a projection, so the count is an ordinary partial aggregate.
+    ``(bin, bin_start, bin_end, count)``.  The bounds are one scalar subquery
+    (a struct) attached as columns once, so every edge expression reads
+    columns instead of re-embedding the subquery; the bin index is a
+    projection and the count an ordinary partial aggregate.
     """
     vals = df.select(F.col(col).cast("double").alias("_x")).where(F.col("_x").isNotNull() & ~F.isnan("_x"))
-    mn = vals.agg(F.min("_x")).scalar()
-    mx = vals.agg(F.max("_x")).scalar()
-    lo = F.when(mn == mx, mn - 0.5).otherwise(mn)
-    hi = F.when(mn == mx, mx + 0.5).otherwise(mx)
-    idx = bin_index(F.col("_x"), lo, hi, bins)
-    counts = vals.groupBy(idx.alias("bin")).agg(F.count("*").alias("count"))
-    edges = (df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
-             .withColumn("bin_start", edge(lo, hi, bins, F.col("bin")))
-             .withColumn("bin_end", F.when(F.col("bin") == bins - 1, hi)
-                         .otherwise(edge(lo, hi, bins, F.col("bin") + 1))))
+    bounds = vals.agg(F.struct(F.min("_x").alias("mn"), F.max("_x").alias("mx")).alias("b")).scalar()
+
+    def with_bounds(d: DataFrame) -> DataFrame:
+        d = d.withColumn("_b", bounds)
+        d = d.withColumn("_lo", F.when(F.col("_b.mn") == F.col("_b.mx"), F.col("_b.mn") - 0.5).otherwise(F.col("_b.mn")))
+        return d.withColumn("_hi", F.when(F.col("_b.mn") == F.col("_b.mx"), F.col("_b.mx") + 0.5)
+                            .otherwise(F.col("_b.mx"))).drop("_b")
+
+    lo, hi = F.col("_lo"), F.col("_hi")
+    counts = (with_bounds(vals).select(bin_index(F.col("_x"), lo, hi, bins).alias("bin"))
+              .groupBy("bin").agg(F.count("*").alias("count")))
+    edges = (with_bounds(df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin")))
+             .select("bin", edge(lo, hi, bins, F.col("bin")).alias("bin_start"),
+                     F.when(F.col("bin") == bins - 1, hi).otherwise(edge(lo, hi, bins, F.col("bin") + 1))
+                     .alias("bin_end")))
     return (edges.join(counts, "bin", "left")
             .select("bin", "bin_start", "bin_end", F.coalesce("count", F.lit(0)).cast("bigint").alias("count")))
 
