@@ -106,6 +106,3 @@ def compare_sites(dfs: dict[str, DataFrame]) -> DataFrame:
         out = out.unionByName(p, allowMissingColumns=True)
     return out
 
-
-def row_number_col(keys: Sequence[str], order: Sequence[Column]) -> Column:
-    return F.row_number().over(Window.partitionBy(*keys).orderBy(*order))

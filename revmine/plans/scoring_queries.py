@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from revmine.functions import lexicon as L
+from revmine.functions import text as X
 from revmine.operators import aggregate as A
 from revmine.operators import clean as CL
 from revmine.operators import joins as J
@@ -93,7 +94,7 @@ def q_score_emotions(spark: SparkSession, sf: str) -> DataFrame:
 def q_label_argmax(spark: SparkSession, sf: str) -> DataFrame:
     """Leftmost arg-max over the seven score columns (all zero -> anger)."""
     s = scored_sentences(spark, sf)
-    return s.select("doc_id", "sentence_idx", SC.X.label_argmax(EMO).alias("max_feel"))
+    return s.select("doc_id", "sentence_idx", X.label_argmax(EMO).alias("max_feel"))
 
 
 @register("explode_sentences", _w("SELECT doc_id, sentence_idx, review FROM sent"))
