@@ -169,9 +169,13 @@ def word_counts(corpus: DataFrame, keys: Sequence[str], text: str = "text", weig
                 pattern: str = L.THREE_LETTERS, tokenizer: Callable[[Column], Column] | None = None,
                 ngram_range: tuple[int, int] = (1, 1), stop: Sequence[str] | None = None,
                 lemma: Callable[[Column], Column] | None = None, clean: bool = True,
-                accent_method: str = "arrow", term: str = "term") -> DataFrame:
+                accent_method: str = "arrow", term: str = "term",
+                vocabulary: Sequence[str] | DataFrame | None = None) -> DataFrame:
     """Long document-term counts ``(keys..., term, tf)``.
 
+    ``vocabulary`` (a word list or a one-column DataFrame) keeps only those
+    terms (a semi-join; the list form is broadcast, being bounded).
+
     Tokens are exploded per review and summed per (document, term) with a
     map-side partial aggregation, so only distinct terms per task reach the
     shuffle.  Stop words are removed *after* that aggregation, on the much
@@ -192,6 +196,10 @@ def word_counts(corpus: DataFrame, keys: Sequence[str], text: str = "text", weig
     counts = exploded.groupBy(*keys, term).agg(F.sum("_w").cast("bigint").alias("tf"))
     if stop:
         counts = counts.join(_stop_frame(corpus.sparkSession, stop, term), term, "left_anti")
+    if vocabulary is not None:
+        vocab = (vocabulary.select(F.col(vocabulary.columns[0]).alias(term)).distinct()
+                 if isinstance(vocabulary, DataFrame) else _stop_frame(corpus.sparkSession, vocabulary, term))
+        counts = counts.join(vocab, term, "left_semi")
     return counts
 
 
@@ -258,7 +266,8 @@ def stop_words(counts: DataFrame, doc_keys: Sequence[str], max_df: float = 0.9,
 
 def tfidf_scores(counts: DataFrame, doc_keys: Sequence[str], term: str = "term", tf: str = "tf", *,
                  group_keys: Sequence[str] = (), docs: DataFrame | None = None,
-                 max_df: float | None = None, norm: bool = True, out: str = "tfidf") -> DataFrame:
+                 max_df: float | None = None, min_df: float | None = None, norm: bool = True,
+                 out: str = "tfidf") -> DataFrame:
     """M1: smoothed idf ``ln((1+N)/(1+df)) + 1``, ``tf * idf``, L2-normalised per document.
 
     ``group_keys`` fits one idf per group (e.g. per polarity: the negative and
@@ -272,6 +281,8 @@ def tfidf_scores(counts: DataFrame, doc_keys: Sequence[str], term: str = "term",
     d = document_frequency(counts, doc_keys, term, group_keys, docs)
     if max_df is not None:
         d = d.where(F.col("doc_freq") < F.lit(max_df))
+    if min_df is not None:  # an int is a document count, a float a share (like the vectorizer)
+        d = d.where((F.col("df") >= F.lit(min_df)) if isinstance(min_df, int) else (F.col("doc_freq") >= F.lit(min_df)))
     idf = F.log((F.lit(1.0) + F.col("n_docs")) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)
     scored = counts.join(d.select(*group_keys, term, idf.alias("idf")), [*group_keys, term], "inner")
     scored = scored.withColumn(out, F.col(tf) * F.col("idf"))

@@ -176,22 +176,24 @@ def q_term_frequencies(spark: SparkSession, sf: str) -> DataFrame:
     return T.term_frequencies(_clean_tokens(spark, sf), "tokens")
 
 
-@register("tfidf_sum_over_docs", f"""
-WITH d AS (SELECT doc_id, {S.tokens('lower(text)', L.TWO_LETTERS_NUMBERS_UNI)} AS tk FROM documents
-           WHERE lang = 'en' AND source = 'src1'),
-g AS (SELECT doc_id, unnest(list_concat(tk, list_transform(range(1, len(tk)), lambda i: tk[i] || ' ' || tk[i + 1])))
-             AS term FROM d),
-c AS (SELECT doc_id, term, count(*) AS tf FROM g GROUP BY doc_id, term),
-n AS (SELECT count(DISTINCT doc_id) AS n_docs FROM d),
-df AS (SELECT term, count(*) AS df FROM c GROUP BY term),
-w AS (SELECT c.doc_id, c.term, c.tf * (ln((1.0 + n_docs) / (1.0 + df)) + 1.0) AS w FROM c JOIN df USING (term) CROSS JOIN n),
-t AS (SELECT term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS tfidf FROM w)
-SELECT term, round(sum(tfidf), 6) AS TF FROM t GROUP BY term""")
+@register("tfidf_sum_over_docs", _clean_tokens_sql().replace("WHERE lang = 'en'", "WHERE lang = 'en' AND source = 'src1'") + """,
+t13d AS (SELECT doc_id, list_filter(tokens, lambda x: length(x) >= 2) AS tk FROM t),
+t13g AS (SELECT doc_id, unnest(list_concat(tk, list_transform(range(1, len(tk)), lambda i: tk[i] || ' ' || tk[i + 1])))
+               AS term FROM t13d),
+t13c AS (SELECT doc_id, term, count(*) AS tf FROM t13g GROUP BY doc_id, term),
+t13n AS (SELECT count(DISTINCT doc_id) AS n_docs FROM t13d),
+t13f AS (SELECT term, count(*) AS df FROM t13c GROUP BY term),
+t13w AS (SELECT c.doc_id, c.term, c.tf * (ln((1.0 + n_docs) / (1.0 + df)) + 1.0) AS w
+         FROM t13c c JOIN t13f USING (term) CROSS JOIN t13n),
+t13s AS (SELECT term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS tfidf FROM t13w)
+SELECT term, round(sum(tfidf), 6) AS TF FROM t13s GROUP BY term""")
 def q_tfidf_sum_over_docs(spark: SparkSession, sf: str) -> DataFrame:
-    """documents = one source's reviews; summed tf-idf per uni/bigram ("TF")."""
-    d = C.table(spark, sf, DOCS).where((F.col("lang") == "en") & (F.col("source") == "src1"))
-    d = d.withColumn("tk", X.tokenise(F.lower("text"), L.TWO_LETTERS_NUMBERS_UNI))
-    out = T.tfidf_sum_over_docs(d, "doc_id", "text", (1, 2), tokens="tk")
+    """documents = one source's reviews, tokens = the word-cloud tokens
+    (T16; the vectorizer's two-character minimum applied); summed tf-idf per
+    uni/bigram ("TF")."""
+    d = C.table(spark, sf, DOCS).where((F.col("lang") == "en") & (F.col("source") == "src1")).select("doc_id", "text")
+    tok = T.clean_tokens(d, "text", "tk").withColumn("tk", F.filter("tk", lambda x: F.length(x) >= 2))
+    out = T.tfidf_sum_over_docs(tok, "doc_id", "text", (1, 2), tokens="tk")
     return out.select("term", F.round("TF", 6).alias("TF"))
 
 

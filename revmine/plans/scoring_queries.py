@@ -135,6 +135,24 @@ def q_exclude_zero_polarity(spark: SparkSession, sf: str) -> DataFrame:
     return p.select("doc_id", "sentence_idx", F.round("polarity", 6).alias("polarity"))
 
 
+@register("most_negative_sentences", _polarity_sql() + """
+SELECT doc_id, sentence_idx, round(polarity, 6) AS polarity FROM pol WHERE polarity <> 0
+ORDER BY polarity DESC, doc_id, sentence_idx LIMIT 5""")
+def q_most_negative_sentences(spark: SparkSession, sf: str) -> DataFrame:
+    """K1: the five sentences with the strongest negative polarity (ties by id)."""
+    p = CL.exclude_zero_polarity(polarity(spark, sf)).withColumn("polarity", F.round("polarity", 6))
+    return p.orderBy(F.col("polarity").desc(), "doc_id", "sentence_idx").limit(5)
+
+
+@register("least_negative_sentences", _polarity_sql() + """
+SELECT doc_id, sentence_idx, round(polarity, 6) AS polarity FROM pol WHERE polarity <> 0
+ORDER BY polarity ASC, doc_id, sentence_idx LIMIT 5""")
+def q_least_negative_sentences(spark: SparkSession, sf: str) -> DataFrame:
+    """K1 (reverse): the five weakest non-zero negative polarities."""
+    p = CL.exclude_zero_polarity(polarity(spark, sf)).withColumn("polarity", F.round("polarity", 6))
+    return p.orderBy(F.col("polarity").asc(), "doc_id", "sentence_idx").limit(5)
+
+
 @register("score_sentences", _w(f"""
 SELECT doc_id, sentence_idx, max_feel FROM scored WHERE score IN (4, 5)"""))
 def q_score_sentences(spark: SparkSession, sf: str) -> DataFrame:
