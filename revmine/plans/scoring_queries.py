@@ -324,7 +324,8 @@ SELECT location, CAST(rank AS INTEGER) AS rank, sentence, round(score, 6) AS sco
 def q_summarise_complaints(spark: SparkSession, sf: str) -> DataFrame:
     """Per source, the 3 sadness sentences with the highest mean tf-idf."""
     sad = scored_sentences(spark, sf).where(F.col("max_feel") == "sadness")
-    sad = sad.select("location", "doc_id", F.col("sentence_idx").alias("sid"), "review")
+    # the scored subset feeds three branches of the summary: score it once
+    sad = cut_lineage(sad.select("location", "doc_id", F.col("sentence_idx").alias("sid"), "review"))
     # sentences are the texts: splitting them again keeps each one whole
     return SC.summarise_complaints(sad, ["location"], "review", 3, ["doc_id", "sid"], cut_lineage).select(
         "location", "rank", "sentence", "score")
@@ -334,6 +335,7 @@ def q_summarise_complaints(spark: SparkSession, sf: str) -> DataFrame:
 def q_complaints_by_entity(spark: SparkSession, sf: str) -> DataFrame:
     """The summary for one source."""
     s = scored_sentences(spark, sf).select("location", "doc_id", F.col("sentence_idx").alias("sid"), "review", "max_feel")
+    s = cut_lineage(s.where((F.col("max_feel") == "sadness") & (F.col("location") == "src1")))
     return SC.complaints_by_entity(s, "location", "src1", "review", n=3, id_col=["doc_id", "sid"]).select(
         "location", "rank", "sentence", "score")
 
