@@ -130,7 +130,22 @@ def q_join_terms(spark: SparkSession, sf: str) -> DataFrame:
     return top.groupBy("source").agg(X.join_terms(arr, ", ").alias("attributes"))
 
 
-@register("location_label", None)
+def _location_label_sql() -> str:
+    from revmine.plans.relational_queries import ULOC, _state_map_sql
+
+    home = L.HOME_COUNTRY
+    return f"""
+WITH u AS (SELECT location, avg_overall,
+                  CASE WHEN starts_with(location, '{home}') THEN trim(string_split(location, ',')[2]) END AS state
+           FROM {ULOC} x WHERE location IS NOT NULL),
+s AS (SELECT location, state, {_state_map_sql()}[state] AS state_code, avg(avg_overall) AS a
+      FROM u GROUP BY location, state)
+SELECT location, concat_ws(chr(10), location, printf('%.2f', a),
+                           array_to_string(list_filter([state, state_code], lambda x: x IS NOT NULL), chr(10))) AS label
+FROM s"""
+
+
+@register("location_label", _location_label_sql())
 def q_location_label(spark: SparkSession, sf: str) -> DataFrame:
     """Place, mean rating with two decimals and its non-null details as text."""
     from revmine.operators import clean as CL
