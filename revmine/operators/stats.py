@@ -64,16 +64,17 @@ def _t_two_sided_p(t: float, nu: int) -> float:
 
 
 def spearman_p_series(r: pd.Series, n: pd.Series) -> pd.Series:
+    """Undefined coefficients (or n < 3) give NULL, not NaN."""
     out = []
     for rv, nv in zip(r, n):
         if rv is None or nv is None or pd.isna(rv) or pd.isna(nv) or nv < 3:
-            out.append(float("nan"))
+            out.append(None)
         elif abs(rv) >= 1.0:
             out.append(0.0)
         else:
             t = rv * math.sqrt((nv - 2) / (1.0 - rv * rv))
             out.append(_t_two_sided_p(t, int(nv) - 2))
-    return pd.Series(out, dtype="float64")
+    return pd.Series(pd.array(out, dtype="Float64"))
 
 
 @F.pandas_udf(T.DoubleType())

@@ -249,11 +249,37 @@ def q_spearman(spark: SparkSession, sf: str) -> DataFrame:
     return sp.select("label", F.round("spearman", 6).alias("spearman"), "n")
 
 
-@register("spearman_p_value")
+def _p_value_sql() -> str:
+    def series(odd: bool) -> str:
+        num, den, top = ("2 * j", "2 * j + 1", "(nu - 3) // 2") if odd else ("2 * j - 1", "2 * j", "(nu - 2) // 2")
+        return (f"COALESCE(list_sum(list_transform(range(1, {top} + 1), lambda k: "
+                f"exp(list_sum(list_transform(range(1, k + 1), lambda j: ln(({num}) / ({den}))))) "
+                f"* pow(cos(theta), 2 * k))), 0.0)")
+    return _share_sql() + f""",
+lng AS (SELECT score, label, value FROM pct UNPIVOT (value FOR label IN ({", ".join(EMO)}))),
+rk AS (SELECT label, {_rank_sql('score', 'label')} AS rx, {_rank_sql('value', 'label')} AS ry FROM lng),
+sp AS (SELECT label, CASE WHEN stddev_pop(rx) * stddev_pop(ry) > 0
+                          THEN covar_pop(rx, ry) / (stddev_pop(rx) * stddev_pop(ry)) END AS r, count(*) AS n
+       FROM rk GROUP BY label),
+th AS (SELECT *, n - 2 AS nu,
+              CASE WHEN r IS NOT NULL AND abs(r) < 1 AND n >= 3
+                   THEN atan(abs(r * sqrt((n - 2) / (1 - r * r))) / sqrt(n - 2)) END AS theta FROM sp),
+pa AS (SELECT *, CASE WHEN theta IS NULL THEN NULL
+                      WHEN nu % 2 = 1 AND nu = 1 THEN 2 / pi() * theta
+                      WHEN nu % 2 = 1 THEN 2 / pi() * (theta + sin(theta) * cos(theta) * (1 + {series(True)}))
+                      ELSE sin(theta) * (1 + {series(False)}) END AS a FROM th)
+SELECT label, round(r, 6) AS spearman, n,
+       round(CASE WHEN r IS NULL OR n < 3 THEN NULL WHEN abs(r) >= 1 THEN 0.0
+                  ELSE greatest(0.0, least(1.0, 1 - a)) END, 6) AS p_value
+FROM pa"""
+
+
+@register("spearman_p_value", _p_value_sql())
 def q_spearman_p_value(spark: SparkSession, sf: str) -> DataFrame:
     """M3: two-sided p-values of the Spearman coefficients (t test, n - 2 dof)."""
     sh = A.emotion_share_by_score(scored_sentences(spark, sf), "score", "max_feel", EMO)
-    return M.spearman_p_value(M.spearman(sh, "score", EMO))
+    p = M.spearman_p_value(M.spearman(sh, "score", EMO))
+    return p.select("label", F.round("spearman", 6).alias("spearman"), "n", F.round("p_value", 6).alias("p_value"))
 
 
 @register("emotion_by_location", _w(f"""
