@@ -195,7 +195,10 @@ def word_counts(corpus: DataFrame, keys: Sequence[str], text: str = "text", weig
         exploded = exploded.withColumn(term, lemma(F.col(term)))
     counts = exploded.groupBy(*keys, term).agg(F.sum("_w").cast("bigint").alias("tf"))
     if stop:
-        counts = counts.join(_stop_frame(corpus.sparkSession, stop, term), term, "left_anti")
+        stop_df = _stop_frame(corpus.sparkSession, stop, term)
+        if lemma is not None:  # stop words are compared as lemmas too (the list is lemmatised)
+            stop_df = F.broadcast(stop_df.select(lemma(F.col(term)).alias(term)).distinct())
+        counts = counts.join(stop_df, term, "left_anti")
     if vocabulary is not None:
         vocab = (vocabulary.select(F.col(vocabulary.columns[0]).alias(term)).distinct()
                  if isinstance(vocabulary, DataFrame) else _stop_frame(corpus.sparkSession, vocabulary, term))

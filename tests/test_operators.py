@@ -198,3 +198,13 @@ def test_clean_tokens_pos_filter(spark):
     pos = spark.createDataFrame([("hoppy", "JJ"), ("beer", "NN"), ("bad", "JJ"), ("not", "RB")], "term string, pos string")
     got = {r["id"]: r["tokens"] for r in T.clean_tokens(df, "t", pos_table=pos, id_col="id").collect()}
     assert got == {1: ["hoppy", "beer", "not", "bad"], 2: []}
+
+
+def test_lemma_applies_to_stop_words_and_vocabulary(spark):
+    df = spark.createDataFrame([("x", "boxes pours pour ales ale hops")], "e string, text string")
+    corpus = T.build_corpus(df, "e", "text")
+    got = rows(T.word_counts(corpus, ["e"], stop=["pours"], lemma=T.lemma_rules), "term", "tf")
+    # "pours" lemmatises to "pour", so both forms are stop words
+    assert got == [("ale", 2), ("box", 1), ("hop", 1)]
+    vocab = rows(T.word_counts(corpus, ["e"], vocabulary=["ale", "hops"]), "term", "tf")
+    assert vocab == [("ale", 1), ("hops", 1)]
