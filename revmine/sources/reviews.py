@@ -64,17 +64,23 @@ def parse_review_block(df: DataFrame, block: str, keys: Sequence[str] | None = N
 def read_review_blocks(spark: SparkSession, path: str, keys: Sequence[str] | None = None,
                        casts: Mapping[str, str] | None = L.REVIEW_CASTS, max_reviews: int | None = None,
                        as_map: str | None = None) -> DataFrame:
-    """Read key-value review records from text files (one row per record)."""
+    """Read key-value review records from text files (one row per record).
+
+    ``max_reviews`` keeps the first records in file order (file, then
+    position in the file).
+    """
     raw = spark.read.option("lineSep", "\n\n").text(path)
-    blocks = raw.select(F.regexp_replace("value", r"^\n+", "").alias("_block")).where(F.trim("_block") != "")
+    blocks = raw.select(F.regexp_replace("value", r"^\n+", "").alias("_block"),
+                        F.input_file_name().alias("_file"), F.monotonically_increasing_id().alias("_pos"))
+    blocks = blocks.where(F.trim("_block") != "")
     if keys is None and as_map is None:
         as_map = "fields"
     parsed = parse_review_block(blocks, "_block", keys, as_map).drop("_block")
     if casts and keys:
         parsed = cast_review_fields(parsed, {k: v for k, v in casts.items() if k in keys})
     if max_reviews is not None:
-        parsed = parsed.limit(max_reviews)
-    return parsed
+        parsed = parsed.orderBy("_file", "_pos").limit(max_reviews)
+    return parsed.drop("_file", "_pos")
 
 
 # S3

@@ -57,3 +57,10 @@ def test_render_roundtrip(spark):
     b = df.select(RV.render_review_block({"id": F.col("id"), "v": F.col("v")}).alias("b"))
     p = RV.parse_review_block(b, "b", ["id", "v"]).first()
     assert (p["id"], p["v"]) == ("1", "x: y")
+
+
+def test_max_reviews_keeps_file_order(spark, tmp_path):
+    path = tmp_path / "reviews.txt"
+    path.write_text(BLOCKS, encoding="utf-8")
+    got = [r["beer_name"] for r in RV.read_review_blocks(spark, str(path), ["beer_name"], max_reviews=2).collect()]
+    assert got == ["A: the sequel", "B"]
