@@ -210,14 +210,13 @@ def test_lemma_applies_to_stop_words_and_vocabulary(spark):
     assert vocab == [("ale", 1), ("hops", 1)]
 
 
-def _toy_model(batches):
-    # stand-in for a real classifier loaded once per worker: scores by text length
-    for pdf in batches:
-        n = pdf["t"].str.len().clip(upper=10) / 10.0
-        yield pdf.assign(joy=n, sadness=1.0 - n)
-
-
 def test_model_scorer_hook(spark):
+    def _toy_model(batches):
+        # stand-in for a real classifier loaded once per worker: scores by text length
+        for pdf in batches:
+            n = pdf["t"].str.len().clip(upper=10) / 10.0
+            yield pdf.assign(joy=n, sadness=1.0 - n)
+
     df = spark.createDataFrame([("short",), ("a much longer text",)], "t string")
     out = SC.score_with_model(df, _toy_model, "t string, joy double, sadness double")
     got = {r["t"]: (r["joy"], r["sadness"]) for r in out.collect()}
