@@ -142,10 +142,15 @@ def rating_band_filter(df: DataFrame, score: str, values: Sequence[int] = L.NEGA
 
 # F10
 def emotion_filter(df: DataFrame, emotion: str, feel: str = "max_feel", entity: str | None = None,
-                   entity_value=None) -> DataFrame:
+                   entity_value=None, n: int | None = None, order: Sequence[str] = ()) -> DataFrame:
+    """Rows whose arg-max label is ``emotion`` [of one entity] [first ``n`` in ``order``]."""
     out = df.where(F.col(feel) == emotion)
     if entity is not None:
         out = out.where(F.col(entity) == entity_value)
+    if n is not None:
+        if not order:
+            raise ValueError("first n rows need an explicit order")
+        out = out.orderBy(*_list(order)).limit(n)
     return out
 
 

@@ -171,6 +171,14 @@ def q_emotion_filter(spark: SparkSession, sf: str) -> DataFrame:
     return s.select("doc_id", "sentence_idx")
 
 
+@register("emotion_filter_first_n", _w("""
+SELECT doc_id, sentence_idx FROM scored WHERE max_feel = 'sadness' ORDER BY doc_id, sentence_idx LIMIT 50"""))
+def q_emotion_filter_first_n(spark: SparkSession, sf: str) -> DataFrame:
+    """The first 50 sadness sentences in (document, position) order."""
+    s = CL.emotion_filter(scored_sentences(spark, sf), "sadness", n=50, order=["doc_id", "sentence_idx"])
+    return s.select("doc_id", "sentence_idx")
+
+
 @register("emotion_split", _w("""
 SELECT doc_id, sentence_idx, CASE WHEN max_feel IN ('disgust', 'sadness') THEN 'negative'
                                   WHEN max_feel IN ('neutral', 'joy') THEN 'positive' END AS polarity

@@ -106,6 +106,18 @@ def q_top_negative_words(spark: SparkSession, sf: str) -> DataFrame:
     return _crit_out(crit)
 
 
+@register("entities_missing_a_side", f"""
+WITH {_split_ctes().strip().split('docs AS')[0].rstrip().rstrip(',')}
+SELECT source, max(CASE WHEN polarity = 'negative' THEN 1 ELSE 0 END) AS has_negative,
+       max(CASE WHEN polarity = 'positive' THEN 1 ELSE 0 END) AS has_positive
+FROM lab WHERE polarity IS NOT NULL GROUP BY source
+HAVING max(CASE WHEN polarity = 'negative' THEN 1 ELSE 0 END) = 0
+    OR max(CASE WHEN polarity = 'positive' THEN 1 ELSE 0 END) = 0""")
+def q_entities_missing_a_side(spark: SparkSession, sf: str) -> DataFrame:
+    """J9 report: sources whose reviews fall on one side only (the original asserted)."""
+    return T.entities_missing_a_side(split_corpus(spark, sf), "source")
+
+
 @register("align_pos_neg", "WITH " + _split_ctes().strip() + """
 SELECT source, term, round(negative, 6) AS negative, round(positive, 6) AS positive FROM aligned""")
 def q_align_pos_neg(spark: SparkSession, sf: str) -> DataFrame:
