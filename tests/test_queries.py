@@ -61,3 +61,18 @@ def test_oracle_sample(spark, duck, name):
 def test_query_runs_at_smoke_scale(spark, name):
     df = E.queries()[name](spark, SF001)
     df.limit(5).collect()
+
+
+def test_lda_is_seeded_deterministic(spark):
+    from revmine.operators import topics as TP
+    from revmine.plans import catalog as C
+
+    docs = C.reviews(spark, SF01, "en").select("source", "text")
+
+    def run():
+        t, _ = TP.lda_topics(docs, "source", "text", k=3, max_iter=5, seed=7)
+        return sorted((r["source"], tuple((x["topic"], round(x["prob"], 6)) for x in r["topics"])) for r in t.collect())
+
+    a, b = run(), run()
+    assert a == b and len(a) == 20
+    assert all(abs(sum(p for _, p in mix) - 1.0) < 0.05 for _, mix in a)
