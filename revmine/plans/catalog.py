@@ -25,8 +25,18 @@ ENTITY = "source"
 EXPERT_WEIGHT = 5
 
 
+TEXT_TABLE_KEYS = {"documents": "doc_id"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """A driver table; the text table is spread over all cores when its scan
+    is small and has too few splits (see ``spread_small_input``)."""
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    if name in TEXT_TABLE_KEYS:
+        from revmine.sources.tables import spread_small_input
+
+        df = spread_small_input(df, TEXT_TABLE_KEYS[name])
+    return df
 
 
 def expert_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
