@@ -6,7 +6,6 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from revmine.functions import lexicon as L
 
@@ -225,6 +224,3 @@ def us_vs_other_users(df: DataFrame, location: str = "location", home: str = L.H
     home_n = F.count_if(F.coalesce(F.col(location).contains(home), F.lit(False)))
     return df.agg(home_n.alias("home"), (F.count("*") - home_n).alias("other"))
 
-
-def window_count(keys: Sequence[str]) -> Column:
-    return F.count("*").over(Window.partitionBy(*keys))

@@ -90,21 +90,6 @@ def label_counts(text: Column, lex: RegexLexicon) -> list[Column]:
     return [F.size(F.regexp_extract_all(low, F.lit(WORD_START + "(?:" + p + ")" + WORD_END), 0)) for p in lex.values()]
 
 
-def score_labels(text: Column, rule: LabelRule, labels: Sequence[str] = L.EMOTIONS,
-                 max_chars: int | None = 500, hits: Column | None = None) -> list[Column]:
-    """Share of matched words per label (0 when none match or text too long).
-
-    Pass ``hits`` as a column already holding :func:`label_hits` so the word
-    regex runs once per text, not once per label (no common-subexpression
-    elimination happens across higher-order functions).
-    """
-    hits = label_hits(text, rule) if hits is None else hits
-    n = F.size(hits)
-    ok = (n > 0) if max_chars is None else ((n > 0) & (F.length(text) < max_chars))
-    return [F.when(ok, F.size(F.filter(hits, lambda x: x == lab)) / n).otherwise(F.lit(0.0)).alias(lab)
-            for lab in labels]
-
-
 def _scored(df: DataFrame, text: str, rule: LabelRule, labels: Sequence[str], max_chars: int | None,
             prefix: str = "") -> DataFrame:
     """Adds one score column per label.
@@ -122,7 +107,7 @@ def _scored(df: DataFrame, text: str, rule: LabelRule, labels: Sequence[str], ma
         counts = dict(zip(lex, label_counts(F.col(text), RegexLexicon(lex))))
     else:
         hits = label_hits(F.col(text), rule)
-        counts = {lab: F.size(F.filter(hits, lambda x: x == lab)) for lab in labels}
+        counts = {lab: F.size(F.filter(hits, lambda x, lab=lab: x == lab)) for lab in labels}
     fields = [counts.get(lab, F.lit(0)).alias(f"_n_{lab}") for lab in labels]
     fields.append(F.length(F.col(text)).alias("_len"))
     cnt = df.select("*", F.inline(F.array(F.struct(*fields))))
@@ -201,11 +186,13 @@ def cosine(a: Column, b: Column) -> Column:
 def classify_vectors(df: DataFrame, centroids: DataFrame, vec: str = "embedding", min_score: float = 0.5,
                      temperature: float = 0.05, max_categories: int = 10_000) -> DataFrame:
     """T21 (re-aimed): softmax over cosine similarity to category centroids;
-    ``category`` = arg-max (first on ties), ``score`` its probability,
-    ``kept`` when score > ``min_score``.
+    ``category`` = arg-max (first category name on ties), ``score`` its
+    probability, ``kept`` when score > ``min_score``.
 
-    The centroid table is bounded by the category set; it enters every row as
-    one scalar subquery (an array literal at run time): no join, no cross join.
+    The centroid table is bounded by the category set (checked: more than
+    ``max_categories`` raises); it enters every row as one scalar subquery (an
+    array literal at run time): no join, no cross join.  Each step is its own
+    projection so no lambda body embeds another lambda.
     """
     packed = centroids.agg(
         F.when(F.count("*") > max_categories,
@@ -213,15 +200,24 @@ def classify_vectors(df: DataFrame, centroids: DataFrame, vec: str = "embedding"
         .otherwise(F.array_sort(F.collect_list(F.struct(F.col("category").cast("string").alias("category"),
                                                         F.col("centroid").alias("centroid")))))
         .alias("c")).scalar()
-    v = F.transform(F.col(vec), lambda x: x.cast("double"))
-    sims = F.transform(packed, lambda c: F.struct(c["category"].alias("category"),
-                                                  (cosine(v, c["centroid"]) / temperature).alias("z")))
-    zmax = F.array_max(F.transform(sims, lambda s: s["z"]))
-    denom = F.aggregate(sims, F.lit(0.0), lambda acc, s: acc + F.exp(s["z"] - zmax))
-    best = F.filter(sims, lambda s: s["z"] == zmax)[0]
-    return (df.withColumn("category", best["category"])
-            .withColumn("score", F.lit(1.0) / denom)
-            .withColumn("kept", F.col("score") > min_score))
+    out = df.withColumn("_v", F.transform(F.col(vec), lambda x: x.cast("double")))
+    out = out.withColumn("_vn", F.sqrt(F.aggregate(F.col("_v"), F.lit(0.0), lambda acc, x: acc + x * x)))
+    out = out.withColumn("_c", packed)
+    out = out.withColumn("_sims", F.transform("_c", lambda c: F.struct(
+        c["category"].alias("category"),
+        (F.aggregate(F.zip_with(F.col("_v"), c["centroid"], lambda x, y: x * y), F.lit(0.0), lambda a, t: a + t)
+         / (F.col("_vn") * F.sqrt(F.aggregate(c["centroid"], F.lit(0.0), lambda a, t: a + t * t)))
+         / temperature).alias("z"))))
+    out = out.withColumn("_zs", F.transform("_sims", lambda s: s["z"]))
+    out = out.withColumn("_zmax", F.array_max("_zs"))
+    out = out.withColumn("_best", F.array_position("_zs", F.col("_zmax")).cast("int"))
+    out = out.withColumn("_den", F.aggregate(F.zip_with("_zs", F.array_repeat(F.col("_zmax"), F.size("_zs")),
+                                                        lambda z, m: F.exp(z - m)),
+                                             F.lit(0.0), lambda a, t: a + t))
+    return (out.withColumn("category", F.element_at("_sims", F.col("_best"))["category"])
+            .withColumn("score", F.lit(1.0) / F.col("_den"))
+            .withColumn("kept", F.col("score") > min_score)
+            .drop("_v", "_vn", "_c", "_sims", "_zs", "_zmax", "_best", "_den"))
 
 
 def classify_attributes(df: DataFrame, by: str, term: str = "attribute",

@@ -97,6 +97,46 @@ def q_weighted_mean(spark: SparkSession, sf: str) -> DataFrame:
                                           .alias("weighted_price"))
 
 
+# --- centroid classifier (T21) -------------------------------------------------
+
+CENTROID_SQL = """
+e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+ce AS (SELECT label, pos, avg(x) AS m FROM (SELECT label, unnest(v) AS x, unnest(range(len(v))) AS pos FROM e) q
+       GROUP BY label, pos),
+c AS (SELECT CAST(label AS VARCHAR) AS category, list(m ORDER BY pos) AS centroid FROM ce GROUP BY label)"""
+
+
+@register("category_centroids", "WITH " + CENTROID_SQL.strip() + """
+SELECT category, list_transform(centroid, lambda x: round(x, 6)) AS centroid FROM c""")
+def q_category_centroids(spark: SparkSession, sf: str) -> DataFrame:
+    """Mean vector per label (element-wise)."""
+    from revmine.operators.scoring import category_centroids
+
+    c = category_centroids(C.table(spark, sf, "embeddings"), "embedding", "label")
+    return c.select(F.col("category").cast("string").alias("category"),
+                    F.transform("centroid", lambda x: F.round(x, 6)).alias("centroid"))
+
+
+@register("classify_vectors", "WITH " + CENTROID_SQL.strip() + """,
+s AS (SELECT e.vec_id, c.category,
+             list_dot_product(e.v, c.centroid) / (sqrt(list_dot_product(e.v, e.v))
+                                                  * sqrt(list_dot_product(c.centroid, c.centroid))) / 0.05 AS z
+      FROM e CROSS JOIN c),
+r AS (SELECT vec_id, category, z, max(z) OVER (PARTITION BY vec_id) AS zmax,
+             row_number() OVER (PARTITION BY vec_id ORDER BY z DESC, category) AS rk FROM s),
+d AS (SELECT vec_id, sum(exp(z - zmax)) AS den FROM r GROUP BY vec_id)
+SELECT r.vec_id, r.category, round(1.0 / d.den, 6) AS score, 1.0 / d.den > 0.5 AS kept
+FROM r JOIN d USING (vec_id) WHERE rk = 1""")
+def q_classify_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """T21 (re-aimed zero-shot): each vector to its nearest label centroid
+    (softmax of cosine / 0.05), kept when the probability exceeds 0.5."""
+    from revmine.operators.scoring import category_centroids, classify_vectors
+
+    emb = C.table(spark, sf, "embeddings")
+    out = classify_vectors(emb, category_centroids(emb, "embedding", "label"), "embedding", 0.5, 0.05)
+    return out.select("vec_id", "category", F.round("score", 6).alias("score"), "kept")
+
+
 # --- LDA (rows-only) -------------------------------------------------------------
 
 def _lda(spark: SparkSession, sf: str):

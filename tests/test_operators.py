@@ -231,3 +231,18 @@ def test_detect_language_by_stop_words(spark):
     assert got == {1: "en", 2: "fr", 3: "de", 4: "es", 5: None}
     kept = [r["id"] for r in CL.filter_language(df, "fr", lang_col=None, text="t").collect()]
     assert kept == [2]
+
+
+def test_order_by_total(spark):
+    df = spark.createDataFrame([("a", 1, 1), ("b", 5, 0), ("c", 2, 2)], "loc string, x int, y int")
+    assert [r["loc"] for r in W.order_by_total(df, ["x", "y"]).collect()] == ["b", "c", "a"]
+
+
+def test_classify_vectors_bounded(spark):
+    vecs = spark.createDataFrame([(1, [1.0, 0.0], 0), (2, [0.9, 0.1], 0), (3, [0.0, 1.0], 1)],
+                                 "id int, v array<double>, label int")
+    cents = SC.category_centroids(vecs, "v", "label")
+    got = {r["id"]: (r["category"], r["kept"]) for r in SC.classify_vectors(vecs, cents, "v").collect()}
+    assert got == {1: ("0", True), 2: ("0", True), 3: ("1", True)}
+    with pytest.raises(Exception):
+        SC.classify_vectors(vecs, cents, "v", max_categories=1).collect()
