@@ -27,20 +27,35 @@ def running_stats(stream: DataFrame, by: str, on: str) -> DataFrame:
             .agg(F.count("*").alias("review_count"), F.avg(F.col(on).cast("double")).alias(f"avg_{on}")))
 
 
+def _overwrite_each_epoch(path: str):
+    def write(batch: DataFrame, epoch_id: int) -> None:
+        # complete mode hands over the whole (per-key) table each epoch; an
+        # overwrite is idempotent, so a retried epoch rewrites the same result
+        batch.write.mode("overwrite").parquet(path)
+
+    return write
+
+
 def stream_review_stats(spark: SparkSession, folder: str, by: str = "beer_id", on: str = "overall",
                         name: str = "review_stats", checkpoint: str | None = None,
-                        available_now: bool = True):
-    """Start the query (memory sink named ``name``, complete mode).
+                        available_now: bool = True, output_path: str | None = None):
+    """Start the query in complete mode.
 
-    The checkpoint lives under the cluster's ``spark.checkpoint.dir`` so a
-    restarted driver resumes from the committed offsets and state.
+    Sink: a parquet table at ``output_path`` rewritten each epoch (for
+    production), else a memory table named ``name`` (tests; the result is one
+    row per key).  The checkpoint lives under the cluster's
+    ``spark.checkpoint.dir`` so a restarted driver resumes from the committed
+    offsets and state.
     """
     blocks = review_blocks_stream(spark, folder)
     parsed = parse_review_block(blocks, "_block", [by, on])
     stats = running_stats(parsed, by, on)
     ckpt = checkpoint or f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-{name}"
-    writer = (stats.writeStream.outputMode("complete").format("memory").queryName(name)
-              .option("checkpointLocation", ckpt))
+    writer = stats.writeStream.outputMode("complete").option("checkpointLocation", ckpt)
+    if output_path:
+        writer = writer.foreachBatch(_overwrite_each_epoch(output_path))
+    else:
+        writer = writer.format("memory").queryName(name)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
     return writer.start()
 

@@ -64,3 +64,16 @@ def test_max_reviews_keeps_file_order(spark, tmp_path):
     path.write_text(BLOCKS, encoding="utf-8")
     got = [r["beer_name"] for r in RV.read_review_blocks(spark, str(path), ["beer_name"], max_reviews=2).collect()]
     assert got == ["A: the sequel", "B"]
+
+
+def test_stream_stats_to_parquet(spark, tmp_path):
+    from revmine.streaming.review_stats import stream_review_stats
+
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "a.txt").write_text("beer_id: 1\noverall: 4\n\nbeer_id: 1\noverall: 2\n\nbeer_id: 2\noverall: 5\n")
+    out = str(tmp_path / "out")
+    q = stream_review_stats(spark, str(folder), checkpoint=str(tmp_path / "ckpt"), output_path=out)
+    q.awaitTermination()
+    got = sorted((r["beer_id"], r["review_count"], r["avg_overall"]) for r in spark.read.parquet(out).collect())
+    assert got == [("1", 2, 3.0), ("2", 1, 5.0)]
