@@ -132,6 +132,34 @@ def build_corpus(reviews: DataFrame, entity: str, text: str, *, expert: str | No
     return out.select(*cols)
 
 
+def corpus(reviews: DataFrame, entity: str = "beer_name", text: str = "text", *,
+           experts: DataFrame | None = None, user: str = "user_id", expert_weight: int = 2,
+           quantile_split: float | None = None, emotion_split: bool = False, rating: str = "rating",
+           feel: str = "max_feel") -> DataFrame:
+    """T2 entry point with the original's options: plain, quantile split (the
+    per-entity ``quantile_split``-th percentile of ``rating``) or emotion
+    split (``feel`` of scored sentences); ``experts`` (a DataFrame of user
+    ids) weigh ``expert_weight``.  Returns the flat corpus
+    ``(entity, [polarity], weight, text)``.
+    """
+    from revmine.operators.window import emotion_split as _emotion_split
+    from revmine.operators.window import quantile_split as _quantile_split
+
+    check_split_arguments(quantile_split, emotion_split, experts)
+    df = reviews
+    expert_col = None
+    if experts is not None:
+        flags = experts.select(F.col(experts.columns[0]).alias(user)).distinct().withColumn("_expert", F.lit(True))
+        df = df.join(flags, user, "left")
+        expert_col = "_expert"
+    label = None
+    if quantile_split:
+        df, label = _quantile_split(df, entity, rating, float(quantile_split)), "polarity"
+    elif emotion_split:
+        df, label = _emotion_split(df, feel), "polarity"
+    return build_corpus(df, entity, text, expert=expert_col, expert_weight=expert_weight, label=label)
+
+
 def replicate_experts(reviews: DataFrame, expert: str, weight: int = 2) -> DataFrame:
     """U1 literal form: each expert review appears ``weight`` times (for checks;
     prefer the ``weight`` column of :func:`build_corpus`)."""

@@ -112,3 +112,21 @@ def write_topics(topics: DataFrame, path: str, model=None) -> None:
     write_table(topics, f"{path.rstrip('/')}/topics")
     if model is not None:
         model.write().overwrite().save(f"{path.rstrip('/')}/model")
+
+
+def load_dimensions(spark: SparkSession, data_path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The three dimension tables of a review site in one call.
+
+    beers (``beers.csv``) LEFT JOIN breweries' location, ``brewery_name``
+    dropped (J1, F1); breweries as read; users with ``joined`` seconds turned
+    into a timestamp (F2).  Ids are strings, as in the files.
+    """
+    from revmine.operators.clean import drop_columns, epoch_to_timestamp
+    from revmine.operators.joins import attach_location
+
+    base = data_path.rstrip("/")
+    beers = read_dim_csv(spark, f"{base}/beers.csv", BEERS_SCHEMA)
+    breweries = read_dim_csv(spark, f"{base}/breweries.csv", BREWERIES_SCHEMA)
+    users = read_dim_csv(spark, f"{base}/users.csv", USERS_SCHEMA)
+    beers = attach_location(drop_columns(beers, ["brewery_name"]), breweries, "brewery_id", "id")
+    return beers, breweries, epoch_to_timestamp(users, "joined")

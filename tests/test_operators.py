@@ -246,3 +246,14 @@ def test_classify_vectors_bounded(spark):
     assert got == {1: ("0", True), 2: ("0", True), 3: ("1", True)}
     with pytest.raises(Exception):
         SC.classify_vectors(vecs, cents, "v", max_categories=1).collect()
+
+
+def test_corpus_entry_point(spark):
+    reviews = spark.createDataFrame([("b", 1, "good", 1.0), ("b", 2, "bad", 5.0), ("b", 1, "ok", 3.0)],
+                                    "beer_name string, user_id int, text string, rating double")
+    experts = spark.createDataFrame([(1,)], "user_id int")
+    c = T.corpus(reviews, experts=experts, expert_weight=5, quantile_split=50)
+    got = rows(c, "text", "polarity", "weight")
+    assert got == [("bad", "positive", 1), ("good", "negative", 5), ("ok", "negative", 5)]
+    with pytest.raises(ValueError):
+        T.corpus(reviews, quantile_split=10, emotion_split=True)

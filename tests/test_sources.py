@@ -77,3 +77,14 @@ def test_stream_stats_to_parquet(spark, tmp_path):
     q.awaitTermination()
     got = sorted((r["beer_id"], r["review_count"], r["avg_overall"]) for r in spark.read.parquet(out).collect())
     assert got == [("1", 2, 3.0), ("2", 1, 5.0)]
+
+
+def test_load_dimensions(spark, tmp_path):
+    (tmp_path / "beers.csv").write_text(
+        "beer_id,beer_name,brewery_id,brewery_name,style,abv\n1,A,10,Br,IPA,5.0\n2,B,99,Bx,Stout,8.0\n")
+    (tmp_path / "breweries.csv").write_text('id,location,name,nbr_beers\n10,"United States, Oregon",Br,3\n')
+    (tmp_path / "users.csv").write_text("user_id,user_name,joined,location,nbr_ratings,nbr_reviews\n7,u,1600000000,Belgium,1,1\n")
+    beers, breweries, users = ST.load_dimensions(spark, str(tmp_path))
+    got = {r["beer_id"]: r["location"] for r in beers.collect()}
+    assert got == {"1": "United States, Oregon", "2": None} and "brewery_name" not in beers.columns
+    assert str(users.first()["joined"]) == "2020-09-13 12:26:40"
