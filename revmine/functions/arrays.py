@@ -13,7 +13,7 @@ def _c(col) -> Column:
 def _divide_each(arr: Column, by: Column) -> Column:
     """Element-wise ``arr / by`` without nesting lambdas (``by`` is computed
     outside the lambda body, so no lambda variable can be captured twice)."""
-    return F.zip_with(arr, F.array_repeat(by, F.size(arr)), lambda x, t: x / t)
+    return F.zip_with(arr, F.array_repeat(by, F.size(arr)), lambda x, t: F.try_divide(x, t))
 
 
 # M4

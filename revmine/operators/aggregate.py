@@ -168,7 +168,7 @@ def row_normalise_pct(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """M7: each column / row sum * 100."""
     total = sum((F.col(c) for c in cols), F.lit(0))
     return df.select(*[c for c in df.columns if c not in cols],
-                     *[(F.col(c) * 100.0 / total).alias(c) for c in cols])
+                     *[F.try_divide(F.col(c) * 100.0, total).alias(c) for c in cols])
 
 
 # A17 / K2 / K4

@@ -205,8 +205,9 @@ def classify_vectors(df: DataFrame, centroids: DataFrame, vec: str = "embedding"
     out = out.withColumn("_c", packed)
     out = out.withColumn("_sims", F.transform("_c", lambda c: F.struct(
         c["category"].alias("category"),
-        (F.aggregate(F.zip_with(F.col("_v"), c["centroid"], lambda x, y: x * y), F.lit(0.0), lambda a, t: a + t)
-         / (F.col("_vn") * F.sqrt(F.aggregate(c["centroid"], F.lit(0.0), lambda a, t: a + t * t)))
+        (F.try_divide(F.aggregate(F.zip_with(F.col("_v"), c["centroid"], lambda x, y: x * y), F.lit(0.0),
+                                  lambda a, t: a + t),
+                      F.col("_vn") * F.sqrt(F.aggregate(c["centroid"], F.lit(0.0), lambda a, t: a + t * t)))
          / temperature).alias("z"))))
     out = out.withColumn("_zs", F.transform("_sims", lambda s: s["z"]))
     out = out.withColumn("_zmax", F.array_max("_zs"))

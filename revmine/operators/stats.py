@@ -93,4 +93,4 @@ def weighted_mean(value, weight) -> Column:
     """Aggregate expression ``sum(w * x) / sum(w)``."""
     v = F.col(value) if isinstance(value, str) else value
     w = F.col(weight) if isinstance(weight, str) else weight
-    return F.sum(w * v) / F.sum(w)
+    return F.try_divide(F.sum(w * v), F.sum(w))

@@ -84,7 +84,7 @@ def lda_topics(df: DataFrame, entity: str, text: str, k: int = 5, *, max_iter: i
 def avg_score_by_topic(df: DataFrame, topics: str = "topics", score: str = "score") -> DataFrame:
     """Sum(score * prob) / sum(prob) per topic."""
     ex = df.select(F.col(score).cast("double").alias("_s"), F.inline(topics))
-    return ex.groupBy("topic").agg((F.sum(F.col("_s") * F.col("prob")) / F.sum("prob")).alias("avg_score"))
+    return ex.groupBy("topic").agg(F.try_divide(F.sum(F.col("_s") * F.col("prob")), F.sum("prob")).alias("avg_score"))
 
 
 # A20
@@ -93,7 +93,7 @@ def topic_distribution(df: DataFrame, topics: str = "topics") -> DataFrame:
     ex = df.select(F.inline(topics))
     per = ex.groupBy("topic").agg(F.sum("prob").alias("_p"), F.count("*").alias("_n"))
     total = ex.agg(F.sum("prob")).scalar()
-    return per.select("topic", (F.col("_p") / total * 100.0).alias("percentage"),
+    return per.select("topic", (F.try_divide(F.col("_p"), total) * 100.0).alias("percentage"),
                       (F.col("_p") / F.col("_n")).alias("avg_prob"))
 
 
@@ -127,6 +127,7 @@ def topics_from_vectors(df: DataFrame, vec: str = "embedding", n_topics: int = 5
     squared shares of its first ``n_topics`` components."""
     head = F.transform(F.slice(F.col(vec), 1, n_topics), lambda x: x.cast("double") * x.cast("double"))
     tot = F.aggregate(head, F.lit(0.0), lambda a, x: a + x)
-    return df.withColumn("topics", F.transform(head, lambda x, i: F.struct(i.cast("int").alias("topic"),
-                                                                           (x / tot).alias("prob"))))
+    with_tot = df.withColumn("_tot", tot)
+    return with_tot.withColumn("topics", F.transform(head, lambda x, i: F.struct(
+        i.cast("int").alias("topic"), F.try_divide(x, F.col("_tot")).alias("prob")))).drop("_tot")
 

@@ -257,3 +257,18 @@ def test_corpus_entry_point(spark):
     assert got == [("bad", "positive", 1), ("good", "negative", 5), ("ok", "negative", 5)]
     with pytest.raises(ValueError):
         T.corpus(reviews, quantile_split=10, emotion_split=True)
+
+
+def test_zero_sums_give_null_not_errors(spark):
+    from revmine.functions import arrays as AR
+    from revmine.operators import topics as TP
+
+    z = spark.createDataFrame([([0.0, 0.0, 0.0],)], "a array<double>")
+    assert z.select(AR.circular_pair_smooth("a")).first()[0] == [None, None, None]
+    assert z.select(AR.circular_triple_smooth("a")).first()[0] == [None, None, None]
+    t = spark.createDataFrame([(1.0, [(0, 0.0)])], "score double, topics array<struct<topic:int,prob:double>>")
+    assert TP.avg_score_by_topic(t).first()["avg_score"] is None
+    w = spark.createDataFrame([(2.0, 0.0)], "x double, w double")
+    assert w.agg(M.weighted_mean("x", "w")).first()[0] is None
+    pct = A.row_normalise_pct(spark.createDataFrame([("k", 0, 0)], "k string, a int, b int"), ["a", "b"]).first()
+    assert pct["a"] is None
