@@ -26,7 +26,8 @@ def circular_pair_smooth(arr) -> Column:
     """
     a = _c(arr)
     n = F.size(a)
-    first_new = F.when(n > 1, (F.element_at(a, 1) + F.element_at(a, 2)) / 2.0).otherwise(F.element_at(a, 1))
+    first_new = F.when(n > 1, (F.try_element_at(a, F.lit(1)) + F.try_element_at(a, F.lit(2))) / 2.0).otherwise(
+        F.try_element_at(a, F.lit(1)))
     nxt = F.concat(F.slice(a, 2, F.greatest(n - 1, F.lit(0))), F.array(first_new))
     sm = F.zip_with(a, nxt, lambda x, y: (x + y) / 2.0)
     total = F.aggregate(sm, F.lit(0.0), lambda acc, x: acc + x)
@@ -49,4 +50,4 @@ def dominant_topic(topics, id_field: str = "topic", prob_field: str = "prob") ->
     """Id of the (topic, prob) struct with the highest prob; first on ties."""
     t = _c(topics)
     probs = F.transform(t, lambda s: s[prob_field])
-    return F.element_at(t, F.array_position(probs, F.array_max(probs)).cast("int"))[id_field]
+    return F.try_element_at(t, F.array_position(probs, F.array_max(probs)).cast("int"))[id_field]

@@ -218,5 +218,5 @@ def label_argmax(cols: list[str], labels: list[str] | None = None) -> Column:
     """Label of the largest score; ties -> leftmost; all zero -> first label."""
     labels = labels or cols
     scores = F.array(*[F.col(c).cast("double") for c in cols])
-    return F.element_at(F.array(*[F.lit(x) for x in labels]),
-                        F.array_position(scores, F.array_max(scores)).cast("int"))
+    return F.try_element_at(F.array(*[F.lit(x) for x in labels]),
+                            F.array_position(scores, F.array_max(scores)).cast("int"))

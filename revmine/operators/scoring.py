@@ -215,7 +215,7 @@ def classify_vectors(df: DataFrame, centroids: DataFrame, vec: str = "embedding"
     out = out.withColumn("_den", F.aggregate(F.zip_with("_zs", F.array_repeat(F.col("_zmax"), F.size("_zs")),
                                                         lambda z, m: F.exp(z - m)),
                                              F.lit(0.0), lambda a, t: a + t))
-    return (out.withColumn("category", F.element_at("_sims", F.col("_best"))["category"])
+    return (out.withColumn("category", F.try_element_at("_sims", F.col("_best"))["category"])
             .withColumn("score", F.lit(1.0) / F.col("_den"))
             .withColumn("kept", F.col("score") > min_score)
             .drop("_v", "_vn", "_c", "_sims", "_zs", "_zmax", "_best", "_den"))

@@ -184,7 +184,7 @@ def user_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
     geo = n.join(F.broadcast(r), n.n_regionkey == r.r_regionkey).select(
         "n_nationkey",
         F.when(F.col("r_name") == "AMERICA",
-               F.concat(F.lit(HOME_COUNTRY + ", "), F.element_at(states, F.col("n_nationkey") + 1)))
+               F.concat(F.lit(HOME_COUNTRY + ", "), F.try_element_at(states, F.col("n_nationkey") + 1)))
         .otherwise(F.col("n_name")).alias("location"))
     return (c.join(F.broadcast(geo), c.c_nationkey == geo.n_nationkey, "left")
             .join(stats, c.c_custkey == stats.o_custkey, "left")

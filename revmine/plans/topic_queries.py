@@ -25,7 +25,7 @@ N_TOPICS = 5
 
 def vector_topics(spark: SparkSession, sf: str) -> DataFrame:
     emb = C.table(spark, sf, "embeddings")
-    feel = F.element_at(F.array(*[F.lit(e) for e in EMO]), F.least(F.col("label"), F.lit(6)) + 1)
+    feel = F.try_element_at(F.array(*[F.lit(e) for e in EMO]), F.least(F.col("label"), F.lit(6)) + 1)
     return TP.topics_from_vectors(emb, "embedding", N_TOPICS).select(
         "vec_id", F.col("label").alias("score"), feel.alias("max_feel"), "topics")
 
