@@ -280,13 +280,18 @@ def frequent_terms(counts: DataFrame, doc_keys: Sequence[str], max_df: float = 0
 
 def stop_words(counts: DataFrame, doc_keys: Sequence[str], max_df: float = 0.9, *, term: str = "term",
                base: Sequence[str] | None = None, extra: Sequence[str] = (),
-               docs: DataFrame | None = None) -> DataFrame:
+               docs: DataFrame | None = None, lemma: Callable[[Column], Column] | None = None) -> DataFrame:
     """Fixed list (English + pour forms + place words + extra) U frequent terms.
 
-    ``counts`` must be computed *without* stop word removal.
+    ``counts`` must be computed *without* stop word removal.  With ``lemma``
+    (the tokens are lemmatised) the fixed list is lemmatised too, as the
+    original ran its tokenizer over the joined stop list.
     """
     spark = counts.sparkSession
     fixed = spark.createDataFrame([(w,) for w in fixed_stop_words(base, extra)], f"{term} string")
+    if lemma is not None:
+        words = fixed.select(F.explode(F.split(F.col(term), " ")).alias(term))
+        fixed = words.select(lemma(F.col(term)).alias(term))
     freq = frequent_terms(counts, doc_keys, max_df, term, docs=docs)
     return fixed.unionByName(freq).distinct()
 

@@ -272,3 +272,12 @@ def test_zero_sums_give_null_not_errors(spark):
     assert w.agg(M.weighted_mean("x", "w")).first()[0] is None
     pct = A.row_normalise_pct(spark.createDataFrame([("k", 0, 0)], "k string, a int, b int"), ["a", "b"]).first()
     assert pct["a"] is None
+
+
+def test_stop_words_lemmatised_list(spark):
+    counts = spark.createDataFrame([("d1", "beer", 1), ("d2", "beer", 1), ("d2", "hops", 1)],
+                                   "doc string, term string, tf bigint")
+    plain = {r["term"] for r in T.stop_words(counts, ["doc"], 0.9).collect()}
+    assert "beer" in plain and "hops" not in plain and "united states" in plain
+    lem = {r["term"] for r in T.stop_words(counts, ["doc"], 0.9, lemma=T.lemma_rules).collect()}
+    assert {"united", "state", "pour"} <= lem
