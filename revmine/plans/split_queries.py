@@ -118,6 +118,28 @@ def q_entities_missing_a_side(spark: SparkSession, sf: str) -> DataFrame:
     return T.entities_missing_a_side(split_corpus(spark, sf), "source")
 
 
+def _freq_sql() -> str:
+    ctes = _split_ctes().strip()
+    head = ctes[: ctes.index("ndocs AS")].rstrip().rstrip(",")
+    return "WITH " + head + f""",
+rel AS (SELECT source, polarity, term, tf / sum(tf) OVER (PARTITION BY source, polarity) AS f FROM counts),
+aligned AS (SELECT source, term, COALESCE(sum(CASE WHEN polarity = 'negative' THEN f END), 0.0) AS negative,
+                   COALESCE(sum(CASE WHEN polarity = 'positive' THEN f END), 0.0) AS positive
+            FROM rel GROUP BY source, term),
+ranked AS (SELECT source, term, negative, positive, negative - positive AS score_diff,
+                  row_number() OVER (PARTITION BY source ORDER BY round(negative - positive, 9) DESC, term) AS rank
+           FROM aligned)""" + CRIT_SELECT
+
+
+@register("top_negative_words_frequency", _freq_sql())
+def q_top_negative_words_frequency(spark: SparkSession, sf: str) -> DataFrame:
+    """T14 with ``use_tfidf=False``: relative term frequency per side instead of tf-idf."""
+    corpus = split_corpus(spark, sf)
+    counts = cut_lineage(T.word_counts(corpus, ["source", "polarity"], stop=_stop()))
+    crit = T.top_negative_words(counts, ["source", "polarity"], use_tfidf=False, k=K, rank_keys=["source"])
+    return _crit_out(crit)
+
+
 @register("align_pos_neg", "WITH " + _split_ctes().strip() + """
 SELECT source, term, round(negative, 6) AS negative, round(positive, 6) AS positive FROM aligned""")
 def q_align_pos_neg(spark: SparkSession, sf: str) -> DataFrame:
