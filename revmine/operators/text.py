@@ -211,18 +211,29 @@ def word_counts(corpus: DataFrame, keys: Sequence[str], text: str = "text", weig
     """
     keys = _list(keys)
     w = F.col(weight) if weight else F.lit(1)
+    grams = tuple(ngram_range) != (1, 1)
     tok = with_tokens(corpus.select(*[F.col(k) for k in keys], w.alias("_w"), F.col(text).alias("_text")),
-                      "_text", "_tok", ngram_range=ngram_range, pattern=pattern, tokenizer=tokenizer,
-                      clean=clean, accent_method=accent_method)
+                      "_text", "_tok", pattern=pattern, tokenizer=tokenizer, clean=clean, accent_method=accent_method)
+    if grams:
+        # like the vectorizer: lemmas and stop-word removal act on the token
+        # list, and n-grams are built from what remains
+        if lemma is not None:
+            tok = tok.withColumn("_tok", F.transform("_tok", lemma))
+        if stop:
+            stop_arr = F.array(*[F.lit(x) for x in sorted(set(stop))])
+            if lemma is not None:
+                stop_arr = F.transform(stop_arr, lemma)
+            tok = tok.withColumn("_tok", F.filter("_tok", lambda t: ~F.array_contains(stop_arr, t)))
+        tok = tok.withColumn("_tok", X.ngrams(F.col("_tok"), *ngram_range))
     # explode_outer + a filter on the generated term: plain explode makes the
     # optimizer infer size(tokens) > 0 below the projection, which would run
     # the Arrow accent strip twice.
     exploded = (tok.select(*[F.col(k) for k in keys], "_w", F.explode_outer("_tok").alias(term))
                 .where(F.col(term).isNotNull()))
-    if lemma is not None:
+    if lemma is not None and not grams:
         exploded = exploded.withColumn(term, lemma(F.col(term)))
     counts = exploded.groupBy(*keys, term).agg(F.sum("_w").cast("bigint").alias("tf"))
-    if stop:
+    if stop and not grams:
         stop_df = _stop_frame(corpus.sparkSession, stop, term)
         if lemma is not None:  # stop words are compared as lemmas too (the list is lemmatised)
             stop_df = F.broadcast(stop_df.select(lemma(F.col(term)).alias(term)).distinct())

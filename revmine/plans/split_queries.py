@@ -140,6 +140,29 @@ def q_top_negative_words_frequency(spark: SparkSession, sf: str) -> DataFrame:
     return _crit_out(crit)
 
 
+def _bigram_sql() -> str:
+    ctes = _split_ctes().strip()
+    # tokens -> stop words out -> uni+bigrams, then the same per-side tf-idf
+    ctes = ctes.replace(
+        "toks AS (SELECT source, polarity, weight, unnest(" + S.tokens("clean") + ") AS term FROM docs),",
+        "tk AS (SELECT source, polarity, weight, list_filter(" + S.tokens("clean") + ", lambda x: x NOT IN "
+        + S.in_list(_stop()) + ") AS t FROM docs),\n"
+        "toks AS (SELECT source, polarity, weight, unnest(list_concat(t, list_transform(range(1, len(t)), "
+        "lambda i: t[i] || ' ' || t[i + 1]))) AS term FROM tk),")
+    ctes = ctes.replace("WHERE term NOT IN " + S.in_list(_stop()) + " GROUP BY", "GROUP BY")
+    return "WITH " + ctes + CRIT_SELECT
+
+
+@register("top_negative_words_bigrams", _bigram_sql())
+def q_top_negative_words_bigrams(spark: SparkSession, sf: str) -> DataFrame:
+    """T14 with ``ngrams=(1, 2)``: stop words leave the token list, then uni- and
+    bigrams are scored per side (one document per source and side)."""
+    corpus = split_corpus(spark, sf)
+    counts = cut_lineage(T.word_counts(corpus, ["source", "polarity"], stop=_stop(), ngram_range=(1, 2)))
+    crit = T.criticisms_per_entity(counts, "source", k=K, docs=corpus, max_df=MAX_DF)
+    return _crit_out(crit)
+
+
 @register("align_pos_neg", "WITH " + _split_ctes().strip() + """
 SELECT source, term, round(negative, 6) AS negative, round(positive, 6) AS positive FROM aligned""")
 def q_align_pos_neg(spark: SparkSession, sf: str) -> DataFrame:

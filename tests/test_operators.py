@@ -281,3 +281,9 @@ def test_stop_words_lemmatised_list(spark):
     assert "beer" in plain and "hops" not in plain and "united states" in plain
     lem = {r["term"] for r in T.stop_words(counts, ["doc"], 0.9, lemma=T.lemma_rules).collect()}
     assert {"united", "state", "pour"} <= lem
+
+
+def test_bigrams_skip_stop_words_like_the_vectorizer(spark):
+    df = spark.createDataFrame([("x", "hoppy and bitter beer")], "e string, text string")
+    got = rows(T.word_counts(T.build_corpus(df, "e", "text"), ["e"], stop=["and"], ngram_range=(1, 2)), "term")
+    assert got == [("beer",), ("bitter",), ("bitter beer",), ("hoppy",), ("hoppy bitter",)]
