@@ -163,6 +163,30 @@ def q_top_negative_words_bigrams(spark: SparkSession, sf: str) -> DataFrame:
     return _crit_out(crit)
 
 
+def _lemma_crit_sql() -> str:
+    from revmine.plans.function_queries import _lemma_sql
+
+    ctes = _split_ctes().strip()
+    ctes = ctes.replace(
+        "toks AS (SELECT source, polarity, weight, unnest(" + S.tokens("clean") + ") AS term FROM docs),",
+        "toks0 AS (SELECT source, polarity, weight, unnest(" + S.tokens("clean") + ") AS w FROM docs),\n"
+        "toks AS (SELECT source, polarity, weight, " + _lemma_sql("w") + " AS term FROM toks0),\n"
+        "stopl AS (SELECT DISTINCT " + _lemma_sql("term") + " AS term FROM " + S.values(_stop()) + " sv),")
+    ctes = ctes.replace("WHERE term NOT IN " + S.in_list(_stop()) + " GROUP BY",
+                        "WHERE term NOT IN (SELECT term FROM stopl) GROUP BY")
+    return "WITH " + ctes + CRIT_SELECT
+
+
+@register("top_negative_words_lemmatised", _lemma_crit_sql())
+def q_top_negative_words_lemmatised(spark: SparkSession, sf: str) -> DataFrame:
+    """T14 with ``lemmatize=True``: tokens and the stop list mapped to lemmas
+    (suffix rules), then the per-side tf-idf difference."""
+    corpus = split_corpus(spark, sf)
+    counts = cut_lineage(T.word_counts(corpus, ["source", "polarity"], stop=_stop(), lemma=T.lemma_rules))
+    crit = T.criticisms_per_entity(counts, "source", k=K, docs=corpus, max_df=MAX_DF)
+    return _crit_out(crit)
+
+
 @register("align_pos_neg", "WITH " + _split_ctes().strip() + """
 SELECT source, term, round(negative, 6) AS negative, round(positive, 6) AS positive FROM aligned""")
 def q_align_pos_neg(spark: SparkSession, sf: str) -> DataFrame:
