@@ -88,6 +88,26 @@ def q_read_review_blocks(spark: SparkSession, sf: str) -> DataFrame:
                     F.col("n_chars").cast("bigint").alias("n_chars"))
 
 
+@register("add_review_columns", f"""
+SELECT i.beer_id, i.beer_name, s.review_count, round(s.avg_overall, 6) AS avg_overall
+FROM ({C.ITEMS_SQL}) i JOIN (SELECT l_partkey AS beer_id, count(*) AS review_count, avg(l_quantity) AS avg_overall
+                             FROM lineitem GROUP BY l_partkey) s ON i.beer_id = s.beer_id""")
+def q_add_review_columns(spark: SparkSession, sf: str) -> DataFrame:
+    """Entry A end to end: a key-value review file (rendered from the ratings)
+    read with the block reader and casts (S1, S3), counted and averaged per beer
+    in one aggregate, inner-joined onto the beer table (A1, A2, J2)."""
+    from revmine.operators import joins as J
+
+    ratings = C.item_ratings(spark, sf)
+    block = RV.render_review_block({"beer_id": F.col("beer_id"), "user_id": F.col("user_id"),
+                                    "overall": F.col("overall"), "text": F.lit("fine")})
+    path = _write_blocks(spark, sf, "rating_blocks", ratings.select(F.concat(block, F.lit("\n")).alias("value")))
+    reviews = RV.read_review_blocks(spark, path, ["beer_id", "overall"])
+    reviews = reviews.withColumn("beer_id", F.col("beer_id").cast("bigint"))
+    out = J.enrich_with_review_stats(C.items(spark, sf).select("beer_id", "beer_name"), reviews, "beer_id")
+    return out.select("beer_id", "beer_name", "review_count", F.round("avg_overall", 6).alias("avg_overall"))
+
+
 @register("read_simple_reviews", f"""
 SELECT replace(replace('text: ' || {ONE_LINE}, 'text: ', ''), 'â\u0080\u0099', '''') AS review,
        CAST(round_even(floor(n_chars / 500) / 2.0, 0) AS INTEGER) AS score, source AS beer_name,
