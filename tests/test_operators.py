@@ -287,3 +287,12 @@ def test_bigrams_skip_stop_words_like_the_vectorizer(spark):
     df = spark.createDataFrame([("x", "hoppy and bitter beer")], "e string, text string")
     got = rows(T.word_counts(T.build_corpus(df, "e", "text"), ["e"], stop=["and"], ngram_range=(1, 2)), "term")
     assert got == [("beer",), ("bitter",), ("bitter beer",), ("hoppy",), ("hoppy bitter",)]
+
+
+def test_percentile_methods_agree(spark):
+    df = spark.createDataFrame([("a", float(v)) for v in range(1, 101)] + [("b", 7.0)], "e string, x double")
+    rank = {r["e"]: r["percentile"] for r in J.attach_entity_percentile(df, "e", "x", 10).collect()}
+    agg = {r["e"]: r["percentile"] for r in J.attach_entity_percentile(df, "e", "x", 10, method="aggregate").collect()}
+    approx = {r["e"]: r["percentile"] for r in J.attach_entity_percentile(df, "e", "x", 10, approx=True).collect()}
+    assert rank == agg and abs(rank["a"] - 10.9) < 1e-12 and rank["b"] == 7.0
+    assert abs(approx["a"] - rank["a"]) <= 1.0
