@@ -88,3 +88,13 @@ def test_load_dimensions(spark, tmp_path):
     got = {r["beer_id"]: r["location"] for r in beers.collect()}
     assert got == {"1": "United States, Oregon", "2": None} and "brewery_name" not in beers.columns
     assert str(users.first()["joined"]) == "2020-09-13 12:26:40"
+
+
+def test_spread_only_small_scans(spark, tmp_path):
+    path = str(tmp_path / "t.parquet")
+    spark.range(1000).withColumnRenamed("id", "k").coalesce(1).write.parquet(path)
+    df = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    assert ST.spread_small_input(df, "k").rdd.getNumPartitions() == cores
+    assert ST.spread_small_input(df, "k", max_bytes=0).rdd.getNumPartitions() == df.rdd.getNumPartitions()
+    assert ST._bytes("128m") == 128 << 20 and ST._bytes("1g") == 1 << 30 and ST._bytes("4096") == 4096
