@@ -98,3 +98,20 @@ def test_spread_only_small_scans(spark, tmp_path):
     assert ST.spread_small_input(df, "k").rdd.getNumPartitions() == cores
     assert ST.spread_small_input(df, "k", max_bytes=0).rdd.getNumPartitions() == df.rdd.getNumPartitions()
     assert ST._bytes("128m") == 128 << 20 and ST._bytes("1g") == 1 << 30 and ST._bytes("4096") == 4096
+
+
+def test_blocks_survive_file_splits(spark, tmp_path):
+    path = tmp_path / "many.txt"
+    blocks = [f"beer_id: {i}\ntext: review number {i}: fine\nrating: {i % 5}.5" for i in range(4000)]
+    path.write_text("\n\n".join(blocks) + "\n", encoding="utf-8")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        df = RV.read_review_blocks(spark, str(path), ["beer_id", "text", "rating"])
+        assert df.rdd.getNumPartitions() > 4
+        got = df.collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert len(got) == 4000
+    assert sorted(int(r["beer_id"]) for r in got) == list(range(4000))
+    assert all(r["text"] == f"review number {r['beer_id']}: fine" and not r["_corrupt"] for r in got)
