@@ -44,21 +44,37 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
     return spark
 
 
+def _path(p: str | None) -> str:
+    p = p or ""
+    for scheme in ("file://", "file:"):
+        if p.startswith(scheme):
+            return p[len(scheme):]
+    return p
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's checkpoint folder (``spark.checkpoint.dir``).
 
     On a cluster this setting names a shared, fault-tolerant folder and we use
-    it as given.  Only when it is unset (local tests) do we pick a scratch
-    folder, and then we record it in the session so every caller agrees.
+    it as given (also making the context checkpoint there).  Only when it is
+    unset (a bare local session) do we pick a scratch folder, set on the
+    context so every later caller finds it.
     """
-    current = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if current:
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(current)
-        return current
+    sc = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    in_use = sc.getCheckpointDir()
+    if configured:
+        # setCheckpointDir adds a unique sub-folder and qualifies local paths
+        # with "file:", so compare scheme-less prefixes
+        if not _path(in_use).startswith(_path(configured).rstrip("/")):
+            sc.setCheckpointDir(configured)
+        return configured
+    if in_use:
+        return in_use
+    # unset (a bare local session): a scratch folder for this context only;
+    # spark.checkpoint.dir is a core setting and cannot be changed at run time
     folder = tempfile.mkdtemp(prefix="revmine-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    spark.sparkContext.setCheckpointDir(folder)
+    sc.setCheckpointDir(folder)
     return folder
 
 

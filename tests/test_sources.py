@@ -115,3 +115,19 @@ def test_blocks_survive_file_splits(spark, tmp_path):
     assert len(got) == 4000
     assert sorted(int(r["beer_id"]) for r in got) == list(range(4000))
     assert all(r["text"] == f"review number {r['beer_id']}: fine" and not r["_corrupt"] for r in got)
+
+
+def test_checkpoints_go_to_the_configured_folder(spark):
+    import glob
+
+    from revmine.session import _path, cut_lineage, ensure_checkpoint_dir
+
+    folder = ensure_checkpoint_dir(spark)
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if configured:
+        assert folder == configured
+    in_use = spark.sparkContext.getCheckpointDir()
+    assert _path(in_use).startswith(_path(folder).rstrip("/"))
+    assert ensure_checkpoint_dir(spark) == folder and spark.sparkContext.getCheckpointDir() == in_use
+    assert cut_lineage(spark.range(10)).count() == 10
+    assert glob.glob(_path(in_use) + "/rdd-*")
