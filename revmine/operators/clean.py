@@ -91,11 +91,9 @@ LANGUAGE_LISTS = {"en": "english", "fr": "french", "de": "german", "es": "spanis
 
 def language_stop_words(code: str) -> list[str]:
     """Letters-only entries of Spark's stop list for a language code."""
-    import regex
-
     from revmine.operators.text import spark_stop_list
 
-    return sorted({w for w in spark_stop_list(LANGUAGE_LISTS[code]) if regex.fullmatch(r"\p{L}+", w)})
+    return sorted({w for w in spark_stop_list(LANGUAGE_LISTS[code]) if w.isalpha()})
 
 
 def language_scores(text, languages=("en", "fr", "de", "es")) -> list[Column]:

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import functools
 from collections.abc import Callable, Sequence
+from importlib import resources
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,22 +35,10 @@ def _list(x) -> list[str]:
 
 @functools.lru_cache(maxsize=None)
 def spark_stop_list(language: str = "english") -> tuple[str, ...]:
-    """A stop word list shipped with Spark (``StopWordsRemover`` resources),
-    read from the installed jar so no session is needed."""
-    import glob
-    import os
-    import zipfile
-
-    import pyspark
-
-    jars = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))
-    for jar in jars:
-        with zipfile.ZipFile(jar) as z:
-            data = z.read(f"org/apache/spark/ml/feature/stopwords/{language}.txt").decode("utf-8")
-            return tuple(data.split())
-    from pyspark.ml.feature import StopWordsRemover
-
-    return tuple(StopWordsRemover.loadDefaultStopWords(language))
+    """A stop word list of Spark (``StopWordsRemover`` resources), kept as package
+    data so that neither a session nor Spark's jars are needed to read it."""
+    lines = resources.files("revmine.data").joinpath(f"stopwords_{language}.txt").read_text("utf-8").splitlines()
+    return tuple(line for line in lines if line and not line.startswith("#"))
 
 
 def _spark_english_list() -> tuple[str, ...]:
@@ -57,8 +46,7 @@ def _spark_english_list() -> tuple[str, ...]:
 
 
 def english_stop_words() -> list[str]:
-    """Spark's built-in English stop word list (``StopWordsRemover``'s default),
-    read from the installed Spark so no session is needed.  Used as the base list."""
+    """Spark's built-in English stop word list (``StopWordsRemover``'s default), the base list."""
     return list(_spark_english_list())
 
 
