@@ -1,11 +1,24 @@
-"""Queries opN_<name> of the operators of this subpackage."""
+"""Queries opN_<name> of the operators of this subpackage, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from revmine.llm import quality_rank, toxicity
-from revmine.llm.common import learnable, table
+from revmine.llm import byte_bpe, chat_examples, near_dup, oracles, phrase_index, quality_rank, rule_ledger, token_files, toxicity, url_digests
+from revmine.llm.common import learnable, stored, table
+
+#: entry, verdict
+URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+#: hosts on the block list, with all their pages
+BLOCKED_HOSTS = ["spam-farm.example.org", "cheap-pills.example.com"]
+
+PROBE_TEXT = "\\### Assistant: </turn> ok"
+
+
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = token_files.write_token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 1)
+    return token_files.read_token_files(files)
 
 
 def op2_quality_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +29,33 @@ def op2_quality_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("score") >= quality_rank.THRESHOLD_SCORE).cast("int").alias("predicted"))
 
 
+def op3_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = stored(rule_ledger.ledger(table(spark, sf_dir, "documents")), "ledger")
+    return rule_ledger.verdicts(rows, rule_ledger.PRODUCTION).select(
+        F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op4_phrase_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = phrase_index.build_index(table(spark, sf_dir, "documents"))
+    return phrase_index.verdicts(index, phrase_index.phrase_matches(index, table(spark, sf_dir, "benchmark")))
+
+
+def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op6_chat_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                  F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE_TEXT).alias("text"))
+    return chat_examples.digests(chat_examples.format_chats(turns.unionByName(probe)))
+
+
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return byte_bpe.digests(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN).withColumnRenamed("id", "doc_id")
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), train=learnable())
@@ -24,5 +64,15 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rank, op9_toxicity)}
-ORACLES: dict[str, str] = {}
+def op10_url_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_digests.judge(table(spark, sf_dir, "pages"), URL_RULES, BLOCKED_HOSTS).withColumnRenamed("id", "page_id")
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_token_files, op2_quality_rank, op3_rule_ledger, op4_phrase_index, op5_near_dup, op6_chat_examples,
+    op8_byte_bpe, op9_toxicity, op10_url_digests)}
+
+ORACLES = {
+    "op3_rule_ledger": oracles.OP3, "op4_phrase_index": oracles.OP4, "op5_near_dup": oracles.OP5,
+    "op6_chat_examples": oracles.op6(PROBE_TEXT), "op10_url_digests": oracles.op10(URL_RULES, BLOCKED_HOSTS),
+}
