@@ -27,11 +27,13 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from revmine.llm.words import chunks, raw
+
 _M64 = (1 << 64) - 1
 _A, _B = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
-_KNOWN = 200_000     # pre-tokens that a task keeps
-_KNOWN_CHARS = 128   # longest of these
-_LONG = 1 << 20      # texts beyond it are cut piece by piece
+_KNOWN = 300_000    # pre-tokens, and units, that a task keeps
+_KNOWN_CHARS = 64   # longest of these
+_PAIRS = 1_000_000  # pairs whose rank a task keeps
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -109,73 +111,176 @@ class _PerfectHashBuilder:
         return self.n_buckets, self.shift, self.keys, self.values
 
 
-def merge(piece: bytes, rank: PerfectHash) -> list[int]:
-    """Ids of one pre-token that is not in the vocabulary."""
-    n = len(piece)
-    end = list(range(1, n + 1))      # of the piece that starts at i; 0: merged away
-    before = list(range(-1, n - 1))  # start of the piece before it
-    heap = []
-
-    def offer(i: int) -> None:
-        j = end[i]
-        if j < n and (r := rank.get(piece[i:end[j]])) >= 0:
-            heap.append((r, i, end[j])) if not ready else heapq.heappush(heap, (r, i, end[j]))
-
-    ready = False
-    for i in range(n - 1):
-        offer(i)
-    heapq.heapify(heap)
-    ready = True
-    while heap:
-        _, i, stop = heapq.heappop(heap)
-        j = end[i]
-        if not j or j >= n or end[j] != stop:
-            continue  # one of the two has changed since
-        end[i], end[j] = stop, 0
-        if stop < n:
-            before[stop] = i
-        offer(i)
-        if before[i] >= 0:
-            offer(before[i])
-    out, i = [], 0
-    while i < n:
-        out.append(rank.get(piece[i:end[i]]))
-        i = end[i]
-    return out
+class Merger:
+    """Second tier: ids of a pre-token that is not in the vocabulary.
 
+    A token's id is its rank, so a heap entry (rank, position) names the merged
+    token; it is out of date when the pair at its position has another rank now.
+    Ranks of pairs are asked of the perfect hash once and kept.
+    """
+
+    def __init__(self, ranks: PerfectHash, tokens: dict[int, bytes]):
+        self.ranks, self.tokens = ranks, tokens
+        self.of_byte = [ranks.get(bytes([b])) for b in range(256)]
+        if min(self.of_byte) < 0:
+            raise ValueError("the vocabulary lacks a byte")
+        self.two = [-1] * 65536  # ranks of two bytes
+        for token, r in zip(ranks.keys, ranks.values, strict=True):
+            if len(token) == 2:
+                self.two[token[0] << 8 | token[1]] = r
+        self.kept: dict[int, int] = {}
+
+    def ask(self, pair: int) -> int:
+        """The token that (left << 20 | right) merge to, or -1."""
+        if len(self.kept) >= _PAIRS:
+            self.kept.clear()
+        r = self.kept[pair] = self.ranks.get(self.tokens[pair >> 20] + self.tokens[pair & 0xFFFFF])
+        return r
+
+    def __call__(self, key: bytes, push=heapq.heappush, pop=heapq.heappop) -> list[int]:
+        n, get, ask, two, of_byte = len(key), self.kept.get, self.ask, self.two, self.of_byte
+        piece = [of_byte[b] for b in key]
+        rank = [two[a << 8 | b] for a, b in zip(key, key[1:], strict=False)]
+        rank.append(-1)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [r << 32 | i for i, r in enumerate(rank) if r >= 0]
+        heapq.heapify(heap)
+        while heap:
+            entry = pop(heap)
+            i, r = entry & 0xFFFFFFFF, entry >> 32
+            if rank[i] != r:
+                continue
+            j = after[i]
+            k = after[i] = after[j]
+            piece[i] = r
+            rank[i] = rank[j] = -1
+            if k < n:
+                before[k] = i
+                pair = r << 20 | piece[k]
+                t = get(pair)
+                if t is None:
+                    t = ask(pair)
+                if t >= 0:
+                    rank[i] = t
+                    push(heap, t << 32 | i)
+            h = before[i]
+            if h >= 0:
+                pair = piece[h] << 20 | r
+                t = get(pair)
+                if t is None:
+                    t = ask(pair)
+                rank[h] = t
+                if t >= 0:
+                    push(heap, t << 32 | h)
+        out, i = [], 0
+        while i < n:
+            out.append(piece[i])
+            i = after[i]
+        return out
 
-class BytePairCodec(dict):
-    """text <-> ids; as a dict: pre-token -> its ids as little-endian u32 bytes."""
+
+class BytePairCodec:
+    """Texts <-> ids.
+
+    Texts are cut into units before each single space or line feed that stands
+    between two characters that are no white space; no pre-token spans such a
+    cut and none depends on what is beyond it.  Ids of units and of pre-tokens are worked
+    out once for each task while its tables have room.
+    """
 
     def __init__(self, ranks: PerfectHash, pattern: str):
-        super().__init__()
         self.ranks, self.pattern = ranks, regex.compile(pattern)
         self.tokens = dict(zip(ranks.values, ranks.keys, strict=True))
-
-    def __missing__(self, pre: str) -> bytes:
-        key = pre.encode()
+        self.merge = Merger(ranks, self.tokens)
+        self.known: dict[str, list[int]] = {}  # by pre-token
+        self.kept: dict[bytes, list[int]] = {}  # by unit
+        top = max(self.tokens) + 1
+        self.size = np.zeros(top, np.int64)
+        self.size[list(self.tokens)] = [len(t) for t in self.tokens.values()]
+        self.begin = np.cumsum(self.size) - self.size
+        self.bytes = np.frombuffer(b"".join(self.tokens.get(i, b"") for i in range(top)), np.uint8)
+
+    def pre_token(self, key: bytes) -> list[int]:
         whole = self.ranks.get(key)
-        ids = [whole] if whole >= 0 else merge(key, self.ranks)
-        out = np.array(ids, "<u4").tobytes()
-        if len(pre) <= _KNOWN_CHARS:
-            if len(self) >= _KNOWN:
-                self.clear()
-            self[pre] = out
+        return [whole] if whole >= 0 else self.merge(key)
+
+    def unit(self, data: bytes) -> list[int]:
+        out, known = [], self.known
+        for pre in self.pattern.findall(data.decode("utf-8", "replace")):
+            ids = known.get(pre)
+            if ids is None:
+                ids = self.pre_token(pre.encode())
+                if len(pre) <= _KNOWN_CHARS:
+                    if len(known) >= _KNOWN:
+                        known.clear()
+                    known[pre] = ids
+            out += ids
         return out
 
+    def units(self, wanted: list[bytes]) -> list[list[int]]:
+        """Ids of distinct units."""
+        kept, out = self.kept, []
+        if len(kept) >= _KNOWN:
+            kept.clear()
+        for u in wanted:
+            ids = kept.get(u)
+            if ids is None:
+                ids = self.unit(u)
+                if len(u) <= _KNOWN_CHARS:
+                    kept[u] = ids
+            out.append(ids)
+        return out
+
+    def encode_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts of a null-free slice, where each text's begin and the end)."""
+        data, offs = raw(texts)
+        if not len(data):
+            return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
+        cut = np.zeros(len(data) + 1, bool)
+        cut[1:-2] = _CUT[data[1:-1]] & _solid_end(data)[:-2] & _SOLID_START[data[2:]]
+        cut[offs] = True
+        edges = np.flatnonzero(cut)
+        column = pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(data)]).dictionary_encode()
+        lists = self.units(column.dictionary.to_pylist())
+        size = np.array([len(x) for x in lists], np.int64)
+        flat = np.array([i for x in lists for i in x], np.uint32)
+        codes = column.indices.to_numpy(zero_copy_only=False)
+        ids, done = _gather(flat, np.cumsum(size) - size, size, codes)
+        return ids, done[np.searchsorted(edges, offs)]
+
+    def decode_ids(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(bytes of the ids, where each id's begin and the end)."""
+        return _gather(self.bytes, self.begin, self.size, ids)
+
     def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        if len(text) <= _LONG:
-            return b"".join([self[p] for p in self.pattern.findall(text)])
-        return b"".join(self[m.group()] for m in self.pattern.finditer(text))
+        """One text's ids as little-endian unsigned 32-bit integers."""
+        return self.encode_texts(pa.array([text], pa.string()))[0].astype("<u4").tobytes()
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join([self.tokens[i] for i in np.frombuffer(ids, "<u4").tolist()])
+        return self.decode_ids(np.frombuffer(ids, "<u4"))[0].tobytes()
+
 
+def _gather(flat: np.ndarray, begin: np.ndarray, size: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches of ``flat`` that the codes name, one after the other, and their ends."""
+    n = size[codes]
+    done = np.concatenate([[0], np.cumsum(n)])
+    return flat[np.arange(done[-1]) + np.repeat(begin[codes] - done[:-1], n)], done
 
-def _texts(batch: pa.RecordBatch) -> Iterator[str]:
-    for i in range(0, batch.num_rows, 256):  # few texts are Python strings at a time
-        yield from (t or "" for t in batch.column("text").slice(i, 256).to_pylist())
+
+_CUT = np.zeros(256, bool)
+_CUT[[0x20, 0x0A]] = True
+# bytes that begin a character which is surely no white space: visible ASCII, and U+00C0 to U+027F
+_SOLID_START = np.zeros(256, bool)
+_SOLID_START[0x21:0x7F] = True
+_SOLID_START[0xC3:0xCA] = True
+
+
+def _solid_end(data: np.ndarray) -> np.ndarray:
+    """Where such a character ends."""
+    out = np.zeros(len(data), bool)
+    out |= (data >= 0x21) & (data < 0x7F)
+    out[1:] |= (data[1:] >= 0x80) & (data[1:] < 0xC0) & (data[:-1] >= 0xC3) & (data[:-1] < 0xCA)
+    return out
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -189,7 +294,10 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = BytePairCodec(PerfectHash(table.value), pattern)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([codec.encode(t) for t in _texts(batch)], pa.binary())], names=["id", "ids"])
+            for lo, texts in chunks(batch.column("text")):
+                ids, at = codec.encode_texts(texts)
+                out = [ids[a:b].astype("<u4").tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(lo, len(texts)), pa.array(out, pa.binary())], names=["id", "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return (docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -203,13 +311,14 @@ def digests(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "do
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = BytePairCodec(PerfectHash(table.value), pattern)
         for batch in batches:
-            n, a, b = [], [], []
-            for ids in map(codec.encode, _texts(batch)):
-                n.append(len(ids) // 4)
-                a.append(hashlib.sha256(ids).hexdigest())
-                b.append(hashlib.sha256(codec.decode(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())],
-                                             names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            for lo, texts in chunks(batch.column("text")):
+                ids, at = codec.encode_texts(texts)
+                ids = ids.astype("<u4")
+                data, ends = codec.decode_ids(ids)
+                one = [hashlib.sha256(ids[a:b]).hexdigest() for a, b in zip(at[:-1], at[1:], strict=True)]
+                two = [hashlib.sha256(data[a:b]).hexdigest() for a, b in zip(ends[at[:-1]], ends[at[1:]], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(lo, len(texts)), pa.array(np.diff(at)), pa.array(one, pa.string()), pa.array(two, pa.string())],
+                                                 names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return (docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
