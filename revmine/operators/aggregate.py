@@ -66,16 +66,16 @@ def reviews_per_entity_sum(dfs: dict[str, DataFrame], entity: str, n: str,
 
 
 # A11
-def percentile_expr(col: str, q: float, approx: bool = False) -> Column:
+def percentile_expr(col: str, q: float, approx: bool = False, accuracy: int = 10_000) -> Column:
     if approx:
-        return F.percentile_approx(col, q / 100.0, 10000).cast("double")
+        return F.percentile_approx(col, q / 100.0, accuracy).cast("double")
     return F.percentile(F.col(col), q / 100.0)
 
 
 def percentile_value(df: DataFrame, col: str, q: float = 50.0, approx: bool = False) -> DataFrame:
     """Exact, linearly interpolated percentile (numpy default); one row.
 
-    Exact = ranked distinct values (bounded tasks); ``approx=True`` = sketch.
+    Exact = over counted distinct values; ``approx=True`` = sketch.
     """
     if approx:
         return df.agg(percentile_expr(col, q, True).alias("percentile"))
@@ -92,9 +92,6 @@ def percentile_scalar(df: DataFrame, col: str, q: float, approx: bool = False) -
 # A12
 def count_above_percentile(df: DataFrame, col: str, q: float = 50.0, approx: bool = False) -> DataFrame:
     thr = percentile_scalar(df, col, q, approx)
-    # filter, then count: the ranked percentile is a nondeterministic subquery
-    # (it reads partition ids), which Spark allows in a filter but not inside
-    # an aggregate's arguments
     return df.where(F.col(col) > thr).agg(F.count("*").alias("n_above"))
 
 
@@ -185,9 +182,10 @@ def emotion_by_location(df: DataFrame, location: str = "location", feel: str = "
     labels = list(labels)
     keep = top_locations(df, location, top)
     sub = df.join(keep.select(location), location, "left_semi")
+    from revmine.operators.window import order_by_total
+
     piv = sub.groupBy(location).pivot(feel, labels).count().na.fill(0, subset=labels)
-    total = sum((F.col(c) for c in labels), F.lit(0))
-    return piv.withColumn("total", total.cast("bigint"))
+    return order_by_total(piv, labels)
 
 
 # A18
@@ -243,16 +241,19 @@ def axis_range(dfs: Sequence[DataFrame], col: str) -> DataFrame:
 
 # A28
 def abv_bins(df: DataFrame, col: str, edges: Sequence[float], value: str | None = None) -> DataFrame:
-    """Interval bins ``[e_i, e_{i+1})`` (last closed) and count (+ mean of ``value``)."""
-    edges = list(edges)
-    b = F.lit(None).cast("int")
-    for i in range(len(edges) - 1, 0, -1):
-        hi_ok = (F.col(col) <= edges[i]) if i == len(edges) - 1 else (F.col(col) < edges[i])
-        b = F.when((F.col(col) >= edges[i - 1]) & hi_ok, F.lit(i - 1)).otherwise(b)
+    """Interval bins ``[e_i, e_{i+1})`` and count (+ mean of ``value``).
+
+    Every row is counted: the first bin is open below, the last above, and
+    NULL or NaN is a bin of its own (NULL).
+    """
+    b = F.lit(0)
+    for i, e in enumerate(list(edges)[1:-1], 1):
+        b = F.when(F.col(col) >= e, F.lit(i)).otherwise(b) if i == 1 else F.when(F.col(col) < e, b).otherwise(F.lit(i))
+    b = F.when(F.col(col).isNotNull() & ~F.isnan(F.col(col).cast("double")), b)
     aggs = [F.count("*").alias("count")]
     if value:
         aggs.append(F.avg(value).alias(f"avg_{value}"))
-    return df.where(b.isNotNull()).groupBy(b.alias("bin")).agg(*aggs)
+    return df.groupBy(b.alias("bin")).agg(*aggs)
 
 
 # A29

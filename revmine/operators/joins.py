@@ -53,21 +53,17 @@ def join_neg_counts(items: DataFrame, counts: DataFrame, entity: str) -> DataFra
 
 # J5 / W5
 def attach_entity_percentile(df: DataFrame, entity: str, col: str, q: float = 10.0,
-                             approx: bool = False, out: str = "percentile", method: str = "rank") -> DataFrame:
+                             approx: bool = False, out: str = "percentile", accuracy: int = 10_000) -> DataFrame:
     """Per-entity q-th percentile of ``col`` joined back to the rows (inner join).
 
-    ``method="rank"`` (default): exact, by a skew-safe ranking of the distinct
-    values (no entity's values gathered in one task).  ``"aggregate"``:
-    Spark's ``percentile`` (a value->count map per group merged in one task,
-    fine for few distinct values).  ``approx=True``: fixed-size sketch.
+    Exact, over counted distinct values.  ``approx=True`` asks for a sketch of
+    fixed size instead, with an error of 1 / ``accuracy`` of the rank.
     """
     from revmine.operators.ranks import percentile_by_rank
 
     base = df.where(F.col(entity).isNotNull())
     if approx:
-        thr = base.groupBy(entity).agg(F.percentile_approx(col, q / 100.0, 10000).cast("double").alias(out))
-    elif method == "aggregate":
-        thr = base.groupBy(entity).agg(F.percentile(F.col(col), q / 100.0).alias(out))
+        thr = base.groupBy(entity).agg(F.percentile_approx(col, q / 100.0, accuracy).cast("double").alias(out))
     else:
         thr = percentile_by_rank(base, col, q / 100.0, [entity], out)
     return df.join(thr, entity, "inner")

@@ -1,8 +1,9 @@
-"""Skew-safe ranks, running sums and exact percentiles.
+"""Ranks, running sums and exact percentiles with Spark's own windows and aggregates.
 
-Everything here avoids windows over a whole key: a hot key (a third of all
-rows) is range-partitioned over many tasks, and per-key work is reduced to
-small per-slice tables before it is combined.
+Percentiles and tied ranks work on *counted distinct values* (a partial
+aggregate before the shuffle), so a hot group reaches its task as one row per
+distinct value.  Positions and running sums are windows: one key is sorted in
+one task, in streaming order and with spill, never gathered in memory.
 """
 
 from __future__ import annotations
@@ -18,62 +19,30 @@ def _list(x) -> list[str]:
     return [x] if isinstance(x, str) else list(x)
 
 
-def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value, out: str,
-                partitions: int | None = None) -> DataFrame:
-    """Running sum of ``value`` per ``keys`` in ``order`` (inclusive), without
-    ever putting one key into one task.
-
-    1. range-partition on (keys, order): a hot key spans many partitions;
-    2. running sum inside each (partition, key) slice;
-    3. slice totals -> per-key offsets over the (few) slices of a key;
-    4. offset + local sum.
-    ``order`` must make rows unique within a key (add a tiebreaker column).
-    """
-    keys, order = _list(keys), _list(order)
+def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value, out: str) -> DataFrame:
+    """Running sum of ``value`` per ``keys`` in ``order`` (inclusive); a NULL key is a group."""
     v = F.col(value) if isinstance(value, str) else value
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rp = (df.repartitionByRange(n, *[F.col(c) for c in keys + order])
-          .withColumn("_pid", F.spark_partition_id()).withColumn("_v", v))
-    w_local = Window.partitionBy("_pid", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    local = rp.withColumn("_local", F.sum("_v").over(w_local))
-    tot = rp.groupBy(*keys, "_pid").agg(F.sum("_v").alias("_tot"))
-    w_off = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    off = tot.select(*keys, "_pid", F.coalesce(F.sum("_tot").over(w_off), F.lit(0)).alias("_off"))
-    keyed = [*keys, "_pid"]
-    return (local.join(off, keyed, "inner").withColumn(out, F.col("_off") + F.col("_local"))
-            .drop("_pid", "_v", "_local", "_off"))
+    w = Window.partitionBy(*_list(keys)).orderBy(*_list(order)).rowsBetween(Window.unboundedPreceding, 0)
+    return df.withColumn(out, F.sum(v).over(w))
 
 
 def position_in_group(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "position") -> DataFrame:
-    """``row_number()`` per key in ``order``, skew-safe (see :func:`running_sum`)."""
-    return running_sum(df, keys, order, F.lit(1), out).withColumn(out, F.col(out).cast("int"))
+    """``row_number()`` per key in ``order`` (add a tiebreaker for a stable order)."""
+    return df.withColumn(out, F.row_number().over(Window.partitionBy(*_list(keys)).orderBy(*_list(order))))
+
+
+def counted(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
+    """``(by..., col, _n)``: rows per distinct value, NULL and NaN left out."""
+    return (df.where(F.col(col).isNotNull() & ~F.isnan(F.col(col).cast("double")))
+            .groupBy(*_list(by), col).agg(F.count("*").alias("_n")))
 
 
 def percentile_by_rank(df: DataFrame, col: str, q: float, by: Sequence[str] = (),
                        out: str = "percentile") -> DataFrame:
-    """Exact linear-interpolated percentile (numpy / ``quantile_cont``) per
-    ``by`` group without gathering a group's values in one task.
+    """Exact linear-interpolated percentile (numpy / ``quantile_cont``) per ``by`` group.
 
-    Distinct values are counted with a partial aggregate, ranked with the
-    skew-safe :func:`running_sum`, and the two values around rank
-    ``q * (n - 1)`` are picked with a second partial aggregate.  Memory per
-    task is bounded however large a group or its set of distinct values is.
+    Values are counted first, so ``percentile`` merges one entry per distinct
+    value of a group, however many rows it has.
     """
-    by = _list(by)
-    vals = (df.where(F.col(col).isNotNull() & ~F.isnan(F.col(col).cast("double")))
-            .groupBy(*by, col).agg(F.count("*").alias("_n")))
-    cum = running_sum(vals, by, [col], "_n", "_cum")
-    if by:
-        tot = vals.groupBy(*by).agg(F.sum("_n").alias("_tot"))
-        cum = cum.join(tot, by, "inner")
-    else:
-        cum = cum.withColumn("_tot", vals.agg(F.sum("_n")).scalar())
-    pos = F.lit(q) * (F.col("_tot") - 1)
-    lo, hi = F.floor(pos), F.ceil(pos)
-    picked = cum.groupBy(*by).agg(
-        F.min(F.when(F.col("_cum") > lo, F.col(col))).cast("double").alias("_lo"),
-        F.min(F.when(F.col("_cum") > hi, F.col(col))).cast("double").alias("_hi"),
-        F.first(pos - lo).alias("_frac"))
-    return picked.select(*by, (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_frac")).alias(out))
-
-
+    vals = counted(df, col, by)
+    return vals.groupBy(*_list(by)).agg(F.percentile(F.col(col).cast("double"), q, F.col("_n")).alias(out))

@@ -33,8 +33,7 @@ def collect_by_entity(df: DataFrame, entity: str, order: str, keep: Sequence[str
     """Reviews "grouped by entity" kept flat: ``entity, order, keep..., position``.
 
     The original built a dict of lists; one list per entity would put a hot
-    entity into one row, so the grouping is a position within the entity,
-    computed with the skew-safe running count (no single-key window).
+    entity into one row, so the grouping is a position within the entity.
     """
     from revmine.operators.window import position_in_group
 
@@ -42,10 +41,10 @@ def collect_by_entity(df: DataFrame, entity: str, order: str, keep: Sequence[str
 
 
 # X20
-def chunk_words(df: DataFrame, text: str, n: int = 750, max_chars: int | None = 1000,
+def chunk_words(df: DataFrame, text: str, n: int = 750, max_chars: int | None = None,
                 keep: Sequence[str] = (), out: str = "chunk") -> DataFrame:
-    """Split a text into chunks of ``n`` whitespace words (joined by a space),
-    each cut to ``max_chars`` characters."""
+    """Split a text into chunks of ``n`` whitespace words (joined by a space);
+    ``max_chars`` cuts each chunk, for scorers with an input limit."""
     words = F.filter(F.split(F.col(text), r"\s+"), lambda w: w != "")
     starts = F.when(F.size(words) > 0, F.sequence(F.lit(1), F.size(words), F.lit(n))).otherwise(
         F.array().cast("array<int>"))

@@ -118,10 +118,11 @@ def _scored(df: DataFrame, text: str, rule: LabelRule, labels: Sequence[str], ma
 
 
 # T18
-def score_emotions(df: DataFrame, text: str, rule: LabelRule | None = None, max_chars: int | None = 500,
+def score_emotions(df: DataFrame, text: str, rule: LabelRule | None = None, max_chars: int | None = None,
                    labels: Sequence[str] = L.EMOTIONS, feel: str = "max_feel") -> DataFrame:
-    """Seven label scores per text (texts of ``max_chars`` or more score 0) and
-    ``max_feel`` = leftmost arg-max (all zero -> "anger")."""
+    """Seven label scores per text and ``max_feel`` = leftmost arg-max (all zero
+    -> "anger").  ``max_chars`` gives texts of that length or more score 0, for
+    scorers with an input limit (the study's model had 500; a lexicon has none)."""
     rule = rule or lexicon_rule()
     scored = _scored(df, text, rule, labels, max_chars)
     return scored.withColumn(feel, X.label_argmax(list(labels)))
@@ -138,10 +139,10 @@ def polarity_rule_from_emotions(lexicon: Mapping[str, Sequence[str]] = L.EMOTION
 
 
 def score_polarity(df: DataFrame, text: str, score: str = "score", rule: LabelRule | None = None,
-                   max_chars: int = 500, bands: Sequence[int] = L.NEGATIVE_SCORES,
+                   max_chars: int | None = None, bands: Sequence[int] = L.NEGATIVE_SCORES,
                    out: str = "polarity") -> DataFrame:
     """Rows with score in {0,1,2} only; polarity = the negative score when
-    "negative" is the arg-max label, else 0; texts of ``max_chars``+ get 0."""
+    "negative" is the arg-max label, else 0; ``max_chars`` as in T18."""
     rule = rule or polarity_rule_from_emotions()
     sub = df.where(F.col(score).isin(list(bands)))
     scored = _scored(sub, text, rule, POLARITY_LABELS, max_chars, prefix="_")
@@ -255,12 +256,14 @@ def summarise_complaints(df: DataFrame, by: Sequence[str], text: str, n: int = 3
     sents = explode_sentences(df, text, [*by, *ids], out="sentence").where(F.trim("sentence") != "")
     toks = (T.with_tokens(sents, "sentence", "_tok").select(*key, F.explode_outer("_tok").alias("term"))
             .where(F.col("term").isNotNull()))
+    # one row per sentence and term: a common word of a large group is one row for each sentence, not each use
+    toks = toks.groupBy(*key, "term").agg(F.count("*").alias("_n"))
     if materialise is not None:  # tokens feed two branches: compute them once
         toks = materialise(toks)
-    counts = toks.groupBy(*by, "term").agg(F.count("*").alias("tf"))
+    counts = toks.groupBy(*by, "term").agg(F.sum("_n").alias("tf"))
     scores = T.tfidf_scores(counts, by, docs=df.select(*by))
     per = (toks.join(scores.select(*by, "term", "tfidf"), [*by, "term"], "inner")
-           .groupBy(*key).agg(F.avg("tfidf").alias("score")))
+           .groupBy(*key).agg((F.sum(F.col("tfidf") * F.col("_n")) / F.sum("_n")).alias("score")))
     ranked = sents.join(per, key, "inner")
     w = Window.partitionBy(*by).orderBy(F.round("score", 9).desc(), F.col("sentence").asc(),
                                         *[F.col(c).asc() for c in ids], F.col("sentence_idx").asc())

@@ -208,10 +208,9 @@ def word_counts(corpus: DataFrame, keys: Sequence[str], text: str = "text", weig
         if lemma is not None:
             tok = tok.withColumn("_tok", F.transform("_tok", lemma))
         if stop:
-            stop_arr = F.array(*[F.lit(x) for x in sorted(set(stop))])
-            if lemma is not None:
-                stop_arr = F.transform(stop_arr, lemma)
-            tok = tok.withColumn("_tok", F.filter("_tok", lambda t: ~F.array_contains(stop_arr, t)))
+            # literals only, so the list becomes a hash set; lemmas of it are folded to literals
+            listed = [lemma(F.lit(x)) if lemma is not None else F.lit(x) for x in sorted(set(stop))]
+            tok = tok.withColumn("_tok", F.filter("_tok", lambda t: ~t.isin(*listed)))
         tok = tok.withColumn("_tok", X.ngrams(F.col("_tok"), *ngram_range))
     # explode_outer + a filter on the generated term: plain explode makes the
     # optimizer infer size(tokens) > 0 below the projection, which would run
@@ -233,9 +232,11 @@ def word_counts(corpus: DataFrame, keys: Sequence[str], text: str = "text", weig
     return counts
 
 
-def doc_term_long(counts: DataFrame) -> DataFrame:
-    """P5: the document-term table is already long; returned as is."""
-    return counts
+def doc_term_long(matrix: DataFrame, keys: Sequence[str], term: str = "term", tf: str = "tf") -> DataFrame:
+    """P5: a wide document-term matrix (one column per term) as ``(keys..., term, tf)``, zeros left out."""
+    keys = _list(keys)
+    wide = [c for c in matrix.columns if c not in keys]
+    return matrix.unpivot(keys, wide, term, tf).where(F.col(tf) != 0)
 
 
 # ---------------------------------------------------------------------------
@@ -482,9 +483,9 @@ def tfidf_sum_over_docs(df: DataFrame, doc: str, text: str, ngram_range: tuple[i
     """documents = reviews; score = sum over documents of L2 tf-idf, per term ("TF").
 
     ``tokens`` may name a precomputed token array (e.g. from :func:`clean_tokens`);
-    otherwise ``\\w\\w+`` tokens of the lowercased text are used.
+    otherwise runs of two or more word characters (Unicode) of the lowercased text are used.
     """
-    arr = F.col(tokens) if tokens else X.tokenise(F.lower(F.col(text)), L.TWO_LETTERS_NUMBERS)
+    arr = F.col(tokens) if tokens else X.tokenise(F.lower(F.col(text)), L.TWO_LETTERS_NUMBERS_UNI)
     grams = X.ngrams(arr, *ngram_range)
     counts = (df.select(F.col(doc), F.explode(grams).alias("term"))
               .groupBy(doc, "term").agg(F.count("*").alias("tf")))
@@ -508,8 +509,7 @@ def clean_tokens(df: DataFrame, text: str, out: str = "tokens", *, stop: Sequenc
     sentences = X.split_sentences_regexp(F.col(text))
     words = F.flatten(F.transform(sentences, lambda s: F.split(F.trim(X.remove_punctuation(s)), r"\s+")))
     words = F.transform(words, lambda w: F.lower(w))
-    stop_arr = F.array(*[F.lit(s) for s in sorted(set(stop))])
-    words = F.filter(words, lambda w: (w != "") & ~F.array_contains(stop_arr, w))
+    words = F.filter(words, lambda w: (w != "") & ~w.isin(sorted(set(stop))))
     if lemma is not None:
         words = F.transform(words, lemma)
     words = F.filter(words, lambda w: w.rlike(r"^\p{L}+$"))

@@ -9,11 +9,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from revmine.functions import lexicon as L
 from revmine.functions.arrays import circular_pair_smooth, dominant_topic
 from revmine.operators.scoring import summarise_complaints
 from revmine.operators.text import english_stop_words
+from revmine.session import cut_lineage
 
 TOPIC_TYPE = "array<struct<topic:int,prob:double>>"
 
@@ -22,23 +24,24 @@ def lda_tokens(text_col, stop: Sequence[str] | None = None):
     """Lowercase, split on single spaces, alphabetic words longer than 2, no stop word."""
     stop = list(stop if stop is not None else english_stop_words())
     words = F.split(F.lower(text_col), " ")
-    stop_arr = F.array(*[F.lit(s) for s in sorted(set(stop))])
-    return F.filter(words, lambda w: w.rlike(r"^\p{L}{3,}$") & ~F.array_contains(stop_arr, w))
+    return F.filter(words, lambda w: w.rlike(r"^\p{L}{3,}$") & ~w.isin(sorted(set(stop))))
 
 
 # T25
 def lda_topics(df: DataFrame, entity: str, text: str, k: int = 5, *, max_iter: int = 10, seed: int = 23,
-               min_df: int = 5, max_df: float = 0.4, vocab_size: int = 100_000, min_prob: float = 0.01,
+               min_df: int = 5, max_df: float = 0.4, vocab_size: int | None = None, min_prob: float = 0.0,
                top_words: int = 5) -> tuple[DataFrame, DataFrame]:
     """LDA over one bag of words per entity -> ``(entity, topics)`` and the
     ``(topic, terms)`` table (``top_words`` per topic).
 
     The bag is built by aggregation -- ``(entity, term, count)`` with map-side
     partial sums -- and packed into one sparse vector per entity, whose size is
-    bounded by the vocabulary (<= ``vocab_size``), never by the number of
-    reviews.  Vocabulary filter like the study's dictionary: in at least
-    ``min_df`` documents, in at most ``max_df`` of them, the ``vocab_size``
-    most frequent kept.  ``pyspark.ml.clustering.LDA`` (online) fits it.
+    bounded by the vocabulary, never by the number of reviews.  Vocabulary
+    filter like the study's dictionary: in at least ``min_df`` documents, in at
+    most ``max_df`` of them (``vocab_size``: only the most frequent of these;
+    ``min_prob``: only topics of at least this share).  The counts and the bags
+    are materialised: each of the fit's iterations reads the bags.
+    ``pyspark.ml.clustering.LDA`` (online) fits it.
     """
     from pyspark.ml.clustering import LDA
     from pyspark.ml.functions import vector_to_array
@@ -46,27 +49,28 @@ def lda_topics(df: DataFrame, entity: str, text: str, k: int = 5, *, max_iter: i
 
     spark = df.sparkSession
     toks = df.where(F.col(entity).isNotNull()).select(entity, F.explode(lda_tokens(F.col(text))).alias("term"))
-    counts = toks.groupBy(entity, "term").agg(F.count("*").cast("double").alias("n"))
+    counts = cut_lineage(toks.groupBy(entity, "term").agg(F.count("*").cast("double").alias("n")))
     n_docs = df.where(F.col(entity).isNotNull()).select(entity).distinct().agg(F.count("*")).scalar()
     stats = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("n").alias("cf"))
-    vocab = (stats.where((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df) * n_docs))
-             .orderBy(F.col("cf").desc(), F.col("term").asc()).limit(vocab_size))
-    from pyspark.sql import Window
-
+    vocab = stats.where((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df) * n_docs))
+    # one row per word; the fitted model holds k numbers for each of them on the driver anyway
     vocab = vocab.withColumn("idx", (F.row_number().over(Window.orderBy(F.col("cf").desc(), F.col("term").asc())) - 1))
+    if vocab_size is not None:
+        vocab = vocab.where(F.col("idx") < vocab_size)
+    vocab = cut_lineage(vocab)
     size = vocab.count()
     if size == 0:
         empty = spark.createDataFrame([], f"{entity} {df.schema[entity].dataType.simpleString()}, topics {TOPIC_TYPE}")
         return empty, spark.createDataFrame([], "topic int, terms array<string>")
 
-    @F.udf(VectorUDT())
-    def to_vec(pairs):
-        pairs = sorted(pairs, key=lambda p: p[0])
-        return SparseVector(size, [p[0] for p in pairs], [p[1] for p in pairs])
+    @F.udf(VectorUDT(), useArrow=True)
+    def to_vec(indices, values):
+        return SparseVector(size, indices, values)
 
     bags = (counts.join(vocab.select("term", "idx"), "term", "inner")
-            .groupBy(entity).agg(F.collect_list(F.struct(F.col("idx").cast("int"), "n")).alias("_p"))
-            .select(entity, to_vec("_p").alias("features")))
+            .groupBy(entity).agg(F.array_sort(F.collect_list(F.struct(F.col("idx").cast("int").alias("i"), "n"))).alias("_p"))
+            .select(entity, to_vec(F.col("_p.i"), F.col("_p.n")).alias("features")))
+    bags = cut_lineage(bags)
     model = LDA(k=k, maxIter=max_iter, seed=seed, optimizer="online").fit(bags)
     dist = model.transform(bags).select(entity, vector_to_array("topicDistribution").alias("_d"))
     topics = dist.select(entity, F.filter(F.transform("_d", lambda p, i: F.struct(i.cast("int").alias("topic"),
@@ -111,21 +115,23 @@ def topic_emotion_distribution(df: DataFrame, topics: str = "topics", feel: str
 
 # T23
 def complaints_by_topic(topics: DataFrame, scored: DataFrame, topic_id: int, entity: str, text: str = "review",
-                        feel: str = "max_feel", n_rows: int = 5000, n: int = 3,
+                        feel: str = "max_feel", n_rows: int | None = None, n: int = 3,
                         order: Sequence[str] = ("review_id",),
                         id_col: str | Sequence[str] = "review_id") -> DataFrame:
-    """Sadness rows of entities whose dominant topic is ``topic_id``; the first
-    ``n_rows`` (explicit order) are summarised."""
+    """Sadness rows of entities whose dominant topic is ``topic_id``, summarised
+    (``n_rows``: only the first so many in the explicit order)."""
     ents = topics.where(dominant_topic(F.col("topics")) == topic_id).select(entity)
-    sub = (scored.where(F.col(feel) == "sadness").join(ents, entity, "left_semi")
-           .orderBy(*order).limit(n_rows).withColumn("_topic", F.lit(topic_id)))
+    sub = scored.where(F.col(feel) == "sadness").join(ents, entity, "left_semi")
+    if n_rows is not None:
+        sub = sub.orderBy(*order).limit(n_rows)
+    sub = sub.withColumn("_topic", F.lit(topic_id))
     return summarise_complaints(sub, ["_topic"], text, n, id_col).withColumnRenamed("_topic", "topic")
 
 
-def topics_from_vectors(df: DataFrame, vec: str = "embedding", n_topics: int = 5) -> DataFrame:
+def topics_from_vectors(df: DataFrame, vec: str = "embedding") -> DataFrame:
     """Deterministic topic mixture from a vector (tests and oracles): the
-    squared shares of its first ``n_topics`` components."""
-    head = F.transform(F.slice(F.col(vec), 1, n_topics), lambda x: x.cast("double") * x.cast("double"))
+    squared shares of its components."""
+    head = F.transform(F.col(vec), lambda x: x.cast("double") * x.cast("double"))
     tot = F.aggregate(head, F.lit(0.0), lambda a, x: a + x)
     with_tot = df.withColumn("_tot", tot)
     return with_tot.withColumn("topics", F.transform(head, lambda x, i: F.struct(

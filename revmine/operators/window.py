@@ -21,9 +21,8 @@ def _list(x) -> list[str]:
 def average_rank(df: DataFrame, col: str, by: Sequence[str] = (), out: str | None = None) -> DataFrame:
     """Rank of ``col`` with ties averaged (1-based), per ``by`` group.
 
-    Counted on the *distinct values* (partial aggregate), ranked there with a
-    skew-safe running sum, then joined back: equal values never need to sit
-    in one task together with the rest of their group.
+    Ranked on the counted distinct values, then joined back: a hot value is one
+    row for the window.
     """
     by = _list(by)
     out = out or f"{col}_rank"
@@ -48,7 +47,7 @@ def pos_neg_partition(df: DataFrame, col: str, threshold, out: str = "polarity",
 
 def quantile_split(df: DataFrame, entity: str, col: str = "rating", q: float = 10.0, out: str = "polarity",
                    approx: bool = False) -> DataFrame:
-    """Per-entity q-th percentile; <= -> negative, > -> positive."""
+    """Per-entity q-th percentile; <= -> negative, > -> positive."""
     with_p = attach_entity_percentile(df, entity, col, q, approx=approx)
     return pos_neg_partition(with_p, col, "percentile", out)
 
@@ -88,8 +87,9 @@ def sample_first_n(df: DataFrame, n: int, order: Sequence[str]) -> DataFrame:
 
 # K4
 def order_by_total(df: DataFrame, cols: Sequence[str], out: str = "total") -> DataFrame:
+    """Adds the row total of ``cols`` and sorts by it, largest first."""
     total = sum((F.col(c) for c in cols), F.lit(0))
-    return df.withColumn(out, total).orderBy(F.col(out).desc())
+    return df.withColumn(out, total.cast("bigint")).orderBy(F.col(out).desc())
 
 
 # K6

@@ -29,13 +29,16 @@ TEXT_TABLE_KEYS = {"documents": "doc_id"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table; the text table is spread over all cores when its scan
-    is small and has too few splits (see ``spread_small_input``)."""
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    if name in TEXT_TABLE_KEYS:
-        from revmine.sources.tables import spread_small_input
+    """A driver table as its files have it.
 
-        df = spread_small_input(df, TEXT_TABLE_KEYS[name])
+    A file of a single row group is read by one task.  A session that knows its
+    text files are like that may set ``revmine.documents.partitions``; the text
+    table is then dealt out by its key.  Unset (the default), nothing is moved.
+    """
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    n = spark.conf.get("revmine.documents.partitions", None)
+    if n and name in TEXT_TABLE_KEYS:
+        df = df.repartition(int(n), TEXT_TABLE_KEYS[name])
     return df
 
 

@@ -56,7 +56,7 @@ def q_split_sentences(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register("split_sentences_regexp", f"""
-SELECT doc_id, regexp_extract_all(text || '.', {S.q(X.SENTENCE_WITH_DELIMS)}) AS sentences FROM documents""")
+SELECT doc_id, regexp_extract_all(text || '.', {S.q(L.SENTENCE_WITH_DELIMS)}) AS sentences FROM documents""")
 def q_split_sentences_regexp(spark: SparkSession, sf: str) -> DataFrame:
     """Sentences with their delimiter runs (a final '.' appended first)."""
     d = C.table(spark, sf, DOCS)
@@ -169,7 +169,7 @@ def _clean_tokens(spark: SparkSession, sf: str) -> DataFrame:
 def _clean_tokens_sql() -> str:
     stop = [w for w in T.english_stop_words() if w not in L.KEPT_NEGATIONS]
     return f"""
-WITH s AS (SELECT doc_id, regexp_extract_all(text || '.', {S.q(X.SENTENCE_WITH_DELIMS)}) AS sents
+WITH s AS (SELECT doc_id, regexp_extract_all(text || '.', {S.q(L.SENTENCE_WITH_DELIMS)}) AS sents
            FROM documents WHERE lang = 'en'),
 w AS (SELECT doc_id, flatten(list_transform(sents, lambda x: string_split_regex(
           trim(translate(x, {S.q(PUNCT)}, {S.q(" " * len(PUNCT))})), '\\s+'))) AS ws FROM s),

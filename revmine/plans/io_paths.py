@@ -7,7 +7,7 @@ from :func:`revmine.session.ensure_checkpoint_dir`.
 
 from __future__ import annotations
 
-import hashlib
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -15,5 +15,5 @@ from revmine.session import ensure_checkpoint_dir
 
 
 def scratch_path(spark: SparkSession, sf_dir: str, name: str) -> str:
-    tag = hashlib.md5(sf_dir.encode()).hexdigest()[:10]
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/revmine-io/{tag}/{name}"
+    """A new folder for each call, so a later call never replaces files under an earlier result."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/revmine-io/{name}-{uuid.uuid4().hex}"

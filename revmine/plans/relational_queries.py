@@ -63,8 +63,8 @@ def q_duplicate_count(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register("null_counts", f"""
-UNPIVOT (SELECT count_if(beer_id IS NULL) AS beer_id, count_if(brewery_id IS NULL) AS brewery_id,
-                count_if(location IS NULL) AS location
+UNPIVOT (SELECT count(CASE WHEN beer_id IS NULL THEN 1 END) AS beer_id, count(CASE WHEN brewery_id IS NULL THEN 1 END) AS brewery_id,
+                count(CASE WHEN location IS NULL THEN 1 END) AS location
          FROM (SELECT i.beer_id, i.brewery_id, m.location FROM {ITEMS} i LEFT JOIN {MAKERS} m
                ON i.brewery_id = m.id) x)
 ON beer_id, brewery_id, location INTO NAME "column" VALUE nulls""")
@@ -75,9 +75,9 @@ def q_null_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register("missing_token_counts", """
-UNPIVOT (SELECT count_if(CAST(text AS VARCHAR) IN ('', 'nan')) AS text,
-                count_if(CAST(lang AS VARCHAR) IN ('', 'nan')) AS lang,
-                count_if(CAST(source AS VARCHAR) IN ('', 'nan')) AS source FROM documents)
+UNPIVOT (SELECT count(CASE WHEN CAST(text AS VARCHAR) IN ('', 'nan') THEN 1 END) AS text,
+                count(CASE WHEN CAST(lang AS VARCHAR) IN ('', 'nan') THEN 1 END) AS lang,
+                count(CASE WHEN CAST(source AS VARCHAR) IN ('', 'nan') THEN 1 END) AS source FROM documents)
 ON text, lang, source INTO NAME "column" VALUE missing""")
 def q_missing_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Raw '' / 'nan' values per text column."""
@@ -92,8 +92,8 @@ def q_dataset_shape(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register("us_vs_other_users", f"""
-SELECT count_if(COALESCE(contains(location, '{HOME}'), false)) AS home,
-       count(*) - count_if(COALESCE(contains(location, '{HOME}'), false)) AS other FROM {ULOC} u""")
+SELECT count(CASE WHEN COALESCE(contains(location, '{HOME}'), false) THEN 1 END) AS home,
+       count(*) - count(CASE WHEN COALESCE(contains(location, '{HOME}'), false) THEN 1 END) AS other FROM {ULOC} u""")
 def q_us_vs_other_users(spark: SparkSession, sf: str) -> DataFrame:
     """Users at home vs elsewhere (NULL locations count as elsewhere)."""
     return CL.us_vs_other_users(C.user_locations(spark, sf))
@@ -130,7 +130,7 @@ def q_percentile_value(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register("count_above_percentile", """
-SELECT count_if(value > (SELECT quantile_cont(value, 0.5) FROM events)) AS n_above FROM events""")
+SELECT count(CASE WHEN value > (SELECT quantile_cont(value, 0.5) FROM events) THEN 1 END) AS n_above FROM events""")
 def q_count_above_percentile(spark: SparkSession, sf: str) -> DataFrame:
     """Events strictly above the median value."""
     return A.count_above_percentile(C.table(spark, sf, "events"), "value", 50)
@@ -165,7 +165,7 @@ def q_histogram(spark: SparkSession, sf: str) -> DataFrame:
 @register("percentile_histogram_report", _hist_sql(
     ULOC, "nbr_reviews", 10,
     f""", round((SELECT quantile_cont(nbr_reviews, 0.5) FROM {ULOC} u), 6) AS percentile,
-       (SELECT count_if(nbr_reviews > (SELECT quantile_cont(nbr_reviews, 0.5) FROM {ULOC} u2)) FROM {ULOC} u3) AS n_above"""))
+       (SELECT count(CASE WHEN nbr_reviews > (SELECT quantile_cont(nbr_reviews, 0.5) FROM {ULOC} u2) THEN 1 END) FROM {ULOC} u3) AS n_above"""))
 def q_percentile_histogram_report(spark: SparkSession, sf: str) -> DataFrame:
     """Histogram of reviews per user with the median and the count above it."""
     rep = A.percentile_histogram_report(C.user_locations(spark, sf), "nbr_reviews", 50, 10)
@@ -199,11 +199,11 @@ ABV_EDGES = [9.0, 9.25, 9.5, 9.75, 10.0]
 
 @register("abv_bins", f"""
 SELECT bin, count(*) AS count, round(avg(abv), 6) AS avg_abv FROM
-  (SELECT abv, CASE WHEN abv >= 9.0 AND abv < 9.25 THEN 0 WHEN abv >= 9.25 AND abv < 9.5 THEN 1
-                    WHEN abv >= 9.5 AND abv < 9.75 THEN 2 WHEN abv >= 9.75 AND abv <= 10.0 THEN 3 END AS bin
-   FROM {ITEMS} i) x WHERE bin IS NOT NULL GROUP BY bin""")
+  (SELECT abv, CASE WHEN abv < 9.25 THEN 0 WHEN abv < 9.5 THEN 1 WHEN abv < 9.75 THEN 2
+                    WHEN abv IS NOT NULL THEN 3 END AS bin
+   FROM {ITEMS} i) x GROUP BY bin""")
 def q_abv_bins(spark: SparkSession, sf: str) -> DataFrame:
-    """Beers per abv interval."""
+    """Beers per abv interval (first and last open, NULL apart)."""
     out = A.abv_bins(C.items(spark, sf), "abv", ABV_EDGES, "abv")
     return out.select(F.col("bin").cast("int").alias("bin"), "count", r6("avg_abv"))
 

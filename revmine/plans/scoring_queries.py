@@ -1,7 +1,6 @@
 """Scoring queries over sentences of the English documents.
 
-Sentences are the scored texts (reviews of the study were short; most test
-documents are longer than the 500-character guard).  A sentence's ``score``
+Sentences are the scored texts (reviews of the study were short).  A sentence's ``score``
 is its document's length class 0-5 and its ``location`` the document source.
 The label rule is the deterministic first-letter lexicon (the test prose is
 invented words, so no real cue word occurs).
@@ -53,10 +52,9 @@ def _rule_sql(var: str, labels) -> str:
             f"{arr}[CAST(floor((ascii({var}) - 97) * {n} / 26) AS INTEGER) + 1] END")
 
 
-def _score_cols_sql(text: str, labels, max_chars: int | None = 500) -> str:
+def _score_cols_sql(text: str, labels) -> tuple[str, str]:
     hits = f"list_filter(list_transform(regexp_extract_all(lower({text}), '\\p{{L}}+'), lambda w: {_rule_sql('w', labels)}), lambda x: x IS NOT NULL)"
-    ok = f"len(h) > 0" + (f" AND length({text}) < {max_chars}" if max_chars else "")
-    cols = ", ".join(f"CASE WHEN {ok} THEN len(list_filter(h, lambda x: x = '{lab}')) / len(h) ELSE 0.0 END AS {lab}"
+    cols = ", ".join(f"CASE WHEN len(h) > 0 THEN len(list_filter(h, lambda x: x = '{lab}')) / len(h) ELSE 0.0 END AS {lab}"
                      for lab in labels)
     return hits, cols
 
@@ -97,7 +95,7 @@ def q_label_argmax(spark: SparkSession, sf: str) -> DataFrame:
     return s.select("doc_id", "sentence_idx", X.label_argmax(EMO).alias("max_feel"))
 
 
-@register("explode_sentences", _w("SELECT doc_id, sentence_idx, review FROM sent"))
+@register("explode_sentences", _w("SELECT doc_id, CAST(sentence_idx AS INTEGER) AS sentence_idx, review FROM sent"))
 def q_explode_sentences(spark: SparkSession, sf: str) -> DataFrame:
     """One row per ; . ? ! piece (empty pieces kept)."""
     return sentences(spark, sf).select("doc_id", F.col("sentence_idx").cast("int").alias("sentence_idx"), "review")
@@ -219,12 +217,13 @@ def q_build_corpus_emotion_split(spark: SparkSession, sf: str) -> DataFrame:
     lab = W.emotion_split(scored_sentences(spark, sf))
     corpus = T.build_corpus(lab, "location", "review", label="polarity").withColumnRenamed("location", "source")
     counts = cut_lineage(T.word_counts(corpus, ["source", "polarity"], stop=T.fixed_stop_words()))
-    crit = T.criticisms_per_entity(counts, "source", k=K, docs=corpus, max_df=MAX_DF)
+    sides = cut_lineage(corpus.select("source", "polarity").distinct())
+    crit = T.criticisms_per_entity(counts, "source", k=K, docs=sides, max_df=MAX_DF)
     return crit.select("source", "rank", "term", F.round("score_diff", 6).alias("score_diff"))
 
 
 def _share_sql() -> str:
-    counts = ", ".join(f"count_if(max_feel = '{e}') AS {e}" for e in EMO)
+    counts = ", ".join(f"count(CASE WHEN max_feel = '{e}' THEN 1 END) AS {e}" for e in EMO)
     tot = " + ".join(EMO)
     return _w(f""",
 cnt AS (SELECT score, {counts} FROM scored GROUP BY score),
@@ -252,7 +251,8 @@ SELECT label, round(CASE WHEN stddev_pop(rx) * stddev_pop(ry) > 0
        count(*) AS n FROM rk GROUP BY label""")
 def q_spearman(spark: SparkSession, sf: str) -> DataFrame:
     """Spearman correlation of each label's share with the score."""
-    sh = A.emotion_share_by_score(scored_sentences(spark, sf), "score", "max_feel", EMO)
+    # a row per score class, read by each branch of the ranks
+    sh = cut_lineage(A.emotion_share_by_score(scored_sentences(spark, sf), "score", "max_feel", EMO))
     sp = M.spearman(sh, "score", EMO)
     return sp.select("label", F.round("spearman", 6).alias("spearman"), "n")
 
@@ -285,7 +285,7 @@ FROM pa"""
 @register("spearman_p_value", _p_value_sql())
 def q_spearman_p_value(spark: SparkSession, sf: str) -> DataFrame:
     """M3: two-sided p-values of the Spearman coefficients (t test, n - 2 dof)."""
-    sh = A.emotion_share_by_score(scored_sentences(spark, sf), "score", "max_feel", EMO)
+    sh = cut_lineage(A.emotion_share_by_score(scored_sentences(spark, sf), "score", "max_feel", EMO))
     p = M.spearman_p_value(M.spearman(sh, "score", EMO))
     return p.select("label", F.round("spearman", 6).alias("spearman"), "n", F.round("p_value", 6).alias("p_value"))
 
@@ -293,7 +293,7 @@ def q_spearman_p_value(spark: SparkSession, sf: str) -> DataFrame:
 @register("emotion_by_location", _w(f"""
 , top AS (SELECT location FROM scored WHERE location IS NOT NULL GROUP BY location
           ORDER BY count(*) DESC, location LIMIT 10)
-SELECT location, {", ".join(f"count_if(max_feel = '{e}') AS {e}" for e in EMO)}, count(*) AS total
+SELECT location, {", ".join(f"count(CASE WHEN max_feel = '{e}' THEN 1 END) AS {e}" for e in EMO)}, count(*) AS total
 FROM scored WHERE location IN (SELECT location FROM top) GROUP BY location""".replace("\n, top", ",\ntop", 1)))
 def q_emotion_by_location(spark: SparkSession, sf: str) -> DataFrame:
     """Label counts for the 10 locations with most sentences (+ total)."""
@@ -302,8 +302,8 @@ def q_emotion_by_location(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("top_locations_by_emotion", _w("""
 SELECT location, round(p, 6) AS percentage FROM
-  (SELECT location, count_if(max_feel = 'sadness') / count(*) * 100.0 AS p FROM scored
-   WHERE location IS NOT NULL GROUP BY location HAVING count(*) > 100 AND count_if(max_feel = 'sadness') > 0) x
+  (SELECT location, count(CASE WHEN max_feel = 'sadness' THEN 1 END) / count(*) * 100.0 AS p FROM scored
+   WHERE location IS NOT NULL GROUP BY location HAVING count(*) > 100 AND count(CASE WHEN max_feel = 'sadness' THEN 1 END) > 0) x
 ORDER BY p DESC, location LIMIT 5"""))
 def q_top_locations_by_emotion(spark: SparkSession, sf: str) -> DataFrame:
     """The 5 locations (over 100 sentences) with the highest sadness share."""
@@ -377,9 +377,9 @@ def q_complaints_by_entity(spark: SparkSession, sf: str) -> DataFrame:
 @register("chunk_words", """
 WITH w AS (SELECT doc_id, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS words FROM documents),
 c AS (SELECT doc_id, words, unnest(range(0, len(words), 750)) AS s FROM w)
-SELECT doc_id, CAST(s / 750 AS INTEGER) AS chunk_idx, substr(array_to_string(words[s + 1:s + 750], ' '), 1, 1000) AS chunk
+SELECT doc_id, CAST(s / 750 AS INTEGER) AS chunk_idx, array_to_string(words[s + 1:s + 750], ' ') AS chunk
 FROM c""")
 def q_chunk_words(spark: SparkSession, sf: str) -> DataFrame:
-    """750-word chunks of every document, cut to 1000 characters."""
-    out = R.chunk_words(C.table(spark, sf, "documents"), "text", 750, 1000, ["doc_id"])
+    """750-word chunks of every document."""
+    out = R.chunk_words(C.table(spark, sf, "documents"), "text", 750, keep=["doc_id"])
     return out.select("doc_id", "chunk_idx", "chunk")

@@ -66,6 +66,11 @@ ranked AS (SELECT source, term, negative, positive, negative - positive AS score
            FROM aligned)"""
 
 
+def _sides(corpus: DataFrame, keys: tuple[str, ...] = ("source", "polarity")) -> DataFrame:
+    """The documents of a corpus (those without tokens too), materialised: they are counted twice."""
+    return cut_lineage(corpus.select(*keys).distinct())
+
+
 def _crit_out(df: DataFrame) -> DataFrame:
     return df.select("source", "rank", "term", F.round("score_diff", 6).alias("score_diff"),
                      F.round("negative", 6).alias("negative"), F.round("positive", 6).alias("positive"))
@@ -91,7 +96,7 @@ def q_criticisms_per_entity(spark: SparkSession, sf: str) -> DataFrame:
     """Per source, the 10 terms most specific to its negative side."""
     corpus = split_corpus(spark, sf)
     counts = cut_lineage(T.word_counts(corpus, ["source", "polarity"], stop=_stop()))
-    crit = T.criticisms_per_entity(counts, "source", k=K, docs=corpus, max_df=MAX_DF)
+    crit = T.criticisms_per_entity(counts, "source", k=K, docs=_sides(corpus), max_df=MAX_DF)
     return _crit_out(crit)
 
 
@@ -102,7 +107,7 @@ def q_top_negative_words(spark: SparkSession, sf: str) -> DataFrame:
     corpus = split_corpus(spark, sf)
     counts = cut_lineage(T.word_counts(corpus, ["source", "polarity", "doc_id"], stop=_stop()))
     crit = T.top_negative_words(counts, ["source", "polarity", "doc_id"], k=K, rank_keys=["source"],
-                                idf_keys=["source", "polarity"], docs=corpus, max_df=MAX_DF)
+                                idf_keys=["source", "polarity"], docs=_sides(corpus, ("source", "polarity", "doc_id")), max_df=MAX_DF)
     return _crit_out(crit)
 
 
@@ -159,7 +164,7 @@ def q_top_negative_words_bigrams(spark: SparkSession, sf: str) -> DataFrame:
     bigrams are scored per side (one document per source and side)."""
     corpus = split_corpus(spark, sf)
     counts = cut_lineage(T.word_counts(corpus, ["source", "polarity"], stop=_stop(), ngram_range=(1, 2)))
-    crit = T.criticisms_per_entity(counts, "source", k=K, docs=corpus, max_df=MAX_DF)
+    crit = T.criticisms_per_entity(counts, "source", k=K, docs=_sides(corpus), max_df=MAX_DF)
     return _crit_out(crit)
 
 
@@ -183,7 +188,7 @@ def q_top_negative_words_lemmatised(spark: SparkSession, sf: str) -> DataFrame:
     (suffix rules), then the per-side tf-idf difference."""
     corpus = split_corpus(spark, sf)
     counts = cut_lineage(T.word_counts(corpus, ["source", "polarity"], stop=_stop(), lemma=T.lemma_rules))
-    crit = T.criticisms_per_entity(counts, "source", k=K, docs=corpus, max_df=MAX_DF)
+    crit = T.criticisms_per_entity(counts, "source", k=K, docs=_sides(corpus), max_df=MAX_DF)
     return _crit_out(crit)
 
 
@@ -193,7 +198,7 @@ def q_align_pos_neg(spark: SparkSession, sf: str) -> DataFrame:
     """Both sides' tf-idf per (source, term), 0 where a side lacks the term."""
     corpus = split_corpus(spark, sf)
     counts = cut_lineage(T.word_counts(corpus, ["source", "polarity"], stop=_stop()))
-    scored = T.tfidf_scores(counts, ["source", "polarity"], group_keys=["polarity"], docs=corpus, max_df=MAX_DF)
+    scored = T.tfidf_scores(counts, ["source", "polarity"], group_keys=["polarity"], docs=_sides(corpus), max_df=MAX_DF)
     al = T.align_pos_neg(scored, ["source"])
     return al.select("source", "term", F.round("negative", 6).alias("negative"), F.round("positive", 6).alias("positive"))
 
@@ -206,7 +211,7 @@ WITH r AS {IR},
 t AS (SELECT quantile_cont(rating, {Q / 100}) AS thr FROM r),
 lab AS (SELECT r.*, CASE WHEN round(rating, 9) <= round(thr, 9) THEN 'negative'
                          WHEN round(rating, 9) > round(thr, 9) THEN 'positive' END AS polarity FROM r CROSS JOIN t),
-cnt AS (SELECT user_id, count(*) AS total, count_if(polarity = 'negative') AS bad FROM lab
+cnt AS (SELECT user_id, count(*) AS total, count(CASE WHEN polarity = 'negative' THEN 1 END) AS bad FROM lab
         WHERE user_id IS NOT NULL GROUP BY user_id)
 {body}"""
 
@@ -214,7 +219,7 @@ cnt AS (SELECT user_id, count(*) AS total, count_if(polarity = 'negative') AS ba
 @register("global_threshold_split", _global_split_sql("""
 SELECT review_id, line, user_id, rating, polarity FROM lab
 WHERE user_id IN (SELECT user_id FROM lab GROUP BY user_id
-                  HAVING count_if(polarity = 'negative') > 10 AND count_if(polarity = 'positive') > 10)"""))
+                  HAVING count(CASE WHEN polarity = 'negative' THEN 1 END) > 10 AND count(CASE WHEN polarity = 'positive' THEN 1 END) > 10)"""))
 def q_global_threshold_split(spark: SparkSession, sf: str) -> DataFrame:
     """T4: one global 10th percentile; users with more than 10 ratings on each side."""
     ir = C.item_ratings(spark, sf).select("review_id", "line", "user_id", "rating")
@@ -251,7 +256,7 @@ def lang_top_attributes(spark: SparkSession, sf: str) -> DataFrame:
     corpus = T.build_corpus(docs.withColumn("doc", F.concat_ws("/", "lang", "source")), "doc", "text",
                             expert="expert", expert_weight=C.EXPERT_WEIGHT, keep=["lang"])
     counts = cut_lineage(T.word_counts(corpus, ["doc", "lang"], stop=_stop()))
-    scores = T.tfidf_scores(counts, ["doc", "lang"], docs=corpus, max_df=MAX_DF)
+    scores = T.tfidf_scores(counts, ["doc", "lang"], docs=_sides(corpus, ("doc", "lang")), max_df=MAX_DF)
     return T.top_attributes(scores, ["doc", "lang"], K)
 
 
@@ -319,7 +324,7 @@ CAT_RULE_SQL = ("CASE WHEN ascii(term) - 97 BETWEEN 0 AND 25 THEN "
 def _crit_categories(spark: SparkSession, sf: str) -> DataFrame:
     corpus = split_corpus(spark, sf)
     counts = cut_lineage(T.word_counts(corpus, ["source", "polarity"], stop=_stop()))
-    crit = T.criticisms_per_entity(counts, "source", k=K, docs=corpus, max_df=MAX_DF)
+    crit = T.criticisms_per_entity(counts, "source", k=K, docs=_sides(corpus), max_df=MAX_DF)
     return SC.classify_attributes(crit, "source", "term", rule=SC.initial_letter_rule(L.CATEGORIES),
                                   categories=L.CATEGORIES)
 

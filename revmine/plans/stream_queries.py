@@ -1,8 +1,8 @@
 """Streaming queries: running per-key statistics (Structured Streaming).
 
-Each run uses a fresh checkpoint sub-folder under ``spark.checkpoint.dir`` and
-a fresh memory-sink name, drains the available input (``availableNow``) and
-returns the sink table as a batch DataFrame.
+Each run uses fresh checkpoint and result folders under ``spark.checkpoint.dir``,
+drains the available input (``availableNow``) and returns the last epoch's
+table as a batch DataFrame.
 """
 
 from __future__ import annotations
@@ -35,9 +35,10 @@ def q_stream_review_stats(spark: SparkSession, sf: str) -> DataFrame:
     d.select(F.concat(block, F.lit("\n")).alias("value")).write.mode("overwrite").text(folder)
     name = _run_id("review_stats")
     ckpt = f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{name}"
-    q = RS.stream_review_stats(spark, folder, by="source", on="n_chars", name=name, checkpoint=ckpt)
+    result = scratch_path(spark, sf, "review_stats")
+    q = RS.stream_review_stats(spark, folder, by="source", on="n_chars", output_path=result, name=name, checkpoint=ckpt)
     q.awaitTermination()
-    out = spark.table(name)
+    out = RS.latest_epoch(spark, result)
     return out.select("source", "review_count", F.round("avg_n_chars", 6).alias("avg_n_chars"))
 
 
@@ -49,5 +50,6 @@ def q_running_stats(spark: SparkSession, sf: str) -> DataFrame:
     name = _run_id("event_stats")
     ckpt = f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{name}"
     schema = C.table(spark, sf, "events").schema.simpleString().replace("struct<", "").rstrip(">").replace(":", " ")
-    out = RS.table_stats_stream(spark, f"{sf.rstrip('/')}/events.parquet", schema, "event_type", "value", name, ckpt)
+    out = RS.table_stats_stream(spark, f"{sf.rstrip('/')}/events.parquet", schema, "event_type", "value", name,
+                                scratch_path(spark, sf, "event_stats"), ckpt)
     return out.select("event_type", "review_count", F.round("avg_value", 6).alias("avg_value"))

@@ -2,7 +2,7 @@
 
 LDA (T25) is iterative and seeded: no SQL twin, rows-only check.  The topic
 tables A19-A21 are checked on a deterministic mixture derived from
-``embeddings`` (squared shares of the first five components).
+``embeddings`` (squared shares of all components).
 """
 
 from __future__ import annotations
@@ -26,13 +26,13 @@ N_TOPICS = 5
 def vector_topics(spark: SparkSession, sf: str) -> DataFrame:
     emb = C.table(spark, sf, "embeddings")
     feel = F.try_element_at(F.array(*[F.lit(e) for e in EMO]), F.least(F.col("label"), F.lit(6)) + 1)
-    return TP.topics_from_vectors(emb, "embedding", N_TOPICS).select(
+    return TP.topics_from_vectors(emb, "embedding").select(
         "vec_id", F.col("label").alias("score"), feel.alias("max_feel"), "topics")
 
 
 VT_SQL = f"""
 tv AS (SELECT vec_id, label AS score, {"[" + ", ".join(f"'{e}'" for e in EMO) + "]"}[least(label, 6) + 1] AS max_feel,
-              list_transform(embedding[1:{N_TOPICS}], lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)) AS head
+              list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)) AS head
        FROM embeddings),
 tp AS (SELECT vec_id, score, max_feel, CAST(unnest(range(len(head))) AS INTEGER) AS topic,
               unnest(head) / list_sum(head) AS prob FROM tv)"""
@@ -146,7 +146,7 @@ def _lda(spark: SparkSession, sf: str):
 
 @register("lda_topics")
 def q_lda_topics(spark: SparkSession, sf: str) -> DataFrame:
-    """Topic mixture per source (seeded online LDA, topics with prob >= 0.01)."""
+    """Topic mixture per source (seeded online LDA)."""
     return _lda(spark, sf)[0]
 
 
@@ -175,5 +175,4 @@ def q_complaints_by_topic(spark: SparkSession, sf: str) -> DataFrame:
     topics = _lda(spark, sf)[0]
     scored = (scored_sentences(spark, sf).withColumnRenamed("location", "source")
               .withColumnRenamed("sentence_idx", "sid"))
-    return TP.complaints_by_topic(topics, scored, 0, "source", "review", n_rows=5000, n=3,
-                                  order=("doc_id", "sid"), id_col=["doc_id", "sid"])
+    return TP.complaints_by_topic(topics, scored, 0, "source", "review", n=3, id_col=["doc_id", "sid"])

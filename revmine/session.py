@@ -71,8 +71,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return configured
     if in_use:
         return in_use
-    # unset (a bare local session): a scratch folder for this context only;
-    # spark.checkpoint.dir is a core setting and cannot be changed at run time
+    # unset: a scratch folder does only where all tasks run on this machine
+    # (spark.checkpoint.dir is a core setting and cannot be changed at run time)
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     folder = tempfile.mkdtemp(prefix="revmine-ckpt-")
     sc.setCheckpointDir(folder)
     return folder
@@ -83,7 +85,9 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
 
     Used after expensive, reused intermediate tables (token counts) so a lost
     executor recomputes from the checkpoint files instead of re-tokenising the
-    whole corpus.  Never a local checkpoint: those die with the executor.
+    whole corpus.  Never a local checkpoint: those die with the executor.  The
+    files stay until the folder is cleared, or go with the frame when
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is true.
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=eager)

@@ -60,22 +60,33 @@ def parse_review_block(df: DataFrame, block: str, keys: Sequence[str] | None = N
     return out.select("*", *cols).drop("_e")
 
 
+def _blocks(spark: SparkSession, path: str, line_end: str) -> DataFrame:
+    """``(_block, _file, _pos)``: the non-blank records of text files, with ``\\n`` line ends."""
+    raw = spark.read.option("lineSep", line_end * 2).text(path)
+    block = F.replace(F.col("value"), F.lit("\r\n"), F.lit("\n")) if line_end == "\r\n" else F.col("value")
+    blocks = raw.select(F.regexp_replace(block, r"^\n+", "").alias("_block"),
+                        F.input_file_name().alias("_file"), F.monotonically_increasing_id().alias("_pos"))
+    return blocks.where(F.trim("_block") != "")
+
+
 # S1
 def read_review_blocks(spark: SparkSession, path: str, keys: Sequence[str] | None = None,
                        casts: Mapping[str, str] | None = L.REVIEW_CASTS, max_reviews: int | None = None,
-                       as_map: str | None = None) -> DataFrame:
+                       as_map: str | None = None, line_end: str = "\n", strict: bool = False) -> DataFrame:
     """Read key-value review records from text files (one row per record).
 
     ``max_reviews`` keeps the first records in file order (file, then
-    position in the file).
+    position in the file).  ``line_end``: ``"\\r\\n"`` for files with Windows
+    line ends.  A line without separator lands in ``_corrupt``; ``strict``
+    makes it an error instead.
     """
-    raw = spark.read.option("lineSep", "\n\n").text(path)
-    blocks = raw.select(F.regexp_replace("value", r"^\n+", "").alias("_block"),
-                        F.input_file_name().alias("_file"), F.monotonically_increasing_id().alias("_pos"))
-    blocks = blocks.where(F.trim("_block") != "")
+    blocks = _blocks(spark, path, line_end)
     if keys is None and as_map is None:
         as_map = "fields"
     parsed = parse_review_block(blocks, "_block", keys, as_map).drop("_block")
+    if strict:
+        bad = F.raise_error(F.concat(F.lit("line without a separator: "), F.get("_corrupt", F.lit(0))))
+        parsed = parsed.withColumn("_corrupt", F.when(F.size("_corrupt") > 0, bad.cast("array<string>")).otherwise(F.col("_corrupt")))
     if casts and keys:
         parsed = cast_review_fields(parsed, {k: v for k, v in casts.items() if k in keys})
     if max_reviews is not None:
@@ -115,28 +126,25 @@ def _nan_to_null(c: Column) -> Column:
 
 
 # S4
-def read_simple_reviews(spark: SparkSession, path: str, n: int | None = None) -> DataFrame:
+def read_simple_reviews(spark: SparkSession, path: str, n: int | None = None, line_end: str = "\n") -> DataFrame:
     """``review, score, beer_name, user_id`` per record.
 
     score = Python ``round`` of the rating (half-even) as int; every "text: "
     is removed from the text and the broken apostrophe becomes "'".  ``n``
-    keeps the first n records of the file order (file position is the order).
+    keeps the first n records in file order (file, then position in the file).
     """
-    raw = spark.read.option("lineSep", "\n\n").text(path)
-    blocks = (raw.select(F.regexp_replace("value", r"^\n+", "").alias("_block"),
-                         F.monotonically_increasing_id().alias("_pos"))
-              .where(F.trim("_block") != ""))
+    blocks = _blocks(spark, path, line_end)
     parsed = parse_review_block(blocks, "_block", ["text", "rating", "beer_name", "user_id"])
     out = parsed.select(
-        "_pos",
+        "_file", "_pos",
         X.fix_mojibake_apostrophe(F.replace(F.concat(F.lit("text: "), F.col("text")), F.lit("text: "), F.lit("")),
                                   "'").alias("review"),
         X.round_half_even(_nan_to_null(F.expr("try_cast(rating AS DOUBLE)"))).try_cast("int").alias("score"),
         F.col("beer_name"),
         F.expr("try_cast(user_id AS BIGINT)").alias("user_id"))
     if n is not None:
-        out = out.orderBy("_pos").limit(n)
-    return out.drop("_pos")
+        out = out.orderBy("_file", "_pos").limit(n)
+    return out.drop("_file", "_pos")
 
 
 def render_review_block(cols: Mapping[str, Column]) -> Column:

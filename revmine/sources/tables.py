@@ -27,34 +27,6 @@ USERS_SCHEMA = T.StructType([
 ])
 
 
-def _bytes(conf_value: str) -> int:
-    v = conf_value.strip().lower()
-    units = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
-    for suffix in ("kb", "mb", "gb", "tb", "k", "m", "g", "t", "b"):
-        if v.endswith(suffix):
-            num = v[: -len(suffix)]
-            return int(float(num) * units.get(suffix[0], 1))
-    return int(v)
-
-
-def spread_small_input(df: DataFrame, key: str, max_bytes: int = 1 << 30) -> DataFrame:
-    """Hash-repartition a *small* scan that yields fewer splits than cores.
-
-    A CPU-heavy text step on a file with one row group would otherwise run in
-    one task.  The spread only happens when the scan has fewer partitions than
-    ``spark.default.parallelism`` and can hold at most ``max_bytes`` (splits are
-    capped at ``spark.sql.files.maxPartitionBytes``), so a large input -- many
-    splits -- is never shuffled for it.
-    """
-    spark = df.sparkSession
-    n = df.rdd.getNumPartitions()
-    cores = spark.sparkContext.defaultParallelism
-    split = _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes", "128m"))
-    if n < cores and n * split <= max_bytes:
-        return df.repartition(cores, key)
-    return df
-
-
 # S5 / S7 / S11
 def read_dim_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """CSV with header, quoted multi-line fields, explicit schema (no inference)."""

@@ -27,23 +27,39 @@ def running_stats(stream: DataFrame, by: str, on: str) -> DataFrame:
             .agg(F.count("*").alias("review_count"), F.avg(F.col(on).cast("double")).alias(f"avg_{on}")))
 
 
-def _overwrite_each_epoch(path: str):
+def _write_epochs(stats: DataFrame, path: str):
+    """Each epoch's table in a folder of its own: a failure leaves the earlier
+    epochs whole, and a retried epoch rewrites the same folder."""
+    empty = stats.sparkSession.createDataFrame([], stats.schema)
+    empty.write.mode("overwrite").parquet(f"{path.rstrip('/')}/epoch=-1")
+
     def write(batch: DataFrame, epoch_id: int) -> None:
-        # complete mode hands over the whole (per-key) table each epoch; an
-        # overwrite is idempotent, so a retried epoch rewrites the same result
-        batch.write.mode("overwrite").parquet(path)
+        batch.write.mode("overwrite").parquet(f"{path.rstrip('/')}/epoch={epoch_id}")
 
     return write
 
 
+def latest_epoch(spark: SparkSession, path: str) -> DataFrame:
+    """The table of the last complete epoch (one without a success mark is being written)."""
+    all_epochs = spark.read.parquet(path)
+    return all_epochs.where(F.col("epoch") == _last(spark, path)).drop("epoch")
+
+
+def _last(spark: SparkSession, path: str) -> int:
+    base = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = base.getFileSystem(spark._jsc.hadoopConfiguration())
+    done = [s.getPath() for s in fs.listStatus(base) if s.getPath().getName().startswith("epoch=")]
+    child = spark._jvm.org.apache.hadoop.fs.Path
+    return max(int(p.getName()[6:]) for p in done if fs.exists(child(p, "_SUCCESS")))
+
+
 def stream_review_stats(spark: SparkSession, folder: str, by: str = "beer_id", on: str = "overall",
-                        name: str = "review_stats", checkpoint: str | None = None,
-                        available_now: bool = True, output_path: str | None = None):
-    """Start the query in complete mode.
+                        *, output_path: str, name: str = "review_stats", checkpoint: str | None = None,
+                        available_now: bool = True):
+    """Start the query in complete mode; read its table with :func:`latest_epoch`.
 
-    Sink: a parquet table at ``output_path`` rewritten each epoch (for
-    production), else a memory table named ``name`` (tests; the result is one
-    row per key).  The checkpoint lives under the cluster's
+    Sink: parquet folders ``epoch=<id>`` below ``output_path``; nothing is
+    gathered on the driver.  The checkpoint lives under the cluster's
     ``spark.checkpoint.dir`` so a restarted driver resumes from the committed
     offsets and state.
     """
@@ -51,17 +67,14 @@ def stream_review_stats(spark: SparkSession, folder: str, by: str = "beer_id", o
     parsed = parse_review_block(blocks, "_block", [by, on])
     stats = running_stats(parsed, by, on)
     ckpt = checkpoint or f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-{name}"
-    writer = stats.writeStream.outputMode("complete").option("checkpointLocation", ckpt)
-    if output_path:
-        writer = writer.foreachBatch(_overwrite_each_epoch(output_path))
-    else:
-        writer = writer.format("memory").queryName(name)
+    writer = (stats.writeStream.outputMode("complete").option("checkpointLocation", ckpt).queryName(name)
+              .foreachBatch(_write_epochs(stats, output_path)))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
     return writer.start()
 
 
 def table_stats_stream(spark: SparkSession, path: str, schema: str, by: str, on: str, name: str,
-                       checkpoint: str | None = None) -> DataFrame:
+                       output_path: str, checkpoint: str | None = None) -> DataFrame:
     """Same running statistics over a parquet file read as a stream; runs to
     the end of the available data and returns the result table."""
     import os
@@ -70,7 +83,7 @@ def table_stats_stream(spark: SparkSession, path: str, schema: str, by: str, on:
     src = spark.readStream.schema(schema).option("pathGlobFilter", name_glob).parquet(folder)
     stats = running_stats(src, by, on)
     ckpt = checkpoint or f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-{name}"
-    q = (stats.writeStream.outputMode("complete").format("memory").queryName(name)
+    q = (stats.writeStream.outputMode("complete").queryName(name).foreachBatch(_write_epochs(stats, output_path))
          .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.table(name)
+    return latest_epoch(spark, output_path)

@@ -178,19 +178,43 @@ def test_enrich_drops_entities_without_reviews(spark):
     assert got == [(1, 2, 3.0)]
 
 
-def test_positions_exact_when_one_key_spans_partitions(spark):
-    from revmine.operators.window import position_in_group
+@pytest.mark.parametrize("reuse", ["true", "false"])
+def test_positions_of_a_hot_key_with_a_kept_column(spark, reuse):
+    """3 M rows, one key with two thirds of them, a kept column: every position against numpy's."""
+    import numpy as np
 
-    hot = [("hot", i) for i in range(400)] + [("cold", i) for i in range(5)]
-    df = spark.createDataFrame(hot, "k string, o int")
-    got = W.running_sum(df, ["k"], ["o"], F.lit(1), "pos", 16)
-    res = {(r["k"], r["o"]): r["pos"] for r in got.collect()}
-    assert all(res[("hot", i)] == i + 1 for i in range(400))
-    assert all(res[("cold", i)] == i + 1 for i in range(5))
-    # the hot key was really spread over several range partitions
-    parts = (df.repartitionByRange(16, "k", "o").withColumn("p", F.spark_partition_id())
-             .where(F.col("k") == "hot").select("p").distinct().count())
-    assert parts > 1
+    from revmine.operators.reshape import collect_by_entity
+
+    n = 3_000_000
+    spark.conf.set("spark.sql.exchange.reuse", reuse)
+    try:
+        df = spark.range(n).select(F.when(F.col("id") % 3 == 0, F.col("id") % 2).otherwise(9).alias("k"),
+                                   (F.col("id") * 7919 % n).alias("h"), F.xxhash64("id").alias("payload"))
+        got = collect_by_entity(df, "k", "h", keep=["payload"]).toArrow()
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+    k, h, pos = (got.column(c).to_numpy() for c in ("k", "h", "position"))
+    assert len(k) == n
+    for key in (0, 1, 9):
+        mine = np.argsort(h[k == key])
+        assert (pos[k == key][mine] == np.arange(1, len(mine) + 1)).all()
+
+
+def test_null_keys_are_a_group(spark):
+    df = spark.createDataFrame([(None, 2), (None, 1), ("a", 5)], "k string, o int")
+    got = {(r["k"], r["o"]): r["pos"] for r in W.running_sum(df, ["k"], ["o"], F.lit(1), "pos").collect()}
+    assert got == {(None, 1): 1, (None, 2): 2, ("a", 5): 1}
+
+
+def test_abv_bins_lose_no_row(spark):
+    df = spark.createDataFrame([(8.0,), (9.0,), (9.25,), (11.0,), (None,), (float("nan"),)], "abv double")
+    got = {r["bin"]: r["count"] for r in A.abv_bins(df, "abv", [9.0, 9.25, 9.5, 9.75, 10.0]).collect()}
+    assert got == {0: 2, 1: 1, 3: 1, None: 2}
+
+
+def test_doc_term_long(spark):
+    wide = spark.createDataFrame([("x", 2, 0), ("y", 0, 1)], "e string, hops long, malt long")
+    assert rows(T.doc_term_long(wide, "e"), "e", "term", "tf") == [("x", "hops", 2), ("y", "malt", 1)]
 
 
 def test_clean_tokens_pos_filter(spark):
@@ -292,7 +316,7 @@ def test_bigrams_skip_stop_words_like_the_vectorizer(spark):
 def test_percentile_methods_agree(spark):
     df = spark.createDataFrame([("a", float(v)) for v in range(1, 101)] + [("b", 7.0)], "e string, x double")
     rank = {r["e"]: r["percentile"] for r in J.attach_entity_percentile(df, "e", "x", 10).collect()}
-    agg = {r["e"]: r["percentile"] for r in J.attach_entity_percentile(df, "e", "x", 10, method="aggregate").collect()}
+    agg = {r["e"]: r["p"] for r in df.groupBy("e").agg(F.percentile("x", 0.1).alias("p")).collect()}
     approx = {r["e"]: r["percentile"] for r in J.attach_entity_percentile(df, "e", "x", 10, approx=True).collect()}
     assert rank == agg and abs(rank["a"] - 10.9) < 1e-12 and rank["b"] == 7.0
     assert abs(approx["a"] - rank["a"]) <= 1.0

@@ -4,6 +4,8 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+import pytest
+
 from revmine.sources import reviews as RV
 from revmine.sources import tables as ST
 
@@ -67,7 +69,7 @@ def test_max_reviews_keeps_file_order(spark, tmp_path):
 
 
 def test_stream_stats_to_parquet(spark, tmp_path):
-    from revmine.streaming.review_stats import stream_review_stats
+    from revmine.streaming.review_stats import latest_epoch, stream_review_stats
 
     folder = tmp_path / "in"
     folder.mkdir()
@@ -75,7 +77,7 @@ def test_stream_stats_to_parquet(spark, tmp_path):
     out = str(tmp_path / "out")
     q = stream_review_stats(spark, str(folder), checkpoint=str(tmp_path / "ckpt"), output_path=out)
     q.awaitTermination()
-    got = sorted((r["beer_id"], r["review_count"], r["avg_overall"]) for r in spark.read.parquet(out).collect())
+    got = sorted((r["beer_id"], r["review_count"], r["avg_overall"]) for r in latest_epoch(spark, out).collect())
     assert got == [("1", 2, 3.0), ("2", 1, 5.0)]
 
 
@@ -90,14 +92,25 @@ def test_load_dimensions(spark, tmp_path):
     assert str(users.first()["joined"]) == "2020-09-13 12:26:40"
 
 
-def test_spread_only_small_scans(spark, tmp_path):
-    path = str(tmp_path / "t.parquet")
-    spark.range(1000).withColumnRenamed("id", "k").coalesce(1).write.parquet(path)
-    df = spark.read.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    assert ST.spread_small_input(df, "k").rdd.getNumPartitions() == cores
-    assert ST.spread_small_input(df, "k", max_bytes=0).rdd.getNumPartitions() == df.rdd.getNumPartitions()
-    assert ST._bytes("128m") == 128 << 20 and ST._bytes("1g") == 1 << 30 and ST._bytes("4096") == 4096
+def test_windows_line_ends_and_strict(spark, tmp_path):
+    unix, windows = tmp_path / "u.txt", tmp_path / "w.txt"
+    unix.write_bytes(BLOCKS.encode())
+    windows.write_bytes(BLOCKS.replace("\n", "\r\n").encode())
+    keys = ["beer_name", "text", "rating"]
+    a = RV.read_review_blocks(spark, str(unix), keys, None).collect()
+    b = RV.read_review_blocks(spark, str(windows), keys, None, line_end="\r\n").collect()
+    assert sorted(map(str, a)) == sorted(map(str, b)) and len(a) > 1
+    bad = tmp_path / "bad.txt"
+    bad.write_text("beer_name: A\nno separator here\n\nbeer_name: B\n")
+    assert sorted(r["beer_name"] for r in RV.read_review_blocks(spark, str(bad), ["beer_name"]).collect()) == ["A", "B"]
+    with pytest.raises(Exception, match="without a separator"):
+        RV.read_review_blocks(spark, str(bad), ["beer_name"], strict=True).collect()
+
+
+def test_scratch_folders_are_new_for_each_call(spark):
+    from revmine.plans.io_paths import scratch_path
+
+    assert scratch_path(spark, "x", "n") != scratch_path(spark, "x", "n")
 
 
 def test_blocks_survive_file_splits(spark, tmp_path):
