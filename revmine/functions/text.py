@@ -180,6 +180,13 @@ def join_terms(arr, sep: str = ", ") -> Column:
     return F.array_join(_c(arr), sep)
 
 
+# X16
+def location_label(place, rating, attrs: list[str], sep: str = ", ") -> Column:
+    """Place, rating with two decimals and the attributes that are not null, as plain text."""
+    shown = F.when(_c(rating).isNotNull(), F.format_string("%.2f", _c(rating)))
+    return F.concat_ws(sep, _c(place), shown, *[F.col(a) for a in attrs])
+
+
 # X17
 def round_half_even(col) -> Column:
     """Python's ``round``: half to even (2.5 -> 2)."""

@@ -357,6 +357,12 @@ def pivot_ranks(ranked: DataFrame, keys: Sequence[str], k: int, value: str = "te
             .select(*keys, *[F.col(str(i)).alias(f"{prefix}{i}") for i in range(1, k + 1)]))
 
 
+def pivot_top_attributes(ranked: DataFrame, by: str | Sequence[str], k: int, prefix: str = "top_attr_",
+                         value: str = "attribute", rank: str = "rank") -> DataFrame:
+    """The ranked attributes of each group as ``k`` columns, NULL where a group has fewer."""
+    return pivot_ranks(ranked.where(F.col(rank) <= k), _list(by), k, value, rank, prefix)
+
+
 def top_attributes(scores: DataFrame, keys: Sequence[str], k: int = 10, prefix: str = "attr_",
                    score: str = "tfidf", term: str = "term") -> DataFrame:
     """Wide ``keys, attr_1..attr_k``; the whole vocabulary is ranked."""

@@ -52,6 +52,11 @@ def quantile_split(df: DataFrame, entity: str, col: str = "rating", q: float = 1
     return pos_neg_partition(with_p, col, "percentile", out)
 
 
+def entity_percentile_split(df: DataFrame, entity: str, col: str = "rating", q: float = 10.0) -> DataFrame:
+    """Each row with its entity's q-th percentile as ``percentile``; entities of NULL rows are left out."""
+    return attach_entity_percentile(df, entity, col, q)
+
+
 def global_threshold_split(df: DataFrame, entity: str, col: str = "rating", q: float = 10.0,
                            min_each: int = 10, out: str = "polarity") -> DataFrame:
     """T4: one global percentile as threshold, then keep entities with more than

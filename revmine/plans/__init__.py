@@ -2,6 +2,7 @@
 
 from revmine.plans import (  # noqa: F401  (importing registers the queries)
     function_queries,
+    named_queries,
     relational_queries,
     scoring_queries,
     source_queries,

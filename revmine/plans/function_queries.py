@@ -140,8 +140,7 @@ WITH u AS (SELECT location, avg_overall,
            FROM {ULOC} x WHERE location IS NOT NULL),
 s AS (SELECT location, state, {_state_map_sql()}[state] AS state_code, avg(avg_overall) AS a
       FROM u GROUP BY location, state)
-SELECT location, concat_ws(chr(10), location, printf('%.2f', a),
-                           array_to_string(list_filter([state, state_code], lambda x: x IS NOT NULL), chr(10))) AS label
+SELECT location, concat_ws(chr(10), location, CASE WHEN a IS NOT NULL THEN printf('%.2f', a) END, state, state_code) AS label
 FROM s"""
 
 
@@ -153,10 +152,7 @@ def q_location_label(spark: SparkSession, sf: str) -> DataFrame:
     u = CL.state_from_location(C.user_locations(spark, sf), "location")
     per = u.where(F.col("location").isNotNull()).groupBy("location", "state", "state_code").agg(
         F.avg("avg_overall").alias("avg_overall"))
-    details = F.array_compact(F.array(F.col("state"), F.col("state_code")))
-    label = F.concat_ws("\n", F.col("location"), F.format_string("%.2f", F.col("avg_overall")),
-                        F.array_join(details, "\n"))
-    return per.select("location", label.alias("label"))
+    return per.select("location", X.location_label("location", "avg_overall", ["state", "state_code"], "\n").alias("label"))
 
 
 # --- word cloud side -----------------------------------------------------------------
@@ -266,11 +262,12 @@ def q_weighted_term_count(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register("stop_word_union", """
-SELECT term FROM {english} UNION SELECT term FROM {places}""")
+SELECT term FROM {english} UNION SELECT lower(n_name) AS term FROM nation UNION SELECT lower(r_name) AS term FROM region""")
 def q_stop_word_union(spark: SparkSession, sf: str) -> DataFrame:
-    """Union of stop lists (English list and the data's place column as a DataFrame)."""
-    places = spark.createDataFrame([(w,) for w in [*L.POUR_WORDS, *L.PLACE_WORDS]], "term string")
-    return T.stop_word_union(spark, T.english_stop_words(), places)
+    """Union of the English list and the place names of the data."""
+    nations = C.table(spark, sf, "nation").select(F.lower("n_name").alias("term"))
+    regions = C.table(spark, sf, "region").select(F.lower("r_name").alias("term"))
+    return T.stop_word_union(spark, T.english_stop_words(), nations, regions)
 
 
 @register("collect_by_entity", """
@@ -293,7 +290,7 @@ def _fill_templates() -> None:
             "{lemma}", _lemma_sql("term"))
     registry.ORACLES["join_terms"] = registry.ORACLES["join_terms"].replace("{top}", top)
     registry.ORACLES["stop_word_union"] = registry.ORACLES["stop_word_union"].replace(
-        "{english}", S.values(T.english_stop_words())).replace("{places}", S.values([*L.POUR_WORDS, *L.PLACE_WORDS]))
+        "{english}", S.values(T.english_stop_words()))
 
 
 _fill_templates()
