@@ -35,7 +35,7 @@ from revmine.llm.words import ALNUM_LOWER, chunks, words
 
 WINDOW = 13
 #: candidate starts that a task looks at together
-CANDIDATES = 1 << 20
+CANDIDATES = 1 << 18
 
 
 def _planes(a: np.ndarray) -> bytes:

@@ -34,11 +34,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from revmine.llm.common import stored
-from revmine.llm.words import SPACED, chunks, words
+from revmine.llm.words import SPACED, Words, chunks, coded, raw
 
 BLOCK = 16_384
 _HEAD = "<4sHHIIQQ"
-_CACHE = 300_000
+_CACHE = 600_000  # units that a task keeps
 
 
 def bits_for(vocabulary_size: int) -> int:
@@ -113,49 +113,92 @@ class TokenFile:
         return self.ids(int(self.starts[i]), int(self.starts[i + 1]))
 
 
+_LETTER = np.zeros(256, bool)
+_LETTER[ord("a"):ord("z") + 1] = _LETTER[ord("A"):ord("Z") + 1] = True
+_MARK = np.array([0x21 <= b <= 0x7E and not chr(b).isalnum() for b in range(256)])
+
+
+def units(texts: pa.Array) -> Words:
+    """Stretches of a null-free slice whose ids do not depend on what is around them.
+
+    For tokenizers that drop white space, fold case and never join an ASCII
+    letter with an ASCII mark after it: texts are cut at ASCII white space and
+    between such a letter and mark.  A-Z is folded here already, except before
+    a non-ASCII character, which may be an accent that composes with the letter.
+    """
+    data, offs = raw(texts)
+    plain_next = np.append(data[1:] < 0x80, True) if len(data) else np.zeros(0, bool)
+    folded = np.where((data >= 65) & (data <= 90) & plain_next, data + 32, data).astype(np.uint8)
+    cut = np.zeros(len(data), bool)
+    cut[1:] = _LETTER[data[:-1]] & _MARK[data[1:]]
+    return coded(folded, offs, SPACED.keep[data], cut)
+
+
 class _Encoder:
-    """Ids of texts.  A tokenizer that drops white space and never joins what it
-    divides is asked once for each distinct word; any other for each text."""
+    """Ids of texts.  With ``by_unit`` the tokenizer is asked once for each distinct
+    unit while there is room; else for each text."""
 
-    def __init__(self, tokenizer_json: str, end_id: int, by_word: bool):
+    def __init__(self, tokenizer_json: str, end_id: int, by_unit: bool):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tok = Tokenizer.from_str(tokenizer_json)
         self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.end, self.by_word, self.known = end_id, by_word, {}
+        self.end, self.by_unit = end_id, by_unit
+        self.divider = self._lists(["\x01"])[0] if by_unit else []
+        self._forget()
+
+    def _forget(self) -> None:
+        self.place: dict[bytes, int] = {}
+        self.flat, self.size = np.array([self.end], np.uint32), np.ones(1, np.int64)  # the end id comes first
 
     def _lists(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, new: list[bytes]) -> None:
+        """Encode units many at a time, parted by a character that has an id of its own."""
+        alone = [u for u in new if b"\x01" in u] if len(self.divider) == 1 else new
+        rest = [u for u in new if b"\x01" not in u] if len(self.divider) == 1 else []
+        parts, sizes = [self.flat], [self.size]
+        for i in range(0, len(rest), 2000):
+            some = rest[i:i + 2000]
+            ids = np.array(self._lists([" \x01 ".join([u.decode("utf-8", "replace") for u in some]) + " \x01"])[0], np.uint32)
+            at = np.flatnonzero(ids == self.divider[0])
+            if len(at) != len(some):
+                raise ValueError("the tokenizer does not keep units apart; use by_unit=False")
+            sizes.append(np.diff(at, prepend=-1) - 1)
+            parts.append(np.delete(ids, at))
+        for x in self._lists([u.decode("utf-8", "replace") for u in alone]):
+            parts.append(np.array(x, np.uint32))
+            sizes.append(np.array([len(x)]))
+        self.place.update(zip(rest + alone, range(len(self.size), len(self.size) + len(new)), strict=True))
+        self.flat, self.size = np.concatenate(parts), np.concatenate(sizes)
+
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each closed by the end id; starts, n texts + 1)."""
-        if not self.by_word:
+        if not self.by_unit:
             lists = [[*x, self.end] for x in self._lists(texts.to_pylist())]
             return np.array([i for x in lists for i in x], np.uint32), np.cumsum([0, *map(len, lists)])
-        w = words(texts, SPACED)
-        new = [v for v in w.vocabulary if v not in self.known]
-        if len(self.known) + len(new) > _CACHE:
-            self.known, new = {}, w.vocabulary
-        self.known.update(zip(new, self._lists([v.decode("utf-8", "replace") for v in new]), strict=True))
-        lists = [*(self.known[v] for v in w.vocabulary), [self.end]]
-        size = np.array(list(map(len, lists)))
-        flat = np.array([i for x in lists for i in x], np.uint32)
-        begin = np.cumsum(size) - size
-        stream = np.insert(w.codes.astype(np.int64), w.first[1:], len(lists) - 1)
-        n = size[stream]
+        u = units(texts)
+        if len(self.place) > _CACHE:
+            self._forget()
+        self._learn([v for v in u.vocabulary if v not in self.place])
+        where = np.array([self.place[v] for v in u.vocabulary], np.int64)
+        stream = np.insert(where[u.codes], u.first[1:], 0)
+        begin = np.cumsum(self.size) - self.size
+        n = self.size[stream]
         done = np.concatenate([[0], np.cumsum(n)])
         at = np.arange(done[-1]) + np.repeat(begin[stream] - done[:-1], n)
-        return flat[at], done[w.first + np.arange(len(w.first))]
+        return self.flat[at], done[u.first + np.arange(len(u.first))]
 
 
 def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, *, id_col: str = "doc_id",
-                      text_col: str = "text", by_word: bool = True) -> DataFrame:
+                      text_col: str = "text", by_unit: bool = True) -> DataFrame:
     """Encode ``docs`` and store token files: (part, seq, n_docs, n_ids, image).
 
-    ``tokenizer_path`` is read on the driver.  ``by_word`` is for tokenizers
-    whose ids of a text are the ids of its white-space-separated words.  Files
-    ordered by (part, seq) hold the documents in ascending id order.
+    ``tokenizer_path`` is read on the driver.  ``by_unit`` is for tokenizers of
+    the kind that ``units`` names.  Files ordered by (part, seq) hold the
+    documents in ascending id order.
     """
     with open(tokenizer_path, encoding="utf-8") as f:
         tokenizer_json = f.read()
@@ -165,7 +208,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, *, id_c
     bits = bits_for(size)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, seq = _Encoder(tokenizer_json, end_id, by_word), TaskContext.get().partitionId(), 0
+        encoder, part, seq = _Encoder(tokenizer_json, end_id, by_unit), TaskContext.get().partitionId(), 0
         for batch in batches:
             for lo, texts in chunks(batch.column("text")):
                 ids, starts = encoder(texts)

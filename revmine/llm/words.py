@@ -87,17 +87,23 @@ class Words:
 def words(texts: pa.Array, cls: WordClass) -> Words:
     """The words of a null-free slice as codes into the slice's own vocabulary (exact)."""
     data, offs = raw(texts)
-    inside = cls.keep[data]
+    return coded(cls.fold[data], offs, cls.keep[data])
+
+
+def coded(data: np.ndarray, offs: np.ndarray, inside: np.ndarray, cut: np.ndarray | None = None) -> Words:
+    """Words of bytes: maximal runs of ``inside``, also begun at each ``cut`` and at each text's start."""
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
+    if cut is not None:
+        begins |= cut & inside
     at = offs[:-1][offs[:-1] < len(data)]
     begins[at] = inside[at]
     first = np.searchsorted(np.flatnonzero(begins), offs).astype(np.int64)
-    compact = cls.fold[data[inside]]
+    compact = data[inside]
     edges = np.append(np.flatnonzero(begins[inside]), len(compact)).astype(np.int32)
     n = len(edges) - 1
     if not n:
         return Words(np.zeros(0, np.int32), first, [])
     column = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(edges), pa.py_buffer(compact)])
-    coded = column.dictionary_encode()
-    return Words(coded.indices.to_numpy(zero_copy_only=False).astype(np.int32), first, coded.dictionary.to_pylist())
+    found = column.dictionary_encode()
+    return Words(found.indices.to_numpy(zero_copy_only=False).astype(np.int32), first, found.dictionary.to_pylist())

@@ -44,9 +44,9 @@ def test_query_equals_the_tokenizer(spark):
     assert got == want
 
 
-@pytest.mark.parametrize("by_word", [True, False])
-def test_odd_rows_read_back_by_random_access(spark, odd, by_word, tmp_path):
-    files = TF.write_token_files(odd, PATH, 1, by_word=by_word)
+@pytest.mark.parametrize("by_unit", [True, False])
+def test_odd_rows_read_back_by_random_access(spark, odd, by_unit, tmp_path):
+    files = TF.write_token_files(odd, PATH, 1, by_unit=by_unit)
     rows = sorted(files.collect(), key=lambda r: (r["part"], r["seq"]))
     got = []
     for r in rows:
@@ -76,6 +76,7 @@ def test_every_character_encodes_as_in_its_text():
         encoder = TF._Encoder(f.read(), 1, True)
     import pyarrow as pa
     cps = [chr(c) for c in range(1, 0x30000, 7) if not 0xD800 <= c < 0xE000]
-    texts = ["".join(f"a{c}1 {c}{c} b{c}\n{c}!" for c in cps[i:i + 50]) for i in range(0, len(cps), 50)]
+    texts = ["".join(f"a{c}1 {c}{c} bJ{c}\n{c}! 'S,W{c}.T{c}T's" for c in cps[i:i + 50]) for i in range(0, len(cps), 50)]
+    texts += ["\x01", "a\x01b \x01 !\x01 c", "J\u030c j\u030c I\u0307 DON'T X''S rock'n'roll"]
     ids, starts = encoder(pa.array(texts))
     assert [ids[a:b].tolist() for a, b in zip(starts[:-1], starts[1:], strict=True)] == reference(texts)
