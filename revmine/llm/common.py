@@ -29,6 +29,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def if_small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """A stored table of a few narrow columns, to be broadcast if it has ``rows`` rows at most.
+
+    Beyond that Spark joins it by its own statistics, with a shuffle and the
+    split of skewed partitions.
+    """
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def learnable(id_col: str = "doc_id") -> Column:
     """Labels that may be learnt from: crc32 of the id as text is no multiple of 5."""
     return F.crc32(F.col(id_col).cast("string")) % 5 != 0

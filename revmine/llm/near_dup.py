@@ -11,14 +11,17 @@ bucket, edges run from members to hubs and not between all pairs:
 
 1. every class proposes one edge, to the least hub over its buckets; edges are
    confirmed on the full sets, and confirmed ones make the first components;
-2. in each bucket that still holds several components, classes outside its
-   largest component become hubs in turn (at most ``HUBS`` a round) for members
-   of other components; a class that has been a hub leaves the bucket.  Pairs
-   are confirmed likewise.  Rounds go on until no bucket holds two components.
+2. in a bucket that still holds several components, the classes outside its
+   largest component are hubs for members of other components, if they are
+   ``HUBS`` at most;
+3. the members of the remaining buckets (texts around a passage that many
+   share) are dealt into finer buckets by the rarest quarter of their shingles,
+   which no similar pair escapes, and there up to ``ROUND_HUBS`` such classes a round
+   are hubs, until no bucket holds two components.
 
 So each pair in a bucket is compared or already connected, and a group of n
-copies costs about n edges a round.  A pair of similarity 0.75 shares no bucket
-with probability 1e-4 (0.8: 5e-7); pairs below 0.75 are never linked.
+copies costs about n edges.  A pair of similarity 0.75 shares no bucket with
+probability 1e-4 (0.8: 5e-7); pairs below 0.75 are never linked.
 
 Words: A-Z lower-cased, runs without ASCII white space; texts of fewer words
 than a shingle have the whole sequence as their one element.  Defined results:
@@ -35,14 +38,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from revmine.llm.common import stored
+from revmine.llm.common import if_small, stored
 from revmine.llm.words import SPACED_LOWER, chunks, words
 
 SHINGLE = 5
 BANDS, ROWS = 48, 6
-HUBS = 16
+HUBS = 16           # more classes outside the largest component make a bucket crowded
+ROUND_HUBS = 1024   # of a fine bucket in one round
 MIN_PERCENT = 75  # 100 * intersection >= MIN_PERCENT * union
 
 _ODD = np.random.default_rng(11).integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -148,22 +152,22 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int = MIN_PERCENT) -> D
     kind = pairs.schema["a"].dataType.simpleString()
     one, two = texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b"))
     joined = pairs.select("a", "b").join(one, "a").join(two, "b")
-    return joined.select("a", "b", "text_a", "text_b").mapInArrow(run, f"a {kind}, b {kind}").distinct()
+    return joined.select("a", "b", "text_a", "text_b").mapInArrow(run, f"a {kind}, b {kind}")
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, comp): connected components of undirected edges (a, b), by contraction.
+    """(node, comp): connected components of undirected, stored edges (a, b), by contraction.
 
     Each round every node points to its least neighbour (or itself), pointers
     are followed once more, and edges are carried over to the nodes pointed to.
     Every node with an edge loses at least its partner, so rounds are
     logarithmic; star-shaped edges take one.
     """
-    edges = stored(edges.select("a", "b").where("a <> b"), "edges")
+    edges = edges.select("a", "b").where("a <> b")
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     label = None
     while True:
-        down = stored(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("to")), "pointers")
+        down = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("to"))
         second = down.select(F.col("a").alias("_m"), F.col("to").alias("_t"))
         point = stored(down.join(second, F.col("to") == F.col("_m"), "left").select("a", F.coalesce("_t", "to").alias("to")), "pointers")
         if label is None:
@@ -182,18 +186,80 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _relabelled(comp: DataFrame, links: DataFrame) -> DataFrame:
     """Components (node, comp) after confirmed links between nodes; nodes not listed are their own."""
+    if comp.isEmpty():
+        return stored(components(links), "components")
     known = comp.select(F.col("node").alias("_n"), F.col("comp").alias("_c"))
 
     def lifted(col: str) -> DataFrame:
         return links.join(known, F.col(col) == F.col("_n"), "left").withColumn(col, F.coalesce("_c", col)).select("a", "b")
 
     links = lifted("a")
-    merged = components(lifted("b"))
+    merged = components(stored(lifted("b"), "links"))
     up = merged.select(F.col("node").alias("_n"), F.col("comp").alias("_c"))
     old = comp.join(up, F.col("comp") == F.col("_n"), "left").select("node", F.coalesce("_c", "comp").alias("comp"))
     return stored(old.unionByName(merged).groupBy("node").agg(F.min("comp").alias("comp")), "components")
 
 
+def _prefix(hashes: np.ndarray, common: np.ndarray, times: np.ndarray, percent: int) -> np.ndarray:
+    """The first shingles of a set in the order (times seen, hash), so many that any
+    two sets of ``percent`` similarity share one of them."""
+    n = len(hashes)
+    seen = np.zeros(n, np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+        seen = np.where(common[at] == hashes, times[at], 0)
+    return hashes[np.lexsort((hashes, seen))[:n - -(-n * percent // 100) + 1]]
+
+
+def refined(texts: DataFrame, percent: int = MIN_PERCENT, sample_rows: int = 10_000) -> DataFrame:
+    """Buckets (bucket, rep, n, pos) by shingle that no similar pair of ``texts`` (rep, text) escapes.
+
+    Under any one order of all shingles, two sets of ``percent`` similarity
+    share a shingle among the first n - ceil(n * percent / 100) + 1 of each,
+    and from the first shared one on (``pos`` in either set) both are long
+    enough for the overlap that they need.  The order puts shingles last that ``sample_rows`` of the texts often hold,
+    so passages that many texts share seldom make a bucket; the sample decides
+    how large buckets get, never which pairs meet.
+    """
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [s for batch in batches for _, part in chunks(batch.column("text")) for s in shingle_sets(part)]
+        common, times = np.unique(np.concatenate([*found, np.zeros(0, np.uint64)]), return_counts=True)
+        often = times > 2
+        yield pa.RecordBatch.from_arrays([pa.array(common[often].view(np.int64)), pa.array(times[often])], names=["h", "times"])
+
+    sample = texts.select("text").orderBy(F.xxhash64("rep"), "rep").limit(sample_rows).coalesce(1)
+    got = sample.mapInArrow(count, "h long, times long").toArrow()  # a third of the sample's shingles at most
+    common, times = (got.column(c).to_numpy() for c in ("h", "times"))
+    order = np.argsort(common.view(np.uint64))
+    sent = texts.sparkSession.sparkContext.broadcast((common.view(np.uint64)[order], times[order]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, times = sent.value
+        for batch in batches:
+            for lo, part in chunks(batch.column("text")):
+                sets = shingle_sets(part)
+                first = [_prefix(s, common, times, percent) for s in sets]
+                n = [len(f) for f in first]
+                rep = batch.column("rep").slice(lo, len(part)).take(pa.array(np.repeat(np.arange(len(part)), n)))
+                pos = np.concatenate([np.arange(k) for k in n])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(first).view(np.int64)), rep, pa.array(np.repeat([len(s) for s in sets], n)), pa.array(pos)],
+                    names=["bucket", "rep", "n", "pos"])
+
+    kind = texts.schema["rep"].dataType.simpleString()
+    return texts.select("rep", "text").mapInArrow(run, f"bucket long, rep {kind}, n long, pos long")
+
+
+def _open(left: DataFrame, comp: DataFrame) -> DataFrame:
+    """(bucket, rep, n, pos, comp, main, others): the rows of buckets that hold several components,
+    with the largest of these and the number of rows outside it."""
+    known = comp.select(F.col("node").alias("_n"), F.col("comp").alias("_c"))
+    placed = left.join(known, F.col("rep") == F.col("_n"), "left").select("bucket", "rep", "n", "pos", F.coalesce("_c", "rep").alias("comp"))
+    counts = placed.groupBy("bucket", "comp").agg(F.count("*").alias("m"))
+    several = counts.groupBy("bucket").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"), (F.sum("m") - F.max("m")).alias("others"))
+    return stored(placed.join(several.where("others > 0"), "bucket"), "open-buckets")
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS,
                     hubs: int = HUBS, percent: int = MIN_PERCENT) -> DataFrame:
     """(id, n_shingles, component_id, kept) of every row; see the module's text."""
@@ -214,42 +280,37 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     members = classes.select(F.explode("bands").alias("bucket"), "rep", "n")
     crowded = members.groupBy("bucket").agg(F.min("rep").alias("hub"), F.max("rep").alias("_top")).where("hub <> _top").select("bucket", "hub")
     # (bucket, rep, n, hub) of the buckets that several classes share
-    members = stored(members.join(crowded, "bucket"), "buckets")
-    involved = members.select("rep").distinct()
+    members = stored(members.join(if_small(stored(crowded, "crowded")), "bucket"), "buckets")
+    involved = if_small(stored(members.select("rep").distinct(), "involved"))
     texts = stored(docs.select(F.col(id_col).alias("rep"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
                    .join(involved, "rep", "left_semi"), "texts")
 
     # 1. one edge for each class, to its least hub
-    sizes = members.groupBy("rep").agg(F.min("n").alias("n"), F.min("hub").alias("hub"))
-    first = sizes.where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b"))
+    first = members.groupBy("rep").agg(F.min("hub").alias("hub")).where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b"))
     tested = stored(first, "pairs")
     links = stored(confirm(tested, texts, percent), "links")
     if not links.isEmpty():
         comp = _relabelled(comp, links)
 
-    # 2. buckets that hold several components
-    left = members.select("bucket", "rep", "n")
-    while True:
-        known = comp.select(F.col("node").alias("_n"), F.col("comp").alias("_c"))
-        placed = left.join(known, F.col("rep") == F.col("_n"), "left").select("bucket", "rep", "n", F.coalesce("_c", "rep").alias("comp"))
-        counts = placed.groupBy("bucket", "comp").agg(F.count("*").alias("m"))
-        open_ = counts.groupBy("bucket").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"), F.count("*").alias("_k")).where("_k > 1").select("bucket", "main")
-        left = stored(placed.join(open_, "bucket"), "open-buckets")
-        if left.isEmpty():
-            break
-        turn = F.pmod(F.xxhash64("rep"), F.lit(hubs))
-        chosen = left.where("comp <> main").groupBy("bucket", turn.alias("_turn")).agg(F.min(F.struct("rep", "n", "comp")).alias("h"))
-        chosen = stored(chosen.select("bucket", F.col("h.rep").alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.comp").alias("hub_comp")), "hubs")
-        near = (F.col("comp") != F.col("hub_comp")) & (100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n"))
-        pairs = (left.join(chosen, "bucket").where(near)
-                 .select(F.greatest("rep", "hub").alias("a"), F.least("rep", "hub").alias("b")).distinct())
-        pairs = stored(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        tested = tested.unionByName(pairs)
-        links = stored(confirm(pairs, texts, percent), "links")
-        if not links.isEmpty():
-            comp = _relabelled(comp, links)
-        done = chosen.select(F.col("bucket").alias("_b"), F.col("hub").alias("_h"))
-        left = left.join(done, (F.col("bucket") == F.col("_b")) & (F.col("rep") == F.col("_h")), "left_anti").select("bucket", "rep", "n")
+    # 2. buckets with a few rows outside their largest component: these rows are the hubs
+    left = _open(members.select("bucket", "rep", "n", F.lit(0).cast("long").alias("pos")), comp)
+    crowds = stored(left.where(F.col("others") > hubs).select("rep").distinct(), "crowds")
+    comp, tested = _round(left.where(F.col("others") <= hubs), left.where((F.col("others") <= hubs) & (F.col("comp") != F.col("main"))),
+                          comp, tested, texts, percent)
+
+    # 3. members of the other buckets meet again in finer ones
+    if not crowds.isEmpty():
+        left = refined(texts.join(if_small(crowds), "rep", "left_semi"), percent)
+        while True:
+            left = _open(left, comp)
+            if left.isEmpty():
+                break
+            # the first so many in each bucket; tasks keep no more of a bucket before the shuffle
+            nth = F.row_number().over(Window.partitionBy("bucket").orderBy("rep"))
+            chosen = stored(left.where("comp <> main").withColumn("_nth", nth).where(F.col("_nth") <= ROUND_HUBS).drop("_nth"), "hubs")
+            comp, tested = _round(left, chosen, comp, tested, texts, percent)
+            done = chosen.select(F.col("bucket").alias("_b"), F.col("rep").alias("_h"))
+            left = left.join(done, (F.col("bucket") == F.col("_b")) & (F.col("rep") == F.col("_h")), "left_anti").select("bucket", "rep", "n", "pos")
 
     known = comp.select(F.col("node").alias("_n"), F.col("comp").alias("_c"))
     of = classes.select("key", "rep").join(known, F.col("rep") == F.col("_n"), "left").select(F.col("key").alias("_key"), F.coalesce("_c", "rep").alias("_comp"))
@@ -258,6 +319,23 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return out.withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)))
 
 
+def _round(rows: DataFrame, chosen: DataFrame, comp: DataFrame, tested: DataFrame, texts: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Compare hubs with the rows of their buckets in other components: (components, pairs tested so far)."""
+    hub = chosen.select("bucket", F.col("rep").alias("hub"), F.col("n").alias("hub_n"), F.col("pos").alias("hub_pos"), F.col("comp").alias("hub_comp"))
+    # what the two sets can share from here on must reach the least overlap of a link
+    room = F.least(F.col("n") - F.col("pos"), F.col("hub_n") - F.col("hub_pos"))
+    near = (F.col("comp") != F.col("hub_comp")) & ((100 + percent) * room >= percent * (F.col("n") + F.col("hub_n")))
+    # of two hubs in one bucket the pair is made once
+    once = (F.col("comp") == F.col("main")) | (F.col("rep") > F.col("hub"))
+    pairs = (rows.join(hub, "bucket").where(near & once)
+             .select(F.greatest("rep", "hub").alias("a"), F.least("rep", "hub").alias("b")).distinct())
+    pairs = stored(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+    links = stored(confirm(pairs, texts, percent), "links")
+    if not links.isEmpty():
+        comp = _relabelled(comp, links)
+    return comp, tested.unionByName(pairs)
+
+
 def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row of each group of near duplicates, columns unchanged.
 
