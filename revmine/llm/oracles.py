@@ -77,6 +77,28 @@ SELECT conv_id, n_turns::BIGINT AS n_turns, sha256(turns) AS turns_sha256, lengt
 FROM c"""
 
 
+def op7(templates: dict[str, list[str]]) -> str:
+    rows = ", ".join("('" + n + "', '" + t.replace("'", "''") + "')" for n, texts in templates.items() for t in texts)
+    words = f"regexp_extract_all({_LOWERED.format('coalesce(text, chr(32))')}, '{ALNUM}')"
+    return rf"""
+WITH d AS (SELECT doc_id, {words} AS w FROM documents),
+t AS (SELECT row_number() OVER () AS t, name, {words} AS w FROM (VALUES {rows}) v(name, text)),
+ds AS (SELECT doc_id, i - 1 AS p, array_to_string(w[i:i + 4], ' ') AS s
+       FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+ts AS (SELECT DISTINCT t, name, CAST(pow(2, ceil(log2(greatest(len(w) - 4, 1)))) AS BIGINT) AS step, array_to_string(w[i:i + 4], ' ') AS s
+       FROM (SELECT t, name, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM t WHERE len(w) > 0)),
+n AS (SELECT t, count(*) AS n FROM ts GROUP BY t),
+hit AS (SELECT doc_id, t, name, step, p // step AS block, s FROM ds JOIN ts USING (s)),
+win AS (SELECT doc_id, t, name, step, unnest([block - 1, block]) AS k, s FROM hit),
+found AS (SELECT doc_id, t, name, k * step AS pos FROM win JOIN n USING (t) WHERE k >= 0 GROUP BY doc_id, t, name, k, step, n.n
+          HAVING 100 * count(DISTINCT s) >= 75 * n.n),
+m AS (SELECT doc_id, name, min(pos) AS pos FROM found GROUP BY doc_id, name),
+g AS (SELECT doc_id, count(*) AS n_licenses, string_agg(name, ',' ORDER BY name) AS licenses, string_agg(pos::VARCHAR, ',' ORDER BY name) AS first_windows
+      FROM m GROUP BY doc_id)
+SELECT doc_id, coalesce(n_licenses, 0)::BIGINT AS n_licenses, coalesce(licenses, '') AS licenses, coalesce(first_windows, '') AS first_windows
+FROM d LEFT JOIN g USING (doc_id)"""
+
+
 def op10(rules: list[tuple[str, str]], blocked: list[str]) -> str:
     rows = ", ".join(f"('{e}', '{e[:e.index('/')]}', '{e[e.index('/'):]}', '{v}')" for e, v in rules)
     hosts = ", ".join(f"('{h}')" for h in blocked)

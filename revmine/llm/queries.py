@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from revmine.llm import byte_bpe, chat_examples, near_dup, oracles, phrase_index, quality_rank, rule_ledger, token_files, toxicity, url_digests
+from revmine.llm import byte_bpe, chat_examples, license_scan, near_dup, oracles, phrase_index, quality_rank, rule_ledger, token_files, toxicity, url_digests
 from revmine.llm.common import learnable, stored, table
 
 #: entry, verdict
@@ -51,6 +51,12 @@ def op6_chat_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_examples.digests(chat_examples.format_chats(turns.unionByName(probe)))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents")).select(
+        F.col("id").alias("doc_id"), F.size("licenses").cast("long").alias("n_licenses"), F.array_join("licenses", ",").alias("licenses"),
+        F.array_join(F.col("windows").cast("array<string>"), ",").alias("first_windows"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return byte_bpe.digests(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN).withColumnRenamed("id", "doc_id")
@@ -69,10 +75,11 @@ def op10_url_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_token_files, op2_quality_rank, op3_rule_ledger, op4_phrase_index, op5_near_dup, op6_chat_examples,
+    op1_token_files, op2_quality_rank, op3_rule_ledger, op4_phrase_index, op5_near_dup, op6_chat_examples, op7_license_scan,
     op8_byte_bpe, op9_toxicity, op10_url_digests)}
 
 ORACLES = {
     "op3_rule_ledger": oracles.OP3, "op4_phrase_index": oracles.OP4, "op5_near_dup": oracles.OP5,
-    "op6_chat_examples": oracles.op6(PROBE_TEXT), "op10_url_digests": oracles.op10(URL_RULES, BLOCKED_HOSTS),
+    "op6_chat_examples": oracles.op6(PROBE_TEXT), "op7_license_scan": oracles.op7(license_scan.TEMPLATES),
+    "op10_url_digests": oracles.op10(URL_RULES, BLOCKED_HOSTS),
 }
