@@ -30,15 +30,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from revmine.llm.common import stored
-from revmine.llm.words import SPACED, Words, chunks, coded, raw
+from revmine.llm.words import SPACED, Words, chunks, coded, kept, raw
 
 BLOCK = 16_384
 _HEAD = "<4sHHIIQQ"
-_CACHE = 600_000  # units that a task keeps
+_CACHE = 600_000  # units that a worker keeps
 
 
 def bits_for(vocabulary_size: int) -> int:
@@ -160,9 +161,9 @@ class _Encoder:
         alone = [u for u in new if b"\x01" in u] if len(self.divider) == 1 else new
         rest = [u for u in new if b"\x01" not in u] if len(self.divider) == 1 else []
         parts, sizes = [self.flat], [self.size]
-        for i in range(0, len(rest), 2000):
-            some = rest[i:i + 2000]
-            ids = np.array(self._lists([" \x01 ".join([u.decode("utf-8", "replace") for u in some]) + " \x01"])[0], np.uint32)
+        for i in range(0, len(rest), 4000):
+            some = rest[i:i + 4000]
+            ids = np.array(self._lists([(b" \x01 ".join(some) + b" \x01").decode("utf-8", "replace")])[0], np.uint32)
             at = np.flatnonzero(ids == self.divider[0])
             if len(at) != len(some):
                 raise ValueError("the tokenizer does not keep units apart; use by_unit=False")
@@ -206,9 +207,11 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, *, id_c
 
     size = max(Tokenizer.from_str(tokenizer_json).get_vocab_size(), end_id + 1)
     bits = bits_for(size)
+    name = ("encoder", xxhash.xxh3_128_hexdigest(tokenizer_json.encode()), end_id, by_unit)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, seq = _Encoder(tokenizer_json, end_id, by_unit), TaskContext.get().partitionId(), 0
+        encoder = kept(name, lambda: _Encoder(tokenizer_json, end_id, by_unit))
+        part, seq = TaskContext.get().partitionId(), 0
         for batch in batches:
             for lo, texts in chunks(batch.column("text")):
                 ids, starts = encoder(texts)

@@ -7,8 +7,11 @@ character.  All functions take any Arrow string array; null is the empty text.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import sys
+import types
+from collections.abc import Callable, Hashable, Iterator
 from dataclasses import dataclass
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +20,19 @@ import pyarrow as pa
 CHUNK_BYTES = 4 << 20
 
 
+def kept(key: Hashable, make: Callable[[], Any]) -> Any:
+    """An object that this Python worker keeps from task to task, made when first asked for.
+
+    Functions travel to workers by value, so module globals do not last; a
+    module object of its own does.
+    """
+    home = sys.modules.setdefault("_revmine_llm_kept", types.ModuleType("_revmine_llm_kept"))
+    if key not in home.__dict__.setdefault("objects", {}):
+        home.objects.clear()  # one vocabulary at a time
+        home.objects[key] = make()
+    return home.objects[key]
+
+
 @dataclass(frozen=True)
 class WordClass:
     """keep[b]: byte b belongs to a word; fold[b]: the byte it counts as."""
