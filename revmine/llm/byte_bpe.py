@@ -7,7 +7,7 @@ vocabulary with one probe and one comparison.  Second tier: any other
 pre-token is merged byte by byte, over a doubly linked list of pieces with a
 heap of mergeable neighbours, lowest rank first and leftmost among equals.
 
-Each task encodes a pre-token once and keeps its ids while its table has room.
+A worker encodes a pre-token once and keeps its ids while its table has room.
 
 Defined results: a null text is empty and has no ids; repeated rows are encoded
 alike; very long texts and pre-tokens take time n log n.  Columns beside the
@@ -27,11 +27,11 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from revmine.llm.words import chunks, raw
+from revmine.llm.words import chunks, kept, raw
 
 _M64 = (1 << 64) - 1
 _A, _B = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
-_KNOWN = 300_000    # pre-tokens, and units, that a task keeps
+_KNOWN = 300_000    # pre-tokens, and units, that a worker keeps
 _KNOWN_CHARS = 64   # longest of these
 _PAIRS = 1_000_000  # pairs whose rank a task keeps
 
@@ -185,7 +185,7 @@ class BytePairCodec:
     Texts are cut into units before each single space or line feed that stands
     between two characters that are no white space; no pre-token spans such a
     cut and none depends on what is beyond it.  Ids of units and of pre-tokens are worked
-    out once for each task while its tables have room.
+    out once for each worker while its tables have room.
     """
 
     def __init__(self, ranks: PerfectHash, pattern: str):
@@ -289,10 +289,12 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc
     ``ranks_path`` is read on the driver; the vocabulary goes to the tasks, so
     what is sent is as large as that file, whatever the input.
     """
-    table = docs.sparkSession.sparkContext.broadcast(PerfectHash.build(read_ranks(ranks_path)).parts())
+    ranks = read_ranks(ranks_path)
+    table = docs.sparkSession.sparkContext.broadcast(PerfectHash.build(ranks).parts())
+    name = ("codec", xxhash.xxh3_128_hexdigest(repr(ranks).encode()), pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = BytePairCodec(PerfectHash(table.value), pattern)
+        codec = kept(name, lambda: BytePairCodec(PerfectHash(table.value), pattern))
         for batch in batches:
             for lo, texts in chunks(batch.column("text")):
                 ids, at = codec.encode_texts(texts)
@@ -306,10 +308,12 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc
 
 def digests(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode, then decode the ids: (id, n_tokens, ids_sha256, decoded_sha256)."""
-    table = docs.sparkSession.sparkContext.broadcast(PerfectHash.build(read_ranks(ranks_path)).parts())
+    ranks = read_ranks(ranks_path)
+    table = docs.sparkSession.sparkContext.broadcast(PerfectHash.build(ranks).parts())
+    name = ("codec", xxhash.xxh3_128_hexdigest(repr(ranks).encode()), pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = BytePairCodec(PerfectHash(table.value), pattern)
+        codec = kept(name, lambda: BytePairCodec(PerfectHash(table.value), pattern))
         for batch in batches:
             for lo, texts in chunks(batch.column("text")):
                 ids, at = codec.encode_texts(texts)
