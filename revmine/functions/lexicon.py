@@ -105,6 +105,19 @@ KEPT_NEGATIONS = ["not", "no", "never"]
 # Defaults of our own (not from the study).
 # ---------------------------------------------------------------------------
 
+# Irregular English forms, by word class.
+IRREGULAR_LEMMAS = {
+    "NN": {"children": "child", "feet": "foot", "geese": "goose", "halves": "half", "knives": "knife", "leaves": "leaf", "lives": "life",
+           "loaves": "loaf", "men": "man", "mice": "mouse", "oxen": "ox", "people": "person", "teeth": "tooth", "wives": "wife", "women": "woman"},
+    "VB": {"ate": "eat", "became": "become", "been": "be", "began": "begin", "bought": "buy", "brought": "bring", "came": "come", "did": "do",
+           "done": "do", "drank": "drink", "drunk": "drink", "eaten": "eat", "fell": "fall", "felt": "feel", "found": "find", "gave": "give",
+           "given": "give", "gone": "go", "got": "get", "had": "have", "has": "have", "kept": "keep", "knew": "know", "left": "leave",
+           "lost": "lose", "made": "make", "said": "say", "sat": "sit", "saw": "see", "seen": "see", "smelt": "smell", "sold": "sell",
+           "taken": "take", "thought": "think", "took": "take", "was": "be", "went": "go", "were": "be"},
+    "JJ": {"best": "good", "better": "good", "further": "far", "least": "little", "less": "little", "more": "much", "most": "much",
+           "worse": "bad", "worst": "bad"},
+}
+
 # A small English emotion lexicon: default for the lexicon scorer.  Callers
 # with a real model plug it in through ``scorer=`` instead.
 EMOTION_LEXICON = {

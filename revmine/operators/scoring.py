@@ -184,55 +184,62 @@ def cosine(a: Column, b: Column) -> Column:
     return _dot(a, b) / (F.sqrt(_dot(a, a)) * F.sqrt(_dot(b, b)))
 
 
-def classify_vectors(df: DataFrame, centroids: DataFrame, vec: str = "embedding", min_score: float = 0.5,
-                     temperature: float = 0.05, max_categories: int = 10_000) -> DataFrame:
-    """T21 (re-aimed): softmax over cosine similarity to category centroids;
-    ``category`` = arg-max (first category name on ties), ``score`` its
-    probability, ``kept`` when score > ``min_score``.
-
-    The centroid table is bounded by the category set (checked: more than
-    ``max_categories`` raises); it enters every row as one scalar subquery (an
-    array literal at run time): no join, no cross join.  Each step is its own
-    projection so no lambda body embeds another lambda.
+def classify_vectors(df: DataFrame, centroids: DataFrame, key: str, vec: str = "embedding", min_score: float = 0.5,
+                     temperature: float = 0.05, block: int = 1024) -> DataFrame:
+    """T21 (re-aimed): softmax over cosine similarity to category centroids.
+
+    ``(key, category, score, kept)``: ``category`` = arg-max (first category
+    name on ties), ``score`` its probability, ``kept`` when score >
+    ``min_score``.  ``key`` identifies a row.  Categories are taken in blocks
+    of about ``block``: a row meets each block once, and its blocks' maxima and
+    softmax sums are combined, so no task holds more than a block of centroids.
+    Without categories, or for a vector of length 0, category and score are NULL.
     """
-    packed = centroids.agg(
-        F.when(F.count("*") > max_categories,
-               F.raise_error(F.lit(f"more than {max_categories} categories: centroids are not bounded")))
-        .otherwise(F.array_sort(F.collect_list(F.struct(F.col("category").cast("string").alias("category"),
-                                                        F.col("centroid").alias("centroid")))))
-        .alias("c")).scalar()
-    out = df.withColumn("_v", F.transform(F.col(vec), lambda x: x.cast("double")))
-    out = out.withColumn("_vn", F.sqrt(F.aggregate(F.col("_v"), F.lit(0.0), lambda acc, x: acc + x * x)))
-    out = out.withColumn("_c", packed)
+    n_blocks = max(1, -(-centroids.count() // block))
+    cat = F.col("category").cast("string")
+    packed = (centroids.groupBy(F.pmod(F.xxhash64(cat), F.lit(n_blocks)).cast("int").alias("_b"))
+              .agg(F.array_sort(F.collect_list(F.struct(cat.alias("category"), F.col("centroid").alias("centroid")))).alias("_c")))
+    out = df.select(key, F.transform(F.col(vec), lambda x: x.cast("double")).alias("_v"),
+                    F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("_b"))
+    out = out.join(packed, "_b", "left").withColumn("_vn", F.sqrt(_dot(F.col("_v"), F.col("_v"))))
     out = out.withColumn("_sims", F.transform("_c", lambda c: F.struct(
         c["category"].alias("category"),
-        (F.try_divide(F.aggregate(F.zip_with(F.col("_v"), c["centroid"], lambda x, y: x * y), F.lit(0.0),
-                                  lambda a, t: a + t),
-                      F.col("_vn") * F.sqrt(F.aggregate(c["centroid"], F.lit(0.0), lambda a, t: a + t * t)))
-         / temperature).alias("z"))))
-    out = out.withColumn("_zs", F.transform("_sims", lambda s: s["z"]))
-    out = out.withColumn("_zmax", F.array_max("_zs"))
-    out = out.withColumn("_best", F.array_position("_zs", F.col("_zmax")).cast("int"))
-    out = out.withColumn("_den", F.aggregate(F.zip_with("_zs", F.array_repeat(F.col("_zmax"), F.size("_zs")),
-                                                        lambda z, m: F.exp(z - m)),
+        (F.try_divide(F.aggregate(F.zip_with(F.col("_v"), c["centroid"], lambda x, y: x * y), F.lit(0.0), lambda a, t: a + t),
+                      F.col("_vn") * F.sqrt(F.aggregate(c["centroid"], F.lit(0.0), lambda a, t: a + t * t))) / temperature).alias("z"))))
+    out = out.withColumn("_zs", F.transform("_sims", lambda s: s["z"])).withColumn("_zmax", F.array_max("_zs"))
+    out = out.withColumn("_best", F.try_element_at("_sims", F.array_position("_zs", F.col("_zmax")).cast("int"))["category"])
+    out = out.withColumn("_den", F.aggregate(F.zip_with("_zs", F.array_repeat(F.col("_zmax"), F.size("_zs")), lambda z, m: F.exp(z - m)),
                                              F.lit(0.0), lambda a, t: a + t))
-    return (out.withColumn("category", F.try_element_at("_sims", F.col("_best"))["category"])
-            .withColumn("score", F.lit(1.0) / F.col("_den"))
-            .withColumn("kept", F.col("score") > min_score)
-            .drop("_v", "_vn", "_c", "_sims", "_zs", "_zmax", "_best", "_den"))
+    parts = out.groupBy(key).agg(F.collect_list(F.when(F.col("_zmax").isNotNull(), F.struct("_zmax", "_best", "_den"))).alias("_p"))
+    top = parts.withColumn("_top", F.array_max(F.transform("_p", lambda p: p["_zmax"])))
+    first = F.array_min(F.transform(F.filter("_p", lambda p: p["_zmax"] == F.col("_top")), lambda p: p["_best"]))
+    den = F.aggregate("_p", F.lit(0.0), lambda a, p: a + p["_den"] * F.exp(p["_zmax"] - F.col("_top")))
+    return (top.select(key, first.alias("category"), F.try_divide(F.lit(1.0), den).alias("score"))
+            .withColumn("kept", F.col("score") > min_score))
 
 
 def classify_attributes(df: DataFrame, by: str, term: str = "attribute",
                         lexicon: Mapping[str, Sequence[str]] = L.CATEGORY_LEXICON,
-                        rule: LabelRule | None = None, categories: Sequence[str] | None = None) -> DataFrame:
-    """T21 (lexicon variant): attribute -> category by cue words (or ``rule``);
-    one list per category and group, in attribute rank order (``rank`` column
-    if present, else the attribute).  Unmatched attributes are dropped; groups
-    keep empty lists for categories without attributes."""
+                        rule: LabelRule | None = None, categories: Sequence[str] | None = None,
+                        scores: DataFrame | None = None, min_score: float = 0.5) -> DataFrame:
+    """Attribute -> category, one list per category and group, in attribute
+    rank order (``rank`` column if present, else the attribute).
+
+    With ``scores`` ``(term, category, score)``, from any scorer (such as
+    :func:`classify_vectors` over term vectors), an attribute takes its best
+    category (first name on ties) if that scores above ``min_score``.  Else it
+    takes the category whose cue words (or ``rule``) it matches.  Other
+    attributes are dropped; groups keep empty lists for categories without
+    attributes.  A group's attributes are few: its best ranked ones.
+    """
     rule = rule or lexicon_rule(lexicon)
     cats = list(categories or lexicon)
     order = "rank" if "rank" in df.columns else term
-    lab = df.withColumn("category", rule(F.col(term)))
+    if scores is not None:
+        best = scores.groupBy(F.col(term).alias("_t")).agg(F.max("score").alias("_s"), F.min_by("category", F.struct(-F.col("score"), "category")).alias("category"))
+        lab = df.join(best.where(F.col("_s") > min_score).select("_t", "category"), F.col(term) == F.col("_t"), "left")
+    else:
+        lab = df.withColumn("category", rule(F.col(term)))
     return lab.groupBy(by).agg(*[
         F.transform(F.array_sort(F.collect_list(F.when(F.col("category") == c, F.struct(order, term)))),
                     lambda s: s[term]).alias(c) for c in cats])

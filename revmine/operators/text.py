@@ -562,6 +562,38 @@ def lemma_rules(col: Column, min_len: int = 4) -> Column:
     return out.otherwise(col)
 
 
+# Verb and adjective endings; a doubled consonant before them is halved.
+VERB_SUFFIX_RULES = [("ies", "y"), ("ied", "y"), ("sses", "ss"), ("ing", ""), ("ed", ""), ("s", "")]
+ADJECTIVE_SUFFIX_RULES = [("iest", "y"), ("ier", "y"), ("est", ""), ("er", "")]
+
+
+def lemma_by_class(col: Column, pos: Column, min_stem: int = 3) -> Column:
+    """Lemma by word class (``NN``, ``VB``, ``JJ`` ... as in a tag's first two letters).
+
+    Irregular forms come from a table; other nouns follow :func:`lemma_rules`,
+    verbs and adjectives lose their endings if ``min_stem`` letters are left.
+    Words that only look inflected ("beer") need the right class or a lemma table.
+    """
+    tag = F.substring(pos, 1, 2)
+
+    def listed(cls: str) -> Column:
+        table = F.create_map(*[F.lit(x) for kv in L.IRREGULAR_LEMMAS[cls].items() for x in kv])
+        return F.element_at(table, col)
+
+    def cut(rules: Sequence[tuple[str, str]], keep: str) -> Column:
+        out = None
+        for suf, rep in rules:
+            stem_ = F.substr(col, F.lit(1), F.length(col) - len(suf))
+            double = F.regexp_replace(stem_, r"([bdgmnprt])\1$", "$1") if suf in ("ing", "ed", "est", "er") else stem_
+            cond = col.endswith(suf) & (F.length(col) >= min_stem + len(suf)) & ~col.rlike(keep)
+            out = F.when(cond, F.concat(double, F.lit(rep))) if out is None else out.when(cond, F.concat(double, F.lit(rep)))
+        return out.otherwise(col)
+
+    return (F.when(tag == "VB", F.coalesce(listed("VB"), cut(VERB_SUFFIX_RULES, "(ss|us|is)$")))
+            .when(tag == "JJ", F.coalesce(listed("JJ"), cut(ADJECTIVE_SUFFIX_RULES, "eer$")))
+            .when(tag == "NN", F.coalesce(listed("NN"), lemma_rules(col))).otherwise(col))
+
+
 def lemmatise(counts: DataFrame, keys: Sequence[str], term: str = "term", tf: str = "tf",
               lemma_table: DataFrame | None = None) -> DataFrame:
     """Map each *distinct* term to its lemma and re-aggregate.

@@ -13,6 +13,7 @@ from revmine.functions import lexicon as L
 from revmine.functions import text as X
 from revmine.functions.arrays import circular_pair_smooth, circular_triple_smooth
 from revmine.operators import aggregate as A
+from revmine.operators import scoring as SC
 from revmine.operators import text as T
 from revmine.operators import window as W
 from revmine.plans import catalog as C
@@ -162,6 +163,29 @@ def q_corpus_quantile(spark: SparkSession, sf: str) -> DataFrame:
         F.sum("weight").alias("weight"), F.count("*").alias("reviews"))
 
 
+# --- attributes classified by scores, lemmas by word class -------------------------
+
+_SPANS = {"appearance": "a-g", "aroma": "h-m", "palate": "n-r", "taste": "s-z"}
+
+
+@register("classify_attributes_scored", """
+WITH c AS (SELECT p_brand, p_type AS term, count(*) AS n FROM part GROUP BY ALL),
+r AS (SELECT p_brand, term, row_number() OVER (PARTITION BY p_brand ORDER BY n DESC, term) AS rank FROM c),
+s AS (SELECT DISTINCT term, unnest([""" + ", ".join(f"'{c}'" for c in _SPANS) + """]) AS category,
+             unnest([""" + ", ".join(f"length(regexp_replace(lower(term), '[^{r}]', '', 'g')) / length(term)" for r in _SPANS.values()) + """]) AS score FROM r),
+b AS (SELECT term, arg_min(category, (-score, category)) AS category FROM s GROUP BY term HAVING max(score) > 0.4),
+l AS (SELECT p_brand, rank, term, category FROM r LEFT JOIN b USING (term) WHERE rank <= 10)
+SELECT p_brand, """ + ", ".join(f"COALESCE(list(term ORDER BY rank) FILTER (category = '{c}'), []) AS {c}" for c in _SPANS) + " FROM l GROUP BY p_brand")
+def q_classify_attributes_scored(spark: SparkSession, sf: str) -> DataFrame:
+    """T21 with scores: each brand's ten most frequent types by the category that scores above 0.4."""
+    counts = T.attribute_counts(C.table(spark, sf, "part").select("p_brand", F.col("p_type").alias("term")), "p_brand", "term")
+    ranked = T.top_k_per_group(counts, "p_brand", "count", 10, "term")
+    share = F.inline(F.array(*[F.struct(F.lit(c).alias("category"), (F.length(F.regexp_replace(F.lower("term"), f"[^{r}]", "")) / F.length("term")).alias("score"))
+                               for c, r in _SPANS.items()]))
+    scores = counts.select("term").distinct().select("term", share)
+    return SC.classify_attributes(ranked, "p_brand", "term", categories=list(_SPANS), scores=scores, min_score=0.4)
+
+
 # --- word counts with a vocabulary, tf-idf with a least document count ------------
 
 @register("word_counts_vocabulary", f"""

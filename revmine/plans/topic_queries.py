@@ -133,7 +133,7 @@ def q_classify_vectors(spark: SparkSession, sf: str) -> DataFrame:
     from revmine.operators.scoring import category_centroids, classify_vectors
 
     emb = C.table(spark, sf, "embeddings")
-    out = classify_vectors(emb, category_centroids(emb, "embedding", "label"), "embedding", 0.5, 0.05)
+    out = classify_vectors(emb, category_centroids(emb, "embedding", "label"), "vec_id", "embedding", 0.5, 0.05, block=4)
     return out.select("vec_id", "category", F.round("score", 6).alias("score"), "kept")
 
 

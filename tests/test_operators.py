@@ -262,14 +262,30 @@ def test_order_by_total(spark):
     assert [r["loc"] for r in W.order_by_total(df, ["x", "y"]).collect()] == ["b", "c", "a"]
 
 
-def test_classify_vectors_bounded(spark):
-    vecs = spark.createDataFrame([(1, [1.0, 0.0], 0), (2, [0.9, 0.1], 0), (3, [0.0, 1.0], 1)],
-                                 "id int, v array<double>, label int")
-    cents = SC.category_centroids(vecs, "v", "label")
-    got = {r["id"]: (r["category"], r["kept"]) for r in SC.classify_vectors(vecs, cents, "v").collect()}
-    assert got == {1: ("0", True), 2: ("0", True), 3: ("1", True)}
-    with pytest.raises(Exception):
-        SC.classify_vectors(vecs, cents, "v", max_categories=1).collect()
+def test_classify_vectors_blocks_agree(spark):
+    vecs = spark.createDataFrame([(1, [1.0, 0.1]), (2, [0.0, 1.0]), (3, [0.0, 0.0]), (4, [1.0, 1.0])], "id int, v array<double>")
+    cents = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0]), ("c", [-1.0, 0.0])], "category string, centroid array<double>")
+    one, many = ({r["id"]: (r["category"], r["score"] and round(r["score"], 9), r["kept"]) for r in SC.classify_vectors(vecs, cents, "id", "v", block=n).collect()}
+                 for n in (1024, 1))
+    assert one == many
+    assert one[1][0] == "a" and one[2][0] == "b" and one[1][2] and one[2][2]
+    assert one[3][0] is None and one[4][0] == "a" and not one[4][2]  # a tie: first name, half the mass
+
+
+def test_classify_attributes_by_score(spark):
+    df = spark.createDataFrame([("x", 1, "hops"), ("x", 2, "fizz"), ("x", 3, "odd")], "e string, rank int, term string")
+    scores = spark.createDataFrame([("hops", "aroma", 0.7), ("hops", "taste", 0.3), ("fizz", "taste", 0.5), ("fizz", "palate", 0.5), ("odd", "taste", 0.51)],
+                                   "term string, category string, score double")
+    got = SC.classify_attributes(df, "e", "term", categories=["aroma", "palate", "taste"], scores=scores).first()
+    assert (got["aroma"], got["palate"], got["taste"]) == (["hops"], [], ["odd"])
+
+
+def test_irregular_and_verb_and_adjective_lemmas(spark):
+    df = spark.createDataFrame([("children", "NN"), ("boxes", "NN"), ("went", "VB"), ("tried", "VB"), ("pouring", "VB"), ("stopped", "VB"), ("lasts", "VB"),
+                                ("better", "JJ"), ("darker", "JJ"), ("hoppiest", "JJ"), ("beer", "JJ")], "term string, pos string")
+    got = {r["term"]: r["l"] for r in df.select("term", T.lemma_by_class(F.col("term"), F.col("pos")).alias("l")).collect()}
+    assert got == {"children": "child", "boxes": "box", "went": "go", "tried": "try", "pouring": "pour", "stopped": "stop", "lasts": "last",
+                   "better": "good", "darker": "dark", "hoppiest": "hoppy", "beer": "beer"}
 
 
 def test_corpus_entry_point(spark):
