@@ -585,7 +585,7 @@ def lemma_by_class(col: Column, pos: Column, min_stem: int = 3) -> Column:
         for suf, rep in rules:
             stem_ = F.substr(col, F.lit(1), F.length(col) - len(suf))
             double = F.regexp_replace(stem_, r"([bdgmnprt])\1$", "$1") if suf in ("ing", "ed", "est", "er") else stem_
-            cond = col.endswith(suf) & (F.length(col) >= min_stem + len(suf)) & ~col.rlike(keep)
+            cond = col.endswith(suf) & (F.length(col) >= min_stem + len(suf) - len(rep)) & ~col.rlike(keep)
             out = F.when(cond, F.concat(double, F.lit(rep))) if out is None else out.when(cond, F.concat(double, F.lit(rep)))
         return out.otherwise(col)
 
