@@ -169,10 +169,13 @@ def q_write_topics(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("complaints_by_topic")
 def q_complaints_by_topic(spark: SparkSession, sf: str) -> DataFrame:
-    """Sadness sentences of the sources whose dominant LDA topic is 0, summarised."""
+    """Sadness sentences of the sources with the commonest dominant LDA topic, summarised."""
     from revmine.plans.scoring_queries import scored_sentences
+    from revmine.session import cut_lineage
 
-    topics = _lda(spark, sf)[0]
+    topics = cut_lineage(_lda(spark, sf)[0])
+    common = (topics.groupBy(dominant_topic(F.col("topics")).alias("t")).count()
+              .orderBy(F.col("count").desc(), "t").first()["t"])
     scored = (scored_sentences(spark, sf).withColumnRenamed("location", "source")
               .withColumnRenamed("sentence_idx", "sid"))
-    return TP.complaints_by_topic(topics, scored, 0, "source", "review", n=3, id_col=["doc_id", "sid"])
+    return TP.complaints_by_topic(topics, scored, common, "source", "review", n=3, id_col=["doc_id", "sid"])
