@@ -31,7 +31,8 @@ from revmine.llm.words import chunks, kept, raw
 
 _M64 = (1 << 64) - 1
 _A, _B = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
-_KNOWN = 300_000    # pre-tokens, and units, that a worker keeps
+_KNOWN = 200_000    # pre-tokens in each of the two generations that a worker keeps
+_UNITS = 100_000    # units, likewise, and those of a slice
 _KNOWN_CHARS = 64   # longest of these
 _PAIRS = 1_000_000  # pairs whose rank a task keeps
 
@@ -193,7 +194,9 @@ class BytePairCodec:
         self.tokens = dict(zip(ranks.values, ranks.keys, strict=True))
         self.merge = Merger(ranks, self.tokens)
         self.known: dict[str, list[int]] = {}  # by pre-token
+        self.older: dict[str, list[int]] = {}
         self.kept: dict[bytes, list[int]] = {}  # by unit
+        self.kept_before: dict[bytes, list[int]] = {}
         top = max(self.tokens) + 1
         self.size = np.zeros(top, np.int64)
         self.size[list(self.tokens)] = [len(t) for t in self.tokens.values()]
@@ -209,23 +212,28 @@ class BytePairCodec:
         for pre in self.pattern.findall(data.decode("utf-8", "replace")):
             ids = known.get(pre)
             if ids is None:
-                ids = self.pre_token(pre.encode())
+                ids = self.older.get(pre)
+                if ids is None:
+                    ids = self.pre_token(pre.encode())
                 if len(pre) <= _KNOWN_CHARS:
-                    if len(known) >= _KNOWN:
-                        known.clear()
+                    if len(known) >= _KNOWN:  # what is not asked for again is forgotten with the next generation
+                        self.older, self.known = known, {}
+                        known = self.known
                     known[pre] = ids
             out += ids
         return out
 
     def units(self, wanted: list[bytes]) -> list[list[int]]:
         """Ids of distinct units."""
-        kept, out = self.kept, []
-        if len(kept) >= _KNOWN:
-            kept.clear()
+        if len(self.kept) >= _UNITS:
+            self.kept_before, self.kept = self.kept, {}
+        kept, before, out = self.kept, self.kept_before, []
         for u in wanted:
             ids = kept.get(u)
             if ids is None:
-                ids = self.unit(u)
+                ids = before.get(u)
+                if ids is None:
+                    ids = self.unit(u)
                 if len(u) <= _KNOWN_CHARS:
                     kept[u] = ids
             out.append(ids)
