@@ -31,10 +31,11 @@ from revmine.llm.words import chunks, kept, raw
 
 _M64 = (1 << 64) - 1
 _A, _B = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
-_KNOWN = 200_000    # pre-tokens in each of the two generations that a worker keeps
+_KNOWN = 150_000    # pre-tokens in each of the two generations that a worker keeps
 _UNITS = 100_000    # units, likewise, and those of a slice
 _KNOWN_CHARS = 64   # longest of these
-_PAIRS = 1_000_000  # pairs whose rank a task keeps
+_PAIRS = 300_000    # pairs whose rank a worker keeps
+_SLICE = 2 << 20    # bytes of text encoded together
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -304,7 +305,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = kept(name, lambda: BytePairCodec(PerfectHash(table.value), pattern))
         for batch in batches:
-            for lo, texts in chunks(batch.column("text")):
+            for lo, texts in chunks(batch.column("text"), _SLICE):
                 ids, at = codec.encode_texts(texts)
                 out = [ids[a:b].astype("<u4").tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(lo, len(texts)), pa.array(out, pa.binary())], names=["id", "ids"])
@@ -323,7 +324,7 @@ def digests(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "do
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = kept(name, lambda: BytePairCodec(PerfectHash(table.value), pattern))
         for batch in batches:
-            for lo, texts in chunks(batch.column("text")):
+            for lo, texts in chunks(batch.column("text"), _SLICE):
                 ids, at = codec.encode_texts(texts)
                 ids = ids.astype("<u4")
                 data, ends = codec.decode_ids(ids)

@@ -33,6 +33,7 @@ from revmine.llm.words import ALNUM_LOWER, chunks, words
 SHINGLE = 5
 PERCENT = 75
 MISS = 1e-6
+SLICE = 4 << 20  # bytes of text looked at together
 
 # Public license notices.
 TEMPLATES = {
@@ -145,7 +146,7 @@ def scan(docs: DataFrame, templates: Mapping[str, Sequence[str]] = TEMPLATES, *,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Templates(templates, percent)
         for batch in batches:
-            for lo, texts in chunks(batch.column("text")):
+            for lo, texts in chunks(batch.column("text"), SLICE):
                 found: list[dict[int, int]] = [{} for _ in range(len(texts))]
                 for text, name, at, _ in known.find(*shingles(texts)):
                     found[text][name] = min(at, found[text].get(name, at))

@@ -34,6 +34,7 @@ from revmine.llm.common import stored
 from revmine.llm.words import ALNUM_LOWER, chunks, words
 
 WINDOW = 13
+SLICE = 4 << 20  # bytes of text in a segment
 #: candidate starts that a task looks at together
 CANDIDATES = 1 << 18
 
@@ -56,7 +57,7 @@ def build_index(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, texts in chunks(batch.column("text")):
+            for lo, texts in chunks(batch.column("text"), SLICE):
                 w = words(texts, ALNUM_LOWER)
                 order = np.argsort(w.codes, kind="stable")
                 counts = np.bincount(w.codes, minlength=len(w.vocabulary))

@@ -38,6 +38,7 @@ from revmine.llm.common import stored
 from revmine.llm.words import SPACED, Words, chunks, coded, kept, raw
 
 BLOCK = 16_384
+SLICE = 4 << 20  # bytes of text in a file
 _HEAD = "<4sHHIIQQ"
 _CACHE = 600_000  # units that a worker keeps
 
@@ -213,7 +214,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, *, id_c
         encoder = kept(name, lambda: _Encoder(tokenizer_json, end_id, by_unit))
         part, seq = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for lo, texts in chunks(batch.column("text")):
+            for lo, texts in chunks(batch.column("text"), SLICE):
                 ids, starts = encoder(texts)
                 image = token_file(batch.column("id").slice(lo, len(texts)).to_pylist(), starts, ids, bits)
                 yield pa.RecordBatch.from_pylist([{"part": part, "seq": seq, "n_docs": len(texts), "n_ids": len(ids), "image": image}],

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 
 #: work arrays are a small multiple of this many bytes of text (one text at least)
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def kept(key: Hashable, make: Callable[[], Any]) -> Any:
