@@ -138,7 +138,8 @@ def test_average_rank_ties(spark):
 
 def test_emotion_scores_guard_and_argmax(spark):
     df = spark.createDataFrame([("great great awful",), ("nothing here",), ("great " * 100,)], "t string")
-    s = SC.score_emotions(df, "t").collect()
+    s = SC.score_emotions(df, "t", max_chars=500).collect()
+    assert SC.score_emotions(df, "t").collect()[2]["joy"] == 1.0  # no limit unless one is given
     assert s[0]["max_feel"] == "joy" and abs(s[0]["joy"] - 2 / 3) < 1e-12
     assert s[1]["max_feel"] == "anger" and s[1]["anger"] == 0.0
     assert s[2]["joy"] == 0.0  # 500+ characters score zero
