@@ -344,7 +344,7 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """
     found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
     out = stored(found.select("id", "kept"), "verdicts")
-    gone = out.where("not kept").select(F.col("id").alias("_gone")).distinct()
+    gone = if_small(stored(out.where("not kept").select(F.col("id").alias("_gone")).distinct(), "gone"))
     rest = docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")
     again = out.where("kept and id is not null").groupBy("id").count().where("count > 1")
     if again.isEmpty():

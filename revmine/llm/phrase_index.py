@@ -30,7 +30,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from revmine.llm.common import stored
+from revmine.llm.common import if_small, stored
 from revmine.llm.words import ALNUM_LOWER, chunks, words
 
 WINDOW = 13
@@ -340,4 +340,4 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id",
     index = build_index(docs, id_col=id_col, text_col=text_col)
     found = verdicts(index, phrase_matches(index, items, item_id=item_id, item_text=item_text))
     out = stored(found.where("contaminated").select(F.col("doc_id").alias("_bad_id")).distinct(), "contaminated")
-    return docs.join(out, docs[id_col].eqNullSafe(F.col("_bad_id")), "left_anti")
+    return docs.join(if_small(out), docs[id_col].eqNullSafe(F.col("_bad_id")), "left_anti")
