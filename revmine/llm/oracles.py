@@ -43,6 +43,22 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)"""
 
+
+def op4_proximity(span: int) -> str:
+    return rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOWERED.format("coalesce(text, '')")}, '{ALNUM}') AS w FROM documents),
+b AS (SELECT DISTINCT item_id, list_distinct(regexp_extract_all({_LOWERED.format("coalesce(text, '')")}, '{ALNUM}')) AS w FROM benchmark WHERE item_id IS NOT NULL),
+iw AS (SELECT item_id, w, unnest(w) AS word FROM b),
+pos AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d),
+whole AS (SELECT doc_id, item_id, iw.w FROM (SELECT DISTINCT doc_id, word FROM pos) JOIN iw USING (word)
+          GROUP BY ALL HAVING count(*) = len(iw.w)),
+occ AS (
+  SELECT doc_id, item_id, w, count(DISTINCT word) OVER (PARTITION BY doc_id, item_id, w ORDER BY i RANGE BETWEEN CURRENT ROW AND {span - 1} FOLLOWING) AS n
+  FROM whole JOIN iw USING (item_id, w) JOIN pos USING (doc_id, word)),
+near AS (SELECT doc_id, count(DISTINCT item_id) AS n_near_items FROM occ WHERE n = len(w) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_near_items, 0)::BIGINT AS n_near_items FROM d LEFT JOIN near USING (doc_id)"""
+
+
 OP5 = rf"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWERED.format("coalesce(text, '')")}, '{SPACED}') AS w FROM documents),
 sh AS (

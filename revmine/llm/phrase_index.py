@@ -266,11 +266,12 @@ def _shortest(lists: list[np.ndarray], through: int, span: int) -> tuple[int, in
         end = through
         for x in lists:
             k = np.searchsorted(x, begin)
-            if k == len(x):
-                return best
+            if k == len(x):  # this word occurs only before ``begin``: a lower start may still have it
+                break
             end = max(end, int(x[k]))
-        if end - begin < span and (best is None or end + 1 - begin < best[1] - best[0]):
-            best = (begin, end + 1)
+        else:
+            if end - begin < span and (best is None or end + 1 - begin < best[1] - best[0]):
+                best = (begin, end + 1)
     return best
 
 
@@ -312,6 +313,17 @@ def documents_of(index: DataFrame) -> DataFrame:
         "segment", "ordinal", F.col("d.id").alias("doc_id"), F.col("d.n").alias("n_words"))
 
 
+def proximity_counts(index: DataFrame, matches: DataFrame) -> DataFrame:
+    """Per document: (doc_id, n_words, n_near_items), the items with a proximity match in it.
+
+    Unlike the stretches, which go by the rarest word of a segment, the items do
+    not depend on how documents are dealt to segments.
+    """
+    per_doc = matches.groupBy("segment", "ordinal").agg(F.count_distinct("item").alias("near"))
+    rows = documents_of(index).join(per_doc, ["segment", "ordinal"], "left")
+    return rows.select("doc_id", "n_words", F.coalesce("near", F.lit(0).cast("long")).alias("n_near_items"))
+
+
 def verdicts(index: DataFrame, matches: DataFrame, min_share: int = 20) -> DataFrame:
     """Per document: (doc_id, n_words, n_hit, n_items, items_sha256, contaminated).
 

@@ -13,6 +13,9 @@ URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/"
 #: hosts on the block list, with all their pages
 BLOCKED_HOSTS = ["spam-farm.example.org", "cheap-pills.example.com"]
 
+#: words in which all distinct words of a benchmark item count as near
+NEAR_SPAN = 100
+
 PROBE_TEXT = "\\### Assistant: </turn> ok"
 
 
@@ -40,6 +43,11 @@ def op4_phrase_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrase_index.verdicts(index, phrase_index.phrase_matches(index, table(spark, sf_dir, "benchmark")))
 
 
+def op4_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = phrase_index.build_index(table(spark, sf_dir, "documents"))
+    return phrase_index.proximity_counts(index, phrase_index.proximity_matches(index, table(spark, sf_dir, "benchmark"), span=NEAR_SPAN))
+
+
 def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
@@ -75,11 +83,11 @@ def op10_url_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_token_files, op2_quality_rank, op3_rule_ledger, op4_phrase_index, op5_near_dup, op6_chat_examples, op7_license_scan,
-    op8_byte_bpe, op9_toxicity, op10_url_digests)}
+    op1_token_files, op2_quality_rank, op3_rule_ledger, op4_phrase_index, op4_proximity, op5_near_dup, op6_chat_examples,
+    op7_license_scan, op8_byte_bpe, op9_toxicity, op10_url_digests)}
 
 ORACLES = {
-    "op3_rule_ledger": oracles.OP3, "op4_phrase_index": oracles.OP4, "op5_near_dup": oracles.OP5,
+    "op3_rule_ledger": oracles.OP3, "op4_phrase_index": oracles.OP4, "op4_proximity": oracles.op4_proximity(NEAR_SPAN), "op5_near_dup": oracles.OP5,
     "op6_chat_examples": oracles.op6(PROBE_TEXT), "op7_license_scan": oracles.op7(license_scan.TEMPLATES),
     "op10_url_digests": oracles.op10(URL_RULES, BLOCKED_HOSTS),
 }

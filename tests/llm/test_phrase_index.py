@@ -73,6 +73,42 @@ def test_proximity(spark):
     assert {(r["doc_id"], r["begin"], r["end"]) for r in m.collect()} == {(1, 0, 5), (2, 0, 3)}
 
 
+def near_items(text, items, span):
+    w = words(text)
+    return {i for i, t in items if words(t) and any(set(words(t)) <= set(w[k:k + span]) for k in range(len(w)))}
+
+
+def test_proximity_equals_brute_force_in_one_segment(spark):
+    rng = random.Random(4)
+    vocab = [f"w{i}" for i in range(10)]
+    items = [(k, " ".join(rng.sample(vocab, rng.randrange(1, 5)))) for k in range(12)]
+    items += [(20, "rare w0 w1"), (21, "w0 rare w1"), (22, "w0 w1 rare"), (23, "absent w0"), (24, "...")]
+    docs = [(i, " ".join(rng.choice(vocab) for _ in range(rng.randrange(0, 40)))) for i in range(60)]
+    docs += [(100, "rare w0 w1"), (101, "w0 rare w1"), (102, "w1 w0 rare"), (103, "w1 w0"), (104, "rare w0 w9 w9 w9 w9 w1")]
+    item_df = spark.createDataFrame(items, "item_id long, text string")
+    index = PI.build_index(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1))
+    assert index.count() == 1
+    for span in (1, 3, 6):
+        m = PI.proximity_matches(index, item_df, span=span)
+        texts = dict(docs)
+        got = {}
+        for r in m.join(PI.documents_of(index), ["segment", "ordinal"]).collect():
+            item = set(words(dict(items)[r["item"]]))
+            assert r["end"] - r["begin"] <= span and item <= set(words(texts[r["doc_id"]])[r["begin"]:r["end"]])
+            got.setdefault(r["doc_id"], set()).add(r["item"])
+        want = {i: near_items(t, items, span) for i, t in docs}
+        assert got == {i: x for i, x in want.items() if x}
+        counts = {r["doc_id"]: (r["n_words"], r["n_near_items"]) for r in PI.proximity_counts(index, m).collect()}
+        assert counts == {i: (len(words(t)), len(want[i])) for i, t in docs}
+
+
+def test_shortest_goes_on_to_lower_starts():
+    at = lambda *p: PI.np.array(p)
+    assert PI._shortest([at(1), at(0)], 1, 5) == (0, 2)  # rarest last
+    assert PI._shortest([at(1), at(0), at(2)], 1, 5) == (0, 3)  # in the middle
+    assert PI._shortest([at(0), at(1), at(2)], 0, 5) == (0, 3)  # first
+
+
 def test_odd_rows_and_empty_tables(spark, odd, no_docs):
     items = spark.createDataFrame([(1, "quick BROWN fox"), (2, "漢字"), (None, "one"), (4, None), (5, "two words")], "item_id long, text string")
     rows = [(r["doc_id"], r["text"]) for r in odd.collect()]
