@@ -14,8 +14,8 @@ else allow.
 
 Index files are made once on the driver and handed out by
 ``SparkContext.addFile``: every executor, also one that joins later, gets its
-own copy.  Lists beyond ``max_index_bytes`` are matched by ``judge_by_join``
-instead, which broadcasts nothing.
+own copy.  Lists beyond ``max_index_bytes``, rules or block list, are matched by
+``judge_by_join`` instead, which broadcasts nothing.
 
 Defined results: a null url and one without ``://`` have an empty host and
 path, no rule, verdict block.  Repeated rows are judged alike; an entry listed
@@ -169,12 +169,18 @@ def judge(pages: DataFrame, rules: Iterable[tuple[str, str]], blocked: Iterable[
             .mapInArrow(run, f"id {kind}, host string, path string, rule string, verdict string"))
 
 
-def judge_by_join(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """``judge`` for rule tables (entry, verdict) of any size: candidate strings joined with the entries.
+def judge_by_join(pages: DataFrame, rules: DataFrame, blocked: DataFrame | None = None, *, id_col: str = "page_id",
+                  url_col: str = "url") -> DataFrame:
+    """``judge`` for tables of any size: candidate strings joined with the entries.
 
-    Rows are told apart by their position, so repeated ids are fine.
+    ``rules``: (entry, verdict); ``blocked``: (entry) of the block list, used
+    only where no rule fits.  Rows are told apart by their position, so
+    repeated ids are fine.
     """
-    entries = rules.groupBy("entry").agg(F.max("verdict").alias("rule_verdict"))  # block is after allow
+    entries = rules.select("entry", "verdict", F.lit(False).alias("listed"))
+    if blocked is not None:
+        entries = entries.unionByName(blocked.select("entry", F.lit(None).cast("string").alias("verdict"), F.lit(True).alias("listed")))
+    entries = entries.groupBy("entry").agg(F.max("verdict").alias("rule_verdict"), F.bool_or("listed").alias("listed"))  # block is after allow
     cut = F.when(F.contains("entry", F.lit("/")), F.length("entry") - F.instr("entry", "/") + 1).otherwise(0)
     lengths = [r[0] for r in entries.select(cut.alias("n")).distinct().collect()]  # as many as a path has characters at most
     url = F.col(url_col).cast("string")
@@ -186,8 +192,8 @@ def judge_by_join(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id"
     keys = urls.select("host", "path", F.explode(F.array_distinct(parents)).alias("suffix")).where("suffix <> ''").select(
         "host", "path", F.explode(F.filter(sizes, lambda n: n <= F.length("path"))).alias("n"), "suffix").select(
         "host", "path", F.concat("suffix", F.substring("path", F.lit(1), F.col("n"))).alias("entry"))
-    size = F.struct(F.length("entry"), F.length("entry") - cut)
+    size = F.when(F.col("rule_verdict").isNotNull(), F.struct(F.length("entry"), F.length("entry") - cut))  # max_by passes over nulls
     best = keys.join(entries, "entry").groupBy("host", "path").agg(
-        F.max_by("entry", size).alias("rule"), F.max_by("rule_verdict", size).alias("rule_verdict"))
-    default = F.when(F.col("host") == "", "block").otherwise("allow")
+        F.max_by("entry", size).alias("rule"), F.max_by("rule_verdict", size).alias("rule_verdict"), F.bool_or("listed").alias("listed"))
+    default = F.when((F.col("host") == "") | F.col("listed"), "block").otherwise("allow")
     return rows.join(best, ["host", "path"], "left").select("id", "host", "path", "rule", F.coalesce("rule_verdict", default).alias("verdict"))

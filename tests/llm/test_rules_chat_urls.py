@@ -156,6 +156,25 @@ def test_join_gives_the_same_rules(spark):
     assert a == b and len(a) == len(URLS)
 
 
+def test_join_gives_the_same_rules_and_block_list(spark):
+    """A listed entry longer than an allow rule, one that is also a rule, one with a path, a parent domain, repeats and a null."""
+    rules = [*RULES, ("ok.example.net/", "allow"), ("both.io", "allow")]
+    listed = ["bad.host", "bad.host", "a.example.net/en/1", "both.io", "www.ok.example.net/long/path", "x.y/deep/", "evil.com"]
+    urls = [*URLS, "http://www.ok.example.net/long/path/z", "http://both.io/", "http://x.y/deep/1", "http://x.y/dee", "http://sub.evil.com", "http://notevil.com/"]
+    frame = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    a = {r["id"]: tuple(r)[1:] for r in UD.judge(frame, rules, listed).collect()}
+    rules_df = spark.createDataFrame(rules, "entry string, verdict string")
+    blocked = spark.createDataFrame([(e, 1) for e in [*listed, None]], "entry string, verdict int")
+    b = {r["id"]: tuple(r)[1:] for r in UD.judge_by_join(frame, rules_df, blocked).collect()}
+    assert a == b and len(a) == len(urls)
+    said = {urls[i]: v[-2:] for i, v in b.items()}
+    assert said["http://www.ok.example.net/long/path/z"] == ("ok.example.net/", "allow") and said["http://both.io/"] == ("both.io", "allow")
+    assert said["http://bad.host/x"] == said["http://x.y/deep/1"] == said["http://sub.evil.com"] == (None, "block")
+    assert said["http://x.y/dee"] == said["http://notevil.com/"] == (None, "allow")
+    only = UD.judge_by_join(frame, rules_df.limit(0), blocked)
+    assert {r["id"]: tuple(r)[1:] for r in only.collect()} == {r["id"]: tuple(r)[1:] for r in UD.judge(frame, [], listed).collect()}
+
+
 def test_collisions_are_confirmed(spark, monkeypatch):
     """With a digest of two values every probe collides; the stored strings still decide."""
     monkeypatch.setattr(UD.xxhash, "xxh3_64_intdigest", lambda d: len(d) % 2)
