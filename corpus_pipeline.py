@@ -33,7 +33,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without too much benchmark text."""
-    return phrase_index.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    return phrase_index.decontaminate(docs, table(spark, sf_dir, "benchmark"), nulls_apart=True)
 
 
 def byte_bpe_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -347,9 +347,17 @@ def verdicts(index: DataFrame, matches: DataFrame, min_share: int = 20) -> DataF
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
-                  item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """Rows of ``docs`` that are not contaminated, columns unchanged; an id with a contaminated row goes whole."""
-    index = build_index(docs, id_col=id_col, text_col=text_col)
+                  item_id: str = "item_id", item_text: str = "text", nulls_apart: bool = False) -> DataFrame:
+    """Rows of ``docs`` that are not contaminated, columns unchanged; an id with a contaminated row goes whole.
+
+    With ``nulls_apart`` a null id names no document: each row with one is
+    judged by its own text, as ``near_dup.deduplicate`` keeps such rows apart.
+    """
+    # a row's own text, for rows that no id names
+    own = F.when(docs[id_col].isNull(), F.sha2(docs[text_col].cast("string").cast("binary"), 256)) if nulls_apart else F.lit(None).cast("string")
+    keyed = docs.select(F.struct(docs[id_col].alias("id"), own.alias("own")).alias("key"), docs[text_col].alias("text"))
+    index = build_index(keyed, id_col="key", text_col="text")
     found = verdicts(index, phrase_matches(index, items, item_id=item_id, item_text=item_text))
-    out = stored(found.where("contaminated").select(F.col("doc_id").alias("_bad_id")).distinct(), "contaminated")
-    return docs.join(if_small(out), docs[id_col].eqNullSafe(F.col("_bad_id")), "left_anti")
+    bad = found.where("contaminated").select(F.col("doc_id.id").alias("_bad_id"), F.col("doc_id.own").alias("_bad_own")).distinct()
+    out = stored(bad, "contaminated")
+    return docs.join(if_small(out), docs[id_col].eqNullSafe(F.col("_bad_id")) & own.eqNullSafe(F.col("_bad_own")), "left_anti")

@@ -125,3 +125,16 @@ def test_odd_rows_and_empty_tables(spark, odd, no_docs):
     assert PI.decontaminate(no_docs, items).collect() == []
     empty = PI.build_index(no_docs)
     assert got(empty, PI.phrase_matches(empty, items)) == []
+
+
+def test_rows_with_null_ids_are_judged_apart(spark):
+    docs = [(None, "quick brown fox"), (None, "clean text"), (None, "clean text"), (None, None), (None, ""), (1, "quick brown fox"), (1, "clean text"),
+            (2, "clean text"), (3, "quick brown fox"), (None, "quick brown fox"), (4, None)]
+    items = spark.createDataFrame([(1, "quick BROWN fox")], "item_id long, text string")
+    df = spark.createDataFrame([(i, t, "x", "y") for i, t in docs], "doc_id long, text string, key string, id string")
+    for frame in (df.coalesce(1), df.repartition(5)):
+        kept = PI.decontaminate(frame, items, nulls_apart=True)
+        assert kept.schema == frame.schema
+        want = [(i, t, "x", "y") for i, t in docs if t != "quick brown fox" and i != 1]
+        assert sorted(map(tuple, kept.collect()), key=str) == sorted(want, key=str)
+    assert sorted(str(r["doc_id"]) for r in PI.decontaminate(df, items).collect()) == ["2", "4"]
