@@ -47,6 +47,7 @@ SHINGLE = 5
 BANDS, ROWS = 48, 6
 HUBS = 16           # more classes outside the largest component make a bucket crowded
 ROUND_HUBS = 1024   # of a fine bucket in one round
+SAMPLE_SHINGLES = 1 << 20  # of the sample that orders shingles, 16 bytes each; any order gives the same links
 MIN_PERCENT = 75  # 100 * intersection >= MIN_PERCENT * union
 
 _ODD = np.random.default_rng(11).integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -211,6 +212,24 @@ def _prefix(hashes: np.ndarray, common: np.ndarray, times: np.ndarray, percent:
     return hashes[np.lexsort((hashes, seen))[:n - -(-n * percent // 100) + 1]]
 
 
+def frequent(texts: DataFrame, sample_rows: int = 10_000, most: int = SAMPLE_SHINGLES) -> DataFrame:
+    """(h, times): shingles in more than two of ``sample_rows`` texts (rep, text), the ``most`` frequent ones.
+
+    The sample is drawn by id alone and counted in many tasks, so neither a task
+    nor the driver grows with the length of its texts.
+    """
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, part in chunks(batch.column("text")):
+                h, times = np.unique(np.concatenate([*shingle_sets(part), np.zeros(0, np.uint64)]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(times)], names=["h", "times"])
+
+    chosen = stored(texts.select("rep").orderBy(F.xxhash64("rep"), "rep").limit(sample_rows), "sample")
+    rows = texts.join(F.broadcast(chosen), "rep", "left_semi").select("text")  # sample_rows ids
+    return (rows.mapInArrow(count, "h long, times long").groupBy("h").agg(F.sum("times").alias("times"))
+            .where("times > 2").orderBy(F.desc("times"), "h").limit(most))
+
+
 def refined(texts: DataFrame, percent: int = MIN_PERCENT, sample_rows: int = 10_000) -> DataFrame:
     """Buckets (bucket, rep, n, pos) by shingle that no similar pair of ``texts`` (rep, text) escapes.
 
@@ -221,14 +240,7 @@ def refined(texts: DataFrame, percent: int = MIN_PERCENT, sample_rows: int = 10_
     so passages that many texts share seldom make a bucket; the sample decides
     how large buckets get, never which pairs meet.
     """
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = [s for batch in batches for _, part in chunks(batch.column("text")) for s in shingle_sets(part)]
-        common, times = np.unique(np.concatenate([*found, np.zeros(0, np.uint64)]), return_counts=True)
-        often = times > 2
-        yield pa.RecordBatch.from_arrays([pa.array(common[often].view(np.int64)), pa.array(times[often])], names=["h", "times"])
-
-    sample = texts.select("text").orderBy(F.xxhash64("rep"), "rep").limit(sample_rows).coalesce(1)
-    got = sample.mapInArrow(count, "h long, times long").toArrow()  # a third of the sample's shingles at most
+    got = frequent(texts, sample_rows).toArrow()  # SAMPLE_SHINGLES at most
     common, times = (got.column(c).to_numpy() for c in ("h", "times"))
     order = np.argsort(common.view(np.uint64))
     sent = texts.sparkSession.sparkContext.broadcast((common.view(np.uint64)[order], times[order]))

@@ -130,3 +130,17 @@ def test_sets_are_of_folded_words():
     assert (a == b).all() and len(a) == 2
     one, two, none = N.shingle_sets(pa.array(["one two", "one  two ", " \x0b "]))
     assert (one == two).all() and len(one) == 1 and len(none) == 0
+
+
+def test_sample_counts_are_bounded(spark):
+    """The most frequent shingles of the sample, as many as asked for."""
+    texts = [f"one two three four five {'six ' * (k % 3)}t{k} u{k} v{k}" for k in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "rep long, text string").repartition(7)
+    count = {}
+    for s in N.shingle_sets(N.pa.array(texts, N.pa.string())):
+        for h in s.view(N.np.int64).tolist():
+            count[h] = count.get(h, 0) + 1
+    want = sorted(((h, n) for h, n in count.items() if n > 2), key=lambda x: (-x[1], x[0]))
+    assert [tuple(r) for r in N.frequent(df).collect()] == want and len(want) > 2
+    assert [tuple(r) for r in N.frequent(df, most=2).collect()] == want[:2]
+    assert N.frequent(df, sample_rows=2).collect() == []
