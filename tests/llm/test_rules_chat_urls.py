@@ -115,6 +115,19 @@ def test_long_conversation_in_blocks(spark):
     assert r["example_chars"] == total and r["formatted_chars"] == upto
 
 
+def test_expanded_has_the_lengths_that_digests_report(spark):
+    rows = ROWS + [(9, i, "assistant" if i % 2 else "user", f"t<{i}>" * (i % 5)) for i in range(41)]
+    out = CE.format_chats(chats(spark, rows))
+    examples = {(str(r["conv_id"]), r["example"]): (r["context_end"], len(r["target"])) for r in out.examples.collect()}
+    written, total = {}, {}
+    for e in CE.expanded(out).collect():
+        written[str(e["conv_id"]), e["example"]] = len(e["context"]), len(e["target"])
+        total[e["conv_id"]] = total.get(e["conv_id"], 0) + len(e["context"]) + len(e["target"])
+    assert written == examples and len(written) > 20
+    got = {r["conv_id"]: r["example_chars"] for r in CE.digests(out).collect()}
+    assert got == {c: total.get(c, 0) for c in got}
+
+
 # --- urls -------------------------------------------------------------------------
 
 RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"), ("h.example.org/fr/x", "block"), ("bare.io", "block")]
