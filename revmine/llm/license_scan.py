@@ -37,21 +37,47 @@ SLICE = 4 << 20  # bytes of text looked at together
 
 # Public license notices.
 TEMPLATES = {
+    "AGPL": ["under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
+             "Licensed under the GNU Affero General Public License", "Released under the GNU Affero General Public License"],
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0.",
                    "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in "
-                   "compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"],
-    "CC-BY-4.0": ["This work is licensed under a Creative Commons Attribution 4.0 International License."],
+                   "compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+                   "Licensed under the Apache License 2.0.", "Released under the Apache License 2.0.",
+                   "Released under the Apache License, Version 2.0."],
+    "BSD": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+            "following conditions are met", "Licensed under the BSD License.", "Released under the BSD License.",
+            "Licensed under the BSD 2-Clause License."],
+    "BSD-3-Clause": ["Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+                     "products derived from this software without specific prior written permission.",
+                     "Licensed under the BSD 3-Clause License."],
+    "BSL-1.0": ["Distributed under the Boost Software License, Version 1.0."],
+    "CC-BY-4.0": ["This work is licensed under a Creative Commons Attribution 4.0 International License.",
+                  "licensed under the Creative Commons Attribution 4.0 International License", "Licensed under CC BY 4.0."],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.",
-                     "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
+                     "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+                     "licensed under the Creative Commons Attribution-NonCommercial 4.0 International License"],
+    "CC-BY-SA-4.0": ["This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+                     "licensed under the Creative Commons Attribution-ShareAlike 4.0 International License", "Licensed under CC BY-SA 4.0."],
+    "CC0-1.0": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+                "CC0 1.0 Universal (CC0 1.0) Public Domain Dedication"],
+    "EPL-2.0": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
+                "Licensed under the Eclipse Public License 2.0."],
     "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.",
                 "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General "
                 "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your "
-                "option) any later version."],
+                "option) any later version.",
+                "Licensed under the GNU General Public License v3.0."],
     "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
             "granted, provided that the above copyright notice and this permission notice appear in all copies."],
+    "LGPL": ["under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+             "Licensed under the GNU Lesser General Public License", "Released under the GNU Lesser General Public License"],
     "MIT": ["Released under the MIT License.",
             "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
-            "documentation files (the \"Software\"), to deal in the Software without restriction"],
+            "documentation files (the \"Software\"), to deal in the Software without restriction",
+            "Licensed under the MIT License.", "Distributed under the MIT License."],
+    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+                "Licensed under the Mozilla Public License, version 2.0."],
+    "Unlicense": ["This is free and unencumbered software released into the public domain."],
 }
 
 _ODD = np.random.default_rng(23).integers(1, 1 << 63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

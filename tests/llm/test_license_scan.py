@@ -71,3 +71,15 @@ def test_odd_rows_and_templates(spark, odd, no_docs):
     assert LS.scan(no_docs).collect() == []
     assert all(r["licenses"] == [] for r in LS.scan(odd, {}).collect())
     assert np.array_equal(np.unique(LS._ODD % np.uint64(2)), [1])
+
+
+def test_short_wordings_and_other_licenses(spark):
+    """The usual wordings are found, and no notice passes for another license."""
+    wordings = [("Licensed under the MIT License", ["MIT"]), ("Licensed under the BSD 3-Clause License", ["BSD-3-Clause"]),
+                ("Licensed under the Mozilla Public License, version 2.0", ["MPL-2.0"]), ("Licensed under CC BY-SA 4.0", ["CC-BY-SA-4.0"]),
+                ("Licensed under the GNU Lesser General Public License", ["LGPL"]), ("Licensed under the GNU Affero General Public License", ["AGPL"]),
+                ("CC0 1.0 Universal (CC0 1.0) Public Domain Dedication", ["CC0-1.0"])]
+    wordings += [(t, [name]) for name, texts in LS.TEMPLATES.items() for t in texts]
+    docs = [(i, f"some words before it {t} and after it") for i, (t, _) in enumerate(wordings)]
+    got = {r["id"]: r["licenses"] for r in LS.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert [(wordings[i][0], got[i]) for i in sorted(got)] == wordings
