@@ -9,11 +9,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window
 
 from revmine.functions.arrays import circular_pair_smooth, circular_triple_smooth  # noqa: F401  (M4, M5)
 from revmine.operators.aggregate import row_normalise_pct  # noqa: F401  (M7)
 from revmine.operators.text import document_frequency, tfidf_scores  # noqa: F401  (M6, M1)
+from revmine.operators.window import average_rank
 
 
 # M2
@@ -29,12 +29,8 @@ def spearman(df: DataFrame, x: str, ys: Sequence[str], label: str = "label",
     long = df.select(x, F.inline(F.array(*[F.struct(F.lit(y).alias(label), F.col(y).cast("double").alias("value"))
                                            for y in ys])))
     long = long.where(F.col(x).isNotNull() & F.col("value").isNotNull())
-    # tied ranks with windows over one label at a time: rank + (rows of equal value - 1) / 2
-    def ranked(col: str) -> Column:
-        tied = F.count("*").over(Window.partitionBy(label, col))
-        return F.rank().over(Window.partitionBy(label).orderBy(col)) + (tied - 1) / 2.0
-
-    r = long.withColumn("_rx", ranked(x)).withColumn("_ry", ranked("value"))
+    r = average_rank(long, x, [label], "_rx")
+    r = average_rank(r, "value", [label], "_ry")
     den = F.stddev_pop("_rx") * F.stddev_pop("_ry")
     rho = F.when(den > 0, F.covar_pop("_rx", "_ry") / den)
     return r.groupBy(label).agg(rho.alias(out), F.count("*").alias("n"))

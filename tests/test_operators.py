@@ -130,6 +130,16 @@ def test_t_distribution_series():
     assert abs(M._t_two_sided_p(2.0, 5) - 0.10194017) < 1e-6
 
 
+def test_spearman_ranks_counted_values(spark):
+    """Windows see one row for each distinct value, not the raw rows."""
+    df = spark.range(6000).select((F.col("id") % 7).cast("double").alias("x"), (F.col("id") * F.col("id") % 11).cast("double").alias("a"), (-(F.col("id") % 7)).alias("b"))
+    out = M.spearman(df, "x", ["a", "b"])
+    pd_df = df.toPandas()
+    got = {r["label"]: (round(r["spearman"], 9), r["n"]) for r in out.collect()}
+    assert got == {y: (round(pd_df["x"].rank().corr(pd_df[y].rank()), 9), 6000) for y in ("a", "b")}
+    assert "rank(" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_average_rank_ties(spark):
     df = spark.createDataFrame([(1, 10.0), (2, 20.0), (3, 20.0), (4, 30.0)], "id int, v double")
     got = rows(W.average_rank(df, "v"), "id", "v_rank")
