@@ -40,7 +40,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from revmine.llm.common import if_small, stored
+from revmine.llm.common import free_name, if_small, stored
 from revmine.llm.words import SPACED_LOWER, chunks, words
 
 SHINGLE = 5
@@ -356,8 +356,9 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """
     found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
     out = stored(found.select("id", "kept"), "verdicts")
-    gone = if_small(stored(out.where("not kept").select(F.col("id").alias("_gone")).distinct(), "gone"))
-    rest = docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")
+    key = free_name(docs, "_gone")
+    gone = if_small(stored(out.where("not kept").select(F.col("id").alias(key)).distinct(), "gone"))
+    rest = docs.join(gone, docs[id_col] == gone[key], "left_anti")
     again = out.where("kept and id is not null").groupBy("id").count().where("count > 1")
     if again.isEmpty():
         return rest

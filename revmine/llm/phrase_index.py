@@ -30,7 +30,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from revmine.llm.common import if_small, stored
+from revmine.llm.common import free_name, if_small, stored
 from revmine.llm.words import ALNUM_LOWER, chunks, words
 
 WINDOW = 13
@@ -358,6 +358,6 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id",
     keyed = docs.select(F.struct(docs[id_col].alias("id"), own.alias("own")).alias("key"), docs[text_col].alias("text"))
     index = build_index(keyed, id_col="key", text_col="text")
     found = verdicts(index, phrase_matches(index, items, item_id=item_id, item_text=item_text))
-    bad = found.where("contaminated").select(F.col("doc_id.id").alias("_bad_id"), F.col("doc_id.own").alias("_bad_own")).distinct()
-    out = stored(bad, "contaminated")
-    return docs.join(if_small(out), docs[id_col].eqNullSafe(F.col("_bad_id")) & own.eqNullSafe(F.col("_bad_own")), "left_anti")
+    bad = found.where("contaminated").select(F.col("doc_id.id").alias(bad_id := free_name(docs, "_bad_id")), F.col("doc_id.own").alias(bad_own := free_name(docs, "_bad_own"))).distinct()
+    out = if_small(stored(bad, "contaminated"))
+    return docs.join(out, docs[id_col].eqNullSafe(out[bad_id]) & own.eqNullSafe(out[bad_own]), "left_anti")

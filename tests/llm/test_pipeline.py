@@ -6,7 +6,7 @@ import public_tokenizers
 import tiktoken
 
 import corpus_pipeline as C
-from llm_fixtures import SF001
+from llm_fixtures import SF001, odd  # noqa: F401
 from revmine.llm import quality_rank as QR
 from revmine.llm.common import learnable, table
 from test_near_dup import brute as groups
@@ -51,3 +51,20 @@ def test_stages_of_no_documents(spark):
     none = table(spark, SF001, "documents").where("doc_id < 0")
     for _, stage in C.STAGES:
         assert stage(spark, none, SF001).collect() == []
+
+
+def test_names_that_stages_use_themselves(spark):
+    docs = table(spark, SF001, "documents").selectExpr("*", "doc_id as _gone", "doc_id as _bad_id", "text as _bad_own", "1 as _rules_x", "2 as _score")
+    for _, stage in C.STAGES[:-1]:
+        out = stage(spark, docs, SF001)
+        assert out.columns == docs.columns and 0 < out.count() <= docs.count()
+
+
+def test_stages_on_odd_rows(spark, odd):
+    """Nulls, empty and very long texts, repeated rows, clashing names: whole rows out, none invented."""
+    rows = {tuple(r) for r in odd.collect()}
+    for name, stage in C.STAGES[:-1]:
+        out = stage(spark, odd, SF001)
+        got = [tuple(r) for r in out.collect()]
+        assert out.columns == odd.columns and set(got) <= rows, name
+    assert len(C.byte_bpe_ids(spark, odd, SF001).collect()) == odd.count()
