@@ -106,7 +106,7 @@ def language_scores(text, languages=("en", "fr", "de", "es")) -> list[Column]:
     for code in languages:
         alt = "|".join(re.escape(w) for w in sorted(language_stop_words(code), key=lambda w: (-len(w), w)))
         pat = r"(?<!\p{L})(?:" + alt + r")(?!\p{L})"
-        out.append(F.size(F.regexp_extract_all(low, F.lit(pat), 0)).alias(f"_lang_{code}"))
+        out.append(F.regexp_count(low, F.lit(pat)).alias(f"_lang_{code}"))
     return out
 
 

@@ -87,7 +87,7 @@ def label_hits(text: Column, rule: LabelRule) -> Column:
 def label_counts(text: Column, lex: RegexLexicon) -> list[Column]:
     """Per label, the number of words of ``text`` matching it (one regex each)."""
     low = F.lower(text)
-    return [F.size(F.regexp_extract_all(low, F.lit(WORD_START + "(?:" + p + ")" + WORD_END), 0)) for p in lex.values()]
+    return [F.regexp_count(low, F.lit(WORD_START + "(?:" + p + ")" + WORD_END)) for p in lex.values()]
 
 
 def _scored(df: DataFrame, text: str, rule: LabelRule, labels: Sequence[str], max_chars: int | None,
