@@ -27,14 +27,14 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from revmine.llm.words import chunks, kept, raw
+from revmine.llm.words import chunks, kept, raw, released
 
 _M64 = (1 << 64) - 1
 _A, _B = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
-_KNOWN = 150_000    # pre-tokens in each of the two generations that a worker keeps
-_UNITS = 100_000    # units, likewise, and those of a slice
-_KNOWN_CHARS = 64   # longest of these
-_PAIRS = 300_000    # pairs whose rank a worker keeps
+_KNOWN = 300_000    # pre-tokens whose ids a worker keeps
+_WIDTHS = (8, 16, 32, 64)  # bytes of pre-tokens that are merged side by side
+_SIDE_BY_SIDE = 8192       # so many of them at a time
+_NOTHING = (1 << 31) - 1   # in place of a neighbour that is not there
 _SLICE = 2 << 20    # bytes of text encoded together
 
 
@@ -113,37 +113,119 @@ class _PerfectHashBuilder:
         return self.n_buckets, self.shift, self.keys, self.values
 
 
+class PairRanks:
+    """Rank of the token that two neighbouring tokens merge to: one sorted array, asked for many pairs at once."""
+
+    def __init__(self, ranks: PerfectHash):
+        ids = dict(zip(ranks.keys, ranks.values, strict=True))
+        found = {}
+        for token, r in ids.items():
+            for k in range(1, len(token)):
+                left = ids.get(token[:k])
+                if left is not None and (right := ids.get(token[k:])) is not None:
+                    found[left << 32 | right] = r
+        self.one = found
+        self.keys = np.array(sorted(found), np.int64)
+        self.ranks = np.array([found[k] for k in self.keys.tolist()], np.int64)
+
+    def many(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """-1 where two tokens do not merge."""
+        if not len(self.keys):
+            return np.full(len(left), -1)
+        pair = left << 32 | right
+        at = np.minimum(np.searchsorted(self.keys, pair), len(self.keys) - 1)
+        return np.where(self.keys[at] == pair, self.ranks[at], -1)
+
+
 class Merger:
-    """Second tier: ids of a pre-token that is not in the vocabulary.
+    """Second tier: ids of pre-tokens that are not in the vocabulary.
 
-    A token's id is its rank, so a heap entry (rank, position) names the merged
-    token; it is out of date when the pair at its position has another rank now.
-    Ranks of pairs are asked of the perfect hash once and kept.
+    A token's id is its rank.  Bytes are linked to their neighbours, and a heap
+    holds (rank, position) of every pair that merges.  Many short pre-tokens
+    are merged side by side: each has a heap of its own, a tournament whose
+    leaves are the positions and whose root is the next merge, and numpy does
+    one merge of every pre-token at a time.  A long one has a binary heap.
     """
 
-    def __init__(self, ranks: PerfectHash, tokens: dict[int, bytes]):
-        self.ranks, self.tokens = ranks, tokens
-        self.of_byte = [ranks.get(bytes([b])) for b in range(256)]
-        if min(self.of_byte) < 0:
+    def __init__(self, ranks: PerfectHash):
+        self.pairs = PairRanks(ranks)
+        self.of_byte = np.array([ranks.get(bytes([b])) for b in range(256)], np.int64)
+        if self.of_byte.min() < 0:
             raise ValueError("the vocabulary lacks a byte")
-        self.two = [-1] * 65536  # ranks of two bytes
-        for token, r in zip(ranks.keys, ranks.values, strict=True):
-            if len(token) == 2:
-                self.two[token[0] << 8 | token[1]] = r
-        self.kept: dict[int, int] = {}
-
-    def ask(self, pair: int) -> int:
-        """The token that (left << 20 | right) merge to, or -1."""
-        if len(self.kept) >= _PAIRS:
-            self.kept.clear()
-        r = self.kept[pair] = self.ranks.get(self.tokens[pair >> 20] + self.tokens[pair & 0xFFFFF])
-        return r
-
-    def __call__(self, key: bytes, push=heapq.heappush, pop=heapq.heappop) -> list[int]:
-        n, get, ask, two, of_byte = len(key), self.kept.get, self.ask, self.two, self.of_byte
-        piece = [of_byte[b] for b in key]
-        rank = [two[a << 8 | b] for a, b in zip(key, key[1:], strict=False)]
-        rank.append(-1)
+
+    def many(self, keys: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all keys one after the other, ids in each key)."""
+        size = np.array([len(k) for k in keys], np.int64)
+        parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # (keys, their numbers of ids, ids)
+        for width in _WIDTHS:
+            which = np.flatnonzero((size <= width) & (size > (width // 2 if width > _WIDTHS[0] else 0)))
+            for lo in range(0, len(which), _SIDE_BY_SIDE):
+                some = which[lo:lo + _SIDE_BY_SIDE]
+                parts.append((some, *self._side_by_side([keys[i] for i in some.tolist()], size[some], width)))
+        for i in np.flatnonzero(size > _WIDTHS[-1]).tolist():
+            ids = self.long(keys[i])
+            parts.append((np.array([i]), np.array([len(ids)]), np.array(ids, np.int64)))
+        n = np.zeros(len(keys), np.int64)
+        for which, count, _ in parts:
+            n[which] = count
+        begin = np.cumsum(n) - n
+        flat = np.zeros(int(n.sum()), np.int64)
+        for which, count, ids in parts:
+            flat[np.arange(len(ids)) + np.repeat(begin[which] - (np.cumsum(count) - count), count)] = ids
+        return flat, n
+
+    def _side_by_side(self, keys: list[bytes], size: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        m, none = len(keys), np.iinfo(np.int64).max
+        data = np.frombuffer(b"".join(keys), np.uint8)
+        inside = np.arange(width) < size[:, None]
+        wide = width + 2  # two more places: what is after the last byte, and before the first
+        piece = np.full((m, wide), _NOTHING)
+        piece[:, :width][inside] = self.of_byte[data]
+        first = self.pairs.many(piece[:, :width].ravel(), piece[:, 1:width + 1].ravel()).reshape(m, width)
+        heap = np.full((m, 2 * width), none)
+        heap[:, width:] = np.where(first >= 0, first << 8 | np.arange(width), none)
+        k = width
+        while k > 1:
+            np.minimum(heap[:, k:2 * k:2], heap[:, k + 1:2 * k:2], out=heap[:, k // 2:k])
+            k //= 2
+        after = np.tile(np.append(np.arange(1, width + 1), [width, width]), (m, 1))
+        before = np.tile(np.append(np.arange(-1, width - 1), [width + 1, width + 1]), (m, 1))
+        before[:, 0] = width + 1
+        alive = inside.copy()
+        piece, heap, after, before, alive_ = piece.ravel(), heap.ravel(), after.ravel(), before.ravel(), alive.ravel()
+        rows = np.flatnonzero(heap[1::2 * width] != none)
+        while len(rows):
+            at, tree = rows * wide, rows * (2 * width)
+            top = heap[tree + 1]
+            i, r = top & 255, top >> 8
+            j = after[at + i]
+            k, h = after[at + j], before[at + i]
+            piece[at + i] = r
+            after[at + i] = k
+            before[at + k] = i
+            alive_[rows * width + j] = False
+            right = self.pairs.many(r, piece[at + k])
+            left = self.pairs.many(piece[at + h], r)
+            heap[tree + width + j] = none
+            heap[tree + width + i] = np.where(right >= 0, right << 8 | i, none)
+            some = h < width
+            h = np.where(some, h, i)
+            leaf = tree + width + h
+            heap[leaf] = np.where(some, np.where(left >= 0, left << 8 | h, none), heap[leaf])
+            for leaf in (i, j, h):  # the winners above each changed leaf, one level after the other
+                node = (leaf + width) >> 1
+                while node[0]:
+                    both = tree + 2 * node
+                    heap[tree + node] = np.minimum(heap[both], heap[both + 1])
+                    node >>= 1
+            rows = rows[heap[tree + 1] != none]
+        return alive.sum(axis=1), piece.reshape(m, wide)[:, :width][alive]
+
+    def long(self, key: bytes, push=heapq.heappush, pop=heapq.heappop) -> list[int]:
+        n, get = len(key), self.pairs.one.get
+        piece = self.of_byte[np.frombuffer(key, np.uint8)]
+        start = self.pairs.many(piece[:-1], piece[1:]).tolist()
+        piece, rank = piece.tolist(), [*start, -1]
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [r << 32 | i for i, r in enumerate(rank) if r >= 0]
         heapq.heapify(heap)
@@ -151,27 +233,19 @@ class Merger:
             entry = pop(heap)
             i, r = entry & 0xFFFFFFFF, entry >> 32
             if rank[i] != r:
-                continue
+                continue  # the pair at this position is another one by now
             j = after[i]
             k = after[i] = after[j]
             piece[i] = r
             rank[i] = rank[j] = -1
             if k < n:
                 before[k] = i
-                pair = r << 20 | piece[k]
-                t = get(pair)
-                if t is None:
-                    t = ask(pair)
+                t = rank[i] = get(r << 32 | piece[k], -1)
                 if t >= 0:
-                    rank[i] = t
                     push(heap, t << 32 | i)
             h = before[i]
             if h >= 0:
-                pair = piece[h] << 20 | r
-                t = get(pair)
-                if t is None:
-                    t = ask(pair)
-                rank[h] = t
+                t = rank[h] = get(piece[h] << 32 | r, -1)
                 if t >= 0:
                     push(heap, t << 32 | h)
         out, i = [], 0
@@ -186,59 +260,91 @@ class BytePairCodec:
 
     Texts are cut into units before each single space or line feed that stands
     between two characters that are no white space; no pre-token spans such a
-    cut and none depends on what is beyond it.  Ids of units and of pre-tokens are worked
-    out once for each worker while its tables have room.
+    cut and none depends on what is beyond it.  A slice's distinct units are cut
+    into pre-tokens together; ids of pre-tokens are worked out once for each
+    worker while its table has room.
     """
 
     def __init__(self, ranks: PerfectHash, pattern: str):
         self.ranks, self.pattern = ranks, regex.compile(pattern)
-        self.tokens = dict(zip(ranks.values, ranks.keys, strict=True))
-        self.merge = Merger(ranks, self.tokens)
-        self.known: dict[str, list[int]] = {}  # by pre-token
-        self.older: dict[str, list[int]] = {}
-        self.kept: dict[bytes, list[int]] = {}  # by unit
-        self.kept_before: dict[bytes, list[int]] = {}
-        top = max(self.tokens) + 1
+        self.merge = Merger(ranks)
+        self._forget()
+        tokens = dict(zip(ranks.values, ranks.keys, strict=True))
+        top = max(tokens) + 1
         self.size = np.zeros(top, np.int64)
-        self.size[list(self.tokens)] = [len(t) for t in self.tokens.values()]
+        self.size[list(tokens)] = [len(t) for t in tokens.values()]
         self.begin = np.cumsum(self.size) - self.size
-        self.bytes = np.frombuffer(b"".join(self.tokens.get(i, b"") for i in range(top)), np.uint8)
-
-    def pre_token(self, key: bytes) -> list[int]:
-        whole = self.ranks.get(key)
-        return [whole] if whole >= 0 else self.merge(key)
-
-    def unit(self, data: bytes) -> list[int]:
-        out, known = [], self.known
-        for pre in self.pattern.findall(data.decode("utf-8", "replace")):
-            ids = known.get(pre)
-            if ids is None:
-                ids = self.older.get(pre)
-                if ids is None:
-                    ids = self.pre_token(pre.encode())
-                if len(pre) <= _KNOWN_CHARS:
-                    if len(known) >= _KNOWN:  # what is not asked for again is forgotten with the next generation
-                        self.older, self.known = known, {}
-                        known = self.known
-                    known[pre] = ids
-            out += ids
-        return out
-
-    def units(self, wanted: list[bytes]) -> list[list[int]]:
-        """Ids of distinct units."""
-        if len(self.kept) >= _UNITS:
-            self.kept_before, self.kept = self.kept, {}
-        kept, before, out = self.kept, self.kept_before, []
-        for u in wanted:
-            ids = kept.get(u)
-            if ids is None:
-                ids = before.get(u)
-                if ids is None:
-                    ids = self.unit(u)
-                if len(u) <= _KNOWN_CHARS:
-                    kept[u] = ids
-            out.append(ids)
-        return out
+        self.bytes = np.frombuffer(b"".join(tokens.get(i, b"") for i in range(top)), np.uint8)
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}  # pre-token -> its place in the arrays
+        self.ids, self.at = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def _learn(self, fresh: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids one after the other, ids in each) of distinct pre-tokens."""
+        keys = [p.encode() for p in fresh]
+        get = self.ranks.get
+        whole = np.array([get(k) for k in keys], np.int64)
+        miss = np.flatnonzero(whole < 0)
+        n = np.ones(len(keys), np.int64)
+        ids, n[miss] = self.merge.many([keys[i] for i in miss.tolist()])
+        flat = np.zeros(int(n.sum()), np.uint32)
+        begin = np.cumsum(n) - n
+        hit = np.flatnonzero(whole >= 0)
+        flat[begin[hit]] = whole[hit]
+        own = np.ones(len(flat), bool)
+        own[begin[hit]] = False
+        flat[own] = ids
+        return flat, n
+
+    def pre_tokens(self, pres: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the pre-tokens one after the other, ids in each)."""
+        known = self.known
+        fresh = [p for p in dict.fromkeys(pres) if p not in known]
+        if len(known) + len(fresh) > _KNOWN and known:
+            self._forget()
+            known, fresh = self.known, list(dict.fromkeys(pres))
+        if fresh:
+            flat, n = self._learn(fresh)
+            known.update(zip(fresh, range(len(known), len(known) + len(fresh)), strict=True))
+            self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(n)])
+            self.ids = np.concatenate([self.ids, flat])
+        codes = np.fromiter(map(known.__getitem__, pres), np.int64, len(pres))
+        size = np.diff(self.at)
+        ids, _ = _gather(self.ids, self.at[:-1], size, codes)
+        if len(known) > _KNOWN:  # a slice with more than the table holds
+            self._forget()
+        return ids, size[codes]
+
+    def units(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the units one after the other, ids in each); unit i is data[offs[i]:offs[i + 1]]."""
+        n_bytes = np.diff(offs)
+        # units with a cut at either end stay cut when they follow each other; others are looked at alone
+        plain = n_bytes > 1
+        head = offs[:-1][plain]
+        plain[plain] = _CUT[data[head]] & _SOLID_START[data[head + 1]] & _solid_end(data)[offs[1:][plain] - 1]
+        together = data[np.repeat(plain, n_bytes)]
+        try:
+            text = together.tobytes().decode()
+        except UnicodeDecodeError:  # bytes that are no text
+            plain[:] = False
+            together, text = together[:0], ""
+        out_n = np.zeros(len(n_bytes), np.int64)
+        pres = self.pattern.findall(text)
+        ids, n = self.pre_tokens(pres)
+        pre_ends = np.cumsum(np.fromiter(map(len, pres), np.int64, len(pres)))
+        chars = np.concatenate([[0], np.cumsum((together & 0xC0) != 0x80)])
+        ends = chars[np.cumsum(n_bytes[plain])]
+        upto = np.concatenate([[0], np.cumsum(n)])
+        out_n[plain] = np.diff(upto[np.searchsorted(pre_ends, ends) + 1] if len(ends) else ends, prepend=0)
+        alone = [self.pattern.findall(data[offs[i]:offs[i + 1]].tobytes().decode("utf-8", "replace")) for i in np.flatnonzero(~plain).tolist()]
+        others, n = self.pre_tokens([p for x in alone for p in x])
+        upto = np.concatenate([[0], np.cumsum(n)])
+        out_n[~plain] = np.diff(upto[np.cumsum([len(x) for x in alone], dtype=np.int64)], prepend=0)
+        flat = np.zeros(int(out_n.sum()), np.uint32)
+        mine = np.repeat(plain, out_n)
+        flat[mine], flat[~mine] = ids, others
+        return flat, out_n
 
     def encode_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts of a null-free slice, where each text's begin and the end)."""
@@ -250,9 +356,7 @@ class BytePairCodec:
         cut[offs] = True
         edges = np.flatnonzero(cut)
         column = pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(data)]).dictionary_encode()
-        lists = self.units(column.dictionary.to_pylist())
-        size = np.array([len(x) for x in lists], np.int64)
-        flat = np.array([i for x in lists for i in x], np.uint32)
+        flat, size = self.units(*raw(column.dictionary))
         codes = column.indices.to_numpy(zero_copy_only=False)
         ids, done = _gather(flat, np.cumsum(size) - size, size, codes)
         return ids, done[np.searchsorted(edges, offs)]
@@ -276,8 +380,9 @@ def _gather(flat: np.ndarray, begin: np.ndarray, size: np.ndarray, codes: np.nda
     return flat[np.arange(done[-1]) + np.repeat(begin[codes] - done[:-1], n)], done
 
 
+_CUTS = (0x20, 0x0A)
 _CUT = np.zeros(256, bool)
-_CUT[[0x20, 0x0A]] = True
+_CUT[list(_CUTS)] = True
 # bytes that begin a character which is surely no white space: visible ASCII, and U+00C0 to U+027F
 _SOLID_START = np.zeros(256, bool)
 _SOLID_START[0x21:0x7F] = True
@@ -312,7 +417,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc
 
     kind = docs.schema[id_col].dataType.simpleString()
     return (docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-            .mapInArrow(run, f"id {kind}, ids binary"))
+            .mapInArrow(released(run), f"id {kind}, ids binary"))
 
 
 def digests(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -335,4 +440,4 @@ def digests(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "do
 
     kind = docs.schema[id_col].dataType.simpleString()
     return (docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-            .mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"))
+            .mapInArrow(released(run), f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"))

@@ -7,6 +7,7 @@ character.  All functions take any Arrow string array; null is the empty text.
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 from collections.abc import Callable, Hashable, Iterator
@@ -33,6 +34,20 @@ def kept(key: Hashable, make: Callable[[], Any]) -> Any:
     return home.objects[key]
 
 
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for ``mapInArrow``; after a task its worker, which stays for other work, returns free memory to the system."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+    return task
+
+
 @dataclass(frozen=True)
 class WordClass:
     """keep[b]: byte b belongs to a word; fold[b]: the byte it counts as."""

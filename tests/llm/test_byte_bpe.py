@@ -46,6 +46,21 @@ def test_equals_the_library(both, text):
     assert codec.decode(ids) == text.encode()
 
 
+@given(st.lists(st.binary(min_size=1, max_size=70), min_size=1, max_size=20))
+@settings(max_examples=60, deadline=None)
+def test_side_by_side_equals_one_heap_for_each(both, keys):
+    merge = both[0].merge
+    ids, n = merge.many(keys)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [merge.long(k) for k in keys]
+
+
+def test_more_pre_tokens_than_a_worker_keeps(both, monkeypatch):
+    codec, enc = both
+    monkeypatch.setattr(B, "_KNOWN", 5)
+    for text in ("one two three four five six seven eight nine ten", "one eleven twelve\n\n one two", "zwölf  Boxkämpfer\tjagen\n Viktor "):
+        assert np.frombuffer(codec.encode(text), "<u4").tolist() == enc.encode_ordinary(text)
+
+
 def test_long_texts_and_pre_tokens(both):
     codec, enc = both
     for text in ("ab" * 4000, "x" * 3001, "é" * 2000, "word " * 300_000, " " * 2000 + "a", "<|endoftext|>"):
