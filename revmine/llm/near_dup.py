@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
 from revmine.llm.common import free_name, if_small, stored
-from revmine.llm.words import SPACED_LOWER, chunks, words
+from revmine.llm.words import SPACED_LOWER, chunks, released, words
 
 SHINGLE = 5
 BANDS, ROWS = 48, 6
@@ -131,7 +131,7 @@ def signatures(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
 
     kind = docs.schema[id_col].dataType.simpleString()
     return (docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-            .mapInArrow(run, f"id {kind}, n_shingles long, key binary, bands array<long>"))
+            .mapInArrow(released(run), f"id {kind}, n_shingles long, key binary, bands array<long>"))
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, percent: int = MIN_PERCENT) -> DataFrame:
@@ -153,7 +153,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int = MIN_PERCENT) -> D
     kind = pairs.schema["a"].dataType.simpleString()
     one, two = texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b"))
     joined = pairs.select("a", "b").join(one, "a").join(two, "b")
-    return joined.select("a", "b", "text_a", "text_b").mapInArrow(run, f"a {kind}, b {kind}")
+    return joined.select("a", "b", "text_a", "text_b").mapInArrow(released(run), f"a {kind}, b {kind}")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -226,7 +226,7 @@ def frequent(texts: DataFrame, sample_rows: int = 10_000, most: int = SAMPLE_SHI
 
     chosen = stored(texts.select("rep").orderBy(F.xxhash64("rep"), "rep").limit(sample_rows), "sample")
     rows = texts.join(F.broadcast(chosen), "rep", "left_semi").select("text")  # sample_rows ids
-    return (rows.mapInArrow(count, "h long, times long").groupBy("h").agg(F.sum("times").alias("times"))
+    return (rows.mapInArrow(released(count), "h long, times long").groupBy("h").agg(F.sum("times").alias("times"))
             .where("times > 2").orderBy(F.desc("times"), "h").limit(most))
 
 
@@ -259,7 +259,7 @@ def refined(texts: DataFrame, percent: int = MIN_PERCENT, sample_rows: int = 10_
                     names=["bucket", "rep", "n", "pos"])
 
     kind = texts.schema["rep"].dataType.simpleString()
-    return texts.select("rep", "text").mapInArrow(run, f"bucket long, rep {kind}, n long, pos long")
+    return texts.select("rep", "text").mapInArrow(released(run), f"bucket long, rep {kind}, n long, pos long")
 
 
 def _open(left: DataFrame, comp: DataFrame) -> DataFrame:

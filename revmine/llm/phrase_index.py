@@ -23,6 +23,7 @@ is empty; without items nothing matches.  Other columns are never read.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,8 +31,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from revmine.llm.common import free_name, if_small, stored
-from revmine.llm.words import ALNUM_LOWER, chunks, words
+from revmine.llm.common import free_name, if_small, scratch, stored
+from revmine.llm.words import ALNUM_LOWER, chunks, released, words
 
 WINDOW = 13
 SLICE = 4 << 20  # bytes of text in a segment
@@ -71,7 +72,7 @@ def build_index(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = (docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-            .mapInArrow(build, f"ids array<{kind}>, first array<long>, terms array<binary>, counts array<int>, gaps binary"))
+            .mapInArrow(released(build), f"ids array<{kind}>, first array<long>, terms array<binary>, counts array<int>, gaps binary"))
     return stored(rows.withColumn("segment", F.monotonically_increasing_id()), "phrase-index")
 
 
@@ -163,13 +164,21 @@ class Items:
 
 
 def item_blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[tuple[list, list[str]]]:
-    """(ids, texts) of all items in blocks of about ``block_bytes`` of text, one block at a time on the driver."""
+    """(ids, texts) of all items in blocks of about ``block_bytes`` of text, one block at a time on the driver.
+
+    The items are dealt to blocks and written once, a folder for each block; a
+    single item longer than ``block_bytes`` is a block of its own size.
+    """
     rows = items.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).distinct()
-    rows = stored(rows.withColumn("size", F.octet_length("text")), "items")
+    rows = stored(rows.withColumn("size", F.octet_length("text").cast("long")), "items")
     total = rows.agg(F.sum("size")).first()[0] or 0
     n = -(-total // block_bytes)
+    path = scratch(items.sparkSession, "item-blocks")
+    if n:
+        rows.select("id", "text", F.pmod(F.xxhash64("id", "text"), F.lit(n)).alias("block")).write.partitionBy("block").parquet(path)
+        dealt = items.sparkSession.read.schema(rows.select("id", "text", F.lit(0).cast("long").alias("block")).schema).parquet(path)
     for k in range(n):
-        got = rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k).toArrow()
+        got = dealt.where(F.col("block") == k).select("id", "text").toArrow()
         order = sorted(zip(got.column("id").to_pylist(), got.column("text").to_pylist(), strict=True))
         if order:
             yield [i for i, _ in order], [t for _, t in order]
@@ -185,16 +194,18 @@ def phrase_matches(index: DataFrame, items: DataFrame, *, item_id: str = "item_i
     spark = index.sparkSession
     kind = items.schema[item_id].dataType.simpleString()
     schema = f"segment long, ordinal int, item {kind}, begin int, end int"
+    return _by_blocks(index, items, item_id, item_text, block_bytes, lambda sent: _phrase_task(sent, window), schema)
+
+
+def _by_blocks(index: DataFrame, items: DataFrame, item_id: str, item_text: str, block_bytes: int, task, schema: str) -> DataFrame:
+    """Matches of all blocks, each stored before the next one is read; one block (about ``block_bytes``) is broadcast at a time."""
+    spark = index.sparkSession
     parts = []
     for block in item_blocks(items, item_id, item_text, block_bytes):
-        sent = spark.sparkContext.broadcast(block)  # about block_bytes
-        parts.append(index.mapInArrow(_phrase_task(sent, window), schema))
-    if not parts:
-        return spark.createDataFrame([], schema)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return stored(out, "phrase-matches")
+        sent = spark.sparkContext.broadcast(block)
+        parts.append(stored(index.mapInArrow(released(task(sent)), schema), "matches"))
+        sent.destroy()
+    return functools.reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
 
 
 def _phrase_task(sent, window: int):
@@ -243,36 +254,74 @@ def proximity_matches(index: DataFrame, items: DataFrame, *, span: int, item_id:
     """Places where all distinct words of an item lie, in any order, inside ``span`` words.
 
     (segment, ordinal, item, begin, end): the shortest such stretch around each
-    occurrence of the item's rarest word in the segment, once.
+    occurrence of the item's rarest word in the segment, once.  Null ids and
+    texts, items without words and an index without rows match nothing.
     """
-    spark = index.sparkSession
     kind = items.schema[item_id].dataType.simpleString()
     schema = f"segment long, ordinal int, item {kind}, begin int, end int"
-    parts = []
-    for block in item_blocks(items, item_id, item_text, block_bytes):
-        parts.append(index.mapInArrow(_proximity_task(spark.sparkContext.broadcast(block), span), schema))
-    if not parts:
-        return spark.createDataFrame([], schema)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.distinct()
-
-
-def _shortest(lists: list[np.ndarray], through: int, span: int) -> tuple[int, int] | None:
-    """Shortest stretch through position ``through`` with one entry of each list."""
-    best = None
-    for begin in sorted({int(p) for x in lists for p in x if through - span < p <= through}, reverse=True):
-        end = through
-        for x in lists:
-            k = np.searchsorted(x, begin)
-            if k == len(x):  # this word occurs only before ``begin``: a lower start may still have it
-                break
-            end = max(end, int(x[k]))
-        else:
-            if end - begin < span and (best is None or end + 1 - begin < best[1] - best[0]):
-                best = (begin, end + 1)
-    return best
+    return _by_blocks(index, items, item_id, item_text, block_bytes, lambda sent: _proximity_task(sent, span), schema)
+
+
+def _near(x: np.ndarray, at: np.ndarray, span: int) -> np.ndarray:
+    """Entries of ``x`` less than ``span`` from one of ``at`` (both sorted)."""
+    lo, hi = np.searchsorted(x, at - span + 1), np.searchsorted(x, at + span)
+    if int((hi - lo).sum()) >= len(x):
+        return x[np.searchsorted(at, x - span + 1) < np.searchsorted(at, x + span)]
+    lo = np.maximum(lo, np.concatenate([[0], hi[:-1]]))  # stretches that overlap are taken once
+    n = np.maximum(hi - lo, 0)
+    return x[np.arange(n.sum()) + np.repeat(lo - (np.cumsum(n) - n), n)]
+
+
+def _stretches(lists: list[np.ndarray], span: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shortest stretches with an entry of each list around each entry of the first, as (begin, end), once each.
+
+    One pass over the merged postings: from each posting on, the stretch that
+    ends where every word has come; the shortest through a place is then a
+    minimum over the postings up to ``span`` before it.
+    """
+    at = lists[0]
+    for x in lists[1:]:  # some occurrence near enough, rarest terms first
+        at = at[np.searchsorted(x, at - span + 1) < np.searchsorted(x, at + span)]
+    if not len(at):
+        return at, at
+    lists = [at] + [_near(x, at, span) for x in lists[1:]]
+    begin = np.unique(np.concatenate(lists))
+    far = np.iinfo(np.int64).max // 4
+    end = begin.copy()
+    for x in lists:
+        end = np.maximum(end, np.append(x, far)[np.searchsorted(x, begin)])
+    # a place with all begins below it whose stretch ends before it: the last of them, stretched to the place
+    here = np.searchsorted(begin, at)
+    done = np.searchsorted(end, at, side="right") - 1
+    low, high = np.minimum(done, here), here
+    best_begin, best_end = begin[np.maximum(low, 0)], at.copy()
+    best = np.where(low >= 0, at - best_begin, far)
+    # or a begin after that and up to the place: the least length, of equal ones the last begin
+    length = end - begin
+    n, level = high - np.maximum(done, -1), 0
+    table = np.arange(len(begin))
+    left = np.maximum(done, -1) + 1
+    pick = np.full(len(at), -1)
+    while n.max(initial=0) >> level:
+        use = np.flatnonzero((n > 0) & (np.frexp(n.astype(np.float64))[1] - 1 == level))
+        if len(use):
+            pick[use] = _least(length, table[left[use]], table[high[use] - (1 << level) + 1])
+        step = 1 << level
+        if len(table) > step:
+            table = _least(length, table[:-step], table[step:])
+        level += 1
+    other = pick >= 0
+    shorter = other & (np.where(other, length[pick], far) <= best)  # the later begin among equals
+    best_begin = np.where(shorter, begin[pick], best_begin)
+    best_end = np.where(shorter, end[pick], best_end)
+    ok = (best_end - best_begin < span) & (best_end < far)
+    both = np.unique(np.stack([best_begin[ok], best_end[ok]]), axis=1)
+    return both[0], both[1] + 1
+
+
+def _least(length: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of two places each the one with the lesser length, b among equals (b lies behind a)."""
+    return np.where(length[b] <= length[a], b, a)
 
 
 def _proximity_task(sent, span: int):
@@ -289,16 +338,13 @@ def _proximity_task(sent, span: int):
                     if not len(terms) or terms[0] < 0:
                         continue
                     terms = terms[np.argsort(seg.counts[terms], kind="stable")]
-                    lists = [seg.postings[seg.begin[t]:seg.begin[t + 1]] for t in terms]
-                    at = lists[0]
-                    for x in lists[1:]:  # some occurrence near enough, rarest terms first
-                        at = at[np.searchsorted(x, at - span + 1) < np.searchsorted(x, at + span)]
-                    for p in at.tolist():
-                        d = int(seg.document[p])
-                        lo, hi = seg.first[d], seg.first[d + 1]
-                        near = [x[np.searchsorted(x, max(lo, p - span + 1)):np.searchsorted(x, min(hi, p + span))] for x in lists]
-                        if all(map(len, near)) and (s := _shortest(near, p, span)):
-                            out.append((row["segment"], d, block.ids[i], s[0] - int(lo), s[1] - int(lo)))
+                    # documents lie ``span`` apart here, so that no stretch reaches over an end
+                    lists = [(x := seg.postings[seg.begin[t]:seg.begin[t + 1]]) + seg.document[x].astype(np.int64) * span for t in terms]
+                    begin, end = _stretches(lists, span)
+                    if len(begin):
+                        starts = seg.first[:-1] + np.arange(len(seg.first) - 1, dtype=np.int64) * span
+                        d = np.searchsorted(starts, begin, side="right") - 1
+                        out += [(row["segment"], int(k), block.ids[i], int(lo), int(hi)) for k, lo, hi in zip(d, begin - starts[d], end - starts[d], strict=True)]
                 columns = list(zip(*out, strict=True)) or [()] * 5
                 kinds = (pa.int64(), pa.int32(), _kind(block.ids), pa.int32(), pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["segment", "ordinal", "item", "begin", "end"])

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from revmine.llm.common import labelled_sample, stored
-from revmine.llm.words import SPACED, chunks, words
+from revmine.llm.words import SPACED, chunks, released, words
 
 BITS = 20
 ORDERS = (3, 4, 5, 6)
@@ -131,7 +131,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", id_col: str
         at = np.flatnonzero(seen.sum(axis=0))
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(seen[0][at], rows[0])), pa.array(np.append(seen[1][at], rows[1]))], names=["gram", "clean", "toxic"])
 
-    counted = (sample.mapInArrow(count, "gram long, clean long, toxic long").groupBy("gram")
+    counted = (sample.mapInArrow(released(count), "gram long, clean long, toxic long").groupBy("gram")
                .agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).orderBy("gram").toArrow())  # 2**BITS rows at most
     none = GramModel(np.zeros(0, np.int64), np.zeros(0), 0.0)
     if not counted.num_rows:
@@ -173,4 +173,4 @@ def score(docs: DataFrame, model: GramModel, *, id_col: str = "doc_id", text_col
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(lo, len(part)), pa.array(model.probability(part))], names=["id", "score"])
 
     return (docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-            .mapInArrow(run, f"id {kind.simpleString()}, score double"))
+            .mapInArrow(released(run), f"id {kind.simpleString()}, score double"))

@@ -102,11 +102,56 @@ def test_proximity_equals_brute_force_in_one_segment(spark):
         assert counts == {i: (len(words(t)), len(want[i])) for i, t in docs}
 
 
-def test_shortest_goes_on_to_lower_starts():
-    at = lambda *p: PI.np.array(p)
-    assert PI._shortest([at(1), at(0)], 1, 5) == (0, 2)  # rarest last
-    assert PI._shortest([at(1), at(0), at(2)], 1, 5) == (0, 3)  # in the middle
-    assert PI._shortest([at(0), at(1), at(2)], 0, 5) == (0, 3)  # first
+def plain_stretches(lists, span):
+    """The shortest stretch through each entry of the first list; of equal ones the last to begin."""
+    out = set()
+    for p in lists[0]:
+        best = None
+        for b in sorted({q for x in lists for q in x if p - span < q <= p}, reverse=True):
+            ends = [min((q for q in x if q >= b), default=None) for x in lists]
+            if None not in ends and (e := max([p, *ends])) - b < span and (best is None or e - b < best[1] - best[0]):
+                best = (b, e)
+        if best:
+            out.add((best[0], best[1] + 1))
+    return out
+
+
+def test_stretches_equal_brute_force():
+    rng = random.Random(11)
+    for _ in range(400):
+        places = list(range(rng.randrange(1, 40)))
+        rng.shuffle(places)
+        k = rng.randrange(1, 5)
+        lists = [sorted(places[i::k]) for i in range(k)]
+        if all(lists):
+            for span in (1, 2, 5, 12):
+                got = PI._stretches([PI.np.array(x) for x in lists], span)
+                assert set(zip(*(x.tolist() for x in got), strict=True)) == plain_stretches(lists, span)
+
+
+def test_a_common_word_is_one_pass(spark):
+    """20 documents of 20,000 equal words: an item of that word has one stretch an occurrence, in one pass."""
+    index = PI.build_index(spark.createDataFrame([(i, "alpha " * 20_000) for i in range(20)], "doc_id long, text string").coalesce(1))
+    m = PI.proximity_matches(index, spark.createDataFrame([(1, "alpha"), (2, "alpha beta")], "item_id long, text string"), span=5)
+    assert m.count() == 400_000 and {r["n_near_items"] for r in PI.proximity_counts(index, m).collect()} == {1}
+
+
+def test_proximity_of_nulls_and_nothing(spark, odd, no_docs):
+    items = spark.createDataFrame([(1, "quick fox"), (2, None), (None, "quick"), (3, "")], "item_id long, text string")
+    index = PI.build_index(odd)
+    counts = PI.proximity_counts(index, PI.proximity_matches(index, items, span=20)).collect()
+    assert len(counts) == odd.count() and sum(r["n_near_items"] for r in counts) == 5  # four copies in lower case or not, one null id
+    assert PI.proximity_matches(index, items.where("item_id < 0"), span=20).count() == 0
+    empty = PI.build_index(no_docs)
+    assert PI.proximity_counts(empty, PI.proximity_matches(empty, items, span=20)).collect() == []
+
+
+def test_blocks_of_items_give_the_same_matches(spark):
+    docs = spark.createDataFrame([(i, f"one two w{i} three four w{i + 1} five") for i in range(30)], "doc_id long, text string")
+    items = spark.createDataFrame([(i, f"w{i} three four") for i in range(31)], "item_id long, text string")
+    index = PI.build_index(docs)
+    whole, blocks = (sorted(map(tuple, PI.phrase_matches(index, items, block_bytes=b).collect())) for b in (1 << 20, 60))
+    assert whole == blocks and len(whole) == 30
 
 
 def test_odd_rows_and_empty_tables(spark, odd, no_docs):
