@@ -10,13 +10,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from revmine.session import cut_lineage
 
-def _list(x) -> list[str]:
-    return [x] if isinstance(x, str) else list(x)
+
+def _list(x) -> list:
+    return [x] if isinstance(x, (str, Column)) else list(x)
 
 
 def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value, out: str) -> DataFrame:
@@ -26,9 +28,44 @@ def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value,
     return df.withColumn(out, F.sum(v).over(w))
 
 
-def position_in_group(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "position") -> DataFrame:
-    """``row_number()`` per key in ``order`` (add a tiebreaker for a stable order)."""
-    return df.withColumn(out, F.row_number().over(Window.partitionBy(*_list(keys)).orderBy(*_list(order))))
+def _sliced(df: DataFrame, keys: Sequence[str], order: Sequence, slices: int | None) -> DataFrame:
+    """``df`` dealt to range slices of (keys, order), stored once; ``_slice`` numbers the slices in that order.
+
+    Slices are drawn from a sample, so they are stored before anything is
+    counted: work done again would cut them elsewhere.
+    """
+    n = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut_lineage(df.repartitionByRange(n, *keys, *order).withColumn("_slice", F.spark_partition_id()))
+
+
+def position_in_group(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], out: str = "position",
+                      slices: int | None = None) -> DataFrame:
+    """``row_number()`` per key in ``order`` (add a tiebreaker for a stable order); without keys over all rows.
+
+    Two levels: positions inside range slices of (keys, order), and before them
+    the rows that earlier slices hold of the same key.  A key with a third of all
+    rows is sorted in a third of the slices.  Only a slice's first and last
+    key can go on in another slice, so at most two counts a slice are added up.
+    Rows with equal keys and order meet in one slice.
+    """
+    keys, order = _list(keys), _list(order)
+    rows = _sliced(df, keys, order, slices)
+    inside = F.row_number().over(Window.partitionBy("_slice", *keys).orderBy(*order)).cast("bigint")
+    if keys:
+        key = F.struct(*keys)
+        ends = rows.groupBy("_slice").agg(F.min(key).alias("a"), F.max(key).alias("b"))
+        ends = ends.select(F.explode(F.array("a", "b")).alias("_e")).distinct()  # two keys a slice at most
+        mine = rows.select("_slice", key.alias("_k")).join(F.broadcast(ends), F.col("_k").eqNullSafe(F.col("_e")), "left_semi")
+    else:
+        mine = rows.select("_slice", F.lit(0).alias("_k"))
+    counts = mine.groupBy("_slice", "_k").agg(F.count("*").alias("_n"))
+    upto = Window.partitionBy("_k").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select(F.col("_slice").alias("_s"), "_k", F.sum("_n").over(upto).alias("_before")).where("_before > 0")
+    same = F.col("_slice") == F.col("_s")
+    if keys:
+        same = same & F.struct(*keys).eqNullSafe(F.col("_k"))
+    placed = rows.withColumn(out, inside).join(F.broadcast(before), same, "left")
+    return placed.select(*df.columns, (F.col(out) + F.coalesce("_before", F.lit(0))).cast("int" if keys else "bigint").alias(out))
 
 
 def counted(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
