@@ -130,3 +130,67 @@ best AS (SELECT host, path, arg_max(rule, length(rule)) AS rule, arg_max(rule_ve
 SELECT page_id, host, path, rule,
        coalesce(rule_verdict, CASE WHEN host = '' OR EXISTS (SELECT 1 FROM listed WHERE host = name OR ends_with(host, '.' || name)) THEN 'block' ELSE 'allow' END) AS verdict
 FROM p LEFT JOIN best USING (host, path)"""
+
+
+def op11(n_buckets: int) -> str:
+    """CRC-32 from its polynomial, byte by byte, over each distinct feature."""
+    return rf"""
+WITH RECURSIVE bits AS (
+  SELECT i::BIGINT AS v, i::BIGINT AS c, 0 AS k FROM range(256) r(i)
+  UNION ALL SELECT v, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
+tbl AS (SELECT list(c ORDER BY v) AS t FROM bits WHERE k = 8),
+d AS (SELECT doc_id, regexp_extract_all({_LOWERED.format("coalesce(text, '')")}, '{ALNUM}') AS w FROM documents),
+b AS (SELECT regexp_extract_all({_LOWERED.format("coalesce(text, '')")}, '{ALNUM}') AS w FROM benchmark),
+df AS (SELECT doc_id, unnest(w) AS f FROM d UNION ALL SELECT doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM d WHERE len(w) > 1),
+bf AS (SELECT unnest(w) AS f FROM b UNION ALL SELECT unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM b WHERE len(w) > 1),
+dc AS (SELECT doc_id, f, count(*) AS n FROM df GROUP BY ALL),
+bc AS (SELECT f, count(*) AS n FROM bf GROUP BY ALL),
+seen AS (SELECT f, hex(encode(f)) AS h FROM dc UNION SELECT f, hex(encode(f)) FROM bc),
+hashed AS (
+  SELECT f, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, len(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT)),
+                            lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) % {n_buckets} AS bucket
+  FROM seen, tbl),
+s AS (SELECT bucket, sum(n)::DOUBLE AS s FROM dc JOIN hashed USING (f) GROUP BY bucket),
+t AS (SELECT bucket, sum(n)::DOUBLE AS t FROM bc JOIN hashed USING (f) GROUP BY bucket),
+tot AS (SELECT (SELECT coalesce(sum(s), 0) FROM s) AS ss, (SELECT coalesce(sum(t), 0) FROM t) AS tt),
+gain AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1) * (ss + {n_buckets}) / ((coalesce(s, 0) + 1) * (tt + {n_buckets}))))::BIGINT AS g
+         FROM s FULL JOIN t USING (bucket), tot),
+mean AS (SELECT doc_id, sum(n)::BIGINT AS n_features, floor(sum(n * g)::BIGINT / sum(n)::BIGINT)::BIGINT AS weight
+         FROM dc JOIN hashed USING (f) JOIN gain USING (bucket) GROUP BY doc_id),
+scored AS (
+  SELECT doc_id, len(w) AS n_words, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+         coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || doc_id::VARCHAR), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+  FROM d LEFT JOIN mean USING (doc_id)),
+placed AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () AS n FROM scored WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN r <= 25 * n // 100 THEN r END::BIGINT AS rank FROM scored LEFT JOIN placed USING (doc_id)"""
+
+
+def op12(scan) -> str:
+    """Places of a pattern's matches: what lies between them and they themselves, added up."""
+    def parts(i: int, k) -> str:
+        pattern = k.pattern.replace("'", "''")
+        value = f"regexp_extract(m, '{pattern}', {k.group})"
+        mixed = " AND regexp_matches(m, '[A-Z]') AND regexp_matches(m, '[a-z]') AND regexp_matches(m, '[0-9]')" if k.mixed else ""
+        return rf"""
+SELECT doc_id, {i} AS kind, '{k.name}' AS name, '{k.role}' AS role, b, b + length(m) AS e FROM (
+  SELECT doc_id, unnest(m) AS m, unnest(list_transform(range(1, len(m) + 1), lambda i: list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0)))::BIGINT AS b
+  FROM (SELECT doc_id, regexp_extract_all(text, '{pattern}') AS m, regexp_split_to_array(text, '{pattern}') AS p FROM d WHERE regexp_matches(text, '{pattern}')))
+WHERE length({value}) >= {k.least}{mixed}"""
+    base = len(scan.BASE)
+    near = "q.doc_id = c.doc_id AND q.scope = c.scope AND q.b < c.e + {0} AND q.e > c.b - {0}".format(scan.REACH)
+    has = lambda role: f"EXISTS (SELECT 1 FROM mine q WHERE {near} AND q.role = '{role}')"
+    counts = ", ".join(f"count(*) FILTER (name = '{k.name}')::BIGINT AS n_{k.name}" for k in scan.BASE)
+    written = "name || ':' || b || ':' || e, ',' ORDER BY b, kind"
+    return rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+found AS ({" UNION ALL ".join(parts(i, k) for i, k in enumerate(scan.KINDS))}),
+mine AS (
+  SELECT c.*, (SELECT len(regexp_extract_all(substr(text, 1, c.b::BIGINT), '{scan.BLANK_LINE}')) FROM d WHERE d.doc_id = c.doc_id) AS scope FROM found c
+  WHERE kind < {base} OR NOT EXISTS (SELECT 1 FROM found q WHERE q.doc_id = c.doc_id AND q.kind < c.kind AND q.b < c.e AND q.e > c.b)),
+reported AS (
+  SELECT * FROM mine c WHERE kind < {base} OR (role = 'identifier' AND {has("secret")}) OR (role = 'secret' AND {has("identifier")})
+    OR (role = 'endpoint' AND {has("identifier")} AND {has("secret")})),
+one AS (SELECT doc_id, {counts}, string_agg({written}) FILTER (kind < {base}) AS base, string_agg({written}) AS spans,
+               count(*) FILTER (kind >= {base})::BIGINT AS n_linked FROM reported GROUP BY doc_id)
+SELECT doc_id, {", ".join(f"coalesce(n_{k.name}, 0)::BIGINT AS n_{k.name}" for k in scan.BASE)}, sha256(coalesce(base, '')) AS base_sha256,
+       coalesce(spans, '') AS spans, coalesce(n_linked, 0)::BIGINT AS n_linked FROM d LEFT JOIN one USING (doc_id)"""

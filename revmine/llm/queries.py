@@ -5,7 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from revmine.llm import byte_bpe, chat_examples, license_scan, near_dup, oracles, phrase_index, quality_rank, rule_ledger, token_files, toxicity, url_digests
+from revmine.llm import (
+    byte_bpe, chat_examples, importance, license_scan, near_dup, oracles, phrase_index, quality_rank, rule_ledger, secret_links, token_files, toxicity,
+    url_digests, whitening)
 from revmine.llm.common import learnable, stored, table
 
 #: entry, verdict
@@ -82,12 +84,27 @@ def op10_url_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_digests.judge(table(spark, sf_dir, "pages"), URL_RULES, BLOCKED_HOSTS).withColumnRenamed("id", "page_id")
 
 
+def op11_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select(F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
+def op12_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_links.digests(secret_links.spans(table(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_token_files, op2_quality_rank, op3_rule_ledger, op4_phrase_index, op4_proximity, op5_near_dup, op6_chat_examples,
-    op7_license_scan, op8_byte_bpe, op9_toxicity, op10_url_digests)}
+    op7_license_scan, op8_byte_bpe, op9_toxicity, op10_url_digests, op11_importance_resample, op12_secret_links, op13_whitening)}
 
 ORACLES = {
     "op3_rule_ledger": oracles.OP3, "op4_phrase_index": oracles.OP4, "op4_proximity": oracles.op4_proximity(NEAR_SPAN), "op5_near_dup": oracles.OP5,
     "op6_chat_examples": oracles.op6(PROBE_TEXT), "op7_license_scan": oracles.op7(license_scan.TEMPLATES),
     "op10_url_digests": oracles.op10(URL_RULES, BLOCKED_HOSTS),
+    "op11_importance_resample": oracles.op11(importance.N_BUCKETS),
+    "op12_secret_links": oracles.op12(secret_links),
 }
