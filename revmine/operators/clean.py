@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from revmine.functions import lexicon as L
+from revmine.operators.language import LanguageModel, detect_language, fit_language_model, letters  # noqa: F401  (F8)
 
 
 def _list(x) -> list[str]:
@@ -110,7 +111,7 @@ def language_scores(text, languages=("en", "fr", "de", "es")) -> list[Column]:
     return out
 
 
-def detect_language(df: DataFrame, text: str, languages=("en", "fr", "de", "es"), out: str = "lang_guess") -> DataFrame:
+def detect_language_by_stop_words(df: DataFrame, text: str, languages=("en", "fr", "de", "es"), out: str = "lang_guess") -> DataFrame:
     """Language with the most stop-word hits (first listed on ties; none -> NULL).
 
     Counts are computed in a one-row ``inline`` so later filters on the guess
@@ -124,12 +125,15 @@ def detect_language(df: DataFrame, text: str, languages=("en", "fr", "de", "es")
     return cnt.withColumn(out, guess).drop(*[f"_lang_{c}" for c in languages])
 
 
-def filter_language(df: DataFrame, lang: str = "en", lang_col: str | None = "lang", text: str | None = None) -> DataFrame:
+def filter_language(df: DataFrame, lang: str = "en", lang_col: str | None = "lang", text: str | None = None,
+                    model: LanguageModel | None = None) -> DataFrame:
     """Keep rows in one language: by a language column, or (``lang_col=None``)
-    by the stop-word guess of ``text``."""
+    by what ``model`` (of :func:`fit_language_model`) makes of ``text``."""
     if lang_col is not None:
         return df.where(F.col(lang_col) == lang)
-    return detect_language(df, text).where(F.col("lang_guess") == lang).drop("lang_guess")
+    if model is None or text is None:
+        raise ValueError("without a language column a text column and a fitted model are needed")
+    return df.where(model.guess()(letters(text)) == lang)
 
 
 # F9

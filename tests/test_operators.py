@@ -262,7 +262,7 @@ def test_detect_language_by_stop_words(spark):
     df = spark.createDataFrame([(1, "The beer and the head of it"), (2, "Le goût et la mousse de la bière"),
                                 (3, "Das Bier und der Schaum ist gut"), (4, "La cerveza y el sabor con la espuma"),
                                 (5, "xyz qwv")], "id int, t string")
-    got = {r["id"]: r["lang_guess"] for r in CL.detect_language(df, "t").collect()}
+    got = {r["id"]: r["lang_guess"] for r in CL.detect_language_by_stop_words(df, "t").collect()}
     assert got == {1: "en", 2: "fr", 3: "de", 4: "es", 5: None}
     kept = [r["id"] for r in CL.filter_language(df, "fr", lang_col=None, text="t").collect()]
     assert kept == [2]
