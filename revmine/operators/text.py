@@ -21,6 +21,7 @@ from pyspark.sql import Window
 
 from revmine.functions import lexicon as L
 from revmine.functions import text as X
+from revmine.operators.tagger import HmmTagger
 
 
 def _list(x) -> list[str]:
@@ -501,18 +502,25 @@ def tfidf_sum_over_docs(df: DataFrame, doc: str, text: str, ngram_range: tuple[i
 
 def clean_tokens(df: DataFrame, text: str, out: str = "tokens", *, stop: Sequence[str] | None = None,
                  pos_table: DataFrame | None = None, lemma: Callable[[Column], Column] | None = None,
-                 id_col: str | None = None) -> DataFrame:
+                 id_col: str | None = None, tagger: HmmTagger | None = None) -> DataFrame:
     """Word-cloud tokens: sentences, punctuation off (but '), lowercase,
     stop words except not/no/never, verb lemma, alphabetic only.
 
-    The original keeps nouns/adjectives/adverbs/verbs by a POS tagger; here a
+    Nouns, adjectives, adverbs and verbs are kept by a ``tagger`` (of
+    :func:`revmine.operators.tagger.fit_tagger`), which sees each sentence whole,
+    stop words included; verbs become their lemma.  Instead, a
     ``pos_table (term, pos)`` can be given (NN/JJ/RB/VB kept).  It is applied
     as a semi-join of the exploded tokens on the distinct kept vocabulary and
     the arrays are rebuilt per text ``id_col`` (one review's tokens), so no
-    text travels through a shuffle.  Without it every token is kept.
+    text travels through a shuffle.  Without either every token is kept.
     """
     stop = [w for w in (stop if stop is not None else english_stop_words()) if w not in L.KEPT_NEGATIONS]
     sentences = X.split_sentences_regexp(F.col(text))
+    if tagger is not None:
+        spoken = F.transform(sentences, lambda s: F.filter(F.split(F.trim(X.remove_punctuation(F.lower(s))), r"\s+"), lambda w: w != ""))
+        pairs = F.flatten(F.zip_with(spoken, tagger.tags(spoken), lambda w, t: F.zip_with(w, t, lambda a, b: F.struct(a.alias("w"), b.alias("t")))))
+        kept = F.filter(pairs, lambda p: p["t"].isin("NN", "JJ", "RB", "VB") & ~p["w"].isin(sorted(set(stop))) & p["w"].rlike(r"^\p{L}+$"))
+        return df.withColumn(out, F.transform(kept, lambda p: F.when(p["t"] == "VB", lemma_by_class(p["w"], p["t"])).otherwise(p["w"])))
     words = F.flatten(F.transform(sentences, lambda s: F.split(F.trim(X.remove_punctuation(s)), r"\s+")))
     words = F.transform(words, lambda w: F.lower(w))
     words = F.filter(words, lambda w: (w != "") & ~w.isin(sorted(set(stop))))

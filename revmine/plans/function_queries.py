@@ -231,6 +231,38 @@ def q_lemmatise(spark: SparkSession, sf: str) -> DataFrame:
     return T.lemmatise(counts, ["source"])
 
 
+def _english_tagger(spark: SparkSession, sf: str):
+    from revmine.operators.tagger import fit_tagger
+
+    d = C.table(spark, sf, DOCS).where(F.col("lang") == "en").select("doc_id", "source", "text")
+    return d, fit_tagger(d, "text")
+
+
+@register("lemmatise_in_context")
+def q_lemmatise_in_context(spark: SparkSession, sf: str) -> DataFrame:
+    """T7 by word class in context: per source the counts of lemmas, classes from a tagger fitted on the English documents."""
+    d, tagger = _english_tagger(spark, sf)
+    return T.word_counts(d, ["source"], weight=None, tokenizer=tagger.lemmas, clean=False)
+
+
+@register("clean_tokens_in_context")
+def q_clean_tokens_in_context(spark: SparkSession, sf: str) -> DataFrame:
+    """T16 by word class in context: nouns, adjectives, adverbs and verbs (as lemmas) of each English document."""
+    d, tagger = _english_tagger(spark, sf)
+    return T.clean_tokens(d, "text", "tokens", tagger=tagger).select("doc_id", "tokens")
+
+
+@register("word_classes")
+def q_word_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """How often the tagger gives each word of the English documents each class."""
+    from revmine.operators.tagger import words_of_sentences
+
+    d, tagger = _english_tagger(spark, sf)
+    s = d.select(words_of_sentences("text").alias("s")).select("s", tagger.tags("s").alias("t"))
+    pairs = s.select(F.explode(F.arrays_zip(F.flatten("s").alias("word"), F.flatten("t").alias("tag"))).alias("p"))
+    return pairs.groupBy(F.col("p.word").alias("word"), F.col("p.tag").alias("tag")).agg(F.count("*").alias("n"))
+
+
 @register("stem")
 def q_stem(spark: SparkSession, sf: str) -> DataFrame:
     """Counts re-aggregated on the Porter2 stem of each distinct term."""
