@@ -21,6 +21,7 @@ from revmine.functions import lexicon as L
 from revmine.functions import text as X
 from revmine.operators import text as T
 from revmine.operators.reshape import explode_sentences
+from revmine.session import cut_lineage
 
 LabelRule = Callable[[Column], Column]
 WORD_PATTERN = r"\p{L}+"
@@ -190,32 +191,35 @@ def classify_vectors(df: DataFrame, centroids: DataFrame, key: str, vec: str = "
 
     ``(key, category, score, kept)``: ``category`` = arg-max (first category
     name on ties), ``score`` its probability, ``kept`` when score >
-    ``min_score``.  ``key`` identifies a row.  Categories are taken in blocks
-    of about ``block``: a row meets each block once, and its blocks' maxima and
-    softmax sums are combined, so no task holds more than a block of centroids.
-    Without categories, or for a vector of length 0, category and score are NULL.
+    ``min_score``.  Categories are taken in blocks of about ``block``, a few
+    thousand numbers each: a row meets one after the other and keeps the best
+    category and the softmax sum so far, without a shuffle.  Without categories,
+    or for a vector of length 0, category and score are NULL.
     """
     n_blocks = max(1, -(-centroids.count() // block))
     cat = F.col("category").cast("string")
-    packed = (centroids.groupBy(F.pmod(F.xxhash64(cat), F.lit(n_blocks)).cast("int").alias("_b"))
-              .agg(F.array_sort(F.collect_list(F.struct(cat.alias("category"), F.col("centroid").alias("centroid")))).alias("_c")))
-    out = df.select(key, F.transform(F.col(vec), lambda x: x.cast("double")).alias("_v"),
-                    F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("_b"))
-    out = out.join(packed, "_b", "left").withColumn("_vn", F.sqrt(_dot(F.col("_v"), F.col("_v"))))
-    out = out.withColumn("_sims", F.transform("_c", lambda c: F.struct(
-        c["category"].alias("category"),
-        (F.try_divide(F.aggregate(F.zip_with(F.col("_v"), c["centroid"], lambda x, y: x * y), F.lit(0.0), lambda a, t: a + t),
-                      F.col("_vn") * F.sqrt(F.aggregate(c["centroid"], F.lit(0.0), lambda a, t: a + t * t))) / temperature).alias("z"))))
-    out = out.withColumn("_zs", F.transform("_sims", lambda s: s["z"])).withColumn("_zmax", F.array_max("_zs"))
-    out = out.withColumn("_best", F.try_element_at("_sims", F.array_position("_zs", F.col("_zmax")).cast("int"))["category"])
-    out = out.withColumn("_den", F.aggregate(F.zip_with("_zs", F.array_repeat(F.col("_zmax"), F.size("_zs")), lambda z, m: F.exp(z - m)),
-                                             F.lit(0.0), lambda a, t: a + t))
-    parts = out.groupBy(key).agg(F.collect_list(F.when(F.col("_zmax").isNotNull(), F.struct("_zmax", "_best", "_den"))).alias("_p"))
-    top = parts.withColumn("_top", F.array_max(F.transform("_p", lambda p: p["_zmax"])))
-    first = F.array_min(F.transform(F.filter("_p", lambda p: p["_zmax"] == F.col("_top")), lambda p: p["_best"]))
-    den = F.aggregate("_p", F.lit(0.0), lambda a, p: a + p["_den"] * F.exp(p["_zmax"] - F.col("_top")))
-    return (top.select(key, first.alias("category"), F.try_divide(F.lit(1.0), den).alias("score"))
-            .withColumn("kept", F.col("score") > min_score))
+    dealt = centroids.select(cat.alias("category"), F.transform("centroid", lambda x: x.cast("double")).alias("centroid"),
+                             F.pmod(F.xxhash64(cat), F.lit(n_blocks)).alias("_b"))
+    out = df.select(key, F.transform(F.col(vec), lambda x: x.cast("double")).alias("_v")).select(
+        "*", F.sqrt(_dot(F.col("_v"), F.col("_v"))).alias("_vn"), F.lit(None).cast("double").alias("_top"),
+        F.lit(None).cast("string").alias("_best"), F.lit(0.0).alias("_den"))
+    for b in range(n_blocks):
+        one = dealt.where(F.col("_b") == b).agg(F.array_sort(F.collect_list(F.struct("category", "centroid"))))  # about ``block`` rows
+        out = out.withColumn("_c", one.scalar())
+        out = out.withColumn("_z", F.filter(F.transform("_c", lambda c: F.struct(
+            (F.try_divide(_dot(F.col("_v"), c["centroid"]), F.col("_vn") * F.sqrt(F.aggregate(c["centroid"], F.lit(0.0), lambda a, t: a + t * t))) / temperature).alias("z"),
+            c["category"].alias("category"))), lambda s: s["z"].isNotNull()))
+        high = F.array_max(F.transform("_z", lambda s: s["z"]))
+        here = out.withColumn("_high", high).withColumn("_new", F.greatest("_top", "_high"))
+        first = F.array_min(F.transform(F.filter("_z", lambda s: s["z"] == F.col("_high")), lambda s: s["category"]))
+        grown = F.col("_den") * F.coalesce(F.exp(F.col("_top") - F.col("_new")), F.lit(1.0)) + F.aggregate("_z", F.lit(0.0), lambda a, s: a + F.exp(s["z"] - F.col("_new")))
+        best = (F.when(F.col("_high").isNull(), F.col("_best")).when(F.col("_top").isNull() | (F.col("_high") > F.col("_top")), first)
+                .when(F.col("_high") == F.col("_top"), F.least(F.col("_best"), first)).otherwise(F.col("_best")))
+        out = here.select(key, "_v", "_vn", F.col("_new").alias("_top"), best.alias("_best"), grown.alias("_den"))
+        if b % 8 == 7:  # a plan of many blocks is cut
+            out = cut_lineage(out)
+    score = F.when(F.col("_top").isNotNull(), F.try_divide(F.lit(1.0), F.col("_den")))
+    return out.select(key, F.col("_best").alias("category"), score.alias("score")).withColumn("kept", F.col("score") > min_score)
 
 
 def classify_attributes(df: DataFrame, by: str, term: str = "attribute",

@@ -10,6 +10,7 @@ from revmine.plans import (  # noqa: F401  (importing registers the queries)
     stream_queries,
     text_queries,
     topic_queries,
+    vector_queries,
 )
 from revmine.plans.registry import BENCH, ORACLES, QUERIES
 
