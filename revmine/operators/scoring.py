@@ -275,16 +275,99 @@ def summarise_complaints(df: DataFrame, by: Sequence[str], text: str, n: int = 3
     scores = T.tfidf_scores(counts, by, docs=df.select(*by))
     per = (toks.join(scores.select(*by, "term", "tfidf"), [*by, "term"], "inner")
            .groupBy(*key).agg((F.sum(F.col("tfidf") * F.col("_n")) / F.sum("_n")).alias("score")))
-    ranked = sents.join(per, key, "inner")
+    # scores alone are ranked; texts join the few sentences (and their ties) that are left
+    first = per.withColumn("_r", F.rank().over(Window.partitionBy(*by).orderBy(F.round("score", 9).desc()))).where(F.col("_r") <= n).drop("_r")
+    ranked = sents.join(first, key, "inner")
     w = Window.partitionBy(*by).orderBy(F.round("score", 9).desc(), F.col("sentence").asc(),
                                         *[F.col(c).asc() for c in ids], F.col("sentence_idx").asc())
     return (ranked.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
             .select(*by, "rank", F.trim("sentence").alias("sentence"), F.round("score", 6).alias("score")))
 
 
+def sentence_graph(sents: DataFrame, by: Sequence[str], key: Sequence[str], terms: str = "terms", max_shared: int = 10) -> DataFrame:
+    """``(by..., a, b, w)``: sentences of a group that share a rare term, in both directions.
+
+    ``terms``: a sentence's distinct terms, ``a`` and ``b``: its ``key`` as a
+    struct.  A term links the sentences of a group that hold it if they are 2 to
+    ``max_shared``, so pairs are at most that many for each word; it adds
+    ln(sentences of the group / those with the term), and a pair's sum is
+    divided by the logarithms of both lengths.
+    """
+    by = list(by)
+    rows = sents.select(*by, F.struct(*key).alias("s"), F.size(terms).alias("size"), F.explode(terms).alias("t"))
+    sizes = sents.groupBy(*by).agg(F.count("*").alias("_n"))
+    rare = rows.groupBy(*by, "t").agg(F.count("*").alias("_df")).where(F.col("_df").between(2, max_shared))
+    rare = rare.join(sizes, by).select(*by, "t", F.log(F.col("_n") / F.col("_df")).alias("idf"))
+    post = cut_lineage(rows.join(rare, [*by, "t"]))
+    left = post.select(*by, "t", "idf", F.col("s").alias("a"), F.log(1.0 + F.col("size")).alias("_la"))
+    right = post.select(*by, "t", F.col("s").alias("b"), F.log(1.0 + F.col("size")).alias("_lb"))
+    both = left.join(right, [*by, "t"]).where("a <> b")
+    return both.groupBy(*by, "a", "b", "_la", "_lb").agg(F.sum("idf").alias("_w")).select(*by, "a", "b", (F.col("_w") / (F.col("_la") + F.col("_lb"))).alias("w"))
+
+
+def central_sentences(sents: DataFrame, by: Sequence[str], key: Sequence[str], terms: str = "terms", *, max_shared: int = 10,
+                      damping: float = 0.85, tolerance: float = 1e-4, max_rounds: int = 30) -> DataFrame:
+    """``(by..., s, score)``: how central each sentence is in its group's graph; 1 is the mean of a connected group.
+
+    Damped power iteration, all groups at once; each round is stored, the last
+    is the first in which no score moves by ``tolerance``.
+    """
+    by = list(by)
+    nodes = cut_lineage(sents.select(*by, F.struct(*key).alias("s")))
+    edges = sentence_graph(sents, by, key, terms, max_shared)
+    strength = edges.groupBy(*by, F.col("a").alias("_b")).agg(F.sum("w").alias("_all"))
+    edges = cut_lineage(edges.join(strength.withColumnRenamed("_b", "b"), [*by, "b"]).select(*by, "a", "b", (F.col("w") / F.col("_all")).alias("p")))
+    now = nodes.withColumn("score", F.lit(1.0))
+    for _ in range(max_rounds):
+        come = (edges.join(now.select(*by, F.col("s").alias("b"), "score"), [*by, "b"]).groupBy(*by, F.col("a").alias("s"))
+                .agg(F.sum(F.col("p") * F.col("score")).alias("_in")))
+        new = cut_lineage(now.join(come, [*by, "s"], "left").select(*by, "s", F.col("score").alias("_old"),
+                                                                 (1.0 - damping + damping * F.coalesce("_in", F.lit(0.0))).alias("score")))
+        moved = new.agg(F.max(F.abs(F.col("score") - F.col("_old")))).first()[0]
+        now = new.drop("_old")
+        if moved is None or moved < tolerance:
+            break
+    return now
+
+
+def summarise_by_graph(df: DataFrame, by: Sequence[str], text: str, n: int = 3, id_col: str | Sequence[str] = "review_id", *,
+                       most_shared: float = 0.5, **graph) -> DataFrame:
+    """Extractive summary without repeats: ``(by..., rank, sentence, score)``, at most n sentences a group.
+
+    Sentences are scored by :func:`central_sentences` and taken greedily: the
+    next one has the largest score times one less its greatest overlap (shared
+    terms by the smaller set) with those taken; one that overlaps a taken one by
+    more than ``most_shared`` is never taken.  Ties by sentence text, then id.
+    Every sentence stays a candidate; sentences without a term are left out.
+    """
+    by = list(by)
+    ids = [id_col] if isinstance(id_col, str) else list(id_col)
+    key = [*ids, "sentence_idx"]
+    sents = explode_sentences(df, text, [*by, *ids], out="sentence")
+    sents = T.with_tokens(sents, "sentence", "_tok").withColumn("terms", F.array_distinct("_tok")).where(F.size("terms") > 0)
+    sents = cut_lineage(sents.select(*by, *key, "sentence", "terms"))
+    scores = central_sentences(sents, by, key, **graph)
+    rest = sents.withColumn("s", F.struct(*key)).join(scores, [*by, "s"]).select(*by, *key, "sentence", "terms", "score", F.lit(0.0).alias("_over"))
+    rest = cut_lineage(rest)
+    taken = []
+    for k in range(1, n + 1):
+        worth = F.round(F.col("score") * (1.0 - F.col("_over")), 9)
+        order = F.struct(-worth, F.col("sentence"), *[F.col(c) for c in key])
+        best = cut_lineage(rest.where(F.col("_over") <= most_shared).groupBy(*by).agg(F.min_by(F.struct("sentence", "terms", "score", *key), order).alias("_best")))  # a row a group
+        taken.append(best.select(*by, F.lit(k).alias("rank"), F.trim("_best.sentence").alias("sentence"), F.round("_best.score", 6).alias("score")))
+        if k < n:
+            shared = F.size(F.array_intersect("terms", "_best.terms")) / F.least(F.size("terms"), F.size("_best.terms"))
+            rest = cut_lineage(rest.join(best, by).withColumn("_over", F.greatest("_over", shared)).drop("_best"))
+    out = taken[0]
+    for part in taken[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 # T24
 def complaints_by_entity(scored: DataFrame, entity: str, entity_value, text: str = "review",
-                         feel: str = "max_feel", n: int = 3, id_col: str | Sequence[str] = "review_id") -> DataFrame:
-    """Sadness texts of one entity, summarised (F10 + T22)."""
+                         feel: str = "max_feel", n: int = 3, id_col: str | Sequence[str] = "review_id",
+                         summary: Callable[..., DataFrame] = summarise_complaints) -> DataFrame:
+    """Sadness texts of one entity, summarised (F10 + T22); ``summary``: either summariser."""
     sub = scored.where((F.col(feel) == "sadness") & (F.col(entity) == entity_value))
-    return summarise_complaints(sub, [entity], text, n, id_col)
+    return summary(sub, [entity], text, n, id_col)

@@ -5,7 +5,7 @@ A topic mixture is ``array<struct<topic:int, prob:double>>``.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -117,15 +117,15 @@ def topic_emotion_distribution(df: DataFrame, topics: str = "topics", feel: str
 def complaints_by_topic(topics: DataFrame, scored: DataFrame, topic_id: int, entity: str, text: str = "review",
                         feel: str = "max_feel", n_rows: int | None = None, n: int = 3,
                         order: Sequence[str] = ("review_id",),
-                        id_col: str | Sequence[str] = "review_id") -> DataFrame:
-    """Sadness rows of entities whose dominant topic is ``topic_id``, summarised
+                        id_col: str | Sequence[str] = "review_id", summary: Callable[..., DataFrame] = summarise_complaints) -> DataFrame:
+    """Sadness rows of entities whose dominant topic is ``topic_id``, summarised by ``summary``
     (``n_rows``: only the first so many in the explicit order)."""
     ents = topics.where(dominant_topic(F.col("topics")) == topic_id).select(entity)
     sub = scored.where(F.col(feel) == "sadness").join(ents, entity, "left_semi")
     if n_rows is not None:
         sub = sub.orderBy(*order).limit(n_rows)
     sub = sub.withColumn("_topic", F.lit(topic_id))
-    return summarise_complaints(sub, ["_topic"], text, n, id_col).withColumnRenamed("_topic", "topic")
+    return summary(sub, ["_topic"], text, n, id_col).withColumnRenamed("_topic", "topic")
 
 
 def topics_from_vectors(df: DataFrame, vec: str = "embedding") -> DataFrame:

@@ -42,6 +42,23 @@ def q_stream_review_stats(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("source", "review_count", F.round("avg_n_chars", 6).alias("avg_n_chars"))
 
 
+@register("stream_review_updates", """
+SELECT source, count(*) AS review_count, round(avg(CAST(n_chars AS DOUBLE)), 6) AS avg_n_chars
+FROM documents WHERE source IS NOT NULL GROUP BY source""")
+def q_stream_review_updates(spark: SparkSession, sf: str) -> DataFrame:
+    """The same in update mode: a file an epoch, changed sources only merged into a keyed table."""
+    d = C.table(spark, sf, "documents")
+    block = RV.render_review_block({"source": F.col("source"), "n_chars": F.col("n_chars")})
+    folder = scratch_path(spark, sf, "stream_blocks")
+    d.repartition(4).select(F.concat(block, F.lit("\n")).alias("value")).write.mode("overwrite").text(folder)
+    name = _run_id("review_updates")
+    ckpt = f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{name}"
+    q, sink = RS.stream_review_updates(spark, folder, by="source", on="n_chars", output_path=scratch_path(spark, sf, "review_updates"),
+                                       name=name, checkpoint=ckpt, files_per_epoch=1)
+    q.awaitTermination()
+    return sink.read().select("source", "review_count", F.round("avg_n_chars", 6).alias("avg_n_chars"))
+
+
 @register("running_stats", """
 SELECT event_type, count(*) AS review_count, round(avg(value), 6) AS avg_value FROM events
 WHERE event_type IS NOT NULL GROUP BY event_type""")

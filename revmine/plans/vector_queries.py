@@ -144,3 +144,61 @@ def q_score_sentences_learned(spark: SparkSession, sf: str) -> DataFrame:
     return V.score_with_lexicon(high, ["doc_id", "sentence_idx"], _lexicon(spark, sf), EMO).select("doc_id", "sentence_idx", "max_feel")
 
 
+
+
+GRAPH_ROUNDS, MAX_SHARED, DAMPING = 8, 10, 0.85
+
+
+def _summary_sql(where: str) -> str:
+    rounds = ""
+    for k in range(1, GRAPH_ROUNDS + 1):
+        rounds += f""",
+p{k} AS (SELECT p.source, p.doc_id, p.k, {1 - DAMPING!r}::DOUBLE + {DAMPING} * coalesce(c.s, 0.0) AS score FROM p{k - 1} p LEFT JOIN (
+  SELECT e.source, e.da, e.ka, sum(e.p * q.score) AS s FROM sedges e JOIN p{k - 1} q ON q.source = e.source AND q.doc_id = e.db AND q.k = e.kb GROUP BY ALL) c
+  ON c.source = p.source AND c.da = p.doc_id AND c.ka = p.k)"""
+    greedy, over = "", "0.0::DOUBLE"
+    for k in range(1, 4):
+        if k > 1:
+            over = f"greatest(over, len(list_intersect(terms, b{k - 1}.bt)) / least(len(terms), len(b{k - 1}.bt)))"
+        source = f"n{k - 1} n JOIN b{k - 1} USING (source)" if k > 1 else f"st JOIN p{GRAPH_ROUNDS} USING (source, doc_id, k)"
+        greedy += f""",
+n{k} AS (SELECT source, doc_id, k, sentence, terms, score, {over} AS over FROM {source}),
+b{k} AS (SELECT source, sentence AS bs, terms AS bt, score AS bw FROM (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY round(score * (1.0 - over), 9) DESC, sentence, doc_id, k) AS rn FROM n{k} WHERE over <= 0.5) x WHERE rn = 1)"""
+    return "WITH " + _lexicon_sql().strip() + _scored_sql("SELECT * FROM lex", EMO) + f""",
+st0 AS (SELECT d.source, doc_id, sentence_idx AS k, review AS sentence, list_distinct({S.tokens(S.clean("review"))}) AS terms
+        FROM scored JOIN sent USING (doc_id, sentence_idx) JOIN (SELECT doc_id, source FROM documents) d USING (doc_id) WHERE max_feel = 'sadness' {where}),
+st AS (SELECT * FROM st0 WHERE len(terms) > 0),
+po AS (SELECT source, doc_id, k, ln(1.0 + len(terms)) AS l, unnest(terms) AS t FROM st),
+gn AS (SELECT source, count(*) AS n FROM st GROUP BY source),
+ra AS (SELECT source, t, ln(any_value(n) / count(*)) AS idf FROM po JOIN gn USING (source) GROUP BY source, t HAVING count(*) BETWEEN 2 AND {MAX_SHARED}),
+pr2 AS (SELECT * FROM po JOIN ra USING (source, t)),
+ew AS (SELECT a.source, a.doc_id AS da, a.k AS ka, b.doc_id AS db, b.k AS kb, sum(a.idf) / any_value(a.l + b.l) AS w
+       FROM pr2 a JOIN pr2 b ON a.source = b.source AND a.t = b.t AND (a.doc_id <> b.doc_id OR a.k <> b.k) GROUP BY ALL),
+sedges AS (SELECT source, da, ka, db, kb, w / sum(w) OVER (PARTITION BY source, db, kb) AS p FROM ew),
+p0 AS (SELECT source, doc_id, k, 1.0::DOUBLE AS score FROM st){rounds}{greedy}
+SELECT * FROM (""" + " UNION ALL ".join(f"SELECT source, {k} AS rank, trim(bs) AS sentence, round(bw, 6) AS score FROM b{k}" for k in range(1, 4)) + ") z"
+
+
+def _sad(spark: SparkSession, sf: str) -> DataFrame:
+    s = _sentence_tokens(spark, sf).withColumnRenamed("location", "source")
+    scored = V.score_with_lexicon(s, ["doc_id", "sentence_idx"], _lexicon(spark, sf), EMO)
+    sad = s.select("source", "doc_id", F.col("sentence_idx").alias("sid"), "review").join(
+        scored.select("doc_id", F.col("sentence_idx").alias("sid"), "max_feel"), ["doc_id", "sid"])
+    return cut_lineage(sad.where(F.col("max_feel") == "sadness"))
+
+
+@register("summarise_by_graph", _summary_sql(""))
+def q_summarise_by_graph(spark: SparkSession, sf: str) -> DataFrame:
+    """T22 without repeats: per source the 3 most central sadness sentences (learnt weights) that hardly overlap."""
+    return SC.summarise_by_graph(_sad(spark, sf), ["source"], "review", 3, ["doc_id", "sid"], max_shared=MAX_SHARED, damping=DAMPING, tolerance=0.0,
+                                 max_rounds=GRAPH_ROUNDS)
+
+
+@register("complaints_by_entity_graph", _summary_sql("AND d.source = 'src1'"))
+def q_complaints_by_entity_graph(spark: SparkSession, sf: str) -> DataFrame:
+    """T24 without repeats: the summary of one source's sadness sentences."""
+    def summary(df, by, text, n, ids):
+        return SC.summarise_by_graph(df, by, text, n, ids, max_shared=MAX_SHARED, damping=DAMPING, tolerance=0.0, max_rounds=GRAPH_ROUNDS)
+
+    return SC.complaints_by_entity(_sad(spark, sf), "source", "src1", "review", id_col=["doc_id", "sid"], summary=summary)

@@ -13,11 +13,15 @@ from pyspark.sql import functions as F
 
 from revmine.session import ensure_checkpoint_dir
 from revmine.sources.reviews import parse_review_block
+from revmine.streaming.keyed_table import LEAST_ROWS, KeyedTable
 
 
-def review_blocks_stream(spark: SparkSession, folder: str) -> DataFrame:
+def review_blocks_stream(spark: SparkSession, folder: str, files_per_epoch: int | None = None) -> DataFrame:
     """Stream of review records from text files in ``folder`` (record per row)."""
-    raw = spark.readStream.option("lineSep", "\n\n").text(folder)
+    reader = spark.readStream.option("lineSep", "\n\n")
+    if files_per_epoch:
+        reader = reader.option("maxFilesPerTrigger", files_per_epoch)
+    raw = reader.text(folder)
     return raw.select(F.regexp_replace("value", r"^\n+", "").alias("_block")).where(F.trim("_block") != "")
 
 
@@ -73,6 +77,22 @@ def stream_review_stats(spark: SparkSession, folder: str, by: str = "beer_id", o
     return writer.start()
 
 
+def stream_review_updates(spark: SparkSession, folder: str, by: str = "beer_id", on: str = "overall", *, output_path: str,
+                          name: str = "review_updates", checkpoint: str | None = None, files_per_epoch: int | None = None,
+                          least_rows: int = LEAST_ROWS, available_now: bool = True):
+    """(query, table): the same statistics in update mode; ``table.read()`` gives them at any time.
+
+    An epoch writes the rows of the keys that it changed and nothing else; the
+    sink is a :class:`KeyedTable`, in which a replayed epoch changes nothing.
+    """
+    stats = running_stats(parse_review_block(review_blocks_stream(spark, folder, files_per_epoch), "_block", [by, on]), by, on)
+    sink = KeyedTable(spark, output_path, by, stats.schema, least_rows)
+    ckpt = checkpoint or f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-{name}"
+    writer = (stats.writeStream.outputMode("update").option("checkpointLocation", ckpt).queryName(name).foreachBatch(sink.merge))
+    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
+    return writer.start(), sink
+
+
 def table_stats_stream(spark: SparkSession, path: str, schema: str, by: str, on: str, name: str,
                        output_path: str, checkpoint: str | None = None) -> DataFrame:
     """Same running statistics over a parquet file read as a stream; runs to

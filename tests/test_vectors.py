@@ -115,3 +115,38 @@ def test_empty_tables(spark):
     assert V.term_vectors(none).collect() == []
     seeds = spark.createDataFrame([("a", "joy")], "term string, label string")
     assert V.induce_lexicon(none, seeds, LABELS, terms=["a", "b"]).select("term", F.round("joy", 6)).collect() == [("a", 0.4)]
+
+
+def test_summary_without_repeats(spark):
+    near = [f"The muddy amber ale tasted flat and stale near {x} rivers" for x in ("nine", "ten")]
+    texts = [*near, "Stale rivers ruined amber bread", "Green hops smell like pine forests", "Pine forests grow green needles", "Tiny unrelated remark", "...", None]
+    df = spark.createDataFrame([("g", i, t) for i, t in enumerate(texts)] + [("lone", 50, "Just one sentence here"), ("none", 60, "?!")], "g string, review_id long, t string")
+    got = SC.summarise_by_graph(df, ["g"], "t", 3).collect()
+    mine = [r["sentence"] for r in sorted(got, key=lambda r: r["rank"]) if r["g"] == "g"]
+    assert len(mine) == 3 and sum(s in near for s in mine) == 1  # near-equal sentences never both
+    assert [(r["rank"], r["sentence"]) for r in got if r["g"] == "lone"] == [(1, "Just one sentence here")]
+    assert all(r["g"] != "none" for r in got)
+    assert SC.summarise_by_graph(df.where("g = 'x'"), ["g"], "t", 3).collect() == []
+
+
+def test_central_sentences_equal_a_dense_iteration(spark):
+    rng = np.random.default_rng(4)
+    terms = [sorted({f"w{w}" for w in rng.integers(0, 40, rng.integers(1, 9))}) for _ in range(30)]
+    df = spark.createDataFrame([("g", i, t) for i, t in enumerate(terms)], "g string, id long, terms array<string>")
+    got = {r["s"]["id"]: r["score"] for r in SC.central_sentences(df, ["g"], ["id"], max_shared=5).collect()}
+    df_ = Counter(t for x in terms for t in x)
+    w = np.zeros((30, 30))
+    for a in range(30):
+        for b in range(30):
+            both = [t for t in terms[a] if t in terms[b] and 2 <= df_[t] <= 5]
+            if a != b and both:
+                w[a, b] = sum(np.log(30 / df_[t]) for t in both) / (np.log(1 + len(terms[a])) + np.log(1 + len(terms[b])))
+    p = w / np.maximum(w.sum(axis=0), 1e-300)
+    r = np.ones(30)
+    while True:
+        new = 0.15 + 0.85 * p @ r
+        done = np.abs(new - r).max() < 1e-4
+        r = new
+        if done:
+            break
+    assert np.allclose([got[i] for i in range(30)], r, atol=1e-9)
