@@ -6,13 +6,17 @@ A topic mixture is ``array<struct<topic:int, prob:double>>``.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from revmine.functions import lexicon as L
 from revmine.functions.arrays import circular_pair_smooth, dominant_topic
+from revmine.operators.ranks import position_in_group
 from revmine.operators.scoring import summarise_complaints
 from revmine.operators.text import english_stop_words
 from revmine.session import cut_lineage
@@ -27,6 +31,112 @@ def lda_tokens(text_col, stop: Sequence[str] | None = None):
     return F.filter(words, lambda w: w.rlike(r"^\p{L}{3,}$") & ~w.isin(sorted(set(stop))))
 
 
+@dataclass(frozen=True)
+class TopicModel:
+    """``terms`` by number, ``weights`` (topic, term): probabilities of a topic's terms, ``prior`` weight of each topic."""
+
+    terms: list[str]
+    weights: np.ndarray
+    prior: np.ndarray
+
+    def top_terms(self, n: int = 5) -> list[list[str]]:
+        return [[self.terms[i] for i in np.argsort(-w, kind="stable")[:n]] for w in self.weights]
+
+    def mixture(self, numbers: np.ndarray, counts: np.ndarray, tolerance: float = 1e-6, max_rounds: int = 200) -> np.ndarray:
+        """Topic shares of a bag under these topics: each round deals every term's count to the topics by their
+        present shares and adds the prior; from equal shares, so the result depends on the bag alone."""
+        share = np.full(len(self.prior), 1 / len(self.prior))
+        w = self.weights[:, numbers]
+        for _ in range(max_rounds):
+            part = share[:, None] * w
+            total = part.sum(axis=0)
+            new = self.prior + (part * np.divide(counts, total, out=np.zeros(len(total)), where=total > 0)).sum(axis=1)
+            new /= new.sum()
+            done = np.abs(new - share).max() < tolerance
+            share = new
+            if done:
+                break
+        return share
+
+    def topics(self, df: DataFrame, entity: str, text: str, min_prob: float = 0.0) -> DataFrame:
+        """``(entity, topics)`` of any texts, seen in the fit or not; entities without a known term get the prior's shares.
+
+        Terms are counted per entity before a bag, at most the vocabulary, is put together.
+        """
+        spark = df.sparkSession
+        numbers = spark.createDataFrame(pa.table({"idx": pa.array(range(len(self.terms)), pa.int32()), "term": pa.array(self.terms, pa.string())}))
+        rows = df.where(F.col(entity).isNotNull())
+        toks = rows.select(entity, F.explode(lda_tokens(F.col(text))).alias("term"))
+        counts = toks.groupBy(entity, "term").agg(F.count("*").cast("double").alias("n"))
+        bags = counts.join(numbers, "term").groupBy(entity).agg(F.array_sort(F.collect_list(F.struct(F.col("idx").alias("i"), "n"))).alias("_p"))
+        every = rows.select(entity).distinct().join(bags, entity, "left")
+        sent = spark.sparkContext.broadcast(self)  # topics * terms doubles
+
+        @F.pandas_udf("array<double>")
+        def shares(i: pd.Series, n: pd.Series) -> pd.Series:
+            model, none = sent.value, np.zeros(0)
+            return pd.Series([model.mixture(np.asarray(none if a is None else a, np.int64), np.asarray(none if b is None else b, np.float64)).tolist() for a, b in zip(i, n, strict=True)])
+
+        dist = every.select(entity, shares(F.col("_p.i"), F.col("_p.n")).alias("_d"))
+        return dist.select(entity, F.filter(F.transform("_d", lambda p, i: F.struct(i.cast("int").alias("topic"), p.alias("prob"))),
+                                            lambda s: s["prob"] >= min_prob).alias("topics"))
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        """The model as two parquet tables below ``path``, written over what was there."""
+        rows = pa.table({"idx": pa.array(range(len(self.terms)), pa.int32()), "term": pa.array(self.terms, pa.string()),
+                         "weights": pa.array(self.weights.T.tolist(), pa.list_(pa.float64()))})
+        spark.createDataFrame(rows).write.mode("overwrite").parquet(f"{path.rstrip('/')}/terms")
+        prior = pa.table({"topic": pa.array(range(len(self.prior)), pa.int32()), "prior": pa.array(self.prior)})
+        spark.createDataFrame(prior).write.mode("overwrite").parquet(f"{path.rstrip('/')}/prior")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> TopicModel:
+        """A saved model; its vocabulary reaches the driver."""
+        prior = spark.read.parquet(f"{path.rstrip('/')}/prior").orderBy("topic").toArrow().column("prior").to_numpy()
+        rows = spark.read.parquet(f"{path.rstrip('/')}/terms").orderBy("idx").toArrow()
+        weights = np.array(rows.column("weights").to_pylist(), np.float64).reshape(-1, len(prior)).T
+        return cls(rows.column("term").to_pylist(), weights, prior)
+
+
+def _bags(df: DataFrame, entity: str, text: str, min_df: int, max_df: float, vocab_size: int | None) -> tuple[DataFrame, DataFrame, int]:
+    """(bags of one sparse vector per entity, vocabulary (idx, term), its size)."""
+    from pyspark.ml.linalg import SparseVector, VectorUDT
+
+    toks = df.where(F.col(entity).isNotNull()).select(entity, F.explode(lda_tokens(F.col(text))).alias("term"))
+    counts = cut_lineage(toks.groupBy(entity, "term").agg(F.count("*").cast("double").alias("n")))
+    n_docs = df.where(F.col(entity).isNotNull()).select(entity).distinct().agg(F.count("*")).scalar()
+    stats = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("n").alias("cf"))
+    vocab = stats.where((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df) * n_docs))
+    vocab = position_in_group(vocab, [], [F.desc("cf"), F.asc("term")], "idx").withColumn("idx", F.col("idx") - 1)
+    if vocab_size is not None:
+        vocab = vocab.where(F.col("idx") < vocab_size)
+    vocab = cut_lineage(vocab)
+    size = vocab.count()
+
+    @F.udf(VectorUDT(), useArrow=True)
+    def to_vec(indices, values):
+        return SparseVector(size, indices, values)
+
+    bags = (counts.join(vocab.select("term", "idx"), "term", "inner")
+            .groupBy(entity).agg(F.array_sort(F.collect_list(F.struct(F.col("idx").cast("int").alias("i"), "n"))).alias("_p"))
+            .select(entity, to_vec(F.col("_p.i"), F.col("_p.n")).alias("features")))
+    return cut_lineage(bags), vocab, size
+
+
+def fit_topics(df: DataFrame, entity: str, text: str, k: int = 5, *, max_iter: int = 10, seed: int = 23,
+               min_df: int = 5, max_df: float = 0.4, vocab_size: int | None = None) -> TopicModel | None:
+    """A topic model to keep (:meth:`TopicModel.save`) and to ask for other entities; None without a vocabulary."""
+    from pyspark.ml.clustering import LDA
+
+    bags, vocab, size = _bags(df, entity, text, min_df, max_df, vocab_size)
+    if size == 0:
+        return None
+    model = LDA(k=k, maxIter=max_iter, seed=seed, optimizer="online").fit(bags)
+    terms = [r["term"] for r in vocab.orderBy("idx").select("term").collect()]  # the model holds k numbers for each of them
+    weights = model.topicsMatrix().toArray().T
+    return TopicModel(terms, weights / weights.sum(axis=1, keepdims=True), np.array(model.estimatedDocConcentration().toArray()))
+
+
 # T25
 def lda_topics(df: DataFrame, entity: str, text: str, k: int = 5, *, max_iter: int = 10, seed: int = 23,
                min_df: int = 5, max_df: float = 0.4, vocab_size: int | None = None, min_prob: float = 0.0,
@@ -45,32 +155,12 @@ def lda_topics(df: DataFrame, entity: str, text: str, k: int = 5, *, max_iter: i
     """
     from pyspark.ml.clustering import LDA
     from pyspark.ml.functions import vector_to_array
-    from pyspark.ml.linalg import SparseVector, VectorUDT
 
     spark = df.sparkSession
-    toks = df.where(F.col(entity).isNotNull()).select(entity, F.explode(lda_tokens(F.col(text))).alias("term"))
-    counts = cut_lineage(toks.groupBy(entity, "term").agg(F.count("*").cast("double").alias("n")))
-    n_docs = df.where(F.col(entity).isNotNull()).select(entity).distinct().agg(F.count("*")).scalar()
-    stats = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("n").alias("cf"))
-    vocab = stats.where((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df) * n_docs))
-    # one row per word; the fitted model holds k numbers for each of them on the driver anyway
-    vocab = vocab.withColumn("idx", (F.row_number().over(Window.orderBy(F.col("cf").desc(), F.col("term").asc())) - 1))
-    if vocab_size is not None:
-        vocab = vocab.where(F.col("idx") < vocab_size)
-    vocab = cut_lineage(vocab)
-    size = vocab.count()
+    bags, vocab, size = _bags(df, entity, text, min_df, max_df, vocab_size)
     if size == 0:
         empty = spark.createDataFrame([], f"{entity} {df.schema[entity].dataType.simpleString()}, topics {TOPIC_TYPE}")
         return empty, spark.createDataFrame([], "topic int, terms array<string>")
-
-    @F.udf(VectorUDT(), useArrow=True)
-    def to_vec(indices, values):
-        return SparseVector(size, indices, values)
-
-    bags = (counts.join(vocab.select("term", "idx"), "term", "inner")
-            .groupBy(entity).agg(F.array_sort(F.collect_list(F.struct(F.col("idx").cast("int").alias("i"), "n"))).alias("_p"))
-            .select(entity, to_vec(F.col("_p.i"), F.col("_p.n")).alias("features")))
-    bags = cut_lineage(bags)
     model = LDA(k=k, maxIter=max_iter, seed=seed, optimizer="online").fit(bags)
     dist = model.transform(bags).select(entity, vector_to_array("topicDistribution").alias("_d"))
     topics = dist.select(entity, F.filter(F.transform("_d", lambda p, i: F.struct(i.cast("int").alias("topic"),

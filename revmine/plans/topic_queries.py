@@ -167,6 +167,18 @@ def q_write_topics(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{path}/topics")
 
 
+@register("topics_of_unseen")
+def q_topics_of_unseen(spark: SparkSession, sf: str) -> DataFrame:
+    """A model fitted on four fifths of the sources, saved, read back and asked for the topics of every source."""
+    from revmine.plans.io_paths import scratch_path
+
+    docs = C.reviews(spark, sf, "en").select("source", "text")
+    model = TP.fit_topics(docs.where(F.crc32("source") % 5 != 0), "source", "text", k=N_TOPICS)
+    path = scratch_path(spark, sf, "topic_model")
+    model.save(spark, path)
+    return TP.TopicModel.load(spark, path).topics(docs, "source", "text")
+
+
 @register("complaints_by_topic")
 def q_complaints_by_topic(spark: SparkSession, sf: str) -> DataFrame:
     """Sadness sentences of the sources with the commonest dominant LDA topic, summarised."""

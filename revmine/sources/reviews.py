@@ -12,8 +12,10 @@ functions (no Python).
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from urllib.parse import unquote
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,7 +62,7 @@ def parse_review_block(df: DataFrame, block: str, keys: Sequence[str] | None = N
     return out.select("*", *cols).drop("_e")
 
 
-def _blocks(spark: SparkSession, path: str, line_end: str) -> DataFrame:
+def _blocks(spark: SparkSession, path: str | list[str], line_end: str) -> DataFrame:
     """``(_block, _file, _pos)``: the non-blank records of text files, with ``\\n`` line ends."""
     raw = spark.read.option("lineSep", line_end * 2).text(path)
     block = F.replace(F.col("value"), F.lit("\r\n"), F.lit("\n")) if line_end == "\r\n" else F.col("value")
@@ -69,6 +71,51 @@ def _blocks(spark: SparkSession, path: str, line_end: str) -> DataFrame:
     return blocks.where(F.trim("_block") != "")
 
 
+def _first_rows(df: DataFrame, n: int) -> DataFrame:
+    """The first n rows of each partition; its task reads no further."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left = n
+        for batch in batches:
+            yield batch.slice(0, left)
+            left -= batch.num_rows
+            if left <= 0:
+                return
+
+    return df.mapInArrow(run, df.schema)
+
+
+def _first_blocks(spark: SparkSession, path: str, line_end: str, n: int) -> DataFrame:
+    """The first n records in file order, without reading much beyond them.
+
+    Files are counted in path order, four times as many at a time, until they
+    hold n records.  Files that are wanted whole are read whole; of the one that
+    holds the n-th record each split is read up to what is still missing.
+    """
+    files = sorted(spark.read.text(path).inputFiles())
+    whole: list[str] = []
+    part, left, i, step = None, n, 0, 1
+    while i < len(files) and left > 0:
+        some = files[i:i + step]
+        rows = _blocks(spark, [unquote(f) for f in some], line_end).select("_file")
+        if step == 1:
+            rows = _first_rows(rows, left + 1)
+        counts = {r["_file"]: r["count"] for r in rows.groupBy("_file").count().collect()}  # a row for each file
+        for f in some:
+            if counts.get(f, 0) > left:
+                part = f
+                break
+            whole.append(f)
+            left -= counts.get(f, 0)
+        if part is not None:
+            break
+        i, step = i + step, step * 4
+    out = _blocks(spark, [unquote(f) for f in whole], line_end) if whole else None
+    if part is not None and left > 0:
+        last = _first_rows(_blocks(spark, [unquote(part)], line_end), left).orderBy("_pos").limit(left)
+        out = last if out is None else out.unionByName(last)
+    return out if out is not None else _blocks(spark, path, line_end).where("false")
+
+
 # S1
 def read_review_blocks(spark: SparkSession, path: str, keys: Sequence[str] | None = None,
                        casts: Mapping[str, str] | None = L.REVIEW_CASTS, max_reviews: int | None = None,
@@ -76,11 +123,11 @@ def read_review_blocks(spark: SparkSession, path: str, keys: Sequence[str] | Non
     """Read key-value review records from text files (one row per record).
 
     ``max_reviews`` keeps the first records in file order (file, then
-    position in the file).  ``line_end``: ``"\\r\\n"`` for files with Windows
+    position in the file) and reads only the files that hold them.  ``line_end``: ``"\\r\\n"`` for files with Windows
     line ends.  A line without separator lands in ``_corrupt``; ``strict``
     makes it an error instead.
     """
-    blocks = _blocks(spark, path, line_end)
+    blocks = _blocks(spark, path, line_end) if max_reviews is None else _first_blocks(spark, path, line_end, max_reviews)
     if keys is None and as_map is None:
         as_map = "fields"
     parsed = parse_review_block(blocks, "_block", keys, as_map).drop("_block")
@@ -89,8 +136,6 @@ def read_review_blocks(spark: SparkSession, path: str, keys: Sequence[str] | Non
         parsed = parsed.withColumn("_corrupt", F.when(F.size("_corrupt") > 0, bad.cast("array<string>")).otherwise(F.col("_corrupt")))
     if casts and keys:
         parsed = cast_review_fields(parsed, {k: v for k, v in casts.items() if k in keys})
-    if max_reviews is not None:
-        parsed = parsed.orderBy("_file", "_pos").limit(max_reviews)
     return parsed.drop("_file", "_pos")
 
 
@@ -131,9 +176,10 @@ def read_simple_reviews(spark: SparkSession, path: str, n: int | None = None, li
 
     score = Python ``round`` of the rating (half-even) as int; every "text: "
     is removed from the text and the broken apostrophe becomes "'".  ``n``
-    keeps the first n records in file order (file, then position in the file).
+    keeps the first n records in file order (file, then position in the file)
+    and reads only the files that hold them.
     """
-    blocks = _blocks(spark, path, line_end)
+    blocks = _blocks(spark, path, line_end) if n is None else _first_blocks(spark, path, line_end, n)
     parsed = parse_review_block(blocks, "_block", ["text", "rating", "beer_name", "user_id"])
     out = parsed.select(
         "_file", "_pos",
@@ -142,8 +188,6 @@ def read_simple_reviews(spark: SparkSession, path: str, n: int | None = None, li
         X.round_half_even(_nan_to_null(F.expr("try_cast(rating AS DOUBLE)"))).try_cast("int").alias("score"),
         F.col("beer_name"),
         F.expr("try_cast(user_id AS BIGINT)").alias("user_id"))
-    if n is not None:
-        out = out.orderBy("_file", "_pos").limit(n)
     return out.drop("_file", "_pos")
 
 

@@ -28,7 +28,8 @@ def test_entry_smoke(spark):
 def test_every_query_has_an_oracle_or_is_known():
     rows_only = {"lda_topics", "lda_topic_terms", "write_topics",
                  "complaints_by_topic", "stem",
-                 "lemmatise_in_context", "clean_tokens_in_context", "word_classes", "classify_terms"}
+                 "lemmatise_in_context", "clean_tokens_in_context", "word_classes", "classify_terms",
+                 "topics_of_unseen"}
     missing = set(E.QUERIES) - set(E.ORACLES)
     assert missing == rows_only
 
