@@ -102,12 +102,12 @@ def q_isalpha_min_len(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register("ngrams", f"""
-WITH t AS (SELECT doc_id, {S.tokens(S.clean('text'))} AS tk FROM documents WHERE lang = 'en')
+WITH t AS (SELECT doc_id, {S.tokens(S.clean('text'))} AS tk FROM documents)
 SELECT doc_id, list_concat(tk, list_transform(range(1, len(tk)), lambda i: tk[i] || ' ' || tk[i + 1])) AS grams
 FROM t""")
 def q_ngrams(spark: SparkSession, sf: str) -> DataFrame:
-    """Unigrams then bigrams of each English document."""
-    d = C.table(spark, sf, DOCS).where(F.col("lang") == "en")
+    """Unigrams then bigrams of each document."""
+    d = C.table(spark, sf, DOCS)
     return T.with_tokens(d, "text", "grams", ngram_range=(1, 2)).select("doc_id", "grams")
 
 
@@ -158,15 +158,14 @@ def q_location_label(spark: SparkSession, sf: str) -> DataFrame:
 # --- word cloud side -----------------------------------------------------------------
 
 def _clean_tokens(spark: SparkSession, sf: str) -> DataFrame:
-    d = C.table(spark, sf, DOCS).where(F.col("lang") == "en").select("doc_id", "text")
-    return T.clean_tokens(d, "text", "tokens")
+    return T.clean_tokens(C.table(spark, sf, DOCS).select("doc_id", "text"), "text", "tokens")
 
 
-def _clean_tokens_sql() -> str:
+def _clean_tokens_sql(where: str = "") -> str:
     stop = [w for w in T.english_stop_words() if w not in L.KEPT_NEGATIONS]
     return f"""
 WITH s AS (SELECT doc_id, regexp_extract_all(text || '.', {S.q(L.SENTENCE_WITH_DELIMS)}) AS sents
-           FROM documents WHERE lang = 'en'),
+           FROM documents {where}),
 w AS (SELECT doc_id, flatten(list_transform(sents, lambda x: string_split_regex(
           trim(translate(x, {S.q(PUNCT)}, {S.q(" " * len(PUNCT))})), '\\s+'))) AS ws FROM s),
 t AS (SELECT doc_id, list_filter(list_filter(list_transform(ws, lambda x: lower(x)),
@@ -187,7 +186,7 @@ def q_term_frequencies(spark: SparkSession, sf: str) -> DataFrame:
     return T.term_frequencies(_clean_tokens(spark, sf), "tokens")
 
 
-@register("tfidf_sum_over_docs", _clean_tokens_sql().replace("WHERE lang = 'en'", "WHERE lang = 'en' AND source = 'src1'") + """,
+@register("tfidf_sum_over_docs", _clean_tokens_sql("WHERE lang = 'en' AND source = 'src1'") + """,
 t13d AS (SELECT doc_id, list_filter(tokens, lambda x: length(x) >= 2) AS tk FROM t),
 t13g AS (SELECT doc_id, unnest(list_concat(tk, list_transform(range(1, len(tk)), lambda i: tk[i] || ' ' || tk[i + 1])))
                AS term FROM t13d),

@@ -125,11 +125,11 @@ def q_read_simple_reviews(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register("parse_list_column", f"""
-SELECT doc_id, {S.tokens(S.clean('text'))}[1:5] AS words FROM documents""")
+SELECT doc_id, {S.tokens(S.clean('text'))} AS words FROM documents""")
 def q_parse_list_column(spark: SparkSession, sf: str) -> DataFrame:
     """Python-literal list text (single or double quotes) parsed back to arrays."""
     d = C.table(spark, sf, "documents")
-    words = X.take_first_k(X.tokenise(X.clean_for_tokens("text")), 5)
+    words = X.tokenise(X.clean_for_tokens("text"))
     q = F.when(F.col("doc_id") % 2 == 0, F.lit("'")).otherwise(F.lit('"'))
     txt = F.concat(F.lit("["), F.array_join(F.transform(words, lambda w: F.concat(q, w, q)), ", "), F.lit("]"))
     return ST.parse_list_column(d.select("doc_id", txt.alias("words")), ["words"])

@@ -149,7 +149,7 @@ def q_score_sentences_learned(spark: SparkSession, sf: str) -> DataFrame:
 GRAPH_ROUNDS, MAX_SHARED, DAMPING = 8, 10, 0.85
 
 
-def _summary_sql(where: str) -> str:
+def _summary_sql(where: str, group: str = "d.source", more: str = "") -> str:
     rounds = ""
     for k in range(1, GRAPH_ROUNDS + 1):
         rounds += f""",
@@ -165,8 +165,8 @@ p{k} AS (SELECT p.source, p.doc_id, p.k, {1 - DAMPING!r}::DOUBLE + {DAMPING} * c
 n{k} AS (SELECT source, doc_id, k, sentence, terms, score, {over} AS over FROM {source}),
 b{k} AS (SELECT source, sentence AS bs, terms AS bt, score AS bw FROM (
   SELECT *, row_number() OVER (PARTITION BY source ORDER BY round(score * (1.0 - over), 9) DESC, sentence, doc_id, k) AS rn FROM n{k} WHERE over <= 0.5) x WHERE rn = 1)"""
-    return "WITH " + _lexicon_sql().strip() + _scored_sql("SELECT * FROM lex", EMO) + f""",
-st0 AS (SELECT d.source, doc_id, sentence_idx AS k, review AS sentence, list_distinct({S.tokens(S.clean("review"))}) AS terms
+    return "WITH " + _lexicon_sql().strip() + _scored_sql("SELECT * FROM lex", EMO) + more + f""",
+st0 AS (SELECT {group} AS source, doc_id, sentence_idx AS k, review AS sentence, list_distinct({S.tokens(S.clean("review"))}) AS terms
         FROM scored JOIN sent USING (doc_id, sentence_idx) JOIN (SELECT doc_id, source FROM documents) d USING (doc_id) WHERE max_feel = 'sadness' {where}),
 st AS (SELECT * FROM st0 WHERE len(terms) > 0),
 po AS (SELECT source, doc_id, k, ln(1.0 + len(terms)) AS l, unnest(terms) AS t FROM st),
@@ -202,3 +202,42 @@ def q_complaints_by_entity_graph(spark: SparkSession, sf: str) -> DataFrame:
         return SC.summarise_by_graph(df, by, text, n, ids, max_shared=MAX_SHARED, damping=DAMPING, tolerance=0.0, max_rounds=GRAPH_ROUNDS)
 
     return SC.complaints_by_entity(_sad(spark, sf), "source", "src1", "review", id_col=["doc_id", "sid"], summary=summary)
+
+
+# the sources' topic mixtures are stood in for by the vectors with their numbers
+_COMMON_TOPIC_SQL = """,
+dt AS (SELECT 'src' || vec_id AS source, CAST(list_position(sq, list_max(sq)) - 1 AS INTEGER) AS topic
+       FROM (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE) AS sq FROM embeddings) x),
+ct AS (SELECT topic FROM dt WHERE source IN (SELECT DISTINCT source FROM documents) GROUP BY topic ORDER BY count(*) DESC, topic LIMIT 1)"""
+
+
+@register("complaints_by_topic_graph", "SELECT source AS topic, rank, sentence, score FROM (" + _summary_sql(
+    "AND d.source IN (SELECT source FROM dt JOIN ct USING (topic))", "(SELECT topic FROM ct)", _COMMON_TOPIC_SQL) + ") o")
+def q_complaints_by_topic_graph(spark: SparkSession, sf: str) -> DataFrame:
+    """T23 without repeats: sadness sentences (learnt weights) of the sources with the commonest dominant topic, summarised."""
+    from revmine.functions.arrays import dominant_topic
+    from revmine.operators import topics as TP
+
+    names = C.table(spark, sf, "documents").select("source").distinct()
+    mix = TP.topics_from_vectors(C.table(spark, sf, "embeddings").withColumn("source", F.concat(F.lit("src"), "vec_id")), "embedding").select("source", "topics")
+    mix = mix.join(names, "source", "left_semi")
+    common = mix.groupBy(dominant_topic("topics").alias("t")).count().orderBy(F.desc("count"), "t").first()["t"]
+
+    def summary(df, by, text, n, ids):
+        return SC.summarise_by_graph(df, by, text, n, ids, max_shared=MAX_SHARED, damping=DAMPING, tolerance=0.0, max_rounds=GRAPH_ROUNDS)
+
+    return TP.complaints_by_topic(mix, _sad(spark, sf), common, "source", "review", id_col=["doc_id", "sid"], summary=summary)
+
+
+@register("write_topic_table", """
+WITH q AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE) AS sq FROM embeddings)
+SELECT vec_id, CAST(unnest(range(len(sq))) AS INTEGER) AS topic, round(unnest(sq) / list_sum(sq), 6) AS prob FROM q""")
+def q_write_topic_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Topic mixtures (shares of squared vector components) written as a topic table and read back."""
+    from revmine.operators import topics as TP
+    from revmine.plans.io_paths import scratch_path
+    from revmine.sources import tables as ST
+
+    path = scratch_path(spark, sf, "topic_table")
+    ST.write_topics(TP.topics_from_vectors(C.table(spark, sf, "embeddings"), "embedding").select("vec_id", "topics"), path)
+    return spark.read.parquet(f"{path}/topics").select("vec_id", F.inline("topics")).select("vec_id", "topic", F.round("prob", 6).alias("prob"))
