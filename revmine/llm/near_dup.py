@@ -45,6 +45,7 @@ from revmine.llm.words import SPACED_LOWER, chunks, released, words
 
 SHINGLE = 5
 BANDS, ROWS = 48, 6
+SHARES = 64         # of a hub's pairs, each with its text once
 HUBS = 16           # more classes outside the largest component make a bucket crowded
 ROUND_HUBS = 1024   # of a fine bucket in one round
 SAMPLE_SHINGLES = 1 << 20  # of the sample that orders shingles, 16 bytes each; any order gives the same links
@@ -135,25 +136,34 @@ def signatures(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, percent: int = MIN_PERCENT) -> DataFrame:
-    """Pairs (a, b) whose full sets are similar enough; ``texts``: (rep, text)."""
+    """Pairs (a, b) whose full sets are similar enough; ``texts``: (rep, text).
+
+    A hub b comes often.  Its pairs are dealt to ``SHARES`` shares, each share
+    gets its text once, and a task keeps the set of one hub at a time.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub = np.zeros(0, np.uint64)
         for batch in batches:
-            for lo, left in chunks(batch.column("text_a"), 1 << 20):
-                part = batch.slice(lo, len(left))
-                right = part.column("text_b").dictionary_encode()  # hubs come often
-                right = right.combine_chunks() if isinstance(right, pa.ChunkedArray) else right
-                a, b = shingle_sets(left), shingle_sets(right.dictionary)
-                ok = []
-                for x, k in zip(a, right.indices.to_pylist(), strict=True):
-                    y = b[k]
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    ok.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
-                yield part.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            for lo, part in chunks(batch.column("text"), 1 << 20):
+                is_hub = batch.column("a").slice(lo, len(part)).is_null().to_pylist()
+                ok = np.zeros(len(part), bool)
+                for k, (own, x) in enumerate(zip(is_hub, shingle_sets(part), strict=True)):
+                    if own:  # its pairs follow
+                        hub = x
+                        continue
+                    both = len(np.intersect1d(x, hub, assume_unique=True))
+                    ok[k] = both > 0 and 100 * both >= percent * (len(x) + len(hub) - both)
+                if ok.any():
+                    yield batch.select(["a", "b"]).slice(lo, len(part)).filter(pa.array(ok))
 
     kind = pairs.schema["a"].dataType.simpleString()
-    one, two = texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b"))
-    joined = pairs.select("a", "b").join(one, "a").join(two, "b")
-    return joined.select("a", "b", "text_a", "text_b").mapInArrow(released(run), f"a {kind}, b {kind}")
+    dealt = pairs.select("a", "b", F.pmod(F.xxhash64("a"), F.lit(SHARES)).alias("share"))
+    one = texts.select(F.col("rep").alias("a"), "text")
+    two = texts.select(F.col("rep").alias("b"), "text")
+    hubs = dealt.select("b", "share").distinct().join(two, "b").select(F.lit(None).cast(kind).alias("a"), "b", "share", "text")
+    rows = dealt.join(one, "a").select("a", "b", "share", "text").unionByName(hubs)
+    ordered = rows.repartition("b", "share").sortWithinPartitions("b", "share", F.col("a").asc_nulls_first())
+    return ordered.select("a", "b", "text").mapInArrow(released(run), f"a {kind}, b {kind}")
 
 
 def components(edges: DataFrame) -> DataFrame:
