@@ -9,7 +9,13 @@ of at least ``J = percent * m / (2 C + (1 - percent) * m)``, so with
 ``bands_for(J)`` bands of one MinHash value they share a band with probability
 ``1 - miss``.  Windows that share a band with a template are candidates; a
 candidate is a match if the window holds ``percent`` of the template's distinct
-shingles, counted exactly.
+shingles, counted exactly.  A window without any shingle of a template cannot
+share a band with one and is never hashed.
+
+Notices of kindred licenses differ in a word or two.  A match gives way to one
+of another license in an overlapping window that holds a larger share of its
+own template, if ``percent`` of the shingles that the match rests on are the
+other template's too; equal shares leave both.
 
 Words: A-Z lower-cased, maximal runs of ASCII digits, letters and non-ASCII
 characters.  Defined results: null and empty texts match nothing; templates
@@ -20,15 +26,17 @@ beside the named ones are never read.
 
 from __future__ import annotations
 
+import bisect
 import math
 from collections.abc import Iterator, Mapping, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from revmine.llm.words import ALNUM_LOWER, chunks, words
+from revmine.llm.words import ALNUM_LOWER, chunks, released, words
 
 SHINGLE = 5
 PERCENT = 75
@@ -38,6 +46,9 @@ SLICE = 4 << 20  # bytes of text looked at together
 # Public license notices.
 TEMPLATES = {
     "AGPL": ["under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
+             "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General "
+             "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your "
+             "option) any later version.",
              "Licensed under the GNU Affero General Public License", "Released under the GNU Affero General Public License"],
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0.",
                    "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in "
@@ -62,6 +73,11 @@ TEMPLATES = {
                 "CC0 1.0 Universal (CC0 1.0) Public Domain Dedication"],
     "EPL-2.0": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
                 "Licensed under the Eclipse Public License 2.0."],
+    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2.",
+                "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General "
+                "Public License as published by the Free Software Foundation; either version 2 of the License, or (at your "
+                "option) any later version.",
+                "Licensed under the GNU General Public License v2.0."],
     "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.",
                 "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General "
                 "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your "
@@ -70,6 +86,12 @@ TEMPLATES = {
     "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
             "granted, provided that the above copyright notice and this permission notice appear in all copies."],
     "LGPL": ["under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+             "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General "
+             "Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your "
+             "option) any later version.",
+             "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General "
+             "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your "
+             "option) any later version.",
              "Licensed under the GNU Lesser General Public License", "Released under the GNU Lesser General Public License"],
     "MIT": ["Released under the MIT License.",
             "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
@@ -130,24 +152,33 @@ class Templates:
             factors = _ODD[64:64 + bands_for(least)]
             self.groups.append((step, factors, members))
 
-    def find(self, h: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-        """(text, license, first shingle of the window in the text, distinct shingles found) of all matches."""
+    def find(self, h: np.ndarray, first: np.ndarray) -> list[Match]:
+        """All matches, and which of them give way to others left out."""
+        out: list[Match] = []
         if not len(h):
-            return
+            return out
         size = np.diff(first)
+        text = np.repeat(np.arange(len(size)), size)
+        place = np.arange(len(h)) - first[text]
         for step, factors, members in self.groups:
+            every = np.unique(np.concatenate([s for _, s in members]))
+            near = np.flatnonzero(_among(h, every))
+            if not len(near):
+                continue
             blocks = -(-size // step)  # of each text
             block_first = np.concatenate([[0], np.cumsum(blocks)])
-            total = int(block_first[-1])
-            owner = np.repeat(np.arange(len(size)), blocks)
-            inside = np.arange(total) - block_first[owner]
-            begin = first[owner] + inside * step
-            last = inside == blocks[owner] - 1  # the window at a text's last block ends with it
+            here = block_first[text[near]] + place[near] // step
+            # a shingle lies in the window of its block and in that of the block before
+            window = np.unique(np.concatenate([here, (here - 1)[place[near] >= step]]))
+            owner = np.searchsorted(block_first, window, side="right") - 1
+            begin = first[owner] + (window - block_first[owner]) * step
+            end = np.minimum(begin + 2 * step, first[owner + 1])
+            length = end - begin
+            start = np.cumsum(length) - length
+            inside = h[np.arange(length.sum()) + np.repeat(begin - start, length)]
             candidates = set()
             for factor in factors:
-                value = h * factor
-                least = np.minimum.reduceat(value, begin) if step > 1 else value
-                least = np.where(last, least, np.minimum(least, np.append(least[1:], least[-1:])))
+                least = np.minimum.reduceat(inside * factor, start)
                 wanted = np.array([(s * factor).min() for _, s in members], np.uint64)
                 order = np.argsort(wanted)
                 at = np.minimum(np.searchsorted(wanted[order], least), len(wanted) - 1)
@@ -155,11 +186,52 @@ class Templates:
                     for t in np.flatnonzero(wanted == least[k]).tolist():
                         candidates.add((k, t))
             for k, t in sorted(candidates):
-                a, b = int(begin[k]), int(min(begin[k] + 2 * step, first[owner[k] + 1]))
+                a, b = int(begin[k]), int(end[k])
                 name, s = members[t]
-                found = int(np.isin(s, h[a:b]).sum())
-                if 100 * found >= self.percent * len(s):
-                    yield int(owner[k]), name, a - int(first[owner[k]]), found
+                found = s[np.isin(s, h[a:b])]
+                if 100 * len(found) >= self.percent * len(s):
+                    lo = a - int(first[owner[k]])
+                    out.append(Match(int(owner[k]), name, lo, lo + 2 * step, found, s))
+        return self._kept(out)
+
+    def _kept(self, matches: list[Match]) -> list[Match]:
+        """Matches that no better one of another license rests on the same words as."""
+        of_text: dict[int, list[Match]] = {}
+        for m in matches:
+            of_text.setdefault(m.text, []).append(m)
+        out = []
+        for mine in of_text.values():
+            mine.sort(key=lambda m: m.begin)
+            reach = max(m.end - m.begin for m in mine)
+            begins = [m.begin for m in mine]
+            for m in mine:
+                others = mine[bisect.bisect_right(begins, m.begin - reach):bisect.bisect_left(begins, m.end)]
+                if not any(o.license != m.license and o.end > m.begin and len(o.found) * len(m.template) > len(m.found) * len(o.template)
+                           and 100 * int(np.isin(m.found, o.template).sum()) >= self.percent * len(m.found) for o in others):
+                    out.append(m)
+        return out
+
+
+@dataclass(frozen=True, eq=False)
+class Match:
+    """A window [begin, end) of a text's shingles that holds ``found`` of a license's template."""
+
+    text: int
+    license: int
+    begin: int
+    end: int
+    found: np.ndarray
+    template: np.ndarray
+
+
+def _among(h: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which of ``h`` are among a few sorted values; most are told by 20 bits of theirs."""
+    bits = np.zeros(1 << 20, bool)
+    bits[(values & np.uint64(0xFFFFF)).astype(np.int64)] = True
+    maybe = bits[(h & np.uint64(0xFFFFF)).astype(np.int64)]
+    at = np.flatnonzero(maybe)
+    maybe[at] = np.isin(h[at], values)
+    return maybe
 
 
 def scan(docs: DataFrame, templates: Mapping[str, Sequence[str]] = TEMPLATES, *, id_col: str = "doc_id", text_col: str = "text",
@@ -174,12 +246,12 @@ def scan(docs: DataFrame, templates: Mapping[str, Sequence[str]] = TEMPLATES, *,
         for batch in batches:
             for lo, texts in chunks(batch.column("text"), SLICE):
                 found: list[dict[int, int]] = [{} for _ in range(len(texts))]
-                for text, name, at, _ in known.find(*shingles(texts)):
-                    found[text][name] = min(at, found[text].get(name, at))
+                for m in known.find(*shingles(texts)):
+                    found[m.text][m.license] = min(m.begin, found[m.text].get(m.license, m.begin))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("id").slice(lo, len(texts)), pa.array([[known.names[k] for k in sorted(f)] for f in found], pa.list_(pa.string())),
                      pa.array([[f[k] for k in sorted(f)] for f in found], pa.list_(pa.int64()))], names=["id", "licenses", "windows"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return (docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-            .mapInArrow(run, f"id {kind}, licenses array<string>, windows array<long>"))
+            .mapInArrow(released(run), f"id {kind}, licenses array<string>, windows array<long>"))

@@ -106,9 +106,13 @@ ts AS (SELECT DISTINCT t, name, CAST(pow(2, ceil(log2(greatest(len(w) - 4, 1))))
 n AS (SELECT t, count(*) AS n FROM ts GROUP BY t),
 hit AS (SELECT doc_id, t, name, step, p // step AS block, s FROM ds JOIN ts USING (s)),
 win AS (SELECT doc_id, t, name, step, unnest([block - 1, block]) AS k, s FROM hit),
-found AS (SELECT doc_id, t, name, k * step AS pos FROM win JOIN n USING (t) WHERE k >= 0 GROUP BY doc_id, t, name, k, step, n.n
-          HAVING 100 * count(DISTINCT s) >= 75 * n.n),
-m AS (SELECT doc_id, name, min(pos) AS pos FROM found GROUP BY doc_id, name),
+found AS (SELECT doc_id, t, name, k * step AS pos, k * step + 2 * step AS till, n.n AS n, count(DISTINCT s) AS f, list(DISTINCT s) AS fs
+          FROM win JOIN n USING (t) WHERE k >= 0 GROUP BY doc_id, t, name, k, step, n.n HAVING 100 * count(DISTINCT s) >= 75 * n.n),
+tl AS (SELECT t, list(s) AS all_s FROM ts GROUP BY t),
+m AS (SELECT doc_id, name, min(pos) AS pos FROM found x WHERE NOT EXISTS (
+        SELECT 1 FROM found o JOIN tl ON tl.t = o.t WHERE o.doc_id = x.doc_id AND o.name <> x.name AND o.pos < x.till AND x.pos < o.till AND o.f * x.n > x.f * o.n
+          AND 100 * len(list_intersect(x.fs, all_s)) >= 75 * x.f)
+      GROUP BY doc_id, name),
 g AS (SELECT doc_id, count(*) AS n_licenses, string_agg(name, ',' ORDER BY name) AS licenses, string_agg(pos::VARCHAR, ',' ORDER BY name) AS first_windows
       FROM m GROUP BY doc_id)
 SELECT doc_id, coalesce(n_licenses, 0)::BIGINT AS n_licenses, coalesce(licenses, '') AS licenses, coalesce(first_windows, '') AS first_windows

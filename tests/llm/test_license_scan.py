@@ -17,7 +17,7 @@ def shingles(text):
 
 def brute(text, templates):
     s = shingles(text)
-    out = {}
+    found = []
     for name, texts in templates.items():
         for t in texts:
             want = shingles(t)
@@ -25,8 +25,13 @@ def brute(text, templates):
                 continue
             step = 1 << (len(want) - 1).bit_length()
             for at in range(0, len(s), step):
-                if 100 * len(set(want) & set(s[at:at + 2 * step])) >= 75 * len(set(want)):
-                    out[name] = min(at, out.get(name, at))
+                both = set(want) & set(s[at:at + 2 * step])
+                if 100 * len(both) >= 75 * len(set(want)):
+                    found.append((name, at, at + 2 * step, both, set(want)))
+    out = {}
+    for name, a, b, both, want in found:
+        if not any(o[0] != name and o[1] < b and a < o[2] and len(o[3]) * len(want) > len(both) * len(o[4]) and 100 * len(both & o[4]) >= 75 * len(both) for o in found):
+            out[name] = min(a, out.get(name, a))
     return [(n, out[n]) for n in sorted(out)]
 
 
@@ -78,7 +83,10 @@ def test_short_wordings_and_other_licenses(spark):
     wordings = [("Licensed under the MIT License", ["MIT"]), ("Licensed under the BSD 3-Clause License", ["BSD-3-Clause"]),
                 ("Licensed under the Mozilla Public License, version 2.0", ["MPL-2.0"]), ("Licensed under CC BY-SA 4.0", ["CC-BY-SA-4.0"]),
                 ("Licensed under the GNU Lesser General Public License", ["LGPL"]), ("Licensed under the GNU Affero General Public License", ["AGPL"]),
-                ("CC0 1.0 Universal (CC0 1.0) Public Domain Dedication", ["CC0-1.0"])]
+                ("CC0 1.0 Universal (CC0 1.0) Public Domain Dedication", ["CC0-1.0"]),
+                (LS.TEMPLATES["GPL-2.0"][1].replace(";", ","), ["GPL-2.0"]), (LS.TEMPLATES["GPL-2.0"][0] + " " + LS.TEMPLATES["MIT"][0], ["GPL-2.0", "MIT"]),
+                (LS.TEMPLATES["GPL-2.0"][1] + " word " * 60 + LS.TEMPLATES["GPL-3.0"][1], ["GPL-2.0", "GPL-3.0"]),
+                ("This work is licensed under the GNU General Public License, version", ["GPL-2.0", "GPL-3.0"])]
     wordings += [(t, [name]) for name, texts in LS.TEMPLATES.items() for t in texts]
     docs = [(i, f"some words before it {t} and after it") for i, (t, _) in enumerate(wordings)]
     got = {r["id"]: r["licenses"] for r in LS.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
