@@ -73,37 +73,38 @@ def secular_roots(d: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     low = np.where((np.arange(n) == n - 1) & (at_middle < 0), gap / 2, low)
     high = np.where((np.arange(n) == n - 1) & (at_middle >= 0), gap / 2, high)
     x = (low + high) / 2
-    below = np.arange(n)[:, None] <= np.arange(n)[None, :]  # poles left of root i
+    below = np.triu(np.ones((n, n)))  # poles left of root i
     a, b = delta[np.arange(n), np.arange(n)], np.append(delta[np.arange(1, n), np.arange(n - 1)], np.inf)
-    for _ in range(80):
-        away = delta - x
-        part = zz[:, None] / away
-        f = 1 + part.sum(axis=0)
-        done = np.abs(f) <= 4 * _EPS * (1 + np.abs(part).sum(axis=0))
-        if done.all():
-            break
-        slope = part / away
-        left = (slope * below).sum(axis=0)
-        rest = slope.sum(axis=0) - left
-        low, high = np.where(f < 0, x, low), np.where(f < 0, high, x)
-        # f is replaced by c + s / (a - l) + t / (b - l) with its own value and slopes from either side
-        da, db = a - x, b - x
-        with np.errstate(all="ignore"):
-            c = f - da * left - np.where(np.isinf(db), 0, db * rest)
-            s, t = left * da * da, np.where(np.isinf(db), 0, rest * db * db)
-            p = np.where(np.isinf(db), 0, c * (da + db) + s + t)
-            q = np.where(np.isinf(db), 0, c * da * db + s * db + t * da)
-            # c y^2 - p y + q = 0 for the step y, the root that keeps the sign of f
+    inner = slice(0, n - 1)
+    with np.errstate(all="ignore"):
+        for _ in range(80):
+            away = delta - x
+            part = zz[:, None] / away
+            slope = part / away
+            whole, near = part.sum(axis=0), np.einsum("ji,ji->i", part, below)
+            left = np.einsum("ji,ji->i", slope, below)
+            rest = slope.sum(axis=0) - left
+            f = 1 + whole
+            done = np.abs(f) <= 4 * _EPS * (1 + whole - 2 * near)  # terms left of a root are negative, right of it positive
+            if done.all():
+                break
+            negative = f < 0
+            low, high = np.where(negative, x, low), np.where(negative, high, x)
+            # f is replaced by c + s / (a - l) + t / (b - l) with its own value and slopes from either side,
+            # whose root is a step y with c y^2 - p y + q = 0
+            da, db = (a - x)[inner], (b - x)[inner]
+            c = f[inner] - da * left[inner] - db * rest[inner]
+            p = (da + db) * f[inner] - da * db * (left[inner] + rest[inner])
+            q = da * db * f[inner]
             root = np.sqrt(np.maximum(p * p - 4 * c * q, 0))
             y = np.where(p <= 0, (p - root) / (2 * c), 2 * q / (p + root))
-            y = np.where(np.isinf(db), da + s / np.where(c == 0, np.nan, c), y)
-        new = x + y
-        bad = ~np.isfinite(new) | (new <= low) | (new >= high)
-        new = np.where(bad, (low + high) / 2, new)
-        done |= np.abs(new - x) <= 2 * _EPS * np.abs(new)
-        x = np.where(done, x, new)
-        if done.all():
-            break
+            end = a[-1] - x[-1]  # right of the last pole there is none
+            new = x + np.append(y, end + left[-1] * end * end / (f[-1] - end * left[-1]))
+            new = np.where((new > low) & (new < high), new, (low + high) / 2)
+            done |= np.abs(new - x) <= 2 * _EPS * np.abs(new)
+            x = np.where(done, x, new)
+            if done.all():
+                break
     return pole, x
 
 
@@ -177,6 +178,16 @@ class Spectrum:
             self.n += 1
         self.total = self.total + rows.sum(axis=0, dtype=np.int64).astype(object)
 
+    def add_block(self, rows: np.ndarray) -> None:
+        """The same for many vectors at once: the triangular factor of the centred vectors has their scatter, and each
+        of its rows, as many as a vector has entries, is one rank-one update."""
+        block = Spectrum(self.dim, len(rows), rows.sum(axis=0, dtype=np.int64).astype(object), np.zeros(self.dim), np.eye(self.dim))
+        low = rows[0]
+        centred = (rows - low).astype(np.float64)
+        for v in np.linalg.qr(centred - centred.mean(axis=0), mode="r"):
+            block._update(v)
+        self.combine(block)
+
     def combine(self, other: Spectrum) -> None:
         if not other.n:
             return
@@ -232,16 +243,24 @@ def integers(rows: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embe
     return rows.where(whole).select(F.col(id_col).alias("id"), x.alias("x"))
 
 
-def fit(parts: DataFrame, dim: int, components: int = COMPONENTS, rows_per_task: int = ROWS_PER_TASK) -> Model:
-    """Spectrum of the vectors ``x`` of a stored table, distinct and of length ``dim``."""
+def fit(parts: DataFrame, dim: int, components: int = COMPONENTS, rows_per_task: int = ROWS_PER_TASK, block_rows: int = 1) -> Model:
+    """Spectrum of the vectors ``x`` of a stored table, distinct and of length ``dim``.
+
+    With ``block_rows`` > ``dim`` so many vectors are condensed to ``dim`` before
+    the updates, which then are fewer by that factor; results differ by rounding.
+    """
     spark = parts.sparkSession
     tasks = -(-parts.count() // rows_per_task)
 
     def updates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = Spectrum(dim)
         for batch in batches:
-            if batch.num_rows:
-                seen.add(_matrix(batch.column("x"), dim, np.int64))
+            rows = _matrix(batch.column("x"), dim, np.int64)
+            for lo in range(0, len(rows), max(block_rows, 1) if block_rows > dim else max(len(rows), 1)):
+                if block_rows > dim:
+                    seen.add_block(rows[lo:lo + block_rows])
+                else:
+                    seen.add(rows)
         if seen.n:
             yield seen.row(TaskContext.get().partitionId())
 
@@ -324,7 +343,7 @@ def identity_error(parts: DataFrame, model: Model) -> float:
 
 
 def whiten(rows: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", components: int = COMPONENTS,
-           scale: int = SCALE, shift: int = SHIFT) -> DataFrame:
+           scale: int = SCALE, shift: int = SHIFT, block_rows: int = 1) -> DataFrame:
     """(id, component, n, deviation, whitened, explained, identity_error) of each whole vector and component."""
     kind = rows.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, component int, n long, deviation long, whitened double, explained double, identity_error double"
@@ -334,7 +353,7 @@ def whiten(rows: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedd
         return rows.sparkSession.createDataFrame([], schema)
     vectors = vectors.where(F.size("x") == sizes["d"])
     parts = stored(vectors.select("x").distinct(), "distinct-vectors")
-    model = fit(parts, sizes["d"], components)
+    model = fit(parts, sizes["d"], components, block_rows=block_rows)
     if not len(model.values):
         return rows.sparkSession.createDataFrame([], schema)
     error = identity_error(parts, model)

@@ -89,6 +89,20 @@ def test_updates_and_combined_spectra_alone_are_close():
     assert np.abs(whole.basis @ np.diag(whole.values) @ whole.basis.T - c.T @ c).max() < 1e-9 * np.abs(c.T @ c).max()
 
 
+@pytest.mark.parametrize("block_rows", [1, 8, 50])
+def test_condensed_blocks_give_the_same(spark, block_rows):
+    rng = np.random.default_rng(9)
+    v = rng.standard_normal((300, 6)) * [4, 2, 1, 0.5, 0.25, 0]
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(v)], "vec_id long, embedding array<double>")
+    check(W.whiten(df, block_rows=block_rows).withColumnRenamed("id", "vec_id").collect(), list(range(300)), v.tolist())
+    rows = np.floor(64 * v).astype(np.int64)
+    one, many = W.Spectrum(6), W.Spectrum(6)
+    one.add(rows)
+    for lo in range(0, 300, 50):
+        many.add_block(rows[lo:lo + 50])
+    assert one.n == many.n and (one.total == many.total).all() and np.allclose(one.values, many.values, rtol=1e-10, atol=1e-7)
+
+
 def test_rows_that_are_left_out(spark):
     nan, inf = float("nan"), float("inf")
     good = [[0.5, -0.25, 1.0], [0.1, 0.9, -0.3], [0.4, 0.4, 0.4], [0.1, 0.9, -0.3]]
