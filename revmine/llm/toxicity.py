@@ -24,6 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from revmine.llm.common import labelled_sample, stored
@@ -154,11 +155,15 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", id_col: str
                 ends = np.searchsorted(text, np.arange(len(part) + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column("label").slice(lo, len(part)), pa.ListArray.from_arrays(ends, pa.array(g.astype(np.int32)))], names=["label", "grams"])
 
-    got = sample.mapInArrow(present, "label int, grams array<int>").toArrow()  # max_rows rows of chosen grams
-    rows = sorted(zip(got.column("grams").to_pylist(), got.column("label").to_pylist(), strict=True))  # task order must not matter
-    y = np.array([r[1] for r in rows], float)
-    text = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
-    feature = np.searchsorted(gram, np.array([g for r in rows for g in r[0]], np.int64))
+    got = sample.mapInArrow(released(present), "label int, grams array<int>").toArrow()  # max_rows rows of chosen grams
+    lists = got.column("grams").combine_chunks()
+    n, flat, label = lists.value_lengths().to_numpy(), lists.flatten().to_numpy(), got.column("label").to_numpy()
+    begin = np.cumsum(n) - n
+    digest = np.array([xxhash.xxh3_64_intdigest(flat[a:a + k]) for a, k in zip(begin.tolist(), n.tolist(), strict=True)], np.uint64)
+    order = np.lexsort((label, digest))  # task order must not matter
+    n, y = n[order].astype(np.int64), label[order].astype(float)
+    text = np.repeat(np.arange(len(n)), n)
+    feature = np.searchsorted(gram, flat[np.arange(n.sum()) + np.repeat(begin[order] - (np.cumsum(n) - n), n)])
     w, b = _logistic(text, feature, ratio, y, len(gram), l2, steps)
     return GramModel(gram, w * ratio, b)
 

@@ -8,6 +8,9 @@ from revmine.llm import quality_rank as QR, queries as Q, toxicity as TX
 from revmine.llm.common import learnable, table
 
 
+SF1 = "/root/testdata/sf0.1"
+
+
 def auc(pairs):
     score, y = np.array([p for p, _ in pairs]), np.array([v for _, v in pairs])
     good, bad = score[y == 1], score[y == 0]
@@ -27,6 +30,58 @@ def test_held_out_accuracy(spark, name, label, least):
     assert auc(held) >= least
 
 
+@pytest.mark.parametrize("name,label,value,precision,recall", [("op2_quality_rank", "quality", 0, 0.95, 0.9), ("op2_quality_rank", "quality", 1, 0.98, 0.98),
+                                                               ("op9_toxicity", "toxic", 1, 0.95, 0.75), ("op9_toxicity", "toxic", 0, 0.95, 0.99)])
+def test_held_out_predictions(spark, held_out, name, label, value, precision, recall):
+    pairs = held_out(name, label)
+    said, true = sum(p == value for p, _ in pairs), sum(v == value for _, v in pairs)
+    both = sum(p == v == value for p, v in pairs)
+    assert true >= 50 and both / said >= precision and both / true >= recall, (both, said, true)
+
+
+@pytest.fixture(scope="module")
+def held_out(spark):
+    known = {}
+
+    def pairs(name, label):
+        if name not in known:
+            truth = {r["doc_id"]: r[label] for r in table(spark, SF1, "labels").collect()}
+            known[name] = [(r["predicted"], truth[r["doc_id"]]) for r in Q.QUERIES[name](spark, SF1).where("held_out").collect() if truth.get(r["doc_id"]) is not None]
+        return known[name]
+    return pairs
+
+
+def test_gram_weights_reach_the_dense_optimum():
+    """Logistic regression on log-count ratios: the sparse method against Newton's on the same rows."""
+    rng = np.random.default_rng(2)
+    n, m, l2 = 60, 5, 2.0
+    on, ratio = rng.random((n, m)) < 0.5, rng.normal(0, 1, m)
+    y = (rng.random(n) < 1 / (1 + np.exp(-(on * ratio).sum(axis=1)))).astype(float)
+    text, feature = np.nonzero(on)
+    w, b = TX._logistic(text, feature, ratio, y, m, l2, 6000)
+    x, v = np.column_stack([on * ratio, np.ones(n)]), np.zeros(m + 1)
+    ridge = np.diag([l2] * m + [0.0])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-x @ v))
+        v -= np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + ridge, x.T @ (p - y) + ridge @ v)
+    assert np.allclose(np.append(w, b), v, atol=1e-4)
+
+
+def test_gram_ratios_are_counted_from_the_texts(spark):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["bad cat", "bad dog", "nice cat", "nice dog", "nice bird", None])], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 2)) for i in range(6)], "doc_id long, toxic int")
+    model = TX.fit(docs, labels, min_z=0.0)
+    texts = ["bad cat", "bad dog", "nice cat", "nice dog", "nice bird", ""]
+    text, gram = TX.text_grams(TX.pa.array(texts))
+    has = [set(gram[text == i].tolist()) for i in range(6)]
+    toxic = {g: sum(g in has[i] for i in range(2)) for g in set().union(*has)}
+    clean = {g: sum(g in has[i] for i in range(2, 6)) for g in set().union(*has)}
+    assert set(model.grams.tolist()) == set(toxic)
+    for g, w in zip(model.grams.tolist(), model.weights, strict=True):
+        ratio = np.log((toxic[g] + 1) / 4) - np.log((clean[g] + 1) / 6)
+        assert ratio == 0 or w == 0 or np.sign(w) == np.sign(ratio) or abs(w) < 0.2
+
+
 def test_labels_of_held_out_rows_change_nothing(spark):
     from pyspark.sql import functions as F
     docs, labels = table(spark, SF001, "documents"), table(spark, SF001, "labels")
