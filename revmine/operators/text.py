@@ -389,14 +389,17 @@ def attribute_counts(long: DataFrame, by: str | Sequence[str], value: str = "att
 
 
 def top_attributes_by(df: DataFrame, by: str, top_count: int = 5, column_count: int = 10,
-                      prefix: str | Sequence[str] = "attr_") -> DataFrame:
+                      prefix: str | Sequence[str] = "attr_", long: str | None = None) -> DataFrame:
     """Most frequent attributes per group -> ``by, top_<prefixes>1..top_count``.
 
-    P1 -> A26 -> W2 -> P2.  Ties in counts break by attribute ascending.  A
+    P1 -> A26 -> W2 -> P2.  ``long`` names the attribute column of a table that
+    has a row for each attribute already (:func:`top_terms_per_entity`), which
+    needs no P1.  Ties in counts break by attribute ascending.  A
     group with fewer than ``top_count`` attributes gets NULLs (the original
     raised).
     """
-    counts = attribute_counts(melt_attributes(df, by, prefix, column_count), by)
+    rows = melt_attributes(df, by, prefix, column_count) if long is None else df.withColumnRenamed(long, "attribute").where("attribute is not null")
+    counts = attribute_counts(rows, by)
     ranked = top_k_per_group(counts, by, "count", top_count, "attribute")
     return pivot_ranks(ranked, [by], top_count, "attribute", "rank", "top_" + "".join(_list(prefix)))
 

@@ -250,14 +250,17 @@ def q_join_neg_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- top attributes by group (T12, P1, A26, W2, P2) ---------------------------------
 
-def lang_top_attributes(spark: SparkSession, sf: str) -> DataFrame:
-    """attr_1..attr_10 per (lang, source) over all four languages."""
+def _lang_scores(spark: SparkSession, sf: str) -> DataFrame:
     docs = C.reviews(spark, sf, lang=None)
     corpus = T.build_corpus(docs.withColumn("doc", F.concat_ws("/", "lang", "source")), "doc", "text",
                             expert="expert", expert_weight=C.EXPERT_WEIGHT, keep=["lang"])
     counts = cut_lineage(T.word_counts(corpus, ["doc", "lang"], stop=_stop()))
-    scores = T.tfidf_scores(counts, ["doc", "lang"], docs=_sides(corpus, ("doc", "lang")), max_df=MAX_DF)
-    return T.top_attributes(scores, ["doc", "lang"], K)
+    return T.tfidf_scores(counts, ["doc", "lang"], docs=_sides(corpus, ("doc", "lang")), max_df=MAX_DF)
+
+
+def lang_top_attributes(spark: SparkSession, sf: str) -> DataFrame:
+    """attr_1..attr_10 per (lang, source) over all four languages."""
+    return T.top_attributes(_lang_scores(spark, sf), ["doc", "lang"], K)
 
 
 def _lang_attr_ctes() -> str:
@@ -290,7 +293,8 @@ SELECT lang, {", ".join(f"max(CASE WHEN rank = {i} THEN attribute END) AS top_at
 FROM top WHERE rank <= {TOP_BY} GROUP BY lang""")
 def q_top_attributes_by(spark: SparkSession, sf: str) -> DataFrame:
     """The 5 attributes most often among the sources' top 10, per language."""
-    return T.top_attributes_by(lang_top_attributes(spark, sf), "lang", TOP_BY, K, "attr_")
+    top = T.top_terms_per_entity(_lang_scores(spark, sf), ["doc", "lang"], "tfidf", K)  # long already: no pivot and back
+    return T.top_attributes_by(top, "lang", TOP_BY, K, "attr_", long="term")
 
 
 @register("melt_attributes", "WITH " + _lang_attr_ctes().strip() + """
