@@ -38,7 +38,7 @@ def free_name(df: DataFrame, name: str) -> str:
 
 
 def if_small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
-    """A stored table of a few narrow columns, to be broadcast if it has ``rows`` rows at most.
+    """A stored table of a few narrow columns, to be broadcast if it has ``rows`` rows at most (about 40 MB of two longs as a hash table).
 
     Beyond that Spark joins it by its own statistics, with a shuffle and the
     split of skewed partitions.
