@@ -25,7 +25,9 @@ nothing.  Columns beside the named ones are never read.
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -78,7 +80,8 @@ def build_index(spark: SparkSession, entries: Iterable[str], max_index_bytes: in
         raise ValueError(f"an index of {size} bytes is larger than max_index_bytes; use judge_by_join")
     index = DigestIndex(f"digests-{uuid.uuid4().hex}", tuple(sorted({path_length(e) for _, e in distinct})), len(distinct))
     if distinct:
-        folder = tempfile.mkdtemp(prefix="digests-")  # only the driver reads it: addFile sends copies
+        folder = tempfile.mkdtemp(prefix="digests-")  # only the driver reads it: addFile sends copies, also to executors that join later
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
         for kind, data in (("keys", np.array([d for d, _ in distinct], np.uint64)), ("ends", np.cumsum([0, *map(len, strings)])),
                            ("strings", np.frombuffer(b"".join(strings), np.uint8))):
             path = os.path.join(folder, f"{index.name}-{kind}.npy")
