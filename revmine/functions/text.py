@@ -9,14 +9,17 @@ from __future__ import annotations
 import functools
 import string
 import unicodedata
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from revmine.functions import lexicon as L
 
+#: texts that an accent-stripping task holds as Python strings at a time
+STRIP_ROWS = 64
+
 
 def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
@@ -101,13 +104,21 @@ def _strip_accents_py(s: str | None) -> str | None:
     return unicodedata.normalize("NFKD", s).encode("ascii", "ignore").decode("ascii")
 
 
-@F.pandas_udf(T.StringType())
-def strip_accents_exact(s: pd.Series) -> pd.Series:
+def strip_accents_exact(col) -> Column:
     """Arrow-batched Python twin of :func:`strip_accents_ascii` (all planes).
 
-    The default accent strip; the JVM variant is tested against it.
+    The default accent strip; the JVM variant is tested against it.  The UDF is
+    made with each call: Spark keeps a handle of the JVM in a used one, and this
+    module goes to Python workers by value.  A batch is converted ``STRIP_ROWS``
+    texts at a time.
     """
-    return s.map(_strip_accents_py)
+    @F.arrow_udf("string")
+    def stripped(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            parts = (texts.slice(lo, STRIP_ROWS).to_pylist() for lo in range(0, len(texts), STRIP_ROWS))
+            yield pa.concat_arrays([pa.array([], pa.string()), *(pa.array([_strip_accents_py(t) for t in part], pa.string()) for part in parts)])
+
+    return stripped(_c(col))
 
 
 # X4

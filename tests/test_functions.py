@@ -27,6 +27,13 @@ def test_accent_strip_matches_nfkd(spark):
     assert one(spark, text, X.strip_accents_ascii("t", method="jvm")) == want
 
 
+def test_accent_strip_in_pieces(spark):
+    texts = [None if i % 7 == 0 else f"é{i}ﬁ" if i % 3 else f"plain {i}" for i in range(3 * X.STRIP_ROWS + 5)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, t string").coalesce(1)
+    got = {r["i"]: r["t"] for r in df.select("i", X.strip_accents_exact("t").alias("t")).collect()}
+    assert got == {i: None if t is None else t.replace("é", "e").replace("ﬁ", "fi") for i, t in enumerate(texts)}
+
+
 def test_tokens_after_cleaning(spark):
     toks = one(spark, "crème straße ab abc IPAs", X.tokenise(X.clean_for_tokens("t")))
     assert toks == ["creme", "strae", "abc", "ipa"]

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF001
+from revmine.functions import text as X
 from revmine.operators import clean as CL
 from revmine.operators import language as LG
 from revmine.operators import tagger as TG
@@ -94,6 +95,14 @@ def test_word_counts_and_clean_tokens_in_context(spark, fitted):
     assert rows[5] is None and rows[6] == []
 
 
+def test_tags_after_accents_were_stripped(spark, fitted):
+    df, tagger = fitted
+    accents = spark.createDataFrame([("Crème",), ("plain",), (None,)], "a string")
+    assert accents.select(X.strip_accents_ascii("a").alias("a")).collect() == [("Creme",), ("plain",), (None,)]
+    assert df.select(tagger.tags(TG.words_of_sentences("t")).alias("g")).where("g is not null").count() == 24
+    assert len(TG.fit_tagger(df, "t", max_rounds=1).log_likelihood) == 1
+
+
 # --- language ---------------------------------------------------------------------------
 
 def test_language_held_out(spark):
