@@ -5,8 +5,8 @@ pointwise mutual information, and a randomised decomposition turns them into
 short vectors (T21), or a walk over the strongest neighbours spreads a few
 labelled seed terms over the vocabulary (T18-T20).  The vocabulary is the
 ``max_terms`` most frequent terms, so matrices of ``max_terms`` rows and a few
-dozen columns are bounded; texts are read once, in Arrow tasks that add up a
-batch's pairs before they are shuffled.
+dozen columns are bounded; texts are read once, in Arrow tasks that add up the
+pairs of a bounded piece of a batch before they are shuffled.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ from revmine.session import cut_lineage
 
 #: rows of the term matrix that one task multiplies
 BLOCK_ROWS = 256
+#: places of a batch whose pairs a task holds at a time
+SLICE_TOKENS = 1 << 18
 
 
 def vocabulary(df: DataFrame, tokens: str = "tokens", max_terms: int = 20_000, stop: Sequence[str] = ()) -> list[str]:
@@ -54,14 +56,20 @@ def cooccurrences(df: DataFrame, terms: Sequence[str], tokens: str = "tokens", w
                 continue
             known = pa.compute.index_in(words.dictionary, value_set=value_set).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
             code = np.where(words.indices.is_null().to_numpy(zero_copy_only=False), -1, known[words.indices.fill_null(0).to_numpy(zero_copy_only=False)])
-            text = np.repeat(np.arange(len(lengths)), lengths)
-            keys = []
-            for d in range(1, window + 1):
-                a, b = code[:-d], code[d:]
-                use = (a >= 0) & (b >= 0) & (text[:-d] == text[d:])
-                keys += [a[use] * size + b[use], b[use] * size + a[use]]
-            pair, n = np.unique(np.concatenate(keys), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array((pair // size).astype(np.int32)), pa.array((pair % size).astype(np.int32)), pa.array(n)], names=["i", "j", "n"])
+            text = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
+            for lo in range(0, len(code), SLICE_TOKENS):  # pairs whose first place is in this piece
+                keys = []
+                for d in range(1, window + 1):
+                    hi = min(lo + SLICE_TOKENS, len(code) - d)
+                    if hi <= lo:
+                        break
+                    a, b = code[lo:hi], code[lo + d:hi + d]
+                    use = (a >= 0) & (b >= 0) & (text[lo:hi] == text[lo + d:hi + d])
+                    keys += [a[use] * size + b[use], b[use] * size + a[use]]
+                if not keys:
+                    continue
+                pair, n = np.unique(np.concatenate(keys), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array((pair // size).astype(np.int32)), pa.array((pair % size).astype(np.int32)), pa.array(n)], names=["i", "j", "n"])
 
     return df.select(F.col(tokens).alias("tokens")).mapInArrow(run, "i int, j int, n long").groupBy("i", "j").agg(F.sum("n").alias("n"))
 

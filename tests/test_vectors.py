@@ -51,6 +51,15 @@ def test_counts_and_pmi_equal_brute_force(spark, texts):
     assert (got == counts).all() and np.allclose(v, pmi)
 
 
+@pytest.mark.parametrize("places", [1, 3, 7])
+def test_counts_do_not_depend_on_the_pieces(spark, texts, places, monkeypatch):
+    df = frame(spark, texts).coalesce(1)
+    terms = V.vocabulary(df, max_terms=12)
+    whole = V.cooccurrences(df, terms).collect()
+    monkeypatch.setattr(V, "SLICE_TOKENS", places)
+    assert sorted(V.cooccurrences(df, terms).collect()) == sorted(whole) and len(whole) > 50
+
+
 def test_vectors_equal_a_dense_decomposition(spark, texts):
     df = frame(spark, texts)
     terms = V.vocabulary(df)
