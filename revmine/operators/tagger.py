@@ -16,7 +16,6 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -50,6 +49,10 @@ OPEN = "NN VB JJ"
 IRREGULAR = {"NN": "NN VB", "VB": "VB NN JJ", "JJ": "JJ RB NN"}
 #: weight of the lists' order of classes, the first twice as likely as the second, against a word's uses
 LISTS = 0.25
+#: words of the sentences that a task steps over together
+RUN_WORDS = 1 << 19
+#: sentences up to which one call per step is faster than one per class
+FEW = 64
 #: what usually follows a class ("" is a sentence's begin and end): counts that learning starts from and keeps as a prior
 FOLLOWS = {
     "": "DT:4 PR:4 NN:2 IN:1 RB:1 JJ:1", "DT": "NN:6 JJ:3", "JJ": "NN:6 JJ:1 CC:1 :1", "NN": "VB:3 IN:3 MD:1 CC:1 NN:1 RB:1 :4", "PR": "VB:6 MD:3 RB:1",
@@ -105,32 +108,51 @@ class HmmTagger:
         get = self.symbols.get
         return np.array([i if (i := get(w)) is not None else self.symbols[shape(w)] for w in words], np.int64)
 
+    def encode_array(self, words: pa.Array) -> np.ndarray:
+        words = words.dictionary_encode()
+        return self.encode(words.dictionary.to_pylist())[words.indices.to_numpy()] if len(words) else np.zeros(0, np.int64)
+
     def expected(self, sentences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, float]:
         """Expected counts (start, move, stop, emit) of the sentences, and their log likelihood."""
+        return self.expected_flat(*_joined(sentences))
+
+    def expected_flat(self, codes: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, float]:
+        """The same of sentences as one array of symbols and their lengths."""
         start, move, stop, emit, log = _nothing(self.emit)
-        k = len(TAGS)
-        for obs in _by_length(sentences):
-            n, t = obs.shape
-            seen = self.emit[:, obs].transpose(2, 1, 0)  # place, sentence, class
-            ahead, scale = np.zeros((t, n, k)), np.zeros((t, n))
-            for i in range(t):
-                now = (self.start if i == 0 else ahead[i - 1] @ self.move) * seen[i]
-                scale[i] = now.sum(axis=1)
-                ahead[i] = now / scale[i][:, None]
-            end = ahead[-1] @ self.stop
-            behind = self.stop / end[:, None]
-            stop += (ahead[-1] * behind).sum(axis=0)
-            for i in range(t - 1, -1, -1):
-                here = ahead[i] * behind
-                for c in range(k):
-                    emit[c] += np.bincount(obs[:, i], weights=here[:, c], minlength=emit.shape[1])
-                if i == 0:
-                    start += here.sum(axis=0)
-                else:
-                    step = seen[i] * behind / scale[i][:, None]
-                    move += self.move * (ahead[i - 1].T @ step)
-                    behind = step @ self.move.T
-            log += float(np.log(scale).sum() + np.log(end).sum())
+        emitted = np.ascontiguousarray(self.emit.T)
+        for _, _, obs, first in _packed(codes, size):
+            active = np.diff(first)
+            seen = emitted[obs]
+            ahead, scale = np.empty(seen.shape), np.empty(len(obs))
+            for i, (lo, n) in enumerate(zip(first[:-1].tolist(), active.tolist(), strict=True)):
+                now = (self.start if i == 0 else ahead[before:before + n] @ self.move) * seen[lo:lo + n]
+                total = now.sum(axis=1)
+                scale[lo:lo + n] = total
+                np.divide(now, total[:, None], out=ahead[lo:lo + n])
+                before = lo
+            behind = np.empty((active[0], len(TAGS)))
+            went, longer = np.zeros(move.shape), 0
+            for i in range(len(active) - 1, -1, -1):
+                lo, n = int(first[i]), int(active[i])
+                if n > longer:  # sentences that end here
+                    last = ahead[lo + longer:lo + n]
+                    end = last @ self.stop
+                    behind[longer:n] = self.stop / end[:, None]
+                    stop += (last * behind[longer:n]).sum(axis=0)
+                    log += float(np.log(end).sum())
+                    longer = n
+                ahead[lo:lo + n] *= behind[:n]  # from here on: the expected classes of these words
+                if i:
+                    step = seen[lo:lo + n] * behind[:n]
+                    step /= scale[lo:lo + n, None]
+                    back = int(first[i - 1])
+                    went += ahead[back:back + n].T @ step
+                    behind[:n] = step @ self.move.T
+            start += ahead[:active[0]].sum(axis=0)
+            move += self.move * went
+            for c in range(len(TAGS)):
+                emit[c] += np.bincount(obs, weights=ahead[:, c], minlength=emit.shape[1])
+            log += float(np.log(scale).sum())
         return start, move, stop, emit, log
 
     def reestimated(self, start: np.ndarray, move: np.ndarray, stop: np.ndarray, emit: np.ndarray) -> HmmTagger:
@@ -142,34 +164,49 @@ class HmmTagger:
 
     def viterbi(self, sentences: list[np.ndarray]) -> list[np.ndarray]:
         """Likeliest classes of each sentence; the first class on ties."""
-        out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(sentences)
+        codes, size = _joined(sentences)
+        return np.split(self.viterbi_flat(codes, size), np.cumsum(size)[:-1]) if len(size) else []
+
+    def viterbi_flat(self, codes: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The same of sentences as one array of symbols and their lengths."""
+        out = np.zeros(len(codes), np.int64)
         with np.errstate(divide="ignore"):
             start, move, stop, emit = np.log(self.start), np.log(self.move), np.log(self.stop), np.log(self.emit)
-        for where, obs in _by_length(sentences, places=True):
-            n, t = obs.shape
-            best, back = start + emit[:, obs[:, 0]].T, np.zeros((t, n, len(TAGS)), np.int8)
-            for i in range(1, t):
-                reach = best[:, :, None] + move
-                back[i] = reach.argmax(axis=1)
-                best = reach.max(axis=1) + emit[:, obs[:, i]].T
-            path = np.zeros((t, n), np.int64)
-            path[-1] = (best + stop).argmax(axis=1)
-            for i in range(t - 1, 0, -1):
-                path[i - 1] = back[i][np.arange(n), path[i]]
-            for j, w in enumerate(where.tolist()):
-                out[w] = path[:, j]
+        emitted = np.ascontiguousarray(emit.T)
+        for words, place, obs, first in _packed(codes, size):
+            active = np.diff(first)
+            best, back = start + emitted[obs[:active[0]]], np.zeros((len(obs), len(TAGS)), np.int8)
+            for lo, n in zip(first[1:-1].tolist(), active[1:].tolist(), strict=True):
+                if n < FEW:
+                    reach = best[:n, :, None] + move
+                    back[lo:lo + n] = reach.argmax(axis=1)
+                    most = reach.max(axis=1)
+                else:
+                    most = best[:n, :1] + move[0]
+                    for k in range(1, len(TAGS)):
+                        other = best[:n, k:k + 1] + move[k]
+                        back[lo:lo + n][other > most] = k
+                        np.maximum(most, other, out=most)
+                best[:n] = most + emitted[obs[lo:lo + n]]
+            path, now = np.empty(len(obs), np.int64), (best + stop).argmax(axis=1)
+            for i in range(len(active) - 1, -1, -1):
+                lo, n = int(first[i]), int(active[i])
+                path[lo:lo + n] = now[:n]
+                now[:n] = back[np.arange(lo, lo + n), now[:n]]
+            out[words] = path[place]
         return out
 
     def tags(self, sentences: str | Column) -> Column:
         """Classes of the words of ``array<array<string>>`` (sentences of words), in the same shape; null for null."""
-        tagger, names = self, np.array(TAGS)
+        tagger = self
 
-        @F.pandas_udf("array<array<string>>")
-        def likeliest(col: pd.Series) -> pd.Series:
-            texts = [None if t is None else [list(s) if s is not None else [] for s in t] for t in col]
-            flat = [s for t in texts if t is not None for s in t]
-            found = iter(tagger.viterbi([tagger.encode(s) for s in flat]))
-            return pd.Series([None if t is None else [names[next(found)].tolist() for _ in t] for t in texts], dtype=object)
+        @F.arrow_udf("array<array<string>>")
+        def likeliest(texts: pa.Array) -> pa.Array:
+            spoken = texts.flatten()  # sentences of the texts that are not null
+            per_text, size = _lengths(texts), _lengths(spoken)
+            path = tagger.viterbi_flat(tagger.encode_array(spoken.flatten()), size)
+            inner = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(TAGS).take(pa.array(path)))
+            return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per_text)]), pa.int32()), inner, mask=texts.is_null())
 
         return likeliest(F.col(sentences) if isinstance(sentences, str) else sentences)
 
@@ -213,16 +250,48 @@ def _nothing(emit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return np.zeros(k), np.zeros((k, k)), np.zeros(k), np.zeros(emit.shape), 0.0
 
 
-def _by_length(sentences: list[np.ndarray], places: bool = False, cells: int = 200_000) -> Iterator:
-    """Sentences of one length as rows of a matrix, bounded in size; with ``places`` also where they come from."""
-    size = np.array([len(s) for s in sentences], np.int64)
-    for t in np.unique(size[size > 0]).tolist():
-        where = np.flatnonzero(size == t)
-        step = max(1, cells // t)
-        for lo in range(0, len(where), step):
-            some = where[lo:lo + step]
-            obs = np.stack([sentences[i] for i in some.tolist()])
-            yield (some, obs) if places else obs
+def _added(sums: tuple, model: HmmTagger, held: list[tuple[np.ndarray, np.ndarray]]) -> tuple:
+    """``sums`` and the expected counts of (symbols, lengths) of some batches."""
+    if not held:
+        return sums
+    codes, size = (np.concatenate(x) for x in zip(*held, strict=True))
+    return tuple(a + b for a, b in zip(sums, model.expected_flat(codes, size), strict=True))
+
+
+def _joined(sentences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(symbols of all sentences, length of each)."""
+    return np.concatenate([np.zeros(0, np.int64), *sentences]), np.array([len(s) for s in sentences], np.int64)
+
+
+def _lengths(lists: pa.Array) -> np.ndarray:
+    return lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _packed(codes: np.ndarray, size: np.ndarray) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
+    """(words, place, obs, first) of bounded runs of sentences, for steps over all first words, all second words and so on.
+
+    The longest sentence comes first, so those that go on are always the first
+    rows: ``obs[first[i]:first[i + 1]]`` has the i-th words of all sentences that
+    have one.  ``place`` says where in ``obs`` the words of ``codes[words]`` are.
+    """
+    ends = np.cumsum(size)
+    done = at = 0
+    while done < len(size):
+        upto = max(done + 1, int(np.searchsorted(ends, at + RUN_WORDS, side="right")))
+        some = size[done:upto]
+        words = slice(at, int(ends[upto - 1]))
+        done, at = upto, words.stop
+        if words.stop == words.start:
+            continue
+        rank = np.empty(len(some), np.int64)
+        rank[np.argsort(-some, kind="stable")] = np.arange(len(some))
+        have = np.bincount(some)[::-1].cumsum()[::-1][1:]  # sentences of i words and more, from 1 on
+        first = np.concatenate([[0], np.cumsum(have)])
+        nth = np.arange(words.stop - words.start) - np.repeat(np.cumsum(some) - some, some)
+        place = first[nth] + np.repeat(rank, some)
+        obs = np.empty(len(place), np.int64)
+        obs[place] = codes[words]
+        yield words, place, obs, first
 
 
 def fit_tagger(df: DataFrame, text: str = "text", max_words: int = 10_000, max_rounds: int = 12, tolerance: float = 1e-3) -> HmmTagger:
@@ -259,13 +328,14 @@ def _round(sentences: DataFrame, model: HmmTagger) -> pa.Table:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = sent.value
         sums = _nothing(tagger.emit)
+        held, n = [], 0
         for batch in batches:
             column = batch.column("words")
-            words = column.flatten().dictionary_encode()
-            codes = tagger.encode(words.dictionary.to_pylist())[words.indices.to_numpy()] if len(words) else np.zeros(0, np.int64)
-            ends = np.cumsum(column.value_lengths().to_numpy())
-            more = tagger.expected(np.split(codes, ends[:-1]) if len(ends) else [])
-            sums = tuple(a + b for a, b in zip(sums, more, strict=True))
+            held.append((tagger.encode_array(column.flatten()), _lengths(column)))
+            n += len(held[-1][0])
+            if n >= RUN_WORDS:
+                sums, held, n = _added(sums, tagger, held), [], 0
+        sums = _added(sums, tagger, held)
         start, move, stop, emit, log = sums
         for part, m in ((0, start[:, None]), (1, move), (2, emit), (3, np.array([[log]])), (4, stop[:, None])):
             i, j = np.nonzero(m)

@@ -95,6 +95,29 @@ def test_word_counts_and_clean_tokens_in_context(spark, fitted):
     assert rows[5] is None and rows[6] == []
 
 
+@pytest.mark.parametrize("run", [1, 5, 1 << 19])
+@pytest.mark.parametrize("few", [0, 1000])
+def test_runs_of_sentences_of_any_length(monkeypatch, run, few):
+    monkeypatch.setattr(TG, "RUN_WORDS", run)
+    monkeypatch.setattr(TG, "FEW", few)
+    rng = np.random.default_rng(3)
+    m = TG.HmmTagger.initial(["a", "dog", "saw", "runs"])
+    sentences = [m.encode(rng.choice(["a", "dog", "saw", "runs", "x", "7", "quickly"], n).tolist()) for n in [3, 0, 1, 9, 1, 0, 4, 9, 2]]
+    one = [m.expected([s]) for s in sentences]
+    for got, want in zip(m.expected(sentences), zip(*one, strict=True), strict=True):
+        assert np.allclose(got, sum(want))
+    assert math.isclose(m.expected(sentences)[3].sum(), sum(map(len, sentences)))
+    assert [x.tolist() for x in m.viterbi(sentences)] == [x.tolist() for s in sentences for x in m.viterbi([s])]
+    assert m.viterbi([]) == [] and m.expected([])[4] == 0
+
+
+def test_tags_keep_the_shape(spark):
+    m = TG.HmmTagger.initial(["a", "dog"])
+    rows = [(0, [["a", "dog"], [], ["7"]]), (1, None), (2, []), (3, [None, ["a"]])]
+    got = {r["i"]: r["g"] for r in spark.createDataFrame(rows, "i int, s array<array<string>>").coalesce(1).select("i", m.tags("s").alias("g")).collect()}
+    assert got == {0: [["DT", "NN"], [], ["CD"]], 1: None, 2: [], 3: [[], ["DT"]]}
+
+
 def test_tags_after_accents_were_stripped(spark, fitted):
     df, tagger = fitted
     accents = spark.createDataFrame([("Crème",), ("plain",), (None,)], "a string")
