@@ -18,14 +18,14 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """Write ``df`` once into the shared folder and read it back.
 
     Later uses read the files instead of the work before them, also after the
-    loss of an executor.
+    loss of an executor.  ``compression``: a codec other than the session's.
     """
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -52,8 +52,8 @@ def learnable(id_col: str = "doc_id") -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col: str,
-                    train: Column | None, max_rows: int) -> DataFrame:
-    """(label int, text) of at most ``max_rows`` labelled ids, the first by a hash of the id.
+                    train: Column | None, max_rows: int | None = None) -> DataFrame:
+    """(label int, text) of all labelled ids, or of at most ``max_rows`` of them, the first by a hash of the id.
 
     One row for each id, however often ``docs`` or ``labels`` repeat it: the
     rounded mean label and the smallest text.
@@ -61,8 +61,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, id_col: str,
     lab = labels.where(train) if train is not None else labels
     lab = (lab.where(F.col(label).isNotNull() & F.col(id_col).isNotNull())
            .groupBy(F.col(id_col).alias("_id")).agg(F.round(F.avg(label)).cast("int").alias("_label")))
-    chosen = lab.orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
+    chosen = lab if max_rows is None else F.broadcast(lab.orderBy(F.xxhash64("_id"), "_id").limit(max_rows))  # max_rows ids and labels
     texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
-    return (texts.join(F.broadcast(chosen), "_id")  # max_rows ids and labels
+    return (texts.join(chosen, "_id")
             .groupBy("_id").agg(F.min("_text").alias("text"), F.first("_label").alias("label"))
             .select("label", "text"))

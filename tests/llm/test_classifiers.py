@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from llm_fixtures import SF001, SF01, no_docs, odd  # noqa: F401
@@ -107,6 +108,27 @@ def test_pairs_prefer_label_1():
     assert ((model.probability(x) >= QR.THRESHOLD_SCORE) == (y == 1)).all()
 
 
+def test_every_labelled_row_and_pair_counts(spark):
+    """The fit against Newton's method on all pairs written out, and the Spark fit against the one in memory."""
+    rng = np.random.default_rng(4)
+    x = np.round(rng.random((60, 2)), 3)
+    y = (x[:, 0] + 0.5 * rng.random(60) > 0.7).astype(int)
+    model = QR.fit_pairs(x, y, n_pairs=50, l2=1.0)
+    edges = [np.unique(np.quantile(QR._short(x[:, j]), QR.QUANTILES)) for j in range(2)]
+    hot = np.zeros((60, sum(len(e) + 1 for e in edges)))
+    np.put_along_axis(hot, QR._binned(x, edges), 1.0, axis=1)
+    pairs = (hot[y == 1][:, None] - hot[y == 0][None]).reshape(-1, hot.shape[1])
+    want = QR._logistic(pairs, np.ones(len(pairs)), 1.0, np.full(len(pairs), 50 / len(pairs)))
+    assert np.allclose(np.concatenate(model.weights), want, atol=2e-4)
+    docs = [(i, f"word{i % 9} " * (i % 13 + 1) + "#" * (i % 5)) for i in range(9_000)]
+    labels = [(i, int((i * 7919) % 11 > 2 + 3 * (i % 5 == 0))) for i in range(9_000)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    got = QR.fit(frame, spark.createDataFrame(labels, "doc_id long, quality int"))
+    whole = QR.fit_pairs(QR.text_features(pa.array([t for _, t in docs])), np.array([v for _, v in labels]))
+    assert all((a == b).all() for a, b in zip(got.weights, whole.weights, strict=True)) and got.slope == whole.slope
+    assert np.isclose(got.threshold, whole.threshold, rtol=0, atol=1e-9)
+
+
 def labels_for(spark, rows):
     return spark.createDataFrame(rows, "doc_id long, quality int, toxic int, text string")
 
