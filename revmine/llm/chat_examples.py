@@ -9,12 +9,14 @@ A conversation is formatted as a stream of segments, one for each turn::
 restored exactly.
 
 Every assistant turn becomes one example: all preceding turns are its context
-and only its reply is trainable.  Examples are stored by reference: the
-segments once, in order, with their offsets in the stream, and for each example
-the end of its context in that stream, its target segment and the loss span in
-it.  Written out, the contexts of a conversation grow with the square of its
-turns; by reference the output grows with the input, also when one conversation
-holds a large share of all rows.  ``expanded`` writes the examples out.
+and only its reply is trainable.  Each example is stored with its context
+written out, its target segment and the loss span in it; the segments are also
+stored once, in order, with their offsets in the stream.  The contexts of a
+conversation grow with the square of its turns, and so does the output.  They
+are cut from the conversation's stream where they are written: ``SHARE``
+consecutive turns get one copy of the stream's beginning, so what is shuffled is
+a small part of what is written, and a long conversation's examples are written
+by many tasks.
 
 Positions and offsets are summed in two steps, inside blocks of ``BLOCK`` turn
 numbers and over the blocks, so no task orders a whole long conversation.
@@ -35,6 +37,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from revmine.llm.common import stored
 
 BLOCK = 256
+#: consecutive turns whose examples cut their contexts from one copy of the stream
+SHARE = 64
 TARGET_ROLE = "assistant"
 _END = "<|end|>"
 
@@ -62,8 +66,8 @@ def text_of(seg: Column) -> Column:
 @dataclass(frozen=True)
 class ChatOutput:
     """segments: (conv_id, position, begin, end, segment), offsets in code points of the stream;
-    examples: (conv_id, example, context_turns, context_end, target, loss_begin, loss_end), the loss span
-    in code points of the target, ``example`` the position of the target segment."""
+    examples: (conv_id, example, context_turns, context_end, context, target, loss_begin, loss_end), the loss
+    span in code points of the target, ``example`` the position of the target segment."""
 
     segments: DataFrame
     examples: DataFrame
@@ -93,7 +97,19 @@ def format_chats(turns: DataFrame, *, conv_col: str = "conv_id", turn_col: str =
     examples = placed.where("target").select(
         "conv_id", F.col("position").alias("example"), F.col("position").alias("context_turns"), F.col("begin").alias("context_end"),
         F.col("segment").alias("target"), head.alias("loss_begin"), (F.length("segment") - len(_END)).alias("loss_end"))
-    return ChatOutput(placed.drop("target"), stored(examples, "chat-examples"))
+    return ChatOutput(placed.drop("target"), stored(_with_contexts(examples, placed), "chat-examples", "zstd"))
+
+
+def _with_contexts(examples: DataFrame, segments: DataFrame) -> DataFrame:
+    """``examples`` with all text of the stream before the target."""
+    rows = examples.withColumn("_share", F.floor(F.col("example") / SHARE))
+    parts = F.array_sort(F.collect_list(F.struct("position", "segment")))
+    streams = segments.groupBy(F.col("conv_id").alias("_of")).agg(F.array_join(F.transform(parts, lambda p: p["segment"]), "").alias("_stream"))
+    needed = rows.groupBy(F.col("conv_id").alias("_conv"), F.col("_share").alias("_s")).agg(F.max("context_end").alias("_upto"))
+    begins = needed.join(streams, F.col("_conv").eqNullSafe(F.col("_of"))).select("_conv", "_s", F.substring("_stream", F.lit(1), F.col("_upto").cast("int")).alias("_begin"))
+    joined = rows.join(begins, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("_share") == F.col("_s")))
+    return joined.select("conv_id", "example", "context_turns", "context_end", F.substring("_begin", F.lit(1), F.col("context_end").cast("int")).alias("context"),
+                         "target", "loss_begin", "loss_end")
 
 
 def loss_text(examples: DataFrame) -> Column:
@@ -102,20 +118,13 @@ def loss_text(examples: DataFrame) -> Column:
 
 
 def expanded(out: ChatOutput, max_context_chars: int | None = None) -> DataFrame:
-    """(conv_id, example, context, target, loss_begin, loss_end) with the context written out.
+    """(conv_id, example, context, target, loss_begin, loss_end) of the stored examples.
 
     Every example has a row.  With ``max_context_chars`` a longer context is
-    null, for a later step to cut or fetch; without it the result has the square
-    of a conversation's length by its nature.
+    null, for a later step to cut or fetch.
     """
-    fits = F.lit(True) if max_context_chars is None else F.col("e.context_end") <= max_context_chars
-    e, s = out.examples.alias("e"), out.segments.alias("s")
-    joined = e.join(s, F.col("e.conv_id").eqNullSafe(F.col("s.conv_id")) & (F.col("s.position") < F.col("e.example")) & fits, "left")
-    parts = F.array_sort(F.collect_list(F.when(F.col("s.position").isNotNull(), F.struct("s.position", "s.segment"))))
-    context = F.array_join(F.transform(parts, lambda p: p["segment"]), "")
-    return (joined.groupBy("e.conv_id", "e.example", "e.target", "e.loss_begin", "e.loss_end")
-            .agg(F.when(F.max(fits), context).alias("context"))
-            .select("conv_id", "example", "context", "target", "loss_begin", "loss_end"))
+    fits = F.lit(True) if max_context_chars is None else F.col("context_end") <= max_context_chars
+    return out.examples.select("conv_id", "example", F.when(fits, F.col("context")).alias("context"), "target", "loss_begin", "loss_end")
 
 
 def digests(out: ChatOutput) -> DataFrame:
@@ -123,7 +132,7 @@ def digests(out: ChatOutput) -> DataFrame:
 
     (conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars,
     example_chars): ``formatted_chars`` counts the stored stream,
-    ``example_chars`` the examples written out.  A digest is over all text of a
+    ``example_chars`` the examples as they are written out.  A digest is over all text of a
     conversation, which therefore meets in one row, without its neighbours.
     """
     def joined(order: str, value: Column) -> Column:
@@ -134,7 +143,7 @@ def digests(out: ChatOutput) -> DataFrame:
     turns = out.segments.groupBy("conv_id").agg(
         F.count("*").alias("n_turns"), F.sha2(joined("position", said), 256).alias("turns_sha256"), F.max("end").alias("formatted_chars"))
     loss = out.examples.groupBy(F.col("conv_id").alias("_conv")).agg(
-        joined("example", loss_text(out.examples)).alias("loss"), F.sum(F.col("context_end") + F.length("target")).alias("example_chars"))
+        joined("example", loss_text(out.examples)).alias("loss"), F.sum(F.length("context").cast("long") + F.length("target")).alias("example_chars"))
     loss = loss.select("_conv", F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "example_chars")
     none = F.lit(0).cast("long")
     return turns.join(loss, F.col("conv_id").eqNullSafe(F.col("_conv")), "left").select(

@@ -102,6 +102,18 @@ def test_round_trip(spark):
     assert CE.digests(empty).collect() == [] and empty.examples.collect() == []
 
 
+def test_examples_hold_their_contexts(spark, monkeypatch):
+    monkeypatch.setattr(CE, "SHARE", 4)
+    rows = ROWS + [(9, i, "assistant" if i % 3 else "user", f"t<{i}> é😀" * (i % 5)) for i in range(41)]
+    out = CE.format_chats(chats(spark, rows))
+    segments = sorted(out.segments.collect(), key=lambda r: r["position"])
+    found = out.examples.collect()
+    for e in found:
+        before = [s["segment"] for s in segments if s["conv_id"] == e["conv_id"] and s["position"] < e["example"]]
+        assert e["context"] == "".join(before) and e["context_turns"] == len(before)
+    assert len(found) == sum(r[2] == "assistant" for r in rows)
+
+
 def test_long_conversation_in_blocks(spark):
     rows = [(9, i, "assistant" if i % 2 else "user", f"t{i}") for i in range(3 * CE.BLOCK + 7)]
     out = CE.format_chats(chats(spark, rows))
