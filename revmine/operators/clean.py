@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -97,28 +97,27 @@ def language_stop_words(code: str) -> list[str]:
     return sorted({w for w in spark_stop_list(LANGUAGE_LISTS[code]) if w.isalpha()})
 
 
-def language_scores(text, languages=("en", "fr", "de", "es")) -> list[Column]:
-    """Per language, the number of words of ``text`` in its stop list (one
-    JVM regex per language over the lowercased text)."""
-    import re
+def _in(words: Sequence[str]) -> Callable[[Column], Column]:
+    return lambda w: w.isin(words)
 
-    low = F.lower(_c(text))
-    out = []
-    for code in languages:
-        alt = "|".join(re.escape(w) for w in sorted(language_stop_words(code), key=lambda w: (-len(w), w)))
-        pat = r"(?<!\p{L})(?:" + alt + r")(?!\p{L})"
-        out.append(F.regexp_count(low, F.lit(pat)).alias(f"_lang_{code}"))
-    return out
+
+def language_scores(words, languages=("en", "fr", "de", "es")) -> list[Column]:
+    """Per language, the number of ``words`` (lowercase, an array) in its stop list."""
+    return [F.size(F.filter(_c(words), _in(language_stop_words(code)))).alias(f"_lang_{code}") for code in languages]
 
 
 def detect_language_by_stop_words(df: DataFrame, text: str, languages=("en", "fr", "de", "es"), out: str = "lang_guess") -> DataFrame:
     """Language with the most stop-word hits (first listed on ties; none -> NULL).
 
-    Counts are computed in a one-row ``inline`` so later filters on the guess
-    do not re-run the regexes.
+    Words are split once, those in any list are kept and looked up in each
+    list's hash set.  Each step is a one-row ``inline``, so nothing that uses its
+    result runs it again.
     """
     languages = list(languages)
-    cnt = df.select("*", F.inline(F.array(F.struct(*language_scores(F.col(text), languages)))))
+    every = sorted({w for code in languages for w in language_stop_words(code)})
+    words = df.select("*", F.inline(F.array(F.struct(F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"\p{L}+"), 0).alias("_words")))))
+    listed = words.select(*df.columns, F.inline(F.array(F.struct(F.filter("_words", _in(every)).alias("_words")))))
+    cnt = listed.select(*df.columns, F.inline(F.array(F.struct(*language_scores("_words", languages)))))
     arr = F.array(*[F.col(f"_lang_{c}") for c in languages])
     best = F.array_position(arr, F.array_max(arr)).cast("int")
     guess = F.when(F.array_max(arr) > 0, F.element_at(F.array(*[F.lit(c) for c in languages]), best))
