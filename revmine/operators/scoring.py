@@ -10,6 +10,7 @@ the study's numbers; only the operator contract is the same.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pandas as pd
@@ -27,6 +28,8 @@ LabelRule = Callable[[Column], Column]
 WORD_PATTERN = r"\p{L}+"
 WORD_START = r"(?<!\p{L})"
 WORD_END = r"(?!\p{L})"
+#: an alternative that matches one or more letters alone: letters, ranges of them and ``\p{L}``; or one that never matches
+_OF_LETTERS = re.compile(r"\(\?!\)|(?:[^\W\d_]|\[[a-z]-[a-z]\])(?:[^\W\d_]|\[[a-z]-[a-z]\]|\\p\{L\}\*?)*")
 
 
 class RegexLexicon(dict):
@@ -53,8 +56,6 @@ class RegexLexicon(dict):
 def lexicon_rule(lexicon: Mapping[str, Sequence[str]] = L.EMOTION_LEXICON) -> RegexLexicon:
     """``term -> label`` from a bounded word list (first label wins for a word
     listed twice), as one alternation per label."""
-    import re
-
     seen: set[str] = set()
     out = RegexLexicon()
     for label, words in lexicon.items():
@@ -85,10 +86,26 @@ def label_hits(text: Column, rule: LabelRule) -> Column:
     return F.filter(F.transform(words, rule), lambda x: x.isNotNull())
 
 
-def label_counts(text: Column, lex: RegexLexicon) -> list[Column]:
-    """Per label, the number of words of ``text`` matching it (one regex each)."""
+def spaced_words(text: Column) -> Column:
+    """The lowercase words of a text between single spaces, one before the first and one behind the last."""
+    return F.concat(F.lit(" "), F.regexp_replace(F.lower(text), r"\P{L}+", " "), F.lit(" "))
+
+
+def label_counts(words: Column, text: Column, lex: RegexLexicon) -> list[Column]:
+    """Per label, the number of words matching it (one regex each).
+
+    Patterns that only letters match are looked for behind the spaces of
+    ``words`` (of :func:`spaced_words`), so that other characters are passed
+    over without a look back; other patterns in ``text``.
+    """
     low = F.lower(text)
-    return [F.regexp_count(low, F.lit(WORD_START + "(?:" + p + ")" + WORD_END)) for p in lex.values()]
+    return [F.regexp_count(words, F.lit(" (?:" + p + ")(?= )")) if all(_OF_LETTERS.fullmatch(x) for x in p.split("|"))
+            else F.regexp_count(low, F.lit(WORD_START + "(?:" + p + ")" + WORD_END)) for p in lex.values()]
+
+
+def _held(df: DataFrame, *cols: Column) -> DataFrame:
+    """``df`` and columns computed once a row by a one-row ``inline``: a later filter on them reads them and does not write them out again."""
+    return df.select("*", F.inline(F.array(F.struct(*cols))))
 
 
 def _scored(df: DataFrame, text: str, rule: LabelRule, labels: Sequence[str], max_chars: int | None,
@@ -103,15 +120,17 @@ def _scored(df: DataFrame, text: str, rule: LabelRule, labels: Sequence[str], ma
     rule splits the words once and labels them with a lambda.
     """
     labels = list(labels)
+    source = df
     if isinstance(rule, RegexLexicon):
         lex = {lab: rule[lab] for lab in labels if lab in rule}
-        counts = dict(zip(lex, label_counts(F.col(text), RegexLexicon(lex))))
+        source = _held(df, spaced_words(F.col(text)).alias("_words"))
+        counts = dict(zip(lex, label_counts(F.col("_words"), F.col(text), RegexLexicon(lex))))
     else:
         hits = label_hits(F.col(text), rule)
         counts = {lab: F.size(F.filter(hits, lambda x, lab=lab: x == lab)) for lab in labels}
     fields = [counts.get(lab, F.lit(0)).alias(f"_n_{lab}") for lab in labels]
     fields.append(F.length(F.col(text)).alias("_len"))
-    cnt = df.select("*", F.inline(F.array(F.struct(*fields))))
+    cnt = _held(source, *fields)
     n = sum((F.col(f"_n_{lab}") for lab in labels), F.lit(0))
     ok = (n > 0) if max_chars is None else ((n > 0) & (F.col("_len") < max_chars))
     cols = [F.when(ok, F.col(f"_n_{lab}") / n).otherwise(F.lit(0.0)).alias(prefix + lab) for lab in labels]
@@ -126,7 +145,7 @@ def score_emotions(df: DataFrame, text: str, rule: LabelRule | None = None, max_
     scorers with an input limit (the study's model had 500; a lexicon has none)."""
     rule = rule or lexicon_rule()
     scored = _scored(df, text, rule, labels, max_chars)
-    return scored.withColumn(feel, X.label_argmax(list(labels)))
+    return _held(scored, X.label_argmax(list(labels)).alias(feel)).select(*[c for c in scored.columns if c != feel], feel)
 
 
 # T19

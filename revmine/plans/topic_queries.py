@@ -182,6 +182,7 @@ def q_topics_of_unseen(spark: SparkSession, sf: str) -> DataFrame:
 @register("complaints_by_topic")
 def q_complaints_by_topic(spark: SparkSession, sf: str) -> DataFrame:
     """Sadness sentences of the sources with the commonest dominant LDA topic, summarised."""
+    from revmine.operators.scoring import summarise_complaints
     from revmine.plans.scoring_queries import scored_sentences
     from revmine.session import cut_lineage
 
@@ -190,4 +191,8 @@ def q_complaints_by_topic(spark: SparkSession, sf: str) -> DataFrame:
               .orderBy(F.col("count").desc(), "t").first()["t"])
     scored = (scored_sentences(spark, sf).withColumnRenamed("location", "source")
               .withColumnRenamed("sentence_idx", "sid"))
-    return TP.complaints_by_topic(topics, scored, common, "source", "review", n=3, id_col=["doc_id", "sid"])
+
+    def summary(df, by, text, n, ids):  # the sentences that are left are read three times
+        return summarise_complaints(cut_lineage(df.select(*by, *ids, text)), by, text, n, ids, materialise=cut_lineage)
+
+    return TP.complaints_by_topic(topics, scored, common, "source", "review", n=3, id_col=["doc_id", "sid"], summary=summary)
