@@ -187,11 +187,13 @@ def word_counts(corpus: DataFrame, keys: Sequence[str], text: str = "text", weig
                 ngram_range: tuple[int, int] = (1, 1), stop: Sequence[str] | None = None,
                 lemma: Callable[[Column], Column] | None = None, clean: bool = True,
                 accent_method: str = "arrow", term: str = "term",
-                vocabulary: Sequence[str] | DataFrame | None = None) -> DataFrame:
+                vocabulary: Sequence[str] | DataFrame | None = None, documents: bool = False) -> DataFrame:
     """Long document-term counts ``(keys..., term, tf)``.
 
     ``vocabulary`` (a word list or a one-column DataFrame) keeps only those
     terms (a semi-join; the list form is broadcast, being bounded).
+    ``documents`` adds a row with a null term for each document, also for one
+    left without tokens, so that no second pass over the corpus lists them.
 
     Tokens are exploded per review and summed per (document, term) with a
     map-side partial aggregation, so only distinct terms per task reach the
@@ -216,8 +218,12 @@ def word_counts(corpus: DataFrame, keys: Sequence[str], text: str = "text", weig
     # explode_outer + a filter on the generated term: plain explode makes the
     # optimizer infer size(tokens) > 0 below the projection, which would run
     # the Arrow accent strip twice.
-    exploded = (tok.select(*[F.col(k) for k in keys], "_w", F.explode_outer("_tok").alias(term))
-                .where(F.col(term).isNotNull()))
+    if documents:
+        none = F.array(F.lit(None).cast("string"))
+        exploded = tok.select(*[F.col(k) for k in keys], "_w", F.explode_outer(F.coalesce(F.concat("_tok", none), none)).alias(term))
+    else:
+        exploded = (tok.select(*[F.col(k) for k in keys], "_w", F.explode_outer("_tok").alias(term))
+                    .where(F.col(term).isNotNull()))
     if lemma is not None and not grams:
         exploded = exploded.withColumn(term, lemma(F.col(term)))
     counts = exploded.groupBy(*keys, term).agg(F.sum("_w").cast("bigint").alias("tf"))
@@ -229,7 +235,8 @@ def word_counts(corpus: DataFrame, keys: Sequence[str], text: str = "text", weig
     if vocabulary is not None:
         vocab = (vocabulary.select(F.col(vocabulary.columns[0]).alias(term)).distinct()
                  if isinstance(vocabulary, DataFrame) else _stop_frame(corpus.sparkSession, vocabulary, term))
-        counts = counts.join(vocab, term, "left_semi")
+        kept = counts.join(vocab, term, "left_semi")
+        counts = kept.unionByName(counts.where(F.col(term).isNull())) if documents else kept
     return counts
 
 
@@ -304,7 +311,7 @@ def stop_words(counts: DataFrame, doc_keys: Sequence[str], max_df: float = 0.9,
 def tfidf_scores(counts: DataFrame, doc_keys: Sequence[str], term: str = "term", tf: str = "tf", *,
                  group_keys: Sequence[str] = (), docs: DataFrame | None = None,
                  max_df: float | None = None, min_df: float | None = None, norm: bool = True,
-                 out: str = "tfidf") -> DataFrame:
+                 out: str = "tfidf", texts: bool = False) -> DataFrame:
     """M1: smoothed idf ``ln((1+N)/(1+df)) + 1``, ``tf * idf``, L2-normalised per document.
 
     ``group_keys`` fits one idf per group (e.g. per polarity: the negative and
@@ -312,7 +319,9 @@ def tfidf_scores(counts: DataFrame, doc_keys: Sequence[str], term: str = "term",
     document share reaches it (the frequent-term stop words) in the same pass.
     The per-document norm is a partial aggregate joined back (small table,
     broadcast by AQE when it fits), so the big table is not shuffled by
-    document here.
+    document here.  ``texts``: each document is one text, so there are about as
+    many norms as texts; a document's rows are then shuffled together once and
+    get their norm there, without a second pass over all rows.
     """
     doc_keys, group_keys = _list(doc_keys), _list(group_keys)
     d = document_frequency(counts, doc_keys, term, group_keys, docs)
@@ -325,6 +334,11 @@ def tfidf_scores(counts: DataFrame, doc_keys: Sequence[str], term: str = "term",
     scored = scored.withColumn(out, F.col(tf) * F.col("idf"))
     if not norm:
         return scored
+    if texts:
+        for k in doc_keys:  # null keys find no norm in the join below
+            scored = scored.where(F.col(k).isNotNull())
+        size = F.sqrt(F.sum(F.col(out) * F.col(out)).over(Window.partitionBy(*doc_keys)))  # the distinct terms of one text
+        return scored.withColumn("_norm", size).withColumn(out, F.when(F.col("_norm") > 0, F.col(out) / F.col("_norm")).otherwise(F.lit(0.0))).drop("_norm")
     norms = scored.groupBy(*doc_keys).agg(F.sqrt(F.sum(F.col(out) * F.col(out))).alias("_norm"))
     return (scored.join(norms, doc_keys, "inner")
             .withColumn(out, F.when(F.col("_norm") > 0, F.col(out) / F.col("_norm")).otherwise(F.lit(0.0)))
@@ -447,7 +461,7 @@ def relative_frequency(counts: DataFrame, doc_keys: Sequence[str], tf: str = "tf
 def top_negative_words(counts: DataFrame, doc_keys: Sequence[str], *, label: str = "polarity",
                        term: str = "term", use_tfidf: bool = True, k: int | None = 10,
                        rank_keys: Sequence[str] = (), idf_keys: Sequence[str] | None = None,
-                       docs: DataFrame | None = None, max_df: float | None = None) -> DataFrame:
+                       docs: DataFrame | None = None, max_df: float | None = None, texts: bool = False) -> DataFrame:
     """``score_diff = negative - positive`` per term, best first.
 
     ``counts`` holds both sides; ``doc_keys`` identify a document and include
@@ -457,12 +471,12 @@ def top_negative_words(counts: DataFrame, doc_keys: Sequence[str], *, label: str
     score; documents = reviews of an entity: the summed tf-idf).  The sides
     are aligned (J9, 0 for a missing side) and ranked within ``rank_keys``
     (empty: one global ranking).  ``use_tfidf=False`` scores by relative
-    frequency instead.
+    frequency instead.  ``texts`` as in :func:`tfidf_scores`.
     """
     doc_keys, rank_keys = _list(doc_keys), _list(rank_keys)
     idf_keys = _list(idf_keys) if idf_keys is not None else [label]
     if use_tfidf:
-        scored = tfidf_scores(counts, doc_keys, term, group_keys=idf_keys, docs=docs, max_df=max_df)
+        scored = tfidf_scores(counts, doc_keys, term, group_keys=idf_keys, docs=docs, max_df=max_df, texts=texts)
     else:
         scored = relative_frequency(counts, doc_keys)
     aligned = align_pos_neg(scored, rank_keys, label, "tfidf", term)

@@ -24,6 +24,7 @@ from revmine.operators import window as W
 from revmine.plans import catalog as C
 from revmine.plans import sqlfrag as S
 from revmine.plans.registry import register
+from revmine.plans.split_queries import counted
 from revmine.session import cut_lineage
 
 EMO = L.EMOTIONS
@@ -216,9 +217,8 @@ def q_build_corpus_emotion_split(spark: SparkSession, sf: str) -> DataFrame:
     T.check_split_arguments(False, True, None)
     lab = W.emotion_split(scored_sentences(spark, sf))
     corpus = T.build_corpus(lab, "location", "review", label="polarity").withColumnRenamed("location", "source")
-    counts = cut_lineage(T.word_counts(corpus, ["source", "polarity"], stop=T.fixed_stop_words()))
-    sides = cut_lineage(corpus.select("source", "polarity").distinct())
-    crit = T.criticisms_per_entity(counts, "source", k=K, docs=sides, max_df=MAX_DF)
+    counts, docs = counted(corpus, ["source", "polarity"])
+    crit = T.criticisms_per_entity(counts, "source", k=K, docs=docs, max_df=MAX_DF)
     return crit.select("source", "rank", "term", F.round("score_diff", 6).alias("score_diff"))
 
 

@@ -66,9 +66,10 @@ ranked AS (SELECT source, term, negative, positive, negative - positive AS score
            FROM aligned)"""
 
 
-def _sides(corpus: DataFrame, keys: tuple[str, ...] = ("source", "polarity")) -> DataFrame:
-    """The documents of a corpus (those without tokens too), materialised: they are counted twice."""
-    return cut_lineage(corpus.select(*keys).distinct())
+def counted(corpus: DataFrame, keys: list[str], **kw) -> tuple[DataFrame, DataFrame]:
+    """(word counts, documents with and without tokens) of a corpus, which is read once."""
+    both = cut_lineage(T.word_counts(corpus, keys, stop=_stop(), documents=True, **kw))
+    return both.where(F.col("term").isNotNull()), cut_lineage(both.where(F.col("term").isNull()).select(*keys))
 
 
 def _crit_out(df: DataFrame) -> DataFrame:
@@ -95,8 +96,8 @@ def q_quantile_split(spark: SparkSession, sf: str) -> DataFrame:
 def q_criticisms_per_entity(spark: SparkSession, sf: str) -> DataFrame:
     """Per source, the 10 terms most specific to its negative side."""
     corpus = split_corpus(spark, sf)
-    counts = cut_lineage(T.word_counts(corpus, ["source", "polarity"], stop=_stop()))
-    crit = T.criticisms_per_entity(counts, "source", k=K, docs=_sides(corpus), max_df=MAX_DF)
+    counts, docs = counted(corpus, ["source", "polarity"])
+    crit = T.criticisms_per_entity(counts, "source", k=K, docs=docs, max_df=MAX_DF)
     return _crit_out(crit)
 
 
@@ -105,9 +106,9 @@ def q_top_negative_words(spark: SparkSession, sf: str) -> DataFrame:
     """T14 (notebook mode): documents = reviews of one source, each side fitted
     separately per source; summed tf-idf negative minus positive, top 10."""
     corpus = split_corpus(spark, sf)
-    counts = cut_lineage(T.word_counts(corpus, ["source", "polarity", "doc_id"], stop=_stop()))
+    counts, docs = counted(corpus, ["source", "polarity", "doc_id"])
     crit = T.top_negative_words(counts, ["source", "polarity", "doc_id"], k=K, rank_keys=["source"],
-                                idf_keys=["source", "polarity"], docs=_sides(corpus, ("source", "polarity", "doc_id")), max_df=MAX_DF)
+                                idf_keys=["source", "polarity"], docs=docs, max_df=MAX_DF, texts=True)
     return _crit_out(crit)
 
 
@@ -163,8 +164,8 @@ def q_top_negative_words_bigrams(spark: SparkSession, sf: str) -> DataFrame:
     """T14 with ``ngrams=(1, 2)``: stop words leave the token list, then uni- and
     bigrams are scored per side (one document per source and side)."""
     corpus = split_corpus(spark, sf)
-    counts = cut_lineage(T.word_counts(corpus, ["source", "polarity"], stop=_stop(), ngram_range=(1, 2)))
-    crit = T.criticisms_per_entity(counts, "source", k=K, docs=_sides(corpus), max_df=MAX_DF)
+    counts, docs = counted(corpus, ["source", "polarity"], ngram_range=(1, 2))
+    crit = T.criticisms_per_entity(counts, "source", k=K, docs=docs, max_df=MAX_DF)
     return _crit_out(crit)
 
 
@@ -187,8 +188,8 @@ def q_top_negative_words_lemmatised(spark: SparkSession, sf: str) -> DataFrame:
     """T14 with ``lemmatize=True``: tokens and the stop list mapped to lemmas
     (suffix rules), then the per-side tf-idf difference."""
     corpus = split_corpus(spark, sf)
-    counts = cut_lineage(T.word_counts(corpus, ["source", "polarity"], stop=_stop(), lemma=T.lemma_rules))
-    crit = T.criticisms_per_entity(counts, "source", k=K, docs=_sides(corpus), max_df=MAX_DF)
+    counts, docs = counted(corpus, ["source", "polarity"], lemma=T.lemma_rules)
+    crit = T.criticisms_per_entity(counts, "source", k=K, docs=docs, max_df=MAX_DF)
     return _crit_out(crit)
 
 
@@ -197,8 +198,8 @@ SELECT source, term, round(negative, 6) AS negative, round(positive, 6) AS posit
 def q_align_pos_neg(spark: SparkSession, sf: str) -> DataFrame:
     """Both sides' tf-idf per (source, term), 0 where a side lacks the term."""
     corpus = split_corpus(spark, sf)
-    counts = cut_lineage(T.word_counts(corpus, ["source", "polarity"], stop=_stop()))
-    scored = T.tfidf_scores(counts, ["source", "polarity"], group_keys=["polarity"], docs=_sides(corpus), max_df=MAX_DF)
+    counts, docs = counted(corpus, ["source", "polarity"])
+    scored = T.tfidf_scores(counts, ["source", "polarity"], group_keys=["polarity"], docs=docs, max_df=MAX_DF)
     al = T.align_pos_neg(scored, ["source"])
     return al.select("source", "term", F.round("negative", 6).alias("negative"), F.round("positive", 6).alias("positive"))
 
@@ -254,8 +255,8 @@ def _lang_scores(spark: SparkSession, sf: str) -> DataFrame:
     docs = C.reviews(spark, sf, lang=None)
     corpus = T.build_corpus(docs.withColumn("doc", F.concat_ws("/", "lang", "source")), "doc", "text",
                             expert="expert", expert_weight=C.EXPERT_WEIGHT, keep=["lang"])
-    counts = cut_lineage(T.word_counts(corpus, ["doc", "lang"], stop=_stop()))
-    return T.tfidf_scores(counts, ["doc", "lang"], docs=_sides(corpus, ("doc", "lang")), max_df=MAX_DF)
+    counts, both = counted(corpus, ["doc", "lang"])
+    return T.tfidf_scores(counts, ["doc", "lang"], docs=both, max_df=MAX_DF)
 
 
 def lang_top_attributes(spark: SparkSession, sf: str) -> DataFrame:
@@ -327,8 +328,8 @@ CAT_RULE_SQL = ("CASE WHEN ascii(term) - 97 BETWEEN 0 AND 25 THEN "
 
 def _crit_categories(spark: SparkSession, sf: str) -> DataFrame:
     corpus = split_corpus(spark, sf)
-    counts = cut_lineage(T.word_counts(corpus, ["source", "polarity"], stop=_stop()))
-    crit = T.criticisms_per_entity(counts, "source", k=K, docs=_sides(corpus), max_df=MAX_DF)
+    counts, docs = counted(corpus, ["source", "polarity"])
+    crit = T.criticisms_per_entity(counts, "source", k=K, docs=docs, max_df=MAX_DF)
     return SC.classify_attributes(crit, "source", "term", rule=SC.initial_letter_rule(L.CATEGORIES),
                                   categories=L.CATEGORIES)
 

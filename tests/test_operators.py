@@ -345,3 +345,60 @@ def test_percentile_methods_agree(spark):
     approx = {r["e"]: r["percentile"] for r in J.attach_entity_percentile(df, "e", "x", 10, approx=True).collect()}
     assert rank == agg and abs(rank["a"] - 10.9) < 1e-12 and rank["b"] == 7.0
     assert abs(approx["a"] - rank["a"]) <= 1.0
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_languages_by_one_split_into_words(spark):
+    texts = ["The cat AND the dog", "le chat et la maison", "der Hund und die Katze", "", None, "x1the 9und-et", "zzz"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    out = CL.detect_language_by_stop_words(df, "t")
+    lists = {c: set(CL.language_stop_words(c)) for c in ("en", "fr", "de", "es")}
+
+    def guess(t):
+        words = "".join(ch if ch.isalpha() else " " for ch in (t or "").lower()).split()
+        n = {c: sum(w in s for w in words) for c, s in lists.items()}
+        return max(n, key=n.get) if max(n.values()) else None
+
+    assert rows(out, "i", "lang_guess") == [(i, guess(t)) for i, t in enumerate(texts)]
+    assert plan_of(out).count("regexp_extract_all") == 1 and out.columns == ["i", "t", "lang_guess"]
+
+
+def test_scores_by_spaced_words_and_a_filter_that_reads_the_label(spark):
+    texts = ["apple, Bob! zoo", "9x-ray é eagle's", "", None, "  ", "Ñu2apple xylo"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    lex = SC.initial_letter_rule()
+    fast = SC.score_emotions(df, "t", lex)
+    labels = SC.L.EMOTIONS
+    for r in fast.collect():
+        words = "".join(ch if ch.isalpha() else " " for ch in (r["t"] or "").lower()).split()
+        hits = [labels[(ord(w[0]) - 97) * 7 // 26] for w in words if "a" <= w[0] <= "z"]
+        want = [hits.count(x) / len(hits) if hits else 0.0 for x in labels]
+        assert [r[x] for x in labels] == want and r["max_feel"] == labels[want.index(max(want))]
+    odd = SC.score_emotions(df, "t", SC.RegexLexicon({"joy": "x-ray|zoo"}))  # not of letters alone
+    assert [r["joy"] for r in odd.orderBy("i").collect()] == [1.0, 1.0, 0.0, 0.0, 0.0, 0.0]
+    conditions = [line for line in plan_of(fast.where("max_feel = 'joy'")).splitlines() if "Filter" in line]
+    assert conditions and not any("CASE WHEN" in line for line in conditions)
+
+
+def test_word_counts_list_their_documents(spark):
+    df = spark.createDataFrame([("a", "one two two", 1), ("b", "the", 2), ("c", "", 1), ("d", None, 1)], "k string, text string, weight int")
+    for grams in ((1, 1), (1, 2)):
+        both = T.word_counts(df, ["k"], stop=["the"], ngram_range=grams, documents=True)
+        assert rows(both.where("term is null"), "k") == [("a",), ("b",), ("c",), ("d",)]
+        plain = T.word_counts(df, ["k"], stop=["the"], ngram_range=grams)
+        assert rows(both.where("term is not null"), "k", "term", "tf") == rows(plain, "k", "term", "tf")
+    some = T.word_counts(df, ["k"], vocabulary=["two"], documents=True)
+    assert rows(some.where("term is not null"), "k", "term", "tf") == [("a", "two", 2)] and some.where("term is null").count() == 4
+
+
+def test_norms_of_texts_without_a_second_pass(spark):
+    data = [("s", 1, "a", 2), ("s", 1, "b", 1), ("s", 2, "a", 5), ("t", 2, "a", 1), ("s", None, "a", 3), (None, 3, "b", 1), ("t", 4, "c", 0)]
+    counts = spark.createDataFrame(data, "s string, d int, term string, tf long")
+    a, b = (T.tfidf_scores(counts, ["s", "d"], texts=x) for x in (False, True))
+    cols = ["s", "d", "term"]
+    one, two = ({tuple(r[c] for c in cols): r["tfidf"] for r in x.collect()} for x in (a, b))
+    assert one.keys() == two.keys() and all(math.isclose(one[k], two[k], abs_tol=1e-12) for k in one)
+    assert "Window" in plan_of(b) and "Window" not in plan_of(a)
