@@ -19,6 +19,8 @@ from revmine.functions import lexicon as L
 
 #: texts that an accent-stripping task holds as Python strings at a time
 STRIP_ROWS = 64
+#: bytes of stripped texts that it hands on together
+STRIP_BYTES = 1 << 20
 
 
 def _c(col) -> Column:
@@ -110,13 +112,20 @@ def strip_accents_exact(col) -> Column:
     The default accent strip; the JVM variant is tested against it.  The UDF is
     made with each call: Spark keeps a handle of the JVM in a used one, and this
     module goes to Python workers by value.  A batch is converted ``STRIP_ROWS``
-    texts at a time.
+    texts at a time and handed on in pieces of about ``STRIP_BYTES``.
     """
     @F.arrow_udf("string")
     def stripped(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            parts = (texts.slice(lo, STRIP_ROWS).to_pylist() for lo in range(0, len(texts), STRIP_ROWS))
-            yield pa.concat_arrays([pa.array([], pa.string()), *(pa.array([_strip_accents_py(t) for t in part], pa.string()) for part in parts)])
+            held, size = [], 0
+            for lo in range(0, len(texts), STRIP_ROWS):
+                held.append(pa.array([_strip_accents_py(t) for t in texts.slice(lo, STRIP_ROWS).to_pylist()], pa.string()))
+                size += held[-1].nbytes
+                if size >= STRIP_BYTES:
+                    yield pa.concat_arrays(held)
+                    held, size = [], 0
+            if held or not len(texts):
+                yield pa.concat_arrays([pa.array([], pa.string()), *held])
 
     return stripped(_c(col))
 

@@ -24,8 +24,8 @@ from revmine.functions import text as X
 from revmine.session import cut_lineage
 
 #: rows of the term matrix that one task multiplies
-BLOCK_ROWS = 256
-#: places of a batch whose pairs a task holds at a time
+BLOCK_ROWS = 64
+#: places of a batch, in whole texts, that a task looks at together, and whose pairs it holds
 SLICE_TOKENS = 1 << 18
 
 
@@ -37,6 +37,16 @@ def vocabulary(df: DataFrame, tokens: str = "tokens", max_terms: int = 20_000, s
     return [r["t"] for r in t.orderBy(F.desc("n"), "t").limit(max_terms).select("t").collect()]
 
 
+def _pieces(column: pa.Array) -> Iterator[pa.Array]:
+    """Runs of the texts (lists of words) with ``SLICE_TOKENS`` words at most, or one text."""
+    ends = np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    done = 0
+    while done < len(ends):
+        upto = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + SLICE_TOKENS, side="right")))
+        yield column.slice(done, upto - done)
+        done = upto
+
+
 def cooccurrences(df: DataFrame, terms: Sequence[str], tokens: str = "tokens", window: int = 4) -> DataFrame:
     """``(i, j, n)``: ordered pairs of places at most ``window`` apart in one text, with terms i and j (numbers in ``terms``).
 
@@ -48,8 +58,7 @@ def cooccurrences(df: DataFrame, terms: Sequence[str], tokens: str = "tokens", w
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         value_set = pa.array(sent.value, pa.string())
-        for batch in batches:
-            column = batch.column("tokens")
+        for column in (c for batch in batches for c in _pieces(batch.column("tokens"))):
             lengths = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
             words = column.flatten().dictionary_encode()
             if not len(words):
@@ -57,7 +66,7 @@ def cooccurrences(df: DataFrame, terms: Sequence[str], tokens: str = "tokens", w
             known = pa.compute.index_in(words.dictionary, value_set=value_set).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
             code = np.where(words.indices.is_null().to_numpy(zero_copy_only=False), -1, known[words.indices.fill_null(0).to_numpy(zero_copy_only=False)])
             text = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
-            for lo in range(0, len(code), SLICE_TOKENS):  # pairs whose first place is in this piece
+            for lo in range(0, len(code), SLICE_TOKENS):  # a long text: pairs whose first place is in this piece
                 keys = []
                 for d in range(1, window + 1):
                     hi = min(lo + SLICE_TOKENS, len(code) - d)
@@ -90,13 +99,14 @@ def _multiplied(matrix: DataFrame, right: np.ndarray) -> np.ndarray:
 
     def block(table: pa.Table) -> pa.Table:
         i, j, v = (table.column(c).to_numpy() for c in ("i", "j", "v"))
-        rows, at = np.unique(i, return_inverse=True)
-        out = np.zeros((len(rows), width))
-        order = np.argsort(at, kind="stable")
-        for lo in range(0, len(order), 1 << 16):  # a bounded piece of the products at a time
-            some = order[lo:lo + (1 << 16)]
+        at = i % BLOCK_ROWS
+        out, seen = np.zeros((BLOCK_ROWS, width)), np.zeros(BLOCK_ROWS, bool)
+        for lo in range(0, len(at), 1 << 16):  # a bounded piece of the products at a time
+            some = slice(lo, lo + (1 << 16))
             np.add.at(out, at[some], v[some, None] * sent.value[j[some]])
-        return pa.table({"i": pa.array(rows, pa.int32()), "y": pa.array(list(out), pa.list_(pa.float64()))})
+            seen[at[some]] = True
+        rows = i[0] // BLOCK_ROWS * BLOCK_ROWS + np.flatnonzero(seen)
+        return pa.table({"i": pa.array(rows, pa.int32()), "y": pa.array(list(out[seen]), pa.list_(pa.float64()))})
 
     got = matrix.groupBy(F.floor(F.col("i") / BLOCK_ROWS)).applyInArrow(block, "i int, y array<double>").toArrow()
     out = np.zeros(right.shape)

@@ -114,3 +114,11 @@ def test_stem_operator(spark):
                                    "doc string, term string, tf bigint")
     got = sorted((r["term"], r["tf"]) for r in T.stem(counts, ["doc"]).collect())
     assert got == [("hope", 1), ("run", 3)]
+
+
+def test_accent_strip_hands_on_pieces(spark, monkeypatch):
+    monkeypatch.setattr(X, "STRIP_BYTES", 300)
+    texts = [None if i % 7 == 0 else f"é{i}ﬁ" if i % 3 else "" for i in range(5 * X.STRIP_ROWS + 5)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, t string").coalesce(1)
+    got = {r["i"]: r["t"] for r in df.select("i", X.strip_accents_exact("t").alias("t")).collect()}
+    assert got == {i: None if t is None else t.replace("é", "e").replace("ﬁ", "fi") for i, t in enumerate(texts)}

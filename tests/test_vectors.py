@@ -3,6 +3,7 @@
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -159,3 +160,11 @@ def test_central_sentences_equal_a_dense_iteration(spark):
         if done:
             break
     assert np.allclose([got[i] for i in range(30)], r, atol=1e-9)
+
+
+def test_texts_of_a_batch_in_bounded_pieces(monkeypatch):
+    monkeypatch.setattr(V, "SLICE_TOKENS", 5)
+    texts = pa.array([["a"] * 3, ["b"] * 2, None, ["c"] * 9, [], ["d"] * 4, ["e"]])
+    got = [p.to_pylist() for p in V._pieces(texts)]
+    assert [t for p in got for t in p] == texts.to_pylist()
+    assert [sum(len(t or []) for t in p) for p in got] == [5, 9, 5]
