@@ -18,14 +18,20 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
+#: options of :func:`stored` for rows of megabytes: sizes are looked at with each row, not first after 100 rows, which a
+#: task would hold in memory at once; a row group ends at 8 MB or with the row that passes it
+LONG_ROWS = {"parquet.block.size": 8 << 20, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 1}
+
+
+def stored(df: DataFrame, name: str, compression: str | None = None, **options: int) -> DataFrame:
     """Write ``df`` once into the shared folder and read it back.
 
     Later uses read the files instead of the work before them, also after the
-    loss of an executor.  ``compression``: a codec other than the session's.
+    loss of an executor.  ``compression``: a codec other than the session's;
+    ``options``: of Parquet's writer, such as :data:`LONG_ROWS`.
     """
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path, compression=compression)
+    df.write.options(**options).parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

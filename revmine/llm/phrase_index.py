@@ -3,7 +3,8 @@
 The index is divided by documents: each *segment* holds the words of some
 consecutive documents (about 4 MB of text) as term -> postings, a posting being
 a word position.  Segments are built in tasks without any shuffle and stored in
-the shared folder.  A phrase is looked up inside each segment: the postings of
+the shared folder, in row groups of two or three segments, so that memory does
+not grow with a task's share of the documents.  A phrase is looked up inside each segment: the postings of
 its rarest term there, less the term's offset, are the candidate starts; the
 offset-adjusted postings of the other terms, rarest first, are intersected with
 them.  What is left are exact occurrences.  Proximity matches take the rarest
@@ -31,7 +32,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from revmine.llm.common import free_name, if_small, scratch, stored
+from revmine.llm.common import LONG_ROWS, free_name, if_small, scratch, stored
 from revmine.llm.words import ALNUM_LOWER, chunks, released, words
 
 WINDOW = 13
@@ -73,7 +74,7 @@ def build_index(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     kind = docs.schema[id_col].dataType.simpleString()
     rows = (docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
             .mapInArrow(released(build), f"ids array<{kind}>, first array<long>, terms array<binary>, counts array<int>, gaps binary"))
-    return stored(rows.withColumn("segment", F.monotonically_increasing_id()), "phrase-index")
+    return stored(rows.withColumn("segment", F.monotonically_increasing_id()), "phrase-index", **LONG_ROWS)
 
 
 def _one(values: pa.Array) -> pa.ListArray:

@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import pyarrow.parquet as pq
 import pytest
 
 from llm_fixtures import no_docs, odd  # noqa: F401
@@ -154,6 +155,16 @@ def test_blocks_of_items_give_the_same_matches(spark):
     assert whole == blocks and len(whole) == 30
 
 
+def test_row_groups_of_an_index_are_bounded(spark):
+    """One task's 28 MB of text: 8 segments, never all in one row group (the memory of a reader and of the writer)."""
+    docs = spark.range(0, 16, numPartitions=1).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(1, 420000), i -> hex(pmod(xxhash64(id, i), 5000)))) AS text")
+    index = PI.build_index(docs)
+    groups = [(g.num_rows, g.total_byte_size) for f in index.inputFiles() for m in [pq.ParquetFile(f.removeprefix("file://")).metadata] for g in map(m.row_group, range(m.num_row_groups))]
+    assert sum(n for n, _ in groups) == index.count() >= 8
+    assert max(size for _, size in groups) < 14 << 20 and len(groups) > 1
+    assert [r["n_words"] for r in PI.documents_of(index).collect()] == [420_000] * 16
+
+
 def test_odd_rows_and_empty_tables(spark, odd, no_docs):
     items = spark.createDataFrame([(1, "quick BROWN fox"), (2, "漢字"), (None, "one"), (4, None), (5, "two words")], "item_id long, text string")
     rows = [(r["doc_id"], r["text"]) for r in odd.collect()]
