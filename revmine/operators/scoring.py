@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator, Mapping, Sequence
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -303,50 +304,87 @@ def summarise_complaints(df: DataFrame, by: Sequence[str], text: str, n: int = 3
             .select(*by, "rank", F.trim("sentence").alias("sentence"), F.round("score", 6).alias("score")))
 
 
-def sentence_graph(sents: DataFrame, by: Sequence[str], key: Sequence[str], terms: str = "terms", max_shared: int = 10) -> DataFrame:
-    """``(by..., a, b, w)``: sentences of a group that share a rare term, in both directions.
+@dataclass(frozen=True)
+class SentenceGraph:
+    """The sentences of each group and the terms that link them.
 
-    ``terms``: a sentence's distinct terms, ``a`` and ``b``: its ``key`` as a
-    struct.  A term links the sentences of a group that hold it if they are 2 to
-    ``max_shared``, so pairs are at most that many for each word; it adds
-    ln(sentences of the group / those with the term), and a pair's sum is
-    divided by the logarithms of both lengths.
+    ``nodes``: (by..., s, _i, _rows), a sentence's key as a struct, its number
+    and the rows with that key.  ``links``: (i, t, idf, size, n), a sentence's
+    number, a term's, the term's weight, the terms of the sentence and the rows
+    alike.  Two sentences have a link of the weight: sum of ``idf`` over the
+    terms of both, by the logarithms of both sizes.
+    """
+
+    nodes: DataFrame
+    links: DataFrame
+
+    def spread(self, values: DataFrame) -> DataFrame:
+        """``(i, total)``: per sentence the sum of weight times value over all sentences, itself among them.
+
+        ``values``: (i, v).  A weight depends on the sentences' terms and sizes
+        alone, so values are summed for each term and size; a term then has a
+        sum for each size that meets it, and a sentence adds up those of its
+        terms.  Exact, in as many rows as links, however many share a term.
+        """
+        sums = self.links.join(values, "i").groupBy("t", "idf", "size").agg(F.sum(F.col("n") * F.col("v")).alias("x"))
+        sums = sums.groupBy("t", "idf").agg(F.collect_list(F.struct("size", F.log(1.0 + F.col("size")).alias("l"), "x")).alias("c"))  # a row for each size
+        met = sums.select("t", F.inline(F.transform("c", lambda a: F.struct(a["size"].alias("size"), (F.col("idf") * F.aggregate(
+            "c", F.lit(0.0), lambda acc, b: acc + b["x"] / (a["l"] + b["l"]))).alias("y")))))
+        return self.links.join(met, ["t", "size"]).groupBy("i").agg(F.sum(F.col("n") * F.col("y")).alias("total"))
+
+    def own(self) -> DataFrame:
+        """``(i, own)``: a sentence's weight with itself, which :meth:`spread` counts and a link never has."""
+        c = F.collect_list(F.struct("n", F.log(1.0 + F.col("size")).alias("l")))  # one, unless a key has rows of other sizes
+        both = F.aggregate("c", F.lit(0.0), lambda acc, a: acc + F.aggregate("c", F.lit(0.0), lambda s, b: s + a["n"] * b["n"] / (a["l"] + b["l"])))
+        return self.links.groupBy("i", "t", "idf").agg(c.alias("c")).groupBy("i").agg(F.sum(F.col("idf") * both).alias("own"))
+
+
+def sentence_graph(sents: DataFrame, by: Sequence[str], key: Sequence[str], terms: str = "terms", max_shared: int | None = None) -> SentenceGraph:
+    """The graph of the sentences of a group that share a term.
+
+    ``terms``: a sentence's distinct terms.  A term links all sentences of a
+    group that hold it and adds ln(sentences of the group / those with the
+    term); one that all of them hold adds nothing.  Pairs are not written out,
+    as they grow with the square of a term's sentences.  Only with
+    ``max_shared`` do terms of more sentences than that link none.
     """
     by = list(by)
-    rows = sents.select(*by, F.struct(*key).alias("s"), F.size(terms).alias("size"), F.explode(terms).alias("t"))
+    keyed = sents.select(*by, F.struct(*key).alias("s"), F.col(terms).alias("_terms"))
+    nodes = cut_lineage(keyed.groupBy(*by, "s").agg(F.count("*").alias("_rows")).withColumn("_i", F.monotonically_increasing_id()))
+    rows = keyed.join(nodes.select(*by, "s", "_i"), [*by, "s"]).select(*by, "_i", F.size("_terms").alias("size"), F.explode("_terms").alias("_t"))
     sizes = sents.groupBy(*by).agg(F.count("*").alias("_n"))
-    rare = rows.groupBy(*by, "t").agg(F.count("*").alias("_df")).where(F.col("_df").between(2, max_shared))
-    rare = rare.join(sizes, by).select(*by, "t", F.log(F.col("_n") / F.col("_df")).alias("idf"))
-    post = cut_lineage(rows.join(rare, [*by, "t"]))
-    left = post.select(*by, "t", "idf", F.col("s").alias("a"), F.log(1.0 + F.col("size")).alias("_la"))
-    right = post.select(*by, "t", F.col("s").alias("b"), F.log(1.0 + F.col("size")).alias("_lb"))
-    both = left.join(right, [*by, "t"]).where("a <> b")
-    return both.groupBy(*by, "a", "b", "_la", "_lb").agg(F.sum("idf").alias("_w")).select(*by, "a", "b", (F.col("_w") / (F.col("_la") + F.col("_lb"))).alias("w"))
+    shared = rows.groupBy(*by, "_t").agg(F.count("*").alias("_df"), (F.min("_i") < F.max("_i")).alias("_two")).where("_two")
+    if max_shared is not None:
+        shared = shared.where(F.col("_df") <= max_shared)
+    shared = shared.join(sizes, by).where(F.col("_df") < F.col("_n")).select(*by, "_t", F.log(F.col("_n") / F.col("_df")).alias("idf"))
+    shared = cut_lineage(shared.withColumn("_no", F.monotonically_increasing_id()))
+    return SentenceGraph(nodes, cut_lineage(rows.join(shared, [*by, "_t"]).groupBy(F.col("_i").alias("i"), F.col("_no").alias("t"), "idf", "size").agg(F.count("*").alias("n"))))
 
 
-def central_sentences(sents: DataFrame, by: Sequence[str], key: Sequence[str], terms: str = "terms", *, max_shared: int = 10,
+def central_sentences(sents: DataFrame, by: Sequence[str], key: Sequence[str], terms: str = "terms", *, max_shared: int | None = None,
                       damping: float = 0.85, tolerance: float = 1e-4, max_rounds: int = 30) -> DataFrame:
     """``(by..., s, score)``: how central each sentence is in its group's graph; 1 is the mean of a connected group.
 
-    Damped power iteration, all groups at once; each round is stored, the last
-    is the first in which no score moves by ``tolerance``.
+    Damped power iteration over :func:`sentence_graph`, all groups at once; each
+    round is stored, the last is the first in which no score moves by ``tolerance``.
     """
     by = list(by)
-    nodes = cut_lineage(sents.select(*by, F.struct(*key).alias("s")))
-    edges = sentence_graph(sents, by, key, terms, max_shared)
-    strength = edges.groupBy(*by, F.col("a").alias("_b")).agg(F.sum("w").alias("_all"))
-    edges = cut_lineage(edges.join(strength.withColumnRenamed("_b", "b"), [*by, "b"]).select(*by, "a", "b", (F.col("w") / F.col("_all")).alias("p")))
-    now = nodes.withColumn("score", F.lit(1.0))
+    graph = sentence_graph(sents, by, key, terms, max_shared)
+    strength = graph.spread(graph.links.select("i").distinct().withColumn("v", F.lit(1.0))).join(graph.own(), "i")
+    # p: what a sentence of score 1 gives for each unit of weight; null without links
+    nodes = graph.nodes.select(F.col("_i").alias("i"), "_rows")
+    now = cut_lineage(nodes.join(strength, "i", "left").select("i", F.lit(1.0).alias("score"), "own", (F.col("_rows") / (F.col("total") - F.col("own"))).alias("p")))
     for _ in range(max_rounds):
-        come = (edges.join(now.select(*by, F.col("s").alias("b"), "score"), [*by, "b"]).groupBy(*by, F.col("a").alias("s"))
-                .agg(F.sum(F.col("p") * F.col("score")).alias("_in")))
-        new = cut_lineage(now.join(come, [*by, "s"], "left").select(*by, "s", F.col("score").alias("_old"),
-                                                                 (1.0 - damping + damping * F.coalesce("_in", F.lit(0.0))).alias("score")))
+        come = graph.spread(now.where(F.col("p").isNotNull()).select("i", (F.col("score") * F.col("p")).alias("v")))
+        come_in = F.col("total") - F.col("own") * F.col("score") * F.col("p")
+        new = cut_lineage(now.join(come, "i", "left").select("i", F.col("score").alias("_old"), "own", "p",
+                                                             (1.0 - damping + damping * F.coalesce(come_in, F.lit(0.0))).alias("score")))
         moved = new.agg(F.max(F.abs(F.col("score") - F.col("_old")))).first()[0]
         now = new.drop("_old")
         if moved is None or moved < tolerance:
             break
-    return now
+    scored = graph.nodes.join(now.select(F.col("i").alias("_i"), "score"), "_i")
+    return scored.select(*by, "s", "score", F.explode(F.array_repeat(F.lit(0), F.col("_rows").cast("int"))).alias("_copy")).drop("_copy")
 
 
 def summarise_by_graph(df: DataFrame, by: Sequence[str], text: str, n: int = 3, id_col: str | Sequence[str] = "review_id", *,

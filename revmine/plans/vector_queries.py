@@ -146,7 +146,7 @@ def q_score_sentences_learned(spark: SparkSession, sf: str) -> DataFrame:
 
 
 
-GRAPH_ROUNDS, MAX_SHARED, DAMPING = 8, 10, 0.85
+GRAPH_ROUNDS, DAMPING = 8, 0.85
 
 
 def _summary_sql(where: str, group: str = "d.source", more: str = "") -> str:
@@ -171,7 +171,7 @@ st0 AS (SELECT {group} AS source, doc_id, sentence_idx AS k, review AS sentence,
 st AS (SELECT * FROM st0 WHERE len(terms) > 0),
 po AS (SELECT source, doc_id, k, ln(1.0 + len(terms)) AS l, unnest(terms) AS t FROM st),
 gn AS (SELECT source, count(*) AS n FROM st GROUP BY source),
-ra AS (SELECT source, t, ln(any_value(n) / count(*)) AS idf FROM po JOIN gn USING (source) GROUP BY source, t HAVING count(*) BETWEEN 2 AND {MAX_SHARED}),
+ra AS (SELECT source, t, ln(any_value(n) / count(*)) AS idf FROM po JOIN gn USING (source) GROUP BY source, t HAVING count(*) >= 2),
 pr2 AS (SELECT * FROM po JOIN ra USING (source, t)),
 ew AS (SELECT a.source, a.doc_id AS da, a.k AS ka, b.doc_id AS db, b.k AS kb, sum(a.idf) / any_value(a.l + b.l) AS w
        FROM pr2 a JOIN pr2 b ON a.source = b.source AND a.t = b.t AND (a.doc_id <> b.doc_id OR a.k <> b.k) GROUP BY ALL),
@@ -191,7 +191,7 @@ def _sad(spark: SparkSession, sf: str) -> DataFrame:
 @register("summarise_by_graph", _summary_sql(""))
 def q_summarise_by_graph(spark: SparkSession, sf: str) -> DataFrame:
     """T22 without repeats: per source the 3 most central sadness sentences (learnt weights) that hardly overlap."""
-    return SC.summarise_by_graph(_sad(spark, sf), ["source"], "review", 3, ["doc_id", "sid"], max_shared=MAX_SHARED, damping=DAMPING, tolerance=0.0,
+    return SC.summarise_by_graph(_sad(spark, sf), ["source"], "review", 3, ["doc_id", "sid"], damping=DAMPING, tolerance=0.0,
                                  max_rounds=GRAPH_ROUNDS)
 
 
@@ -199,7 +199,7 @@ def q_summarise_by_graph(spark: SparkSession, sf: str) -> DataFrame:
 def q_complaints_by_entity_graph(spark: SparkSession, sf: str) -> DataFrame:
     """T24 without repeats: the summary of one source's sadness sentences."""
     def summary(df, by, text, n, ids):
-        return SC.summarise_by_graph(df, by, text, n, ids, max_shared=MAX_SHARED, damping=DAMPING, tolerance=0.0, max_rounds=GRAPH_ROUNDS)
+        return SC.summarise_by_graph(df, by, text, n, ids, damping=DAMPING, tolerance=0.0, max_rounds=GRAPH_ROUNDS)
 
     return SC.complaints_by_entity(_sad(spark, sf), "source", "src1", "review", id_col=["doc_id", "sid"], summary=summary)
 
@@ -224,7 +224,7 @@ def q_complaints_by_topic_graph(spark: SparkSession, sf: str) -> DataFrame:
     common = mix.groupBy(dominant_topic("topics").alias("t")).count().orderBy(F.desc("count"), "t").first()["t"]
 
     def summary(df, by, text, n, ids):
-        return SC.summarise_by_graph(df, by, text, n, ids, max_shared=MAX_SHARED, damping=DAMPING, tolerance=0.0, max_rounds=GRAPH_ROUNDS)
+        return SC.summarise_by_graph(df, by, text, n, ids, damping=DAMPING, tolerance=0.0, max_rounds=GRAPH_ROUNDS)
 
     return TP.complaints_by_topic(mix, _sad(spark, sf), common, "source", "review", id_col=["doc_id", "sid"], summary=summary)
 

@@ -162,6 +162,50 @@ def test_central_sentences_equal_a_dense_iteration(spark):
     assert np.allclose([got[i] for i in range(30)], r, atol=1e-9)
 
 
+def plain_centrality(rows, damping=0.85, tolerance=1e-4, max_rounds=30):
+    """key -> score over all pairs of rows (key, terms) that share a term; a key's rows give and get as one, each row once."""
+    df_ = Counter(t for _, x in rows for t in x)
+    n, keys = len(rows), [k for k, _ in rows]
+    w = np.zeros((n, n))
+    for a in range(n):
+        for b in range(n):
+            if keys[a] != keys[b]:
+                w[a, b] = sum(np.log(n / df_[t]) for t in rows[a][1] if t in rows[b][1]) / (np.log(1 + len(rows[a][1])) + np.log(1 + len(rows[b][1])))
+    names = sorted(set(keys), key=str)
+    m = np.array([[k == x for x in keys] for k in names], float)
+    w = m @ w @ m.T
+    p = np.divide(w, w.sum(axis=0), where=w.sum(axis=0) > 0, out=np.zeros_like(w)) * m.sum(axis=1)
+    r, moved = np.ones(len(names)), np.inf
+    for _ in range(max_rounds):
+        if moved >= tolerance:
+            new = 1 - damping + damping * p @ r
+            r, moved = new, np.abs(new - r).max()
+    return dict(zip(names, r, strict=True))
+
+
+def test_common_terms_link_their_sentences(spark):
+    """Terms of any number of sentences count, also with repeated and null keys; a term of one key or of all rows links none."""
+    rng = np.random.default_rng(9)
+    rows = [(i, sorted({f"w{w}" for w in rng.integers(0, 12, rng.integers(1, 9))}) + ["all"]) for i in range(60)]
+    rows += [(7, ["w1", "w2", "all"]), (8, rows[8][1]), (None, ["w3", "all"]), (None, ["w3", "w4", "all"]), (90, ["only", "all"]), (90, ["only", "all"]), (91, ["all"])]
+    df = spark.createDataFrame([("g", i, t) for i, t in rows] + [("two", 1, ["x", "y"]), ("two", 2, ["x"]), ("none", 1, [])], "g string, id long, terms array<string>")
+    got = SC.central_sentences(df, ["g"], ["id"], max_rounds=5).collect()
+    assert Counter((r["g"], r["s"]["id"]) for r in got) == Counter((r["g"], r["id"]) for r in df.collect())
+    want = plain_centrality(rows, max_rounds=5)
+    assert max(Counter(t for _, x in rows for t in x if t != "all").values()) > 20
+    assert [r for r in got if not np.isclose(r["score"], want[r["s"]["id"]] if r["g"] == "g" else 0.15, atol=1e-9)] == []
+    assert {round(r["score"], 9) for r in got if r["s"]["id"] in (90, 91)} == {0.15}
+
+
+def test_a_common_word_makes_no_pairs(spark):
+    """20,000 sentences with one word in all but one: 200 million pairs, but a row a sentence and term."""
+    df = spark.range(20_000).selectExpr("'g' AS g", "id", "if(id = 0, array('other'), array('word', concat('w', id div 2))) AS terms")
+    graph = SC.sentence_graph(df, ["g"], ["id"])
+    assert graph.links.count() == 19_999 + 19_998
+    got = {r["s"]["id"]: r["score"] for r in SC.central_sentences(df, ["g"], ["id"], max_rounds=2).where("s.id < 4").collect()}
+    assert np.isclose(got[0], 0.15) and 0.15 < got[1] < got[2] and np.isclose(got[2], got[3])
+
+
 def test_texts_of_a_batch_in_bounded_pieces(monkeypatch):
     monkeypatch.setattr(V, "SLICE_TOKENS", 5)
     texts = pa.array([["a"] * 3, ["b"] * 2, None, ["c"] * 9, [], ["d"] * 4, ["e"]])
